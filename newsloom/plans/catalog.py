@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import areas, curate, scoring, select, similarity
+from ..operators import areas, curate, scoring, select, similarity, terms
 from . import fixtures as X
 from . import slices
 from .oracle import AS_OF_SQL, cosine, mean_vec_sql, preprocess, unit, with_views, word_count
@@ -430,3 +430,66 @@ def q_assign_area_ensemble(spark, sf):
 @register("source_counts", with_views("SELECT source, count(*) AS n FROM articles_v GROUP BY source", "articles_v"))
 def q_source_counts(spark, sf):
     return X.articles_v(spark, sf).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ================================ G: terms ================================
+
+def _term_docs(spark, sf) -> DataFrame:
+    v = slices.valid_with_vectors(spark, sf).select("doc_id", "cluster", "content", "language")
+    return terms.ngrams(terms.clean_for_tfidf(v))
+
+
+@register("clean_for_tfidf", with_views("SELECT doc_id, text_tfidf FROM g_clean", "g_clean"))
+def q_clean_for_tfidf(spark, sf):
+    v = slices.valid_with_vectors(spark, sf).select("doc_id", "content", "language")
+    return terms.clean_for_tfidf(v).select("doc_id", "text_tfidf")
+
+
+@register("ngrams", with_views("SELECT term, count(*) AS n FROM (SELECT unnest(terms) AS term FROM g_terms) GROUP BY term",
+                               "g_terms"))
+def q_ngrams(spark, sf):
+    return _term_docs(spark, sf).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("doc_freq_bounds", with_views("SELECT term, df FROM g_vocab", "g_vocab"))
+def q_doc_freq_bounds(spark, sf):
+    return terms.doc_freq_bounds(_term_docs(spark, sf)).select("term", "df")
+
+
+@register("tfidf", with_views("SELECT doc_id, term, round(weight, 6) AS weight FROM g_tfidf", "g_tfidf"))
+def q_tfidf(spark, sf):
+    return terms.tfidf(_term_docs(spark, sf)).select("doc_id", "term", r6("weight").alias("weight"))
+
+
+def _cluster_terms(spark, sf, top_n=10):
+    docs = _term_docs(spark, sf)
+    return terms.top_terms_per_cluster(terms.tfidf(docs), docs.select("doc_id", "cluster"), top_n)
+
+
+@register("top_terms_per_cluster", with_views(
+    "SELECT cluster, rank, term, round(score, 6) AS score FROM g_top", "g_top"))
+def q_top_terms_per_cluster(spark, sf):
+    t = _cluster_terms(spark, sf)
+    return t.select("cluster", F.col("rank").cast("long").alias("rank"), "term", r6("score").alias("score"))
+
+
+@register("name_clusters", with_views("SELECT cluster, cluster_name FROM g_names", "g_names"))
+def q_name_clusters(spark, sf):
+    return terms.name_clusters(_cluster_terms(spark, sf, 3))
+
+
+@register("attach_cluster_name", with_views(
+    "SELECT v.doc_id, v.cluster, n.cluster_name FROM valid_vec_v v LEFT JOIN g_names n USING (cluster)", "g_names"))
+def q_attach_cluster_name(spark, sf):
+    names = terms.name_clusters(_cluster_terms(spark, sf, 3))
+    v = slices.valid_with_vectors(spark, sf).select("doc_id", "cluster")
+    return terms.attach_cluster_name(v, names).select("doc_id", "cluster", "cluster_name")
+
+
+@register("top_terms_one_cluster", with_views("""SELECT rank, term, round(score, 6) AS score FROM (
+  SELECT term, score, row_number() OVER (ORDER BY round(score, 12) DESC, term) AS rank FROM g_scores WHERE cluster = 3)
+WHERE rank <= 10""", "g_scores"))
+def q_top_terms_one_cluster(spark, sf):
+    docs = _term_docs(spark, sf)
+    t = terms.top_terms_one_cluster(terms.tfidf(docs), docs.select("doc_id", "cluster"), 3, 10)
+    return t.select(F.col("rank").cast("long").alias("rank"), "term", r6("score").alias("score"))

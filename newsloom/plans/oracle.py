@@ -136,3 +136,39 @@ view("emb_models_v", [], f"""  SELECT vec_id AS doc_id, 'm1' AS model, CAST(embe
 view("valid_models_v", ["valid_vec_v"], f"""  SELECT doc_id, 'm1' AS model, v FROM valid_vec_v
   UNION ALL SELECT doc_id, 'm2', list_reverse(v) FROM valid_vec_v
   UNION ALL SELECT doc_id, 'm3', {unit('w')} FROM (SELECT doc_id, {_M3} AS w FROM valid_vec_v)""")
+
+
+def title_case_sql(c: str) -> str:
+    return (f"array_to_string(list_transform(regexp_extract_all({c}, '(\\p{{L}}+|[^\\p{{L}}]+)'), "
+            "lambda p: (CASE WHEN substr(p, 1, 1) = chr(223) THEN 'Ss' ELSE upper(substr(p, 1, 1)) END) || lower(substr(p, 2))), '')")
+
+
+def _terms_views():
+    from ..functions.stopwords import sql_list
+
+    view("g_clean", ["valid_vec_v"], f"""  SELECT doc_id, cluster, CASE
+      WHEN language = 'en' THEN array_to_string(list_filter(regexp_extract_all(lower(content), '\\p{{L}}+'), lambda t: NOT list_contains({sql_list('en')}, t)), ' ')
+      WHEN language = 'es' THEN array_to_string(list_filter(regexp_extract_all(lower(content), '\\p{{L}}+'), lambda t: NOT list_contains({sql_list('es')}, t)), ' ')
+      ELSE '' END AS text_tfidf
+  FROM valid_vec_v""")
+    view("g_terms", ["g_clean"], """  SELECT doc_id, cluster, t1 || list_transform(range(1, len(t1)), lambda i: t1[i] || ' ' || t1[i + 1]) AS terms
+  FROM (SELECT doc_id, cluster, regexp_extract_all(text_tfidf, '[\\p{L}\\p{N}_]{2,}') AS t1 FROM g_clean)""")
+    view("g_vocab", ["g_terms"], """  SELECT term, df, n AS n_docs, ln((1 + n) / (1 + df)) + 1 AS idf
+  FROM (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(terms) AS term FROM g_terms) GROUP BY term),
+       (SELECT count(*) AS n FROM g_terms)
+  WHERE df >= 5 AND df <= 0.9 * n""")
+    view("g_tfidf", ["g_vocab"], """  SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM (
+    SELECT doc_id, term, tf * idf AS w FROM (
+      SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM g_terms) GROUP BY ALL
+    ) JOIN g_vocab USING (term))""")
+    view("g_scores", ["g_tfidf"], """  SELECT cluster, term, sum(weight) / any_value(sz) AS score
+  FROM g_tfidf JOIN (SELECT doc_id, cluster FROM g_terms) USING (doc_id)
+  JOIN (SELECT cluster, count(*) AS sz FROM g_terms GROUP BY cluster) USING (cluster)
+  GROUP BY cluster, term""")
+    view("g_top", ["g_scores"], """  SELECT * FROM (SELECT cluster, term, score,
+    row_number() OVER (PARTITION BY cluster ORDER BY round(score, 12) DESC, term) AS rank FROM g_scores) WHERE rank <= 10""")
+    view("g_names", ["g_top"], f"""  SELECT cluster, {title_case_sql("string_agg(term, ' / ' ORDER BY rank)")} AS cluster_name
+  FROM g_top WHERE rank <= 3 GROUP BY cluster""")
+
+
+_terms_views()
