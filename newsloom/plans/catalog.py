@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import areas, curate, scoring, select, similarity, terms
+from ..operators import areas, clusters, curate, scoring, select, similarity, terms
 from . import fixtures as X
 from . import slices
 from .oracle import AS_OF_SQL, cosine, mean_vec_sql, preprocess, unit, with_views, word_count
@@ -493,3 +493,69 @@ def q_top_terms_one_cluster(spark, sf):
     docs = _term_docs(spark, sf)
     t = terms.top_terms_one_cluster(terms.tfidf(docs), docs.select("doc_id", "cluster"), 3, 10)
     return t.select(F.col("rank").cast("long").alias("rank"), "term", r6("score").alias("score"))
+
+
+# ================================ F: clustering ================================
+
+@register("fit_kmeans")
+def q_fit_kmeans(spark, sf):
+    _model, labels, _c = clusters.fit_kmeans(emb_vectors(spark, sf).coalesce(1).sortWithinPartitions("doc_id"), k=6)
+    return labels
+
+
+@register("predict_cluster", with_views("""SELECT v.doc_id, first(c.cluster ORDER BY list_distance(v.v, c.centroid), c.cluster) AS cluster
+FROM vec_v v CROSS JOIN centroids_v c GROUP BY v.doc_id""", "vec_v", "centroids_v"))
+def q_predict_cluster(spark, sf):
+    v = slices.with_vectors(spark, sf, X.articles_v(spark, sf).select("doc_id")).select("doc_id", "v")
+    return clusters.predict_cluster(v, X.centroids_v(spark, sf, dim_of(spark, sf))).select("doc_id", "cluster")
+
+
+_SIL_SQL = f"""WITH pts AS (SELECT vec_id, label, {unit('CAST(embedding AS DOUBLE[])')} AS u FROM embeddings),
+cm AS ({mean_vec_sql('pts', 'label', 'u')}),
+cn AS (SELECT label, count(*) AS n FROM pts GROUP BY label),
+d AS (SELECT p.vec_id, p.label AS own, c.label, list_dot_product(p.u, c.m) AS dm FROM pts p CROSS JOIN cm c),
+per AS (SELECT d.vec_id, max(CASE WHEN d.label = d.own THEN d.dm END) AS dm_own,
+    min(CASE WHEN d.label <> d.own THEN 1 - d.dm END) AS b, any_value(o.n) AS n_own
+  FROM d JOIN cn o ON o.label = d.own GROUP BY d.vec_id)
+SELECT round(avg(CASE WHEN n_own <= 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette
+FROM (SELECT *, (n_own - n_own * dm_own) / (n_own - 1) AS a FROM per)"""
+
+
+@register("silhouette_cosine", _SIL_SQL)
+def q_silhouette_cosine(spark, sf):
+    t = clusters.silhouette_table(emb_vectors(spark, sf))
+    return t.select(r6("silhouette").alias("silhouette"))
+
+
+@register("find_optimal_k")
+def q_find_optimal_k(spark, sf):
+    best, scores = clusters.find_optimal_k(emb_vectors(spark, sf).coalesce(1).sortWithinPartitions("doc_id"), 4, 12)
+    return scores.withColumn("best_k", F.lit(best))
+
+
+@register("cluster_sizes", "SELECT label AS cluster, count(*) AS n FROM embeddings GROUP BY label")
+def q_cluster_sizes(spark, sf):
+    return clusters.cluster_sizes(emb_vectors(spark, sf))
+
+
+@register("kmeans_inertia", with_views("""SELECT round(sum(list_distance(CAST(e.embedding AS DOUBLE[]), c.centroid) ^ 2), 6) AS inertia
+FROM embeddings e JOIN centroids_v c ON c.cluster = e.label""", "centroids_v"))
+def q_kmeans_inertia(spark, sf):
+    i = clusters.kmeans_inertia(emb_vectors(spark, sf), X.centroids_v(spark, sf, dim_of(spark, sf)))
+    return i.select(r6("inertia").alias("inertia"))
+
+
+@register("density_clusters", f"""WITH RECURSIVE pts AS (SELECT vec_id AS id, {unit('CAST(embedding AS DOUBLE[])')} AS u FROM embeddings),
+pairs AS (SELECT a.id AS a, b.id AS b FROM pts a JOIN pts b ON a.id < b.id WHERE list_dot_product(a.u, b.u) > 0.35),
+nb AS (SELECT a AS src, b AS dst FROM pairs UNION ALL SELECT b, a FROM pairs),
+core AS (SELECT p.id FROM pts p LEFT JOIN (SELECT src, count(*) AS deg FROM nb GROUP BY src) d ON d.src = p.id
+  WHERE coalesce(d.deg, 0) + 1 >= 3),
+ce AS (SELECT src, dst FROM nb WHERE src IN (SELECT id FROM core) AND dst IN (SELECT id FROM core)),
+reach(id, root) AS (SELECT id, id FROM core UNION SELECT e.dst, r.root FROM reach r JOIN ce e ON e.src = r.id),
+comp AS (SELECT id, min(root) AS label FROM reach GROUP BY id),
+border AS (SELECT n.src AS id, min(c.label) AS label FROM nb n JOIN comp c ON c.id = n.dst
+  WHERE n.src NOT IN (SELECT id FROM core) GROUP BY n.src)
+SELECT p.id AS doc_id, CAST(coalesce(c.label, b.label, -1) AS BIGINT) AS cluster
+FROM pts p LEFT JOIN comp c ON c.id = p.id LEFT JOIN border b ON b.id = p.id""")
+def q_density_clusters(spark, sf):
+    return clusters.density_clusters(emb_vectors(spark, sf), 0.35, 3)
