@@ -559,3 +559,155 @@ SELECT p.id AS doc_id, CAST(coalesce(c.label, b.label, -1) AS BIGINT) AS cluster
 FROM pts p LEFT JOIN comp c ON c.id = p.id LEFT JOIN border b ON b.id = p.id""")
 def q_density_clusters(spark, sf):
     return clusters.density_clusters(emb_vectors(spark, sf), 0.35, 3)
+
+
+# ================================ B: pages ================================
+from ..sources import pages as P  # noqa: E402
+
+_D_NOISE = "regexp_replace({h}, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', ' ', 'g')"
+_D_HOST = "lower(regexp_extract({u}, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
+_D_BASE = "regexp_extract({u}, '^([a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?[^/?#:]*)', 1)"
+_D_LINKS = "regexp_extract_all({h}, '(?i)<a[^>]*?href=\"([^\"]*)\"', 1)"
+
+
+def _d_unescape(x: str) -> str:
+    for ent, raw in P.ENTITIES:
+        x = f"replace({x}, '{ent}', '{raw.replace(chr(39), chr(39) * 2)}')"
+    return x
+
+
+def _d_text(x: str) -> str:
+    return f"trim(regexp_replace({_d_unescape(f'regexp_replace({x}, {chr(39)}<[^>]*>{chr(39)}, {chr(39)} {chr(39)}, {chr(39)}g{chr(39)})')}, '\\s+', ' ', 'g'))"
+
+
+def _d_paragraphs(h: str) -> str:
+    segs = f"regexp_split_to_array({_D_NOISE.format(h=h)}, '(?i)<p(?:\\s[^>]*)?>')[2:]"
+    return f"list_transform({segs}, lambda s: {_d_text(chr(114) + 'egexp_replace(s, ' + chr(39) + '(?is)(?:</p\\s*>|</article\\s*>|</body\\s*>).*$' + chr(39) + ', ' + chr(39) + chr(39) + ')')})"
+
+
+def _d_lit(v):
+    return "NULL" if v is None else "'" + str(v).replace("'", "''") + "'"
+
+
+def _d_route_case(host: str) -> str:
+    rules = list(P.RULES) + [dict(source=h, domain=h, prefix="/") for h in P.GENERIC_HOSTS]
+    whens = " ".join(f"WHEN contains({host}, lower({_d_lit(r['domain'])})) THEN {i}" for i, r in enumerate(rules))
+    return f"CASE {whens} END"
+
+
+def _d_rules_table() -> str:
+    rules = list(P.RULES) + [dict(source=h, domain=h, prefix="/") for h in P.GENERIC_HOSTS]
+    rows = []
+    for i, r in enumerate(rules):
+        ex = "[" + ", ".join(_d_lit(e) for e in r.get("excludes", [])) + "]::VARCHAR[]"
+        ca = ("[" + ", ".join(_d_lit(e) for e in r["contains_any"]) + "]::VARCHAR[]") if r.get("contains_any") else "NULL::VARCHAR[]"
+        rows.append(f"({i}, {_d_lit(r['source'])}, {_d_lit(r.get('prefix'))}, {ca}, {ex}, {_d_lit(r.get('not_equal'))}, "
+                    f"{r.get('min_slashes') if r.get('min_slashes') is not None else 'NULL'}, {_d_lit(r.get('base'))})")
+    return ("SELECT * FROM (VALUES " + ", ".join(rows) +
+            ") AS t(ord, source, prefix, contains_any, excludes, not_equal, min_slashes, base)")
+
+
+_D_KEEP = """coalesce(starts_with(href, r.prefix), true)
+  AND coalesce(len(list_filter(r.contains_any, lambda s: contains(href, s))) > 0, true)
+  AND NOT coalesce(len(list_filter(r.excludes, lambda s: contains(href, s))) > 0, false)
+  AND coalesce(href <> r.not_equal, true)
+  AND coalesce(length(href) - length(replace(href, '/', '')) > r.min_slashes, true)"""
+
+_D_ROUTED = f"""routed AS (SELECT p.page_id, p.url, p.html, r.source, r.prefix, r.contains_any, r.excludes, r.not_equal,
+    r.min_slashes, r.base FROM pages p JOIN ({_d_rules_table()}) r ON r.ord = {_d_route_case(_D_HOST.format(u='p.url'))})"""
+
+_D_LINKS_EX = """links AS (SELECT page_id, url, source, prefix, contains_any, excludes, not_equal, min_slashes, base,
+    CAST(i - 1 AS INTEGER) AS pos, href FROM (
+    SELECT *, unnest(l) AS href, unnest(range(1, len(l) + 1)) AS i FROM (SELECT *, """ + _D_LINKS.format(h="html") + """ AS l FROM routed)))"""
+
+
+@register("extract_links", f"""SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, href FROM (
+  SELECT page_id, unnest(l) AS href, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, {_D_LINKS.format(h='html')} AS l FROM pages))""")
+def q_extract_links(spark, sf):
+    return P.extract_links(X.table(spark, sf, "pages"))
+
+
+@register("filter_links_by_rule", f"""WITH {_D_ROUTED}, {_D_LINKS_EX}
+SELECT page_id, source, pos, href FROM links r WHERE {_D_KEEP}""")
+def q_filter_links_by_rule(spark, sf):
+    return P.filter_links_by_rule(X.table(spark, sf, "pages"), P.source_rules(spark))
+
+
+@register("resolve_links", f"""WITH {_D_ROUTED}, {_D_LINKS_EX}
+SELECT page_id, source, pos, CASE WHEN starts_with(href, '/') THEN coalesce(r.base, {_D_BASE.format(u='url')}) || href ELSE href END AS link
+FROM links r WHERE {_D_KEEP}""")
+def q_resolve_links(spark, sf):
+    return P.resolve_links(X.table(spark, sf, "pages"), P.source_rules(spark))
+
+
+@register("scoped_links", f"""SELECT page_id, CAST(ci - 1 AS INTEGER) AS container_pos, 0 AS pos, l[1] AS href FROM (
+  SELECT page_id, ci, {_D_LINKS.format(h='chunk')} AS l FROM (
+    SELECT page_id, unnest(c) AS chunk, unnest(range(1, len(c) + 1)) AS ci FROM (
+      SELECT page_id, regexp_extract_all({_D_NOISE.format(h='html')}, '(?is)<li\\b[^>]*>(.*?)</li\\s*>', 1) AS c FROM pages)))
+WHERE len(l) > 0""")
+def q_scoped_links(spark, sf):
+    return P.scoped_links(X.table(spark, sf, "pages"), "li", first_only=True).select("page_id", "container_pos", "pos", "href")
+
+
+@register("link_dedupe", f"""SELECT page_id, href, CAST(min(i) - 1 AS INTEGER) AS pos FROM (
+  SELECT page_id, unnest(l) AS href, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, {_D_LINKS.format(h='html')} AS l FROM pages))
+GROUP BY page_id, href""")
+def q_link_dedupe(spark, sf):
+    return P.link_dedupe(P.extract_links(X.table(spark, sf, "pages")))
+
+
+_D_TITLE = ("coalesce(nullif(" + _d_text("regexp_extract({h}, '(?is)<h1[^>]*>(.*?)</h1>', 1)") + ", ''), nullif(trim("
+            + _d_unescape("regexp_extract({h}, '(?is)<meta[^>]*property=\"og:title\"[^>]*content=\"([^\"]*)\"', 1)")
+            + "), ''), 'Sin título')")
+
+
+@register("extract_title", f"SELECT page_id, {_D_TITLE.format(h='html')} AS title FROM pages")
+def q_extract_title(spark, sf):
+    return X.table(spark, sf, "pages").select("page_id", P.extract_title("html").alias("title"))
+
+
+@register("extract_paragraphs", f"""SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, text FROM (
+  SELECT page_id, unnest(ps) AS text, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT page_id, {_d_paragraphs('html')} AS ps FROM pages))""")
+def q_extract_paragraphs(spark, sf):
+    return X.table(spark, sf, "pages").select("page_id", F.posexplode(P.paragraphs_array("html")).alias("pos", "text"))
+
+
+@register("clean_text", f"SELECT page_id, array_to_string({_d_paragraphs('html')}, ' ') AS content FROM pages")
+def q_clean_text(spark, sf):
+    return X.table(spark, sf, "pages").select("page_id", F.array_join(P.paragraphs_array("html"), " ").alias("content"))
+
+
+@register("content_container", "SELECT page_id, " + _d_text(
+    "regexp_extract(" + _D_NOISE.format(h="html") + ", '(?is)<article\\b[^>]*>(.*?)</article\\s*>', 1)") + " AS container_text FROM pages")
+def q_content_container(spark, sf):
+    pg = X.table(spark, sf, "pages")
+    return pg.select("page_id", P.tag_text(P.content_container(F.col("html"), F.col("url"))).alias("container_text"))
+
+
+@register("filter_paragraphs", f"""SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, text FROM (
+  SELECT page_id, unnest(ps) AS text, unnest(range(1, len(ps) + 1)) AS i FROM (
+    SELECT page_id, list_filter({_d_paragraphs('html')}, lambda t: length(t) > 40 AND NOT contains(lower(t), 'copyright')
+      AND NOT contains(lower(t), 'all rights reserved') AND NOT contains(lower(t), 'compartir en')) AS ps FROM pages))""")
+def q_filter_paragraphs(spark, sf):
+    kept = P.filter_paragraphs(P.paragraphs_array("html"), "clean")
+    return X.table(spark, sf, "pages").select("page_id", F.posexplode(kept).alias("pos", "text"))
+
+
+@register("build_articles", f"""WITH {_D_ROUTED}
+SELECT page_id, source, url, title, array_to_string(ps, ' ') AS content, '2024-04-01 00:00:00' AS scraping_date FROM (
+  SELECT page_id, source, url, nullif({_d_text("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")}, '') AS title,
+    {_d_paragraphs('html')} AS ps FROM routed)
+WHERE title IS NOT NULL AND len(ps) > 0""")
+def q_build_articles(spark, sf):
+    a = P.build_articles(X.table(spark, sf, "pages"), P.source_rules(spark), X.AS_OF)
+    return a.withColumn("scraping_date", ts("scraping_date"))
+
+
+@register("route_url_to_source", f"""WITH {_D_ROUTED} SELECT page_id, source FROM routed""")
+def q_route_url_to_source(spark, sf):
+    return P.route_url_to_source(X.table(spark, sf, "pages"), P.source_rules(spark)).select("page_id", "source")
+
+
+@register("normalize_host", f"SELECT page_id, regexp_replace({_D_HOST.format(u='url')}, 'www\\.', '', 'g') AS host FROM pages")
+def q_normalize_host(spark, sf):
+    return X.table(spark, sf, "pages").select("page_id", P.normalize_host("url").alias("host"))
