@@ -711,3 +711,135 @@ def q_route_url_to_source(spark, sf):
 @register("normalize_host", f"SELECT page_id, regexp_replace({_D_HOST.format(u='url')}, 'www\\.', '', 'g') AS host FROM pages")
 def q_normalize_host(spark, sf):
     return X.table(spark, sf, "pages").select("page_id", P.normalize_host("url").alias("host"))
+
+
+# ================================ A9-A11, D10, D11, H3: feeds ================================
+from ..sources import feeds as FD  # noqa: E402
+from .oracle import view as _view  # noqa: E402
+
+_FEED_DATE_SPARK = ("CASE WHEN page_id % 7 = 0 THEN 'not a date' ELSE date_format(timestamp'2024-03-01 06:00:00' + "
+                    "make_dt_interval(0, cast(page_id * 5 as int), 0, 0), 'EEE, dd MMM yyyy HH:mm:ss') || ' +0000' END")
+_FEED_DATE_DUCK = ("CASE WHEN page_id % 7 = 0 THEN 'not a date' ELSE strftime(TIMESTAMP '2024-03-01 06:00:00' + "
+                   "to_hours(CAST(page_id * 5 AS INTEGER)), '%a, %d %b %Y %H:%M:%S') || ' +0000' END")
+
+
+def feed_entries(spark, sf) -> DataFrame:
+    """Feed entries derived from ``pages``: one entry per page, feed = the page's routed source."""
+    pg = X.table(spark, sf, "pages")
+    r = P.route_url_to_source(pg, P.source_rules(spark), keep_rule=True)
+    paras = P.paragraphs_array("html")
+    return r.select(
+        "source", F.col("_rule.ord").alias("feed_ord"), F.col("page_id").alias("pos"),
+        F.coalesce(P.extract_title("html", None), F.lit("")).alias("title"), "url",
+        F.expr(_FEED_DATE_SPARK).alias("published"),
+        F.coalesce(F.element_at(paras, 1), F.lit("")).alias("summary"),
+        F.when(F.col("page_id") % 3 == 0, F.array_join(paras, " ")).otherwise(F.lit("")).alias("content"),
+    ).withColumn("date", T.parse_feed_date("published"))
+
+
+def feed_xml(spark, sf) -> DataFrame:
+    """One RSS document per feed entry (escaped), as a publisher would serve it."""
+    e = feed_entries(spark, sf)
+    xml = F.concat(F.lit("<rss><channel><title>"), FD.xml_escape("source"), F.lit("</title><item><title>"),
+                   FD.xml_escape("title"), F.lit("</title><link>"), FD.xml_escape("url"), F.lit("</link><pubDate>"),
+                   F.col("published"), F.lit("</pubDate><description>"), FD.xml_escape("summary"),
+                   F.lit("</description><content:encoded>"), FD.xml_escape("content"),
+                   F.lit("</content:encoded></item></channel></rss>"))
+    return e.select("source", "feed_ord", F.col("pos").alias("entry_id"), xml.alias("xml"))
+
+
+_view("feed_entries_v", [], f"""  SELECT r.source, r.ord AS feed_ord, p.page_id AS pos,
+    coalesce(nullif({_d_text("regexp_extract(p.html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")}, ''), '') AS title, p.url,
+    {_FEED_DATE_DUCK.replace('page_id', 'p.page_id')} AS published,
+    coalesce({_d_paragraphs('p.html')}[1], '') AS summary,
+    CASE WHEN p.page_id % 3 = 0 THEN array_to_string({_d_paragraphs('p.html')}, ' ') ELSE '' END AS content,
+    try_strptime(nullif(regexp_extract(trim({_FEED_DATE_DUCK.replace('page_id', 'p.page_id')}), '{T.RFC822_PATTERN}', 1), ''), '%d %b %Y %H:%M:%S') AS date
+  FROM pages p JOIN ({_d_rules_table()}) r ON r.ord = {_d_route_case(_D_HOST.format(u='p.url'))}""")
+
+_ART = "regexp_extract(" + _D_NOISE.format(h="html") + ", '(?is)<article\\b[^>]*>(.*?)</article\\s*>', 1)"
+_view("page_texts_v", [], f"""  SELECT url, {_D_TITLE.format(h='html')} AS title,
+    array_to_string(list_filter({_d_paragraphs(_ART)}, lambda t: length(t) > 40 AND NOT contains(lower(t), 'copyright')
+      AND NOT contains(lower(t), 'all rights reserved') AND NOT contains(lower(t), 'compartir en')), ' ') AS content
+  FROM pages WHERE len({_d_paragraphs(_ART)}) > 0""")
+
+_FEED_COLS_SQL = f"source, feed_ord, pos, title, url, published, summary, content, {TS('date')} AS date"
+
+
+def _feed_out(df):
+    return df.withColumn("date", ts("date"))
+
+
+@register("feed_items", with_views(f"SELECT {_FEED_COLS_SQL} FROM feed_entries_v", "feed_entries_v"))
+def q_feed_items(spark, sf):
+    items = FD.feed_items(feed_xml(spark, sf), keep=("entry_id",))
+    return _feed_out(items.select("source", "feed_ord", F.col("entry_id").alias("pos"), "title", "url", "published", "summary", "content", "date"))
+
+
+@register("sitemap_urls", """SELECT sitemap_id, CAST(i AS INTEGER) AS pos, loc, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY sitemap_id ORDER BY i) AS rank FROM (
+    SELECT sitemap_id, i, loc FROM (SELECT page_id % 10 AS sitemap_id, page_id AS i, url AS loc FROM pages) WHERE contains(loc, '/en/')))
+WHERE rank <= 5""")
+def q_sitemap_urls(spark, sf):
+    pg = X.table(spark, sf, "pages").select((F.col("page_id") % 10).alias("sitemap_id"), "page_id", "url")
+    docs = pg.groupBy("sitemap_id").agg(F.sort_array(F.collect_list(F.struct("page_id", "url"))).alias("us"))
+    xml = F.concat(F.lit("<urlset>"), F.array_join(F.transform("us", lambda u: F.concat(
+        F.lit("<url><loc>"), FD.xml_escape(u["url"]), F.lit("</loc></url>"))), ""), F.lit("</urlset>"))
+    s = FD.sitemap_urls(docs.select("sitemap_id", xml.alias("xml")), contains="/en/", max_urls=5)
+    # positions inside a sitemap follow page order; report them as page ids for the check
+    ids = docs.select("sitemap_id", F.posexplode("us").alias("pos", "u")).select("sitemap_id", "pos", F.col("u.page_id").alias("pid"))
+    return (s.join(ids, ["sitemap_id", "pos"]).select("sitemap_id", F.col("pid").cast("int").alias("pos"), "loc",
+                                                       F.col("rank").cast("long").alias("rank")))
+
+
+@register("api_posts")
+def q_api_posts(spark, sf):
+    a = X.articles_v(spark, sf)
+    post = F.struct(F.col("title").alias("title"), F.concat(F.lit("post-"), F.col("doc_id").cast("string")).alias("slug"),
+                    F.when(F.col("language") != "de", F.struct(F.col("source").alias("name"))).alias("author"),
+                    F.date_format("scraping_date", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("createdAt"),
+                    F.substring("content", 1, 200).alias("summary"),
+                    F.when(F.col("language") != "fr", F.array(F.col("language"), F.lit("ai"))).alias("tags"),
+                    (F.col("doc_id") % 50).alias("likesCount"))
+    payloads = a.select(F.to_json(F.array(post)).alias("payload"))
+    return FD.api_posts(payloads, X.AS_OF, days=30)
+
+
+@register("feed_recent", with_views(f"""SELECT source, feed_ord, pos, title, url, substr(summary, 1, 300) AS summary,
+  {TS('coalesce(date, ' + AS_OF_SQL + ')')} AS date
+FROM feed_entries_v WHERE coalesce(date, {AS_OF_SQL}) >= {AS_OF_SQL} - INTERVAL 7 DAY""", "feed_entries_v"))
+def q_feed_recent(spark, sf):
+    r = FD.feed_recent(feed_entries(spark, sf), X.AS_OF, days=7)
+    return _feed_out(r.select("source", "feed_ord", "pos", "title", "url", "summary", "date"))
+
+
+@register("feed_collect", with_views(f"""SELECT e.source, e.feed_ord, e.pos, e.title, e.url, t.content AS page_content
+FROM feed_entries_v e JOIN page_texts_v t USING (url)
+WHERE (e.date IS NULL OR e.date >= {AS_OF_SQL} - INTERVAL 7 DAY) AND e.url <> '' AND e.title <> ''
+ORDER BY e.feed_ord, e.pos LIMIT 20""", "feed_entries_v", "page_texts_v"))
+def q_feed_collect(spark, sf):
+    c = FD.feed_collect(feed_entries(spark, sf), FD.page_texts(X.table(spark, sf, "pages")), X.AS_OF, days=7,
+                        max_articles=20)
+    return c.select("source", "feed_ord", "pos", "title", "url", "page_content")
+
+
+_ENRICH_SQL = f"""enriched AS (
+  SELECT e.*, CASE WHEN length(e.rss_content) > 500 THEN e.rss_content
+    WHEN t.content IS NOT NULL AND t.content <> '' THEN t.content
+    WHEN e.rss_content <> '' THEN e.rss_content ELSE 'Contenido no disponible' END AS full_content
+  FROM (SELECT *, coalesce(nullif(content, ''), summary, '') AS rss_content FROM (
+      SELECT source, feed_ord, pos, title, url, substr(summary, 1, 300) AS summary, content,
+        coalesce(date, {AS_OF_SQL}) AS date FROM feed_entries_v
+      WHERE coalesce(date, {AS_OF_SQL}) >= {AS_OF_SQL} - INTERVAL 7 DAY)
+    ORDER BY strftime(date, '%Y-%m-%d') DESC, feed_ord, pos LIMIT 10) e
+  LEFT JOIN page_texts_v t USING (url))"""
+
+
+def _enriched(spark, sf):
+    recent = FD.feed_recent(feed_entries(spark, sf), X.AS_OF, days=7)
+    return FD.enrich_feed(recent, FD.page_texts(X.table(spark, sf, "pages")), max_articles=10)
+
+
+@register("enrich_feed", with_views(f"""WITH {_ENRICH_SQL}
+SELECT source, feed_ord, pos, url, {TS('date')} AS date, full_content FROM enriched""", "feed_entries_v", "page_texts_v"))
+def q_enrich_feed(spark, sf):
+    return _feed_out(_enriched(spark, sf).select("source", "feed_ord", "pos", "url", "date", "full_content"))
