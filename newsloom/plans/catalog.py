@@ -843,3 +843,81 @@ def _enriched(spark, sf):
 SELECT source, feed_ord, pos, url, {TS('date')} AS date, full_content FROM enriched""", "feed_entries_v", "page_texts_v"))
 def q_enrich_feed(spark, sf):
     return _feed_out(_enriched(spark, sf).select("source", "feed_ord", "pos", "url", "date", "full_content"))
+
+
+# ================================ K: digests ================================
+from ..operators import digest as DG  # noqa: E402
+
+
+def _sql_text(template: str, **exprs) -> str:
+    """A python template rendered as a DuckDB string expression (newlines as chr(10))."""
+    out, rest = [], template
+    while "{" in rest:
+        pre, tail = rest.split("{", 1)
+        name, rest = tail.split("}", 1)
+        if pre:
+            out.append(_sql_str(pre))
+        out.append(f"coalesce(CAST({exprs[name]} AS VARCHAR), 'None')")
+    if rest:
+        out.append(_sql_str(rest))
+    return " || ".join(out)
+
+
+def _sql_str(s: str) -> str:
+    pieces = s.split("\n")
+    return " || chr(10) || ".join("'" + p.replace("'", "''") + "'" for p in pieces) if s else "''"
+
+
+def _sql_escape(x: str) -> str:
+    for raw, ent in [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")]:
+        x = f"replace({x}, '{raw}', '{ent}')"
+    return x
+
+
+@register("digest_by_area", with_views(f"""WITH top AS (SELECT area, rank, {_sql_text(DG.AREA_ITEM, title='title', source='source', url='url')} AS item
+  FROM (SELECT *, row_number() OVER (PARTITION BY area ORDER BY final_score DESC, doc_id) AS rank FROM final_v) WHERE rank <= 3)
+SELECT p.area, {_sql_text(DG.AREA_HEADER, area='p.area')} || coalesce(string_agg(t.item, '' ORDER BY t.rank), '') || '{DG.AREA_FOOTER}' AS html
+FROM profiles_v p LEFT JOIN top t ON t.area = p.area GROUP BY p.area""", "final_v", "profiles_v"))
+def q_digest_by_area(spark, sf):
+    return DG.digest_by_area(slices.scored_articles(spark, sf), X.profiles_v(spark, sf), top_n=3)
+
+
+_RECENT_SQL = f"""recent AS (SELECT source, feed_ord, pos, title, url, substr(summary, 1, 300) AS summary,
+    coalesce(date, {AS_OF_SQL}) AS date FROM feed_entries_v WHERE coalesce(date, {AS_OF_SQL}) >= {AS_OF_SQL} - INTERVAL 7 DAY),
+rk AS (SELECT *, 0 - date_diff('day', DATE '1970-01-01', CAST(date AS DATE)) AS dkey FROM recent),
+fs AS (SELECT source, first(dkey ORDER BY dkey, feed_ord, pos) AS s_day, first(feed_ord ORDER BY dkey, feed_ord, pos) AS s_feed_ord,
+    first(pos ORDER BY dkey, feed_ord, pos) AS s_pos FROM rk GROUP BY source)"""
+
+
+@register("digest_by_source", with_views(f"""WITH {_RECENT_SQL}
+SELECT -1073741824 AS s_day, -1073741824 AS s_feed_ord, -1073741824 AS s_pos, -1 AS part, 0 AS day, 0 AS feed_ord, 0 AS pos,
+  {_sql_str(DG.FEED_TITLE)} AS line
+UNION ALL SELECT s_day, s_feed_ord, s_pos, 0, 0, 0, 0, {_sql_text(DG.SOURCE_HEADER, source='source')} FROM fs
+UNION ALL SELECT fs.s_day, fs.s_feed_ord, fs.s_pos, 1, rk.dkey, rk.feed_ord, rk.pos,
+  {_sql_text(DG.SOURCE_ITEM, url='rk.url', title='rk.title', date="strftime(rk.date, '%Y-%m-%d')", summary='rk.summary')}
+  FROM rk JOIN fs USING (source)
+UNION ALL SELECT s_day, s_feed_ord, s_pos, 2, 0, 0, 0, {_sql_str(DG.SOURCE_FOOTER)} FROM fs""", "feed_entries_v"))
+def q_digest_by_source(spark, sf):
+    recent = FD.feed_recent(feed_entries(spark, sf), X.AS_OF, days=7)
+    return DG.digest_by_source_lines(recent).select(*[F.col(c).cast("int").alias(c) for c in DG.LINE_ORDER], "line")
+
+
+@register("digest_full", with_views(f"""WITH {_ENRICH_SQL}
+SELECT {_sql_str(DG.FEED_TITLE)} || string_agg({_sql_text(DG.FULL_ITEM, url='url', title='title', source='source',
+    date="strftime(date, '%Y-%m-%d')", content='full_content')}, '' ORDER BY 0 - date_diff('day', DATE '1970-01-01', CAST(date AS DATE)), feed_ord, pos) AS html
+FROM enriched""", "feed_entries_v", "page_texts_v"))
+def q_digest_full(spark, sf):
+    return DG.digest_full(_enriched(spark, sf))
+
+
+_WEEKLY_CARD = ("""'<div class="article"><h3>' || {t} || '</h3><div class="meta">' || {s} || ' · ' || {l} || '</div><a href="' || {u} || '" target="_blank" class="read-more">Leer más</a></div>'""")
+
+
+@register("digest_weekly", with_views(f"""SELECT '20240401T0000Z' AS generated_at, count(*) AS n_articles,
+  '<html><body><div class="container"><div class="header"><h1>{DG.WEEKLY_TITLE}</h1><p>{DG.WEEKLY_SUBTITLE.format(date='20240401T0000Z')}</p></div>'
+  || string_agg({_WEEKLY_CARD.format(t=_sql_escape('title'), s=_sql_escape('source'), l=_sql_escape('language'), u=_sql_escape('url'))}, '' ORDER BY final_score DESC, doc_id)
+  || '<div class="footer">{DG.WEEKLY_FOOTER}</div></div></body></html>' AS html
+FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY final_score DESC, doc_id) AS rank FROM final_v) WHERE rank <= 3""",
+                                      "final_v"))
+def q_digest_weekly(spark, sf):
+    return DG.digest_weekly(slices.scored_articles(spark, sf), "20240401T0000Z", top_n=3)
