@@ -18,7 +18,11 @@ LANG_FILES = {"en": "english", "es": "spanish", "fr": "french", "de": "german"}
 def stop_words(lang: str) -> tuple[str, ...]:
     import pyspark
 
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
+    # the driver sees pyspark/jars; a Python worker may import pyspark from a zip, so SPARK_HOME is tried too
+    dirs = [os.path.join(os.path.dirname(pyspark.__file__), "jars")]
+    if os.environ.get("SPARK_HOME"):
+        dirs.append(os.path.join(os.environ["SPARK_HOME"], "jars"))
+    jars = [j for d in dirs for j in glob.glob(os.path.join(d, "spark-mllib_*.jar"))]
     name = LANG_FILES.get(lang, lang)
     for jar in jars:
         with zipfile.ZipFile(jar) as z:

@@ -921,3 +921,295 @@ FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY final_score DES
                                       "final_v"))
 def q_digest_weekly(spark, sf):
     return DG.digest_weekly(slices.scored_articles(spark, sf), "20240401T0000Z", top_n=3)
+
+
+# ================================ C3, E1, E3, M1: language and embeddings ================================
+from ..operators import embed as EM  # noqa: E402
+
+
+@register("detect_language")
+def q_detect_language(spark, sf):
+    return EM.detect_language(X.articles_v(spark, sf).select("doc_id", "content")).select("doc_id", "language")
+
+
+@register("embed_text")
+def q_embed_text(spark, sf):
+    a = X.articles_v(spark, sf).select("doc_id", T.text_for_embedding("title", "content").alias("text_for_embedding"))
+    e = EM.embed_text(a, "hashing")
+    return e.select("doc_id", F.size("v").alias("dims"), r6(V.norm("v")).alias("norm"))
+
+
+@register("embed_models")
+def q_embed_models(spark, sf):
+    EM.register_encoder("char_profile", EM.letter_profile_encoder, 26)
+    a = X.articles_v(spark, sf).select("doc_id", T.text_for_embedding("title", "content").alias("text_for_embedding"))
+    m = EM.embed_models(a, ["hashing", "char_profile"])
+    return m.select("doc_id", "model", F.size("v").alias("dims"), r6(V.norm("v")).alias("norm"))
+
+
+@register("register_encoder")
+def q_register_encoder(spark, sf):
+    EM.register_encoder("char_profile", EM.letter_profile_encoder, 26)
+    a = X.articles_v(spark, sf).select("doc_id", T.text_for_embedding("title", "content").alias("text_for_embedding"))
+    e = EM.embed_text(a, "char_profile")
+    return e.select("doc_id", F.size("v").alias("dims"), r6(V.norm("v")).alias("norm"))
+
+
+@register("register_source_rule", f"""WITH {_D_ROUTED}
+SELECT page_id, CASE WHEN contains({_D_HOST.format(u='url')}, 'blog.') THEN 'Blogs' ELSE source END AS source FROM routed""")
+def q_register_source_rule(spark, sf):
+    rules = P.source_rules(spark, generic=False)
+    rules = P.register_source_rule(rules, dict(source="Blogs", domain="blog.", prefix="/"))
+    for h in P.GENERIC_HOSTS:
+        rules = P.register_source_rule(rules, dict(source=h, domain=h, prefix="/"))
+    return P.route_url_to_source(X.table(spark, sf, "pages"), rules).select("page_id", "source")
+
+
+# ================================ A: sources and sinks (round trips) ================================
+from ..session import scratch_path  # noqa: E402
+from ..sources import files as FS  # noqa: E402
+from ..streaming import streams as ST  # noqa: E402
+from . import runs as RN  # noqa: E402
+
+_ART_SQL = f"SELECT doc_id, source, url, title, content, {TS('scraping_date')} AS scraping_date FROM articles_v"
+
+
+def _articles_csv(spark, sf, sep=";"):
+    path = scratch_path(spark, "articles-csv")
+    FS.write_articles_csv(X.articles_v(spark, sf).select("doc_id", "source", "url", "title", "content", "scraping_date"),
+                          path, sep=sep)
+    return path
+
+
+@register("read_articles_csv", with_views(_ART_SQL, "articles_v"))
+def q_read_articles_csv(spark, sf):
+    back = FS.read_articles_csv(spark, _articles_csv(spark, sf), RN.CSV_SCHEMA)
+    return back.withColumn("scraping_date", ts("scraping_date"))
+
+
+@register("write_articles_csv", with_views(
+    "SELECT doc_id, title, CAST(len(v) AS INTEGER) AS dims FROM valid_vec_v", "valid_vec_v"))
+def q_write_articles_csv(spark, sf):
+    v = slices.valid_with_vectors(spark, sf).select("doc_id", "title", "v")
+    path = scratch_path(spark, "articles-csv-comma")
+    FS.write_articles_csv(v, path, sep=",")
+    back = FS.read_articles_csv(spark, path, "doc_id long, title string, v string", sep=",")
+    return back.select("doc_id", "title", F.size(F.from_json("v", "array<double>")).alias("dims"))
+
+
+@register("read_articles_parquet", "SELECT doc_id, lang FROM documents")
+def q_read_articles_parquet(spark, sf):
+    got = FS.read_articles_parquet(spark, f"{sf}/documents.parquet").select("doc_id", "lang")
+    missing = FS.read_articles_parquet(spark, scratch_path(spark, "missing"), "doc_id long, lang string")
+    return got.unionByName(missing)
+
+
+@register("write_articles_parquet", with_views(_ART_SQL, "articles_v"))
+def q_write_articles_parquet(spark, sf):
+    path = scratch_path(spark, "corpus")
+    a = X.articles_v(spark, sf).select("doc_id", "source", "url", "title", "content", "scraping_date")
+    FS.write_articles_parquet(a, path, "20240401")
+    FS.write_articles_parquet(a.limit(0), path, "20240408")
+    back = spark.read.parquet(path).where(F.col("run_date") == "20240401").drop("run_date")  # partition pruning
+    return back.withColumn("scraping_date", ts("scraping_date"))
+
+
+@register("append_articles", with_views("""SELECT doc_id, round(final_score, 6) AS final_score FROM final_v
+UNION ALL SELECT doc_id, NULL AS final_score FROM norm_v WHERE NOT is_valid""", "final_v", "norm_v"))
+def q_append_articles(spark, sf):
+    existing = slices.scored_articles(spark, sf, with_area=False).select("doc_id", "title", "final_score")
+    new = slices.normalized_articles(spark, sf).where(~F.col("is_valid")).select("doc_id", "title")
+    return FS.append_articles(existing, new).select("doc_id", r6("final_score").alias("final_score"))
+
+
+@register("load_processed_urls", with_views("SELECT DISTINCT url FROM processed_v", "processed_v"))
+def q_load_processed_urls(spark, sf):
+    root = scratch_path(spark, "ledger")
+    FS.append_processed_urls(spark, root, X.processed_v(spark, sf), "20240325")
+    return FS.load_processed_urls(spark, root)
+
+
+@register("append_processed_urls", with_views("""SELECT url FROM processed_v UNION
+SELECT url FROM articles_v WHERE language = 'en'""", "processed_v", "articles_v"))
+def q_append_processed_urls(spark, sf):
+    root = scratch_path(spark, "ledger")
+    FS.append_processed_urls(spark, root, X.processed_v(spark, sf), "20240325")
+    new = X.articles_v(spark, sf).where(F.col("language") == "en").select("url")
+    return FS.append_processed_urls(spark, root, new, "20240401")
+
+
+@register("append_feedback", with_views(f"SELECT url, rating, {TS('ts')} AS timestamp FROM feedback_v", "feedback_v"))
+def q_append_feedback(spark, sf):
+    path = scratch_path(spark, "feedback")
+    fb = X.feedback_v(spark, sf)
+    FS.append_feedback(fb.where(F.col("rating") == "thumb_up"), path)
+    FS.append_feedback(fb.where(F.col("rating") != "thumb_up"), path)
+    return FS.read_feedback(spark, path).withColumn("timestamp", ts("timestamp"))
+
+
+@register("save_cluster_metadata")
+def q_save_cluster_metadata(spark, sf):
+    model, _l, _c = clusters.fit_kmeans(emb_vectors(spark, sf).coalesce(1).sortWithinPartitions("doc_id"), k=6)
+    path = scratch_path(spark, "cluster-meta")
+    FS.save_cluster_metadata(spark, path, "m1", model)
+    back = spark.read.json(path)
+    return back.select("model_name", "n_clusters", F.size("centroids").alias("n_centroids"),
+                       (F.col("inertia") > 0).alias("has_inertia"))
+
+
+@register("save_model_version")
+def q_save_model_version(spark, sf):
+    data = emb_vectors(spark, sf).coalesce(1).sortWithinPartitions("doc_id")
+    model, labels, _c = clusters.fit_kmeans(data, k=6)
+    root = scratch_path(spark, "models")
+    FS.save_model_version(model, root, "20240401")
+    loaded = FS.load_model_version(root, "20240401")
+    again = loaded.transform(clusters.to_features(data.drop("cluster"))).select(
+        "doc_id", F.col("cluster").cast("int").alias("again"))
+    return labels.join(again, "doc_id").select("doc_id", "cluster", (F.col("cluster") == F.col("again")).alias("same"))
+
+
+@register("save_embeddings_version", """SELECT vec_id AS doc_id, CAST(len(embedding) AS INTEGER) AS dims,
+  round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM embeddings""")
+def q_save_embeddings_version(spark, sf):
+    root = scratch_path(spark, "embeddings")
+    path = FS.save_embeddings_version(emb_vectors(spark, sf), root, "20240401")
+    back = spark.read.parquet(path)
+    return back.select("doc_id", F.size("v").alias("dims"),
+                       r6(F.aggregate("v", F.lit(0.0).cast("double"), lambda a, x: a + x)).alias("total"))
+
+
+@register("write_digest", REGISTRY["digest_by_area"][1])
+def q_write_digest(spark, sf):
+    d = DG.digest_by_area(slices.scored_articles(spark, sf), X.profiles_v(spark, sf), top_n=3)
+    path = FS.write_digest(d, scratch_path(spark, "digests"), "20240401T0000Z")
+    return FS.read_digest(spark, path).select("area", "html")
+
+
+# ================================ L: streams ================================
+
+def _stage_files(spark, df, name, n_files=3, order_col=None):
+    """Write ``df`` as ``n_files`` Parquet files in a fresh folder (the stream's landing zone)."""
+    path = scratch_path(spark, name)
+    d = df.repartitionByRange(n_files, order_col) if order_col else df.repartition(n_files)
+    d.write.mode("overwrite").parquet(path)
+    return path
+
+
+@register("stream_ingest")
+def q_stream_ingest(spark, sf):
+    pg = X.table(spark, sf, "pages")
+    land = _stage_files(spark, pg.unionByName(pg.where(F.col("page_id") % 5 == 0)), "pages-landing", 3, "page_id")
+    out, ledger, ck = (scratch_path(spark, n) for n in ("ingested", "ledger", "ckpt-ingest"))
+    cents = X.centroids_v(spark, sf, dim_of(spark, sf))
+    cents = cents.select("cluster", F.slice("centroid", 1, 64).alias("centroid"))
+    ST.stream_ingest(spark, land, P.source_rules(spark), cents, lambda d: EM.embed_text(d, "hashing"), X.AS_OF, out,
+                     ledger, ck)
+    return spark.read.parquet(out).select("page_id", "url", "cluster", r6("final_score").alias("final_score"))
+
+
+@register("stream_url_dedupe")
+def q_stream_url_dedupe(spark, sf):
+    fb = X.feedback_v(spark, sf).where(F.col("url").isNotNull())
+    land = _stage_files(spark, fb, "feedback-landing", 3, "ts")
+    s = spark.readStream.schema(ST.FEEDBACK_STREAM_SCHEMA).option("maxFilesPerTrigger", 1).parquet(land)
+    out, ck = scratch_path(spark, "dedupe"), scratch_path(spark, "ckpt-dedupe")
+    ST.run_to_table(ST.stream_url_dedupe(s, "ts", "400 days"), out, ck)
+    return spark.read.parquet(out).select("url")
+
+
+def _feedback_weekly_cols(df):
+    return df.select(ts("week.start").alias("week_start"), ts("week.end").alias("week_end"), "rating", "n")
+
+
+@register("feedback_weekly", with_views(f"""SELECT {TS('ws')} AS week_start, {TS('ws + INTERVAL 7 DAY')} AS week_end, rating, count(*) AS n
+FROM (SELECT rating, TIMESTAMP '1970-01-05 06:00:00' + to_days(CAST(floor(date_diff('second', TIMESTAMP '1970-01-05 06:00:00', ts) / 604800.0) * 7 AS INTEGER)) AS ws
+  FROM feedback_v) GROUP BY ALL""", "feedback_v"))
+def q_feedback_weekly(spark, sf):
+    return _feedback_weekly_cols(ST.weekly_windows(X.feedback_v(spark, sf)))
+
+
+@register("stream_feedback_counts")
+def q_stream_feedback_counts(spark, sf):
+    fb = X.feedback_v(spark, sf)
+    land = _stage_files(spark, fb, "feedback-landing", 3, "ts")
+    s = spark.readStream.schema(ST.FEEDBACK_STREAM_SCHEMA).option("maxFilesPerTrigger", 1).parquet(land)
+    out, ck = scratch_path(spark, "weekly"), scratch_path(spark, "ckpt-weekly")
+    ST.run_to_table(ST.stream_feedback_counts(s), out, ck, output_mode="update")
+    rows = spark.read.parquet(out)
+    last = rows.groupBy("week", "rating").agg(F.max_by("n", "batch_id").alias("n"))
+    return _feedback_weekly_cols(last)
+
+
+# ================================ M, K2, K7: composed runs ================================
+
+@register("batch_run")
+def q_batch_run(spark, sf):
+    csv = _articles_csv(spark, sf)
+    out = RN.batch_run(spark, csv, scratch_path(spark, "batch-run"), X.AS_OF, k=6)
+    return out.select("doc_id", "cluster", "cluster_name", r6("final_score").alias("final_score"))
+
+
+@register("weekly_run")
+def q_weekly_run(spark, sf):
+    cents = X.centroids_v(spark, sf, dim_of(spark, sf))
+    return RN.weekly_run(spark, X.table(spark, sf, "pages"), cents, X.AS_OF, scratch_path(spark, "weekly-articles"),
+                         scratch_path(spark, "weekly-ledger"), "20240401", "20240401T0000Z")
+
+
+@register("full_retrain")
+def q_full_retrain(spark, sf):
+    corpus = X.articles_v(spark, sf).coalesce(1).sortWithinPartitions("doc_id")
+    meta = RN.full_retrain(spark, corpus, scratch_path(spark, "retrain-models"), scratch_path(spark, "retrain-corpus"),
+                           "20240401", 4, 8)
+    return meta.select("best_k", F.size("k_scores").alias("n_scores"), "model", "trained_at")
+
+
+@register("retrain_metadata")
+def q_retrain_metadata(spark, sf):
+    best, scores = clusters.find_optimal_k(emb_vectors(spark, sf).coalesce(1).sortWithinPartitions("doc_id"), 4, 12)
+    meta = DG.retrain_metadata(spark, best, scores, "hashing", "20240401")
+    return meta.select("best_k", F.explode("k_scores").alias("ks")).select("best_k", "ks.k", r6("ks.silhouette").alias("silhouette"))
+
+
+_CURATED_SQL = f"""f AS (SELECT * FROM valid_vec_v WHERE NOT coalesce(regexp_matches(source, 'wired', 'i'), false)),
+fm AS (SELECT m.doc_id, m.model, f.cluster, m.v, {unit('m.v')} AS u FROM valid_models_v m JOIN f USING (doc_id)),
+cents AS ({mean_vec_sql('fm', 'model, cluster', 'v')}),
+pairs AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b FROM fm a JOIN fm b ON a.model = b.model AND a.doc_id < b.doc_id
+  GROUP BY ALL HAVING avg(list_dot_product(a.u, b.u)) > 0.85),
+losers AS (SELECT DISTINCT CASE WHEN fa.word_count >= fb.word_count THEN id_b ELSE id_a END AS doc_id
+  FROM pairs JOIN f fa ON fa.doc_id = id_a JOIN f fb ON fb.doc_id = id_b),
+cur AS (SELECT * FROM f WHERE doc_id NOT IN (SELECT doc_id FROM losers)),
+cm AS (SELECT * FROM fm WHERE doc_id IN (SELECT doc_id FROM cur)),
+cmean AS ({mean_vec_sql('cm', 'model, cluster', 'u')}),
+es AS (SELECT cm.doc_id, avg(1.0 - list_dot_product(cm.u, cmean.m)) AS novelty_score,
+    avg({cosine('cm.v', 'cents.m')}) AS similarity_to_centroid
+  FROM cm JOIN cmean USING (model, cluster) JOIN cents USING (model, cluster) GROUP BY cm.doc_id),
+{_PROFILE_MODELS_SQL},
+ar AS (SELECT doc_id, first(area ORDER BY sim DESC, ord ASC) AS area FROM (
+    SELECT d.doc_id, p.ord, p.area, avg({cosine('d.v', 'p.v')}) AS sim FROM cm d JOIN pm p ON d.model = p.model GROUP BY ALL)
+  GROUP BY doc_id),
+x AS (SELECT cur.*, es.novelty_score, es.similarity_to_centroid, ar.area,
+    CASE cur.source WHEN 'TechCrunch' THEN 1.0 WHEN 'Hugging Face Blog' THEN 0.9 WHEN 'AWS ML Blog' THEN 0.85
+      WHEN 'Xataka' THEN 0.7 WHEN 'Wired ES' THEN 0.6 ELSE 0.5 END AS source_score,
+    exp(-floor((epoch_us({AS_OF_SQL}) - epoch_us(cur.scraping_date)) / 86400000000) / 30.0) AS recency_score
+  FROM cur JOIN es USING (doc_id) JOIN ar USING (doc_id)),
+xs AS (SELECT *, 0.4 * similarity_to_centroid + 0.3 * novelty_score + 0.2 * recency_score + 0.1 * source_score AS final_score FROM x)"""
+
+
+@register("curated_newsletter", with_views(f"""WITH {_CURATED_SQL},
+top AS (SELECT area, rank, {_sql_text(DG.AREA_ITEM, title='title', source='source', url='url')} AS item
+  FROM (SELECT *, row_number() OVER (PARTITION BY area ORDER BY final_score DESC, doc_id) AS rank FROM xs) WHERE rank <= 3)
+SELECT p.area, {_sql_text(DG.AREA_HEADER, area='p.area')} || coalesce(string_agg(t.item, '' ORDER BY t.rank), '') || '{DG.AREA_FOOTER}' AS html
+FROM profiles_v p LEFT JOIN top t ON t.area = p.area GROUP BY p.area""", "valid_vec_v", "valid_models_v", "profiles_v"))
+def q_curated_newsletter(spark, sf):
+    return RN.curated_newsletter(spark, sf, threshold=0.85, top_n=3)
+
+
+@register("stage_counts", with_views(f"""WITH {_CURATED_SQL}
+SELECT 0 AS ord, 'filtered' AS stage, (SELECT count(*) FROM f) AS n
+UNION ALL SELECT 1, 'curated', (SELECT count(*) FROM cur)
+UNION ALL SELECT 2, 'scored', (SELECT count(*) FROM xs)""", "valid_vec_v", "valid_models_v", "profiles_v"))
+def q_stage_counts(spark, sf):
+    _x, stages = RN.curated_scores(spark, sf, threshold=0.85)
+    return DG.stage_counts(spark, stages)
