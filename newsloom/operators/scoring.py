@@ -43,7 +43,7 @@ def source_score(df: DataFrame, spark: SparkSession | None = None, weights: dict
     """I1. The lookup is a handful of rows; expressed as a literal map it needs no join at all."""
     w = weights if weights is not None else SOURCE_WEIGHTS
     m = F.create_map(*[x for k, v in w.items() for x in (F.lit(k), F.lit(float(v)))])
-    return df.withColumn(out, F.coalesce(F.element_at(m, F.col(source_col)), F.lit(float(default))))
+    return df.withColumn(out, F.coalesce(F.try_element_at(m, F.col(source_col)), F.lit(float(default))))
 
 
 def recency_expr(ts_col: str, as_of: str, decay_days: float = DECAY_DAYS):

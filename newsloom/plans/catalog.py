@@ -732,7 +732,7 @@ def feed_entries(spark, sf) -> DataFrame:
         "source", F.col("_rule.ord").alias("feed_ord"), F.col("page_id").alias("pos"),
         F.coalesce(P.extract_title("html", None), F.lit("")).alias("title"), "url",
         F.expr(_FEED_DATE_SPARK).alias("published"),
-        F.coalesce(F.element_at(paras, 1), F.lit("")).alias("summary"),
+        F.coalesce(F.try_element_at(paras, F.lit(1)), F.lit("")).alias("summary"),
         F.when(F.col("page_id") % 3 == 0, F.array_join(paras, " ")).otherwise(F.lit("")).alias("content"),
     ).withColumn("date", T.parse_feed_date("published"))
 

@@ -174,7 +174,7 @@ def dense_div(html, min_paragraphs: int = 3) -> Column:
     """First div whose inner html holds more than ``min_paragraphs`` paragraphs."""
     divs = F.regexp_extract_all(strip_noise(html), F.lit(r"(?is)<div\b[^>]*>(.*?)</div\s*>"), 1)
     rich = F.filter(divs, lambda d: F.regexp_count(d, F.lit(P_OPEN)) > min_paragraphs)
-    return F.element_at(rich, 1)
+    return F.try_element_at(rich, F.lit(1))
 
 
 def content_container(html, url) -> Column:
@@ -215,7 +215,7 @@ def route_url_to_source(df: DataFrame, rules: DataFrame, url_col: str = "url", o
     """The first rule (by ord) whose domain is contained in the url's host, case-insensitive; no match -> dropped."""
     d = df.withColumn("_rs", _rules_value(rules)).withColumn("_host", page_host(url_col))
     hit = F.filter("_rs", lambda r: F.col("_host").contains(F.lower(r["domain"])))
-    d = d.withColumn("_rule", F.element_at(hit, 1)).where(F.col("_rule").isNotNull())
+    d = d.withColumn("_rule", F.try_element_at(hit, F.lit(1))).where(F.col("_rule").isNotNull())
     d = d.withColumn(out, F.col("_rule.source")).drop("_rs", "_host")
     return d if keep_rule else d.drop("_rule")
 
