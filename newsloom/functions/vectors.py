@@ -15,6 +15,16 @@ def as_double(v) -> Column:
     return col(v).cast("array<double>")
 
 
+def let(value, body) -> Column:
+    """Bind ``value`` once and evaluate ``body(value)``.
+
+    Spark does not hoist loop-invariant work out of lambdas (and CollapseProject inlines projected columns into
+    them), so ``transform(v, x -> x / norm(v))`` recomputes the norm per element.  A one-element ``transform``
+    evaluates the value once and passes it in as a lambda variable.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(col(a), col(b), lambda x, y: x * y), F.lit(0.0).cast("double"),
                        lambda acc, x: acc + x)
@@ -30,14 +40,14 @@ def norm(a) -> Column:
 
 def l2_normalize(a) -> Column:
     """Unit length; a zero vector stays zero."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(col(a), lambda x: x / n)).otherwise(col(a))
+    return let(F.struct(col(a).alias("v"), norm(a).alias("n")),
+               lambda s: F.when(s["n"] > 0, F.transform(s["v"], lambda x: x / s["n"])).otherwise(s["v"]))
 
 
 def cosine(a, b) -> Column:
     """Cosine similarity; 0 when either side is the zero vector (same as normalising first)."""
-    den = norm(a) * norm(b)
-    return F.when(den > 0, dot(a, b) / den).otherwise(F.lit(0.0))
+    return let(F.struct(dot(a, b).alias("d"), norm(a).alias("na"), norm(b).alias("nb")),
+               lambda s: F.when(s["na"] * s["nb"] > 0, s["d"] / (s["na"] * s["nb"])).otherwise(F.lit(0.0)))
 
 
 def scale(a, s) -> Column:

@@ -25,9 +25,10 @@ def assign_area(df: DataFrame, profiles: DataFrame, vec: str = "v", out: str = "
     """Area whose profile vector is most similar (cosine); tie -> first profile (smallest ord)."""
     ps = _profile_array(profiles, ord_col, area_col, vec_profile, normalize)
     u = V.l2_normalize(vec) if normalize else F.col(vec)
-    scored = F.transform("_ps", lambda p: F.struct(V.dot(u, p["pv"]).alias("sim"), (-p["ord"]).alias("nord"),
-                                                p["area"].alias("area")))
-    return df.withColumn("_ps", ps).withColumn(out, F.array_max(scored)["area"]).drop("_ps")
+    # the article vector is bound once, then scored against every profile
+    best = V.let(u, lambda uu: F.array_max(F.transform("_ps", lambda p: F.struct(
+        V.dot(uu, p["pv"]).alias("sim"), (-p["ord"]).alias("nord"), p["area"].alias("area")))))
+    return df.withColumn("_ps", ps).withColumn(out, best["area"]).drop("_ps")
 
 
 def assign_area_ensemble(models: DataFrame, profile_models: DataFrame, out: str = "area") -> DataFrame:

@@ -22,6 +22,18 @@ TERM_TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 TIE_DIGITS = 12  # scores are compared at 12 decimals so summation order cannot flip ties
 
 
+def by_document(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Hash-partition raw texts by document before tokenising.
+
+    Shuffling the texts once is cheaper than shuffling the exploded (doc, term) rows (unigrams + bigrams are
+    several times the text): with documents co-located, the (doc, term) count and the per-document norm need no
+    exchange of their own.
+    """
+    # an explicit count (the session's shuffle width): AQE may not merge these CPU-heavy partitions
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, id_col)
+
+
 def clean_for_tfidf(df: DataFrame, text_col: str = "content", lang_col: str = "language", out: str = "text_tfidf",
                     languages=("en", "es"), lemmas: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
     """G1: lower-case alphabetic tokens without the language's stop words, joined by spaces; other languages -> ''.
@@ -56,17 +68,25 @@ def ngrams(df: DataFrame, text_col: str = "text_tfidf", out: str = "terms") -> D
     return t.withColumn(out, F.concat("_t1", "_t2")).drop("_t1", "_t2")
 
 
-def doc_freq(docs: DataFrame, id_col: str = "doc_id", terms_col: str = "terms") -> DataFrame:
-    """(term, df): number of documents containing each term."""
-    ex = docs.select(id_col, F.explode(F.array_distinct(terms_col)).alias("term"))
-    return ex.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def term_counts(docs: DataFrame, id_col: str = "doc_id", terms_col: str = "terms") -> DataFrame:
+    """(doc_id, term, tf): raw term counts; all tokens of a document are in one partition, so the partial
+    aggregate reduces them before the shuffle."""
+    return (docs.select(id_col, F.explode(terms_col).alias("term"))
+            .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
+
+
+def doc_freq(docs: DataFrame, id_col: str = "doc_id", terms_col: str = "terms", tf: DataFrame | None = None) -> DataFrame:
+    """(term, df): number of documents containing each term -- counted from the (doc, term) counts, so the
+    texts are tokenised once for both tf and df (the shared exchange is reused)."""
+    tf = tf if tf is not None else term_counts(docs, id_col, terms_col)
+    return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def doc_freq_bounds(docs: DataFrame, min_df: int = 5, max_df: float = 0.9, id_col: str = "doc_id",
-                    terms_col: str = "terms") -> DataFrame:
+                    terms_col: str = "terms", tf: DataFrame | None = None) -> DataFrame:
     """Vocabulary (term, df, n_docs) with df >= min_df and df <= max_df * N."""
     n = docs.select(F.count(F.lit(1))).scalar()
-    d = doc_freq(docs, id_col, terms_col).withColumn("n_docs", n)
+    d = doc_freq(docs, id_col, terms_col, tf).withColumn("n_docs", n)
     return d.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("n_docs")))
 
 
@@ -76,9 +96,9 @@ def tfidf(docs: DataFrame, min_df: int = 5, max_df: float = 0.9, id_col: str = "
 
     Not ``pyspark.ml.feature.IDF`` (it lacks the +1).
     """
-    vocab = doc_freq_bounds(docs, min_df, max_df, id_col, terms_col)
+    tf = term_counts(docs, id_col, terms_col)
+    vocab = doc_freq_bounds(docs, min_df, max_df, id_col, terms_col, tf)
     vocab = vocab.select("term", (F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
-    tf = docs.select(id_col, F.explode(terms_col).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
     w = tf.join(vocab, "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
     return w.select(id_col, "term", (F.col("w") / norm).alias("weight"))

@@ -48,8 +48,23 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+# tables whose rows carry whole texts: per-row text work must use every core
+TEXT_TABLES = {"documents", "pages"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over the cluster when the scan yields fewer splits than there are cores.
+
+    A large input arrives in many files / row groups and is left alone (no shuffle); a small file with a few
+    row groups would otherwise run its text-heavy stages on a few tasks only.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def articles_v(spark: SparkSession, sf_dir: str) -> DataFrame:

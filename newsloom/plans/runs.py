@@ -14,6 +14,7 @@ from ..functions import vectors as V
 from ..operators import areas, clusters, curate, digest, embed, scoring, select, similarity, terms
 from ..sources import files, pages
 from ..streaming import streams
+from ..session import ensure_checkpoint_dir
 from . import fixtures as X
 from . import slices
 
@@ -31,7 +32,7 @@ def batch_run(spark: SparkSession, csv_path: str, out_dir: str, as_of: str, k: i
         _m, labels, cents = clusters.fit_kmeans(a, k)
         x = a.join(labels, "doc_id")
         x = scoring.similarity_to_centroid(x, cents)
-        docs = terms.ngrams(terms.clean_for_tfidf(embed.detect_language(x.select("doc_id", "cluster", "content"))))
+        docs = terms.ngrams(terms.clean_for_tfidf(embed.detect_language(terms.by_document(x.select("doc_id", "cluster", "content")))))
         names = terms.name_clusters(terms.top_terms_per_cluster(terms.tfidf(docs), docs.select("doc_id", "cluster"),
                                                                 top_terms))
         x = terms.attach_cluster_name(x, names)
@@ -70,7 +71,7 @@ def full_retrain(spark: SparkSession, corpus: DataFrame, model_root: str, corpus
     try:
         best_k, scores = clusters.find_optimal_k(e, k_min, k_max)
         km, labels, _c = clusters.fit_kmeans(e, best_k)
-        docs = terms.ngrams(e.select("doc_id", F.col("text_for_embedding").alias("text_tfidf")))
+        docs = terms.ngrams(terms.by_document(e.select("doc_id", F.col("text_for_embedding").alias("text_tfidf"))))
         top = terms.top_terms_per_cluster(terms.tfidf(docs), labels, top_terms)
         files.save_model_version(km, model_root, as_of_stamp)
         top.write.mode("overwrite").parquet(f"{model_root}/terms/v={as_of_stamp}")
@@ -87,7 +88,11 @@ def curated_scores(spark: SparkSession, sf_dir: str, threshold: float = 0.85, as
     I8 -> J2.  Returns the scored table and the named stages (for K2)."""
     dim = dim or X.vector_dim(spark, sf_dir)
     v = slices.valid_with_vectors(spark, sf_dir)
-    f = select.exclude_source(v)
+    # every later branch (models, pairs, losers, centroids, scores) starts here: materialise it once in the
+    # shared checkpoint folder instead of re-reading and re-counting the texts per branch
+    ensure_checkpoint_dir(spark)
+    f = select.exclude_source(v).select("doc_id", "source", "url", "title", "language", "scraping_date", "cluster",
+                                        "word_count", "v").checkpoint()
     models = X.models_v(spark, sf_dir, f.select("doc_id", "v"))
     mclusters = models.select("doc_id", "model").join(f.select("doc_id", "cluster"), "doc_id")
     # centroids are fitted before duplicates are removed, then used after
