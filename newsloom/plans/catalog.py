@@ -301,7 +301,7 @@ def q_near_duplicates(spark, sf):
 
 
 @register("score_lookup", with_views("""SELECT doc_id, source, CASE source WHEN 'TechCrunch' THEN 1.0 WHEN 'Hugging Face Blog' THEN 0.9
-  WHEN 'AWS ML Blog' THEN 0.85 WHEN 'Xataka' THEN 0.7 WHEN 'Wired ES' THEN 0.6 ELSE 0.5 END AS weight FROM articles_v""", "articles_v"))
+  WHEN 'AWS ML Blog' THEN 0.85 WHEN 'Xataka' THEN 0.7 WHEN 'Wired ES' THEN 0.6 ELSE 0.5 END::DOUBLE AS weight FROM articles_v""", "articles_v"))
 def q_score_lookup(spark, sf):
     a = X.articles_v(spark, sf).select("doc_id", "source")
     return scoring.score_lookup(a, scoring.weights_table(spark), "source", "weight", "weight", 0.5)
@@ -889,14 +889,15 @@ fs AS (SELECT source, first(dkey ORDER BY dkey, feed_ord, pos) AS s_day, first(f
     first(pos ORDER BY dkey, feed_ord, pos) AS s_pos FROM rk GROUP BY source)"""
 
 
-@register("digest_by_source", with_views(f"""WITH {_RECENT_SQL}
-SELECT -1073741824 AS s_day, -1073741824 AS s_feed_ord, -1073741824 AS s_pos, -1 AS part, 0 AS day, 0 AS feed_ord, 0 AS pos,
-  {_sql_str(DG.FEED_TITLE)} AS line
+@register("digest_by_source", with_views(f"""WITH {_RECENT_SQL},
+lines AS (SELECT -1073741824 AS s_day, -1073741824 AS s_feed_ord, -1073741824 AS s_pos, -1 AS part, 0 AS day, 0 AS feed_ord,
+  0 AS pos, {_sql_str(DG.FEED_TITLE)} AS line
 UNION ALL SELECT s_day, s_feed_ord, s_pos, 0, 0, 0, 0, {_sql_text(DG.SOURCE_HEADER, source='source')} FROM fs
 UNION ALL SELECT fs.s_day, fs.s_feed_ord, fs.s_pos, 1, rk.dkey, rk.feed_ord, rk.pos,
   {_sql_text(DG.SOURCE_ITEM, url='rk.url', title='rk.title', date="strftime(rk.date, '%Y-%m-%d')", summary='rk.summary')}
   FROM rk JOIN fs USING (source)
-UNION ALL SELECT s_day, s_feed_ord, s_pos, 2, 0, 0, 0, {_sql_str(DG.SOURCE_FOOTER)} FROM fs""", "feed_entries_v"))
+UNION ALL SELECT s_day, s_feed_ord, s_pos, 2, 0, 0, 0, {_sql_str(DG.SOURCE_FOOTER)} FROM fs)
+SELECT {", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in DG.LINE_ORDER)}, line FROM lines""", "feed_entries_v"))
 def q_digest_by_source(spark, sf):
     recent = FD.feed_recent(feed_entries(spark, sf), X.AS_OF, days=7)
     return DG.digest_by_source_lines(recent).select(*[F.col(c).cast("int").alias(c) for c in DG.LINE_ORDER], "line")
@@ -1191,7 +1192,7 @@ ar AS (SELECT doc_id, first(area ORDER BY sim DESC, ord ASC) AS area FROM (
   GROUP BY doc_id),
 x AS (SELECT cur.*, es.novelty_score, es.similarity_to_centroid, ar.area,
     CASE cur.source WHEN 'TechCrunch' THEN 1.0 WHEN 'Hugging Face Blog' THEN 0.9 WHEN 'AWS ML Blog' THEN 0.85
-      WHEN 'Xataka' THEN 0.7 WHEN 'Wired ES' THEN 0.6 ELSE 0.5 END AS source_score,
+      WHEN 'Xataka' THEN 0.7 WHEN 'Wired ES' THEN 0.6 ELSE 0.5 END::DOUBLE AS source_score,
     exp(-floor((epoch_us({AS_OF_SQL}) - epoch_us(cur.scraping_date)) / 86400000000) / 30.0) AS recency_score
   FROM cur JOIN es USING (doc_id) JOIN ar USING (doc_id)),
 xs AS (SELECT *, 0.4 * similarity_to_centroid + 0.3 * novelty_score + 0.2 * recency_score + 0.1 * source_score AS final_score FROM x)"""

@@ -116,7 +116,7 @@ view("area_v", ["valid_unit_v", "profiles_v"], f"""  SELECT u.doc_id, first(p.ar
 view("scored_v", ["valid_vec_v", "valid_cmean_v", "centroids_v", "area_v"], f"""  SELECT b.doc_id, b.source, b.url, b.title, b.content, b.language, b.scraping_date, b.cluster, b.word_count,
     b.content_length, b.v,
     CASE b.source WHEN 'TechCrunch' THEN 1.0 WHEN 'Hugging Face Blog' THEN 0.9 WHEN 'AWS ML Blog' THEN 0.85
-      WHEN 'Xataka' THEN 0.7 WHEN 'Wired ES' THEN 0.6 ELSE 0.5 END AS source_score,
+      WHEN 'Xataka' THEN 0.7 WHEN 'Wired ES' THEN 0.6 ELSE 0.5 END::DOUBLE AS source_score,
     exp(-floor((epoch_us({AS_OF_SQL}) - epoch_us(b.scraping_date)) / 86400000000) / 30.0) AS recency_score,
     1.0 - list_dot_product({unit('b.v')}, m.m) AS novelty_score,
     {cosine('b.v', 'c.centroid')} AS similarity_to_centroid,
