@@ -34,22 +34,36 @@ def by_document(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return df.repartition(n, id_col)
 
 
-def clean_for_tfidf(df: DataFrame, text_col: str = "content", lang_col: str = "language", out: str = "text_tfidf",
-                    languages=("en", "es"), lemmas: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
-    """G1: lower-case alphabetic tokens without the language's stop words, joined by spaces; other languages -> ''.
+def clean_tokens(df: DataFrame, text_col: str = "content", lang_col: str = "language", out: str = "tokens",
+                 languages=("en", "es"), lemmas: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
+    """G1 as an array: lower-case alphabetic tokens without the row's language stop words; other languages -> [].
 
-    Stop words are removed by ``StopWordsRemover`` (a JVM hash set per language).  ``lemmas`` (word, lemma) is an
-    optional lookup applied per token (identity when absent).
+    Stop words are removed by ``StopWordsRemover`` (a JVM hash set).  Each language's rows go through their own
+    remover only (one pass per row, not one per language).  ``lemmas`` (word, lemma) is an optional lookup
+    applied per token (identity when absent).
     """
     tok = df.withColumn("_tok", F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD_PATTERN), 0))
     if lemmas is not None:
         tok = _lemmatize(tok, lemmas, id_col)
-    kept = F.array().cast("array<string>")
+    parts = []
     for lang in languages:
-        tok = StopWordsRemover(inputCol="_tok", outputCol=f"_sw_{lang}", stopWords=list(stop_words(lang)),
-                               caseSensitive=True).transform(tok)
-        kept = F.when(F.col(lang_col) == lang, F.col(f"_sw_{lang}")).otherwise(kept)
-    return tok.withColumn(out, F.array_join(kept, " ")).drop("_tok", *[f"_sw_{lang}" for lang in languages])
+        part = tok.where(F.col(lang_col) == lang)
+        part = StopWordsRemover(inputCol="_tok", outputCol=out, stopWords=list(stop_words(lang)),
+                                caseSensitive=True).transform(part)
+        parts.append(part.drop("_tok"))
+    rest = tok.where(~F.coalesce(F.col(lang_col).isin(*languages), F.lit(False)))
+    parts.append(rest.withColumn(out, F.array().cast("array<string>")).drop("_tok"))
+    res = parts[0]
+    for p in parts[1:]:
+        res = res.unionByName(p)
+    return res
+
+
+def clean_for_tfidf(df: DataFrame, text_col: str = "content", lang_col: str = "language", out: str = "text_tfidf",
+                    languages=("en", "es"), lemmas: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
+    """G1: the cleaned tokens joined by spaces (a string, as the vectoriser's input)."""
+    t = clean_tokens(df, text_col, lang_col, "_ct", languages, lemmas, id_col)
+    return t.withColumn(out, F.array_join("_ct", " ")).drop("_ct")
 
 
 def _lemmatize(tok: DataFrame, lemmas: DataFrame, id_col: str) -> DataFrame:
@@ -64,6 +78,17 @@ def _lemmatize(tok: DataFrame, lemmas: DataFrame, id_col: str) -> DataFrame:
 def ngrams(df: DataFrame, text_col: str = "text_tfidf", out: str = "terms") -> DataFrame:
     """Unigrams then bigrams of the tokens of at least two word characters (MLlib ``NGram`` for the pairs)."""
     t = df.withColumn("_t1", F.regexp_extract_all(F.col(text_col), F.lit(TERM_TOKEN_PATTERN), 0))
+    return _with_bigrams(t, out)
+
+
+def token_ngrams(df: DataFrame, tokens_col: str = "tokens", out: str = "terms") -> DataFrame:
+    """G2 straight from G1's token array: cleaned tokens are letter runs, so the vectoriser's tokens are exactly
+    those of two or more characters -- no join-and-re-split of the text."""
+    t = df.withColumn("_t1", F.filter(tokens_col, lambda w: F.length(w) >= 2))
+    return _with_bigrams(t, out).drop(tokens_col)
+
+
+def _with_bigrams(t: DataFrame, out: str) -> DataFrame:
     t = NGram(n=2, inputCol="_t1", outputCol="_t2").transform(t)
     return t.withColumn(out, F.concat("_t1", "_t2")).drop("_t1", "_t2")
 

@@ -32,7 +32,7 @@ def batch_run(spark: SparkSession, csv_path: str, out_dir: str, as_of: str, k: i
         _m, labels, cents = clusters.fit_kmeans(a, k)
         x = a.join(labels, "doc_id")
         x = scoring.similarity_to_centroid(x, cents)
-        docs = terms.ngrams(terms.clean_for_tfidf(embed.detect_language(terms.by_document(x.select("doc_id", "cluster", "content")))))
+        docs = terms.token_ngrams(terms.clean_tokens(embed.detect_language(terms.by_document(x.select("doc_id", "cluster", "content")))))
         names = terms.name_clusters(terms.top_terms_per_cluster(terms.tfidf(docs), docs.select("doc_id", "cluster"),
                                                                 top_terms))
         x = terms.attach_cluster_name(x, names)
