@@ -54,7 +54,7 @@ def test_novelty_equals_full_matrix(rand_vecs):
 
 def test_near_duplicates_not_transitive_not_greedy(spark):
     # a~b, b~c, a!~c ; word counts a > b > c: b loses to a, c loses to b (b already dropped still knocks out c)
-    rows = [(1, 30, [1.0, 0.0]), (2, 20, unit([1.0, 0.5])), (3, 10, unit([0.6, 1.0]))]
+    rows = [(1, 30, [1.0, 0.0]), (2, 20, unit([1.0, 0.5])), (3, 10, unit([0.8, 1.0]))]
     df = spark.createDataFrame(rows, "doc_id long, word_count long, v array<double>")
     kept = {r.doc_id for r in curate.near_duplicates(df, 0.85).collect()}
     assert kept == {1}
