@@ -87,8 +87,10 @@ def test_density_clusters_core_border_noise(spark):
     # chain 1-2-3 (all core with min_pts=2), 4 border of 3 only if min_pts forbids it being core; 5 isolated
     rows = [(1, unit([1, 0.05])), (2, unit([1, 0.1])), (3, unit([1, 0.15])), (5, unit([-1, 1]))]
     df = spark.createDataFrame(rows, "doc_id long, v array<double>")
-    got = {r.doc_id: r.cluster for r in clusters.density_clusters(df, 0.999, 2).collect()}
-    assert got[1] == got[2] == got[3] == 1 and got[5] == -1
+    got = {r.doc_id: r.cluster for r in clusters.density_clusters(df, 0.998, 2).collect()}
+    assert got[1] == got[2] == got[3] == 1 and got[5] == -1  # chain 1-2-3 of core points (1 and 3 not neighbours)
+    got = {r.doc_id: r.cluster for r in clusters.density_clusters(df, 0.998, 3).collect()}
+    assert got == {1: 2, 2: 2, 3: 2, 5: -1}  # only 2 is core; 1 and 3 are its border points
 
 
 def test_silhouette_matches_definition(spark, rand_vecs):
