@@ -70,15 +70,38 @@ def append_articles(existing: DataFrame, new: DataFrame) -> DataFrame:
     return existing.unionByName(new, allowMissingColumns=True)
 
 
-def load_processed_urls(spark: SparkSession, root: str) -> DataFrame:
-    """The current URL ledger (one column ``url``); missing -> empty."""
+def _current_version(spark: SparkSession, root: str) -> str | None:
     try:
         cur = spark.read.parquet(f"{root}/_current").first()
     except AnalysisException:
-        cur = None
+        return None
+    return cur["version"] if cur is not None else None
+
+
+def _previous_ledger(spark: SparkSession, root: str, version: str) -> DataFrame:
+    try:
+        prev = spark.read.parquet(f"{root}/_previous").first()
+    except AnalysisException:
+        prev = None
+    if prev is None or prev["version"] == version:
+        return _empty(spark, LEDGER_SCHEMA)
+    return spark.read.option("header", True).schema(LEDGER_SCHEMA).csv(f"{root}/v={prev['version']}")
+
+
+def ledger_before(spark: SparkSession, root: str, version: str) -> DataFrame:
+    """The ledger as it was before ``version`` was written (the current one, or -- when ``version`` is already
+    current because a batch is replayed -- the one before it)."""
+    if _current_version(spark, root) == version:
+        return _previous_ledger(spark, root, version)
+    return load_processed_urls(spark, root)
+
+
+def load_processed_urls(spark: SparkSession, root: str) -> DataFrame:
+    """The current URL ledger (one column ``url``); missing -> empty."""
+    cur = _current_version(spark, root)
     if cur is None:
         return _empty(spark, LEDGER_SCHEMA)
-    return spark.read.option("header", True).schema(LEDGER_SCHEMA).csv(f"{root}/v={cur['version']}")
+    return spark.read.option("header", True).schema(LEDGER_SCHEMA).csv(f"{root}/v={cur}")
 
 
 def append_processed_urls(spark: SparkSession, root: str, new_urls: DataFrame, version: str) -> DataFrame:
@@ -86,9 +109,12 @@ def append_processed_urls(spark: SparkSession, root: str, new_urls: DataFrame, v
 
     The old version is never overwritten while it may be read.  Returns the new ledger.
     """
-    old = load_processed_urls(spark, root)
+    old = ledger_before(spark, root, version)
     merged = old.unionByName(new_urls.select("url")).distinct()
     merged.write.mode("overwrite").option("header", True).csv(f"{root}/v={version}")
+    cur = _current_version(spark, root)
+    if cur is not None and cur != version:
+        spark.createDataFrame([(cur,)], "version string").write.mode("overwrite").parquet(f"{root}/_previous")
     spark.createDataFrame([(version,)], "version string").write.mode("overwrite").parquet(f"{root}/_current")
     return spark.read.option("header", True).schema(LEDGER_SCHEMA).csv(f"{root}/v={version}")
 

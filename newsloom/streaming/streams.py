@@ -44,7 +44,7 @@ def ingest_batch(batch: DataFrame, rules: DataFrame, centroids: DataFrame, embed
     ``embed`` maps a DataFrame with ``text_for_embedding`` to one with a ``v`` column (E1).
     """
     spark = batch.sparkSession
-    ledger = files.load_processed_urls(spark, ledger_root)
+    ledger = files.ledger_before(spark, ledger_root, version)  # replay-safe: never the batch's own ledger
     fresh = batch.join(ledger, "url", "left_anti").dropDuplicates(["url"])
     arts = pages.build_articles(fresh, rules, as_of)
     arts = arts.join(fresh.select("page_id", page_language("html").alias("language")), "page_id")
@@ -61,7 +61,8 @@ def ingest_batch(batch: DataFrame, rules: DataFrame, centroids: DataFrame, embed
     arts = scoring.recency_score(arts, as_of)
     arts = scoring.final_score(arts, 0.4, 0.3, 0.2, 0.5).persist()
     try:
-        arts.write.mode("append").parquet(out_path)
+        # idempotent on replay: a batch owns its folder and overwrites it; the ledger version is the batch's too
+        arts.write.mode("overwrite").parquet(f"{out_path}/batch_id={version}")
         files.append_processed_urls(spark, ledger_root, arts.select("url"), version)
     finally:
         arts.unpersist()
@@ -99,7 +100,8 @@ def run_to_table(stream_df: DataFrame, path: str, checkpoint: str, output_mode:
                  max_batches_hint: int | None = None):
     """Drive a streaming DataFrame to a Parquet table with availableNow; every output row carries its batch id."""
     def sink(batch: DataFrame, epoch: int):
-        batch.withColumn("batch_id", F.lit(epoch)).write.mode("append").parquet(path)
+        # foreachBatch is at-least-once: each epoch overwrites its own folder, so a replayed batch is not doubled
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={epoch}")
 
     q = (stream_df.writeStream.outputMode(output_mode).foreachBatch(sink).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
