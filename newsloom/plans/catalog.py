@@ -791,7 +791,11 @@ def q_sitemap_urls(spark, sf):
                                                        F.col("rank").cast("long").alias("rank")))
 
 
-@register("api_posts")
+@register("api_posts", with_views(f"""SELECT title, 'https://huggingface.co/blog/post-' || CAST(doc_id AS VARCHAR) AS url,
+  CASE WHEN language <> 'de' THEN source ELSE '' END AS author, strftime(scraping_date, '%Y-%m-%d') AS date,
+  substr(content, 1, 200) AS summary, CASE WHEN language <> 'fr' THEN language || ',ai' ELSE '' END AS tags,
+  doc_id % 50 AS likes
+FROM articles_v WHERE scraping_date >= {AS_OF_SQL} - INTERVAL 30 DAY""", "articles_v"))
 def q_api_posts(spark, sf):
     a = X.articles_v(spark, sf)
     post = F.struct(F.col("title").alias("title"), F.concat(F.lit("post-"), F.col("doc_id").cast("string")).alias("slug"),
@@ -801,7 +805,7 @@ def q_api_posts(spark, sf):
                     F.when(F.col("language") != "fr", F.array(F.col("language"), F.lit("ai"))).alias("tags"),
                     (F.col("doc_id") % 50).alias("likesCount"))
     payloads = a.select(F.to_json(F.array(post)).alias("payload"))
-    return FD.api_posts(payloads, X.AS_OF, days=30)
+    return FD.api_posts(payloads, X.AS_OF, days=30).withColumn("tags", F.array_join("tags", ","))
 
 
 @register("feed_recent", with_views(f"""SELECT source, feed_ord, pos, title, url, substr(summary, 1, 300) AS summary,
@@ -928,7 +932,18 @@ def q_digest_weekly(spark, sf):
 from ..operators import embed as EM  # noqa: E402
 
 
-@register("detect_language")
+def _detect_language_sql():
+    from ..functions.stopwords import sql_list
+    sw = " UNION ALL ".join(f"SELECT '{l}' AS lang, unnest({sql_list(l)}) AS w" for l in EM.LANGS)
+    order = " ".join(f"WHEN '{l}' THEN {i}" for i, l in enumerate(EM.LANGS))
+    return with_views(f"""WITH sw AS (SELECT DISTINCT lang, w FROM ({sw})),
+tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(content, '')), '\\p{{L}}+')) AS w FROM articles_v),
+hits AS (SELECT tok.doc_id, sw.lang, count(*) AS n FROM tok JOIN sw USING (w) GROUP BY ALL),
+best AS (SELECT doc_id, first(lang ORDER BY n DESC, CASE lang {order} END) AS lang FROM hits GROUP BY doc_id)
+SELECT a.doc_id, coalesce(b.lang, 'unknown') AS language FROM articles_v a LEFT JOIN best b USING (doc_id)""", "articles_v")
+
+
+@register("detect_language", _detect_language_sql())
 def q_detect_language(spark, sf):
     return EM.detect_language(X.articles_v(spark, sf).select("doc_id", "content")).select("doc_id", "language")
 
@@ -1109,7 +1124,7 @@ def q_stream_ingest(spark, sf):
     return spark.read.parquet(out).select("page_id", "url", "cluster", r6("final_score").alias("final_score"))
 
 
-@register("stream_url_dedupe")
+@register("stream_url_dedupe", with_views("SELECT DISTINCT url FROM feedback_v WHERE url IS NOT NULL", "feedback_v"))
 def q_stream_url_dedupe(spark, sf):
     fb = X.feedback_v(spark, sf).where(F.col("url").isNotNull())
     land = _stage_files(spark, fb, "feedback-landing", 3, "ts")
@@ -1130,13 +1145,20 @@ def q_feedback_weekly(spark, sf):
     return _feedback_weekly_cols(ST.weekly_windows(X.feedback_v(spark, sf)))
 
 
-@register("stream_feedback_counts")
+_FEEDBACK_WEEKLY_SQL = with_views(f"""SELECT {TS('ws')} AS week_start, {TS('ws + INTERVAL 7 DAY')} AS week_end, rating, count(*) AS n
+FROM (SELECT rating, TIMESTAMP '1970-01-05 06:00:00' + to_days(CAST(floor(date_diff('second', TIMESTAMP '1970-01-05 06:00:00', ts) / 604800.0) * 7 AS INTEGER)) AS ws
+  FROM feedback_v) GROUP BY ALL""", "feedback_v")
+
+
+# The watermark delay (60 days) exceeds the span of the events (30 days): no row is late, whatever order the
+# staged files are read in, so the stream must equal its batch twin.  Dropping of late rows is covered in pytest.
+@register("stream_feedback_counts", _FEEDBACK_WEEKLY_SQL)
 def q_stream_feedback_counts(spark, sf):
     fb = X.feedback_v(spark, sf)
     land = _stage_files(spark, fb, "feedback-landing", 3, "ts")
     s = spark.readStream.schema(ST.FEEDBACK_STREAM_SCHEMA).option("maxFilesPerTrigger", 1).parquet(land)
     out, ck = scratch_path(spark, "weekly"), scratch_path(spark, "ckpt-weekly")
-    ST.run_to_table(ST.stream_feedback_counts(s), out, ck, output_mode="update")
+    ST.run_to_table(ST.stream_feedback_counts(s, delay="60 days"), out, ck, output_mode="update")
     rows = spark.read.parquet(out)
     last = rows.groupBy("week", "rating").agg(F.max_by("n", "batch_id").alias("n"))
     return _feedback_weekly_cols(last)
