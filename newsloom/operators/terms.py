@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stopwords import stop_words
 from ..functions.text import title_case
+from ..session import ensure_checkpoint_dir
 
 WORD_PATTERN = r"\p{L}+"
 TERM_TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
@@ -38,25 +39,25 @@ def clean_tokens(df: DataFrame, text_col: str = "content", lang_col: str = "lang
                  languages=("en", "es"), lemmas: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
     """G1 as an array: lower-case alphabetic tokens without the row's language stop words; other languages -> [].
 
-    Stop words are removed by ``StopWordsRemover`` (a JVM hash set).  Each language's rows go through their own
-    remover only (one pass per row, not one per language).  ``lemmas`` (word, lemma) is an optional lookup
-    applied per token (identity when absent).
+    Stop words are removed by ``StopWordsRemover`` (a JVM hash set per language), in one pass over the rows.
+    ``lemmas`` (word, lemma) is an optional lookup applied per token (identity when absent).
     """
     tok = df.withColumn("_tok", F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(WORD_PATTERN), 0))
     if lemmas is not None:
         tok = _lemmatize(tok, lemmas, id_col)
-    parts = []
+    kept = F.array().cast("array<string>")
     for lang in languages:
-        part = tok.where(F.col(lang_col) == lang)
-        part = StopWordsRemover(inputCol="_tok", outputCol=out, stopWords=list(stop_words(lang)),
-                                caseSensitive=True).transform(part)
-        parts.append(part.drop("_tok"))
-    rest = tok.where(~F.coalesce(F.col(lang_col).isin(*languages), F.lit(False)))
-    parts.append(rest.withColumn(out, F.array().cast("array<string>")).drop("_tok"))
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
-    return res
+        tok = StopWordsRemover(inputCol="_tok", outputCol=f"_sw_{lang}", stopWords=list(stop_words(lang)),
+                               caseSensitive=True).transform(tok)
+        kept = F.when(F.col(lang_col) == lang, F.col(f"_sw_{lang}")).otherwise(kept)
+    return tok.withColumn(out, kept).drop("_tok", *[f"_sw_{lang}" for lang in languages])
+
+
+def materialize(docs: DataFrame) -> DataFrame:
+    """Tokenised documents feed three aggregates (term counts, document frequencies, N): write them once to the
+    shared checkpoint folder (reliable, lineage cut) instead of tokenising per consumer."""
+    ensure_checkpoint_dir(docs.sparkSession)
+    return docs.checkpoint()
 
 
 def clean_for_tfidf(df: DataFrame, text_col: str = "content", lang_col: str = "language", out: str = "text_tfidf",
