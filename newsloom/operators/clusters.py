@@ -95,16 +95,20 @@ def kmeans_inertia(df: DataFrame, centroids: DataFrame, vec: str = "v", cluster_
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, max_iter: int = 100, checkpoint_every: int = 3) -> DataFrame:
-    """Min-label propagation: (id, label) with label = smallest id of the component.
+    """(id, label) with label = smallest id of the component.
 
-    edges: (src, dst), both directions.  Each round is one join + one partial aggregate; lineage is cut with a
-    reliable checkpoint in the shared checkpoint folder every few rounds.  Stops when no label changes.
+    Each round: min-label propagation over the edges (one join + one partial aggregate), then pointer jumping
+    (a node also takes the label of its label, one more join), which shortcuts long chains so the number of
+    rounds grows with the log of the diameter.  Labels are always ids of the same component, so the fixed point
+    is the component minimum.  Lineage is cut with a reliable checkpoint in the shared folder every few rounds.
     """
     ensure_checkpoint_dir(nodes.sparkSession)
     labels = nodes.select(F.col("id"), F.col("id").alias("label"))
     for i in range(max_iter):
         msgs = edges.join(labels.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "label")
         best = msgs.unionByName(labels).groupBy("id").agg(F.min("label").alias("label"))
+        hop = best.select(F.col("id").alias("label"), F.col("label").alias("_ll"))
+        best = best.join(hop, "label", "left").select("id", F.least("label", F.coalesce("_ll", "label")).alias("label"))
         if (i + 1) % checkpoint_every == 0:
             best = best.checkpoint()  # reliable: survives executor loss, cuts the lineage
         else:
