@@ -96,9 +96,8 @@ def stream_feedback_counts(stream: DataFrame, ts_col: str = "ts", delay: str = "
     return weekly_windows(stream.withWatermark(ts_col, delay), ts_col, key)
 
 
-def run_to_table(stream_df: DataFrame, path: str, checkpoint: str, output_mode: str = "append",
-                 max_batches_hint: int | None = None):
-    """Drive a streaming DataFrame to a Parquet table with availableNow; every output row carries its batch id."""
+def run_to_table(stream_df: DataFrame, path: str, checkpoint: str, output_mode: str = "append"):
+    """Drive a streaming DataFrame to a Parquet table with availableNow; each batch lands in ``batch_id=<epoch>``."""
     def sink(batch: DataFrame, epoch: int):
         # foreachBatch is at-least-once: each epoch overwrites its own folder, so a replayed batch is not doubled
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={epoch}")

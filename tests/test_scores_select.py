@@ -109,3 +109,19 @@ def test_parse_feed_date_drops_offset_and_rejects_named_zones(spark):
                                 (None,)], "s string")
     got = [r[0] for r in df.select(F.date_format(T.parse_feed_date("s"), "yyyy-MM-dd HH:mm:ss")).collect()]
     assert got == ["2024-01-01 10:00:00", None, None, None]
+
+
+@pytest.mark.parametrize("parts", [1, 4, 16])
+def test_flagship_invariant_to_partitioning(spark, parts):
+    """Same result whatever the shuffle width."""
+    from newsloom.plans import catalog
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = sorted(map(tuple, catalog.flagship(spark, "/root/testdata/sf0.001").collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    want = sorted(map(tuple, catalog.flagship(spark, "/root/testdata/sf0.001").collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert got == want
