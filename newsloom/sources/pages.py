@@ -61,7 +61,7 @@ GENERIC_HOSTS = ["example.com", "example.net", "example.org"]
 
 RULE_SCHEMA = ("source string, domain string, scope string, first_only boolean, prefix string, contains_any array<string>, "
                "excludes array<string>, not_equal string, min_slashes int, base string, content string, "
-               "title_default string, ord int")
+               "title_default string, ord int, scope_regex string")
 RULE_FIELDS = ["source", "domain", "scope", "first_only", "prefix", "contains_any", "excludes", "not_equal",
                "min_slashes", "base", "content", "title_default"]
 
@@ -78,15 +78,26 @@ def source_rules(spark: SparkSession, extra: list[dict] | None = None, generic:
     rows = list(RULES) + list(extra or [])
     if generic:
         rows += [dict(source=h, domain=h, prefix="/") for h in GENERIC_HOSTS]
-    data = [tuple(r.get(f, False if f == "first_only" else None) for f in RULE_FIELDS) + (i,) for i, r in enumerate(rows)]
+    data = [tuple(r.get(f, False if f == "first_only" else None) for f in RULE_FIELDS) + (i, scope_regex(r.get("scope")))
+            for i, r in enumerate(rows)]
     return spark.createDataFrame(data, RULE_SCHEMA)
 
 
+def scope_regex(scope: str | None) -> str | None:
+    """Container pattern of a rule's link scope; group 1 is the container's html (for an ``a`` scope, the tag)."""
+    if not scope:
+        return None
+    opener, tag = _css_regex(scope)
+    if tag == "a":
+        return f"(?is)({opener})"
+    return f"(?is){opener}(.*?)</{tag}\\s*>"
+
+
 def register_source_rule(rules: DataFrame, rule: dict) -> DataFrame:
     """M2: plug a new site = append one row (it routes after the existing ones)."""
     spark = rules.sparkSession
     nxt = rules.select(F.coalesce(F.max("ord") + 1, F.lit(0))).first()[0]
-    row = tuple(rule.get(f, False if f == "first_only" else None) for f in RULE_FIELDS) + (int(nxt),)
+    row = tuple(rule.get(f, False if f == "first_only" else None) for f in RULE_FIELDS) + (int(nxt), scope_regex(rule.get("scope")))
     return rules.unionByName(spark.createDataFrame([row], RULE_SCHEMA))
 
 
@@ -207,7 +218,7 @@ def filter_paragraphs(paras, profile: str = "clean") -> Column:
 
 def _rules_value(rules: DataFrame) -> Column:
     """All rules as one sorted array value (a lookup table of one row per site)."""
-    return rules.select(F.sort_array(F.collect_list(F.struct("ord", *RULE_FIELDS))).alias("rs")).scalar()
+    return rules.select(F.sort_array(F.collect_list(F.struct("ord", *RULE_FIELDS, "scope_regex"))).alias("rs")).scalar()
 
 
 def route_url_to_source(df: DataFrame, rules: DataFrame, url_col: str = "url", out: str = "source",
@@ -239,18 +250,31 @@ def resolve(href: Column, base: Column) -> Column:
     return F.when(href.startswith("/"), F.concat(base, href)).otherwise(href)
 
 
-def filter_links_by_rule(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """B2: links kept by the rule of the page's site -> (page_id, source, pos, href)."""
+def rule_links(html: Column, rule: Column) -> Column:
+    """The candidate links of a page under its rule: all links, or those inside the rule's containers (the first
+    of each container when the rule says so).  The container pattern is a per-rule column (rules are data)."""
+    cleaned = strip_noise(html)
+    chunks = F.regexp_extract_all(cleaned, rule["scope_regex"], 1)
+    per_chunk = F.transform(chunks, lambda c: F.when(rule["first_only"], F.slice(extract_links_array(c), 1, 1))
+                            .otherwise(extract_links_array(c)))
+    return F.when(rule["scope_regex"].isNull(), extract_links_array(html)).otherwise(F.flatten(per_chunk))
+
+
+def _kept_links(pages: DataFrame, rules: DataFrame) -> DataFrame:
     routed = route_url_to_source(pages, rules, keep_rule=True)
-    ex = routed.select("page_id", "url", "source", "_rule", F.posexplode(extract_links_array("html")).alias("pos", "href"))
-    return ex.where(_rule_keep(F.col("href"), F.col("_rule"))).select("page_id", "source", "pos", "href")
+    ex = routed.select("page_id", "url", "source", "_rule",
+                       F.posexplode(rule_links(F.col("html"), F.col("_rule"))).alias("pos", "href"))
+    return ex.where(_rule_keep(F.col("href"), F.col("_rule")))
+
+
+def filter_links_by_rule(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """B2: links kept by the rule of the page's site (scope, then predicates) -> (page_id, source, pos, href)."""
+    return _kept_links(pages, rules).select("page_id", "source", "pos", "href")
 
 
 def resolve_links(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """Kept links made absolute with the rule's base (or the page's own scheme and host)."""
-    routed = route_url_to_source(pages, rules, keep_rule=True)
-    ex = routed.select("page_id", "url", "source", "_rule", F.posexplode(extract_links_array("html")).alias("pos", "href"))
-    ex = ex.where(_rule_keep(F.col("href"), F.col("_rule")))
+    ex = _kept_links(pages, rules)
     base = F.coalesce(F.col("_rule.base"), page_base("url"))
     return ex.select("page_id", "source", "pos", resolve(F.col("href"), base).alias("link"))
 

@@ -92,3 +92,30 @@ def test_api_posts_defaults_and_cutoff(spark):
     got = feeds.api_posts(spark.createDataFrame([(payload,)], "payload string"), AS_OF, days=30).collect()
     assert len(got) == 1 and got[0].author == "" and got[0].tags == [] and got[0].likes == 0
     assert got[0].url == "https://huggingface.co/blog/s1" and got[0].date == "2024-03-30"
+
+
+def test_scoped_rules_per_site(spark):
+    pages_rows = [
+        (1, "https://techcrunch.com/tag/ai/", '<a href="https://techcrunch.com/x">nav</a>'
+            '<a class="loop-card__title-link" href="https://techcrunch.com/2024/a/">A</a>'
+            '<a href="https://techcrunch.com/2024/b/" class="x loop-card__title-link">B</a>'),
+        (2, "https://aws.amazon.com/blogs/ml/", '<h2><a href="https://aws.amazon.com/blogs/p1/">1</a></h2>'
+            '<a href="https://aws.amazon.com/blogs/nav/">n</a><h2 class="t"><a href="https://other.com/z">z</a></h2>'),
+        (3, "https://news.microsoft.com/feed/", '<div class="listingResult"><a href="https://news.microsoft.com/a/">a</a>'
+            '<a href="https://news.microsoft.com/b/">b</a></div><a href="https://news.microsoft.com/c/">c</a>'),
+        (4, "https://aibusiness.com/", '<h3 class="listing-title"><a href="/ml/story">s</a></h3><a href="/other">o</a>'),
+        (5, "https://es.wired.com/tag/ia", '<a href="/articulos/uno">1</a><a href="/tag/x">x</a>'),
+        (6, "https://www.xataka.com/", '<article><a href="https://www.xataka.com/a">1</a>'
+            '<a href="https://www.xataka.com/b">2</a></article><article><a href="https://www.xataka.com/tag/t">t</a></article>'),
+    ]
+    df = spark.createDataFrame(pages_rows, "page_id long, url string, html string")
+    got = {}
+    for r in pages.resolve_links(df, pages.source_rules(spark)).collect():
+        got.setdefault(r.page_id, []).append((r.pos, r.link))
+    links = {k: [l for _, l in sorted(v)] for k, v in got.items()}
+    assert links[1] == ["https://techcrunch.com/2024/a/", "https://techcrunch.com/2024/b/"]
+    assert links[2] == ["https://aws.amazon.com/blogs/p1/"]
+    assert links[3] == ["https://news.microsoft.com/a/"]
+    assert links[4] == ["https://aibusiness.com/ml/story"]
+    assert links[5] == ["https://es.wired.com/articulos/uno"]
+    assert links[6] == ["https://www.xataka.com/a"]  # first link per article; /tag/ excluded
