@@ -20,6 +20,23 @@ AREA_HEADER = "<h1>Newsletter – {area}</h1><ul>"
 AREA_ITEM = ("\n        <li>\n            <b>{title}</b><br>\n            <i>{source}</i><br>\n"
              "            <a href=\"{url}\">Leer más</a>\n        </li>\n        ")
 AREA_FOOTER = "</ul>"
+STYLED_AREA_HEADER = """
+    <style>
+        body { font-family: Arial; }
+        h1 { color: #2C3E50; }
+        ul { list-style-type: none; padding: 0; }
+        li {
+            margin-bottom: 15px;
+            padding: 10px;
+            border-left: 4px solid #3498DB;
+            background: #F9F9F9;
+        }
+        a { text-decoration: none; color: #2980B9; }
+        i { color: #7F8C8D; }
+    </style>
+    <h1>Newsletter – @AREA@</h1>
+    <ul>
+    """
 FEED_TITLE = "<h1>📰 Newsletter IA Semanal</h1>\n"
 SOURCE_HEADER = "<h2>{source}</h2>\n<ul>\n"
 SOURCE_ITEM = '  <li><a href="{url}">{title}</a> - {date}<br>  <small>{summary}</small></li>\n'
@@ -64,8 +81,10 @@ def stage_counts(spark: SparkSession, stages: list[tuple[str, DataFrame]]) -> Da
 
 
 def digest_by_area(scored: DataFrame, areas: DataFrame | None = None, top_n: int = 3, escape: bool = False,
-                   key: str = "doc_id") -> DataFrame:
-    """K3: one HTML string per area from its best ``top_n`` articles (areas without articles get an empty list)."""
+                   key: str = "doc_id", styled: bool = False) -> DataFrame:
+    """K3: one HTML string per area from its best ``top_n`` articles (areas without articles get an empty list).
+
+    ``styled`` selects the variant with an embedded style block (used with top 10)."""
     top = top_n_per_group(scored, "area", top_n, key=key)
     item = _fill(AREA_ITEM, escape, title="title", source="source", url="url")
     g = (top.select("area", F.struct("rank", item.alias("html")).alias("it"))
@@ -74,7 +93,12 @@ def digest_by_area(scored: DataFrame, areas: DataFrame | None = None, top_n: int
         g = areas.select("area").distinct().join(g, "area", "left")
     body = F.array_join(F.transform(F.coalesce("its", F.array().cast("array<struct<rank:int,html:string>>")),
                                     lambda s: s["html"]), "")
-    head = _fill(AREA_HEADER, escape, area="area")
+    if styled:
+        pre, post = STYLED_AREA_HEADER.split("@AREA@")
+        area = html_escape(F.col("area")) if escape else F.col("area")
+        head = F.concat(F.lit(pre), area, F.lit(post))
+    else:
+        head = _fill(AREA_HEADER, escape, area="area")
     return g.select("area", F.concat(head, body, F.lit(AREA_FOOTER)).alias("html"))
 
 

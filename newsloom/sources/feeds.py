@@ -101,7 +101,8 @@ def feed_recent(entries: DataFrame, as_of: str, days: int = 7, summary_chars: in
     now = F.lit(as_of).cast("timestamp")
     eff = F.coalesce(F.col("date"), now)
     return (entries.withColumn("date", eff).where(F.col("date") >= now - F.make_dt_interval(F.lit(days)))
-            .withColumn("summary", T.truncate_summary("summary", summary_chars)))
+            .withColumn("summary", T.truncate_summary("summary", summary_chars))
+            .orderBy(F.desc("date"), "feed_ord", "pos"))  # a distributed range sort
 
 
 def feed_collect(entries: DataFrame, articles: DataFrame, as_of: str, days: int = 7, max_articles: int = 20) -> DataFrame:

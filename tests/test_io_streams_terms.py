@@ -106,3 +106,11 @@ def test_replayed_batch_is_idempotent(spark):
     streams.ingest_batch(pg, *args, version="000001")  # next batch: both urls already seen
     assert spark.read.parquet(out).count() == 2
     assert files.load_processed_urls(spark, ledger).count() == 2
+
+
+def test_styled_area_digest(spark):
+    rows = [(i, "A", f"t{i}", "s", f"u{i}", i / 100) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, area string, title string, source string, url string, final_score double")
+    html = digest.digest_by_area(df, top_n=10, styled=True).first().html
+    assert html.startswith("\n    <style>") and "<h1>Newsletter – A</h1>" in html
+    assert html.count("<li>") == 10 and html.index("t11") < html.index("t10") and "t1<" not in html
