@@ -1,10 +1,11 @@
 """Terms and cluster interpretation (section G): TF-IDF and top terms as SQL aggregates.
 
-Plan shape for ``tfidf``: document frequencies are one partial aggregate keyed by
-term (map-side combine absorbs hot terms), term counts one partial aggregate
-keyed by (doc, term) -- all tokens of a document sit in one partition, so the
-map side already reduces them -- then one join on term and one per-document
-norm.  Nothing is collected; the vocabulary is never broadcast blindly (AQE
+Plan shape for ``tfidf``: the tokenised documents are materialised once (they
+feed three aggregates); term counts are one partial aggregate keyed by
+(doc, term) -- all tokens of a document sit in one partition, so the map side
+already reduces them -- document frequencies are counted from those (doc, term)
+rows by term (map-side combine absorbs hot terms), then one join on term and
+one per-document norm.  Nothing is collected; the vocabulary is never broadcast blindly (AQE
 picks a broadcast at run time only when the measured side is small).
 """
 
@@ -23,18 +24,6 @@ TERM_TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 TIE_DIGITS = 12  # scores are compared at 12 decimals so summation order cannot flip ties
 
 
-def by_document(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Hash-partition raw texts by document before tokenising.
-
-    Shuffling the texts once is cheaper than shuffling the exploded (doc, term) rows (unigrams + bigrams are
-    several times the text): with documents co-located, the (doc, term) count and the per-document norm need no
-    exchange of their own.
-    """
-    # an explicit count (the session's shuffle width): AQE may not merge these CPU-heavy partitions
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, id_col)
-
-
 def clean_tokens(df: DataFrame, text_col: str = "content", lang_col: str = "language", out: str = "tokens",
                  languages=("en", "es"), lemmas: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
     """G1 as an array: lower-case alphabetic tokens without the row's language stop words; other languages -> [].

@@ -58,8 +58,12 @@ def spread(df: DataFrame) -> DataFrame:
     A large input arrives in many files / row groups and is left alone (no shuffle); a small file with a few
     row groups would otherwise run its text-heavy stages on a few tasks only.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # e.g. a Spark Connect session: leave the scan as it is
+        return df
+    return df.repartition(target) if splits < target else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -33,7 +33,7 @@ def batch_run(spark: SparkSession, csv_path: str, out_dir: str, as_of: str, k: i
         x = a.join(labels, "doc_id")
         x = scoring.similarity_to_centroid(x, cents)
         docs = terms.materialize(terms.token_ngrams(terms.clean_tokens(
-            embed.detect_language(terms.by_document(x.select("doc_id", "cluster", "content"))))))
+            embed.detect_language(x.select("doc_id", "cluster", "content")))))
         names = terms.name_clusters(terms.top_terms_per_cluster(terms.tfidf(docs), docs.select("doc_id", "cluster"),
                                                                 top_terms))
         x = terms.attach_cluster_name(x, names)
@@ -72,8 +72,7 @@ def full_retrain(spark: SparkSession, corpus: DataFrame, model_root: str, corpus
     try:
         best_k, scores = clusters.find_optimal_k(e, k_min, k_max)
         km, labels, _c = clusters.fit_kmeans(e, best_k)
-        docs = terms.materialize(terms.ngrams(terms.by_document(
-            e.select("doc_id", F.col("text_for_embedding").alias("text_tfidf")))))
+        docs = terms.materialize(terms.ngrams(e.select("doc_id", F.col("text_for_embedding").alias("text_tfidf"))))
         top = terms.top_terms_per_cluster(terms.tfidf(docs), labels, top_terms)
         files.save_model_version(km, model_root, as_of_stamp)
         top.write.mode("overwrite").parquet(f"{model_root}/terms/v={as_of_stamp}")
