@@ -18,6 +18,14 @@ from ..session import ensure_checkpoint_dir
 from .similarity import cosine_pairs
 
 
+def stable_input(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Repeatable KMeans input without funnelling it through one task: rows are hash-partitioned by id (the
+    session's shuffle width) and sorted within partitions, so the same data gives the same partitions in the
+    same order, and the seeded fit is reproducible."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, id_col).sortWithinPartitions(id_col)
+
+
 def to_features(df: DataFrame, vec: str = "v", out: str = "features") -> DataFrame:
     return df.withColumn(out, array_to_vector(F.col(vec)))
 

@@ -499,7 +499,7 @@ def q_top_terms_one_cluster(spark, sf):
 
 @register("fit_kmeans")
 def q_fit_kmeans(spark, sf):
-    _model, labels, _c = clusters.fit_kmeans(emb_vectors(spark, sf).coalesce(1).sortWithinPartitions("doc_id"), k=6)
+    _model, labels, _c = clusters.fit_kmeans(clusters.stable_input(emb_vectors(spark, sf)), k=6)
     return labels
 
 
@@ -529,7 +529,7 @@ def q_silhouette_cosine(spark, sf):
 
 @register("find_optimal_k")
 def q_find_optimal_k(spark, sf):
-    best, scores = clusters.find_optimal_k(emb_vectors(spark, sf).coalesce(1).sortWithinPartitions("doc_id"), 4, 12)
+    best, scores = clusters.find_optimal_k(clusters.stable_input(emb_vectors(spark, sf)), 4, 12)
     return scores.withColumn("best_k", F.lit(best))
 
 
@@ -1065,7 +1065,7 @@ def q_append_feedback(spark, sf):
 
 @register("save_cluster_metadata")
 def q_save_cluster_metadata(spark, sf):
-    model, _l, _c = clusters.fit_kmeans(emb_vectors(spark, sf).coalesce(1).sortWithinPartitions("doc_id"), k=6)
+    model, _l, _c = clusters.fit_kmeans(clusters.stable_input(emb_vectors(spark, sf)), k=6)
     path = scratch_path(spark, "cluster-meta")
     FS.save_cluster_metadata(spark, path, "m1", model)
     back = spark.read.json(path)
@@ -1075,7 +1075,7 @@ def q_save_cluster_metadata(spark, sf):
 
 @register("save_model_version")
 def q_save_model_version(spark, sf):
-    data = emb_vectors(spark, sf).coalesce(1).sortWithinPartitions("doc_id")
+    data = clusters.stable_input(emb_vectors(spark, sf))
     model, labels, _c = clusters.fit_kmeans(data, k=6)
     root = scratch_path(spark, "models")
     FS.save_model_version(model, root, "20240401")
@@ -1182,7 +1182,7 @@ def q_weekly_run(spark, sf):
 
 @register("full_retrain")
 def q_full_retrain(spark, sf):
-    corpus = X.articles_v(spark, sf).coalesce(1).sortWithinPartitions("doc_id")
+    corpus = clusters.stable_input(X.articles_v(spark, sf))
     meta = RN.full_retrain(spark, corpus, scratch_path(spark, "retrain-models"), scratch_path(spark, "retrain-corpus"),
                            "20240401", 4, 8)
     return meta.select("best_k", F.size("k_scores").alias("n_scores"), "model", "trained_at")
@@ -1190,7 +1190,7 @@ def q_full_retrain(spark, sf):
 
 @register("retrain_metadata")
 def q_retrain_metadata(spark, sf):
-    best, scores = clusters.find_optimal_k(emb_vectors(spark, sf).coalesce(1).sortWithinPartitions("doc_id"), 4, 12)
+    best, scores = clusters.find_optimal_k(clusters.stable_input(emb_vectors(spark, sf)), 4, 12)
     meta = DG.retrain_metadata(spark, best, scores, "hashing", "20240401")
     return meta.select("best_k", F.explode("k_scores").alias("ks")).select("best_k", "ks.k", r6("ks.silhouette").alias("silhouette"))
 

@@ -113,3 +113,17 @@ def test_lsh_option_returns_only_true_pairs(rand_vecs):
     exact = {(r.id_a, r.id_b) for r in similarity.cosine_pairs(df, 0.3, blocks=2).collect()}
     approx = {(r.id_a, r.id_b) for r in similarity.approx_cosine_pairs(df, 0.3, bucket_length=2.0, num_tables=6).collect()}
     assert approx <= exact and len(approx) > 0
+
+
+def test_kmeans_invariants_and_repeatability(spark, rand_vecs):
+    df, rows = rand_vecs
+    data = clusters.stable_input(df.select("doc_id", "v"))
+    model, labels, cents = clusters.fit_kmeans(data, k=4)
+    lab = {r.doc_id: r.cluster for r in labels.collect()}
+    assert set(lab.values()) == {0, 1, 2, 3}
+    nearest = {r.doc_id: r.cluster for r in clusters.predict_cluster(df.select("doc_id", "v"), cents).collect()}
+    assert nearest == lab  # every row sits at its nearest centre
+    _m2, labels2, _c2 = clusters.fit_kmeans(clusters.stable_input(df.select("doc_id", "v")), k=4)
+    assert {r.doc_id: r.cluster for r in labels2.collect()} == lab  # same seed, same input order -> same fit
+    inertia = clusters.kmeans_inertia(df.select("doc_id", "v").join(labels, "doc_id"), cents).first().inertia
+    assert inertia == pytest.approx(model.summary.trainingCost, rel=1e-9)
