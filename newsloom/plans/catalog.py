@@ -775,20 +775,18 @@ def q_feed_items(spark, sf):
     return _feed_out(items.select("source", "feed_ord", F.col("entry_id").alias("pos"), "title", "url", "published", "summary", "content", "date"))
 
 
-@register("sitemap_urls", """SELECT sitemap_id, CAST(i AS INTEGER) AS pos, loc, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY sitemap_id ORDER BY i) AS rank FROM (
-    SELECT sitemap_id, i, loc FROM (SELECT page_id % 10 AS sitemap_id, page_id AS i, url AS loc FROM pages) WHERE contains(loc, '/en/')))
-WHERE rank <= 5""")
+@register("sitemap_urls", f"""SELECT page_id AS sitemap_id, CAST(i - 1 AS INTEGER) AS pos, href AS loc, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) AS rank FROM (
+    SELECT page_id, unnest(l) AS href, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, {_D_LINKS.format(h='html')} AS l FROM pages))
+  WHERE contains(href, 'th'))
+WHERE rank <= 3""")
 def q_sitemap_urls(spark, sf):
-    pg = X.table(spark, sf, "pages").select((F.col("page_id") % 10).alias("sitemap_id"), "page_id", "url")
-    docs = pg.groupBy("sitemap_id").agg(F.sort_array(F.collect_list(F.struct("page_id", "url"))).alias("us"))
-    xml = F.concat(F.lit("<urlset>"), F.array_join(F.transform("us", lambda u: F.concat(
-        F.lit("<url><loc>"), FD.xml_escape(u["url"]), F.lit("</loc></url>"))), ""), F.lit("</urlset>"))
-    s = FD.sitemap_urls(docs.select("sitemap_id", xml.alias("xml")), contains="/en/", max_urls=5)
-    # positions inside a sitemap follow page order; report them as page ids for the check
-    ids = docs.select("sitemap_id", F.posexplode("us").alias("pos", "u")).select("sitemap_id", "pos", F.col("u.page_id").alias("pid"))
-    return (s.join(ids, ["sitemap_id", "pos"]).select("sitemap_id", F.col("pid").cast("int").alias("pos"), "loc",
-                                                       F.col("rank").cast("long").alias("rank")))
+    """One sitemap per page, listing that page's links (a document bounded by its page)."""
+    pg = X.table(spark, sf, "pages")
+    xml = F.concat(F.lit("<urlset>"), F.array_join(F.transform(P.extract_links_array("html"), lambda u: F.concat(
+        F.lit("<url><loc>"), FD.xml_escape(u), F.lit("</loc></url>"))), ""), F.lit("</urlset>"))
+    s = FD.sitemap_urls(pg.select(F.col("page_id").alias("sitemap_id"), xml.alias("xml")), contains="th", max_urls=3)
+    return s.select("sitemap_id", "pos", "loc", F.col("rank").cast("long").alias("rank"))
 
 
 @register("api_posts", with_views(f"""SELECT title, 'https://huggingface.co/blog/post-' || CAST(doc_id AS VARCHAR) AS url,
