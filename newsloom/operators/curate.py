@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .similarity import cosine_pairs, ensemble_pairs
+from .similarity import best_neighbours, ensemble_best_neighbours
 
 
 def new_links(links: DataFrame, ledger: DataFrame, url_col: str = "url") -> DataFrame:
@@ -24,14 +24,29 @@ def duplicate_losers(pairs: DataFrame, articles: DataFrame, id_col: str = "doc_i
     return p.select(F.when(F.col("wc_a") >= F.col("wc_b"), F.col("id_b")).otherwise(F.col("id_a")).alias(id_col)).distinct()
 
 
+def losers_from_best(best: DataFrame, articles: DataFrame, id_col: str = "doc_id", wc_col: str = "word_count") -> DataFrame:
+    """x is dropped iff some neighbour outranks it: more words, or as many words and an earlier id (= the pair rule
+    applied to every pair, non-transitively)."""
+    a = articles.select(F.col(id_col).cast("long").alias("id"), F.col(wc_col).alias("_wc"))
+    j = best.join(a, "id")
+    lost = (F.col("best_wc") > F.col("_wc")) | ((F.col("best_wc") == F.col("_wc")) & (F.col("best_id") < F.col("id")))
+    return j.where(lost).select(F.col("id").alias(id_col))
+
+
 def near_duplicates(articles: DataFrame, threshold: float, id_col: str = "doc_id", vec: str = "v",
                     wc_col: str = "word_count", pairs: DataFrame | None = None, models: DataFrame | None = None,
                     blocks: int | None = None) -> DataFrame:
-    """H2: drop near duplicates.  Pairs come from E5 (one model) or E6 (``models`` in long form)."""
-    if pairs is None:
+    """H2: drop near duplicates: of each pair above the threshold the one with fewer words, a tie drops the later.
+
+    Without explicit ``pairs`` no pair list is built: each article only needs its best-ranked neighbour
+    (E5 similarity, or E6 when ``models`` (long form) are given).
+    """
+    if pairs is not None:
+        losers = duplicate_losers(pairs, articles, id_col, wc_col)
+    else:
         if models is not None:
-            pairs = ensemble_pairs(models, threshold, id_col=id_col, blocks=blocks)
+            best = ensemble_best_neighbours(models, articles, threshold, id_col, wc_col, blocks)
         else:
-            pairs = cosine_pairs(articles.select(id_col, vec), threshold, id_col=id_col, vec=vec, blocks=blocks)
-    losers = duplicate_losers(pairs, articles, id_col, wc_col)
+            best = best_neighbours(articles.select(id_col, wc_col, vec), threshold, id_col, vec, wc_col, blocks)
+        losers = losers_from_best(best, articles, id_col, wc_col)
     return articles.join(losers, id_col, "left_anti")

@@ -50,6 +50,66 @@ def _block_pairs_udf(threshold: float):
     return score
 
 
+BEST_SCHEMA = "id long, best_wc long, best_id long"
+
+
+def _block_best_udf(threshold: float):
+    """Per block pair: for every row, its best-ranked neighbour above the threshold (most words, then smallest id).
+
+    One row per row that has a neighbour -- never the pairs themselves.
+    """
+    thr = float(threshold)
+    none = np.iinfo(np.int64).max
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        bi, bj = int(pdf["_bi"].iloc[0]), int(pdf["_bj"].iloc[0])
+        ids = pdf["_id"].to_numpy(dtype=np.int64)
+        wcs = pdf["_wc"].to_numpy(dtype=np.int64)
+        mat = np.vstack(pdf["_u"].to_numpy())
+        blk = pdf["_b"].to_numpy()
+        outs = []
+        sides = [(blk == bi, blk == bi)] if bi == bj else [(blk == bi, blk == bj), (blk == bj, blk == bi)]
+        for rows, cols in sides:
+            r_ids, c_ids, c_wc = ids[rows], ids[cols], wcs[cols]
+            hit = (mat[rows] @ mat[cols].T) > thr
+            if bi == bj:
+                np.fill_diagonal(hit, False)
+            has = hit.any(axis=1)
+            if not has.any():
+                continue
+            top_wc = np.where(hit, c_wc[None, :], -1).max(axis=1)
+            top_id = np.where(hit & (c_wc[None, :] == top_wc[:, None]), c_ids[None, :], none).min(axis=1)
+            outs.append(pd.DataFrame({"id": r_ids[has], "best_wc": top_wc[has], "best_id": top_id[has]}))
+        if not outs:
+            return pd.DataFrame({"id": pd.Series(dtype=np.int64), "best_wc": pd.Series(dtype=np.int64),
+                                 "best_id": pd.Series(dtype=np.int64)})
+        return pd.concat(outs, ignore_index=True)
+
+    return best
+
+
+def best_neighbours(df: DataFrame, threshold: float, id_col: str = "doc_id", vec: str = "v",
+                    wc_col: str = "word_count", blocks: int | None = None, block_rows: int = DEFAULT_BLOCK_ROWS,
+                    normalize: bool = True) -> DataFrame:
+    """For every row with at least one neighbour (cosine > threshold): its best neighbour by (word count desc,
+    id asc) -> (id, best_wc, best_id).
+
+    Same block self-join as ``cosine_pairs`` but each task returns one row per row and block pair, and the block
+    results are merged with a partial ``max`` per id: a group of m copies costs O(m) output, not m^2/2 pairs.
+    """
+    u = V.l2_normalize(vec) if normalize else F.col(vec)
+    base = df.select(F.col(id_col).cast("long").alias("_id"), F.col(wc_col).cast("long").alias("_wc"), u.alias("_u"))
+    nb = blocks if blocks is not None else choose_blocks(base, block_rows)
+    b = F.pmod(F.xxhash64("_id"), F.lit(nb)).cast("int")
+    rep = (base.withColumn("_b", b)
+           .withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
+           .withColumn("_bi", F.least("_b", "_o")).withColumn("_bj", F.greatest("_b", "_o"))
+           .drop("_o"))
+    per_block = rep.groupBy("_bi", "_bj").applyInPandas(_block_best_udf(threshold), BEST_SCHEMA)
+    best = per_block.groupBy("id").agg(F.max(F.struct("best_wc", (F.lit(0) - F.col("best_id")).alias("nid"))).alias("b"))
+    return best.select("id", F.col("b.best_wc").alias("best_wc"), (F.lit(0) - F.col("b.nid")).alias("best_id"))
+
+
 def choose_blocks(df: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS) -> int:
     n = df.count()
     return max(1, math.ceil(n / block_rows))
@@ -87,6 +147,13 @@ def ensemble_pairs(models: DataFrame, threshold: float, id_col: str = "doc_id",
     return cosine_pairs(st, threshold, id_col=id_col, vec="v", blocks=blocks, block_rows=block_rows, normalize=False)
 
 
+def ensemble_best_neighbours(models: DataFrame, articles: DataFrame, threshold: float, id_col: str = "doc_id",
+                             wc_col: str = "word_count", blocks: int | None = None) -> DataFrame:
+    """``best_neighbours`` under the similarity averaged over the models (E6 semantics, stacked vectors)."""
+    st = stacked_models(models, id_col, "model", "v").join(articles.select(id_col, wc_col), id_col)
+    return best_neighbours(st, threshold, id_col=id_col, vec="v", wc_col=wc_col, blocks=blocks, normalize=False)
+
+
 def approx_cosine_pairs(df: DataFrame, threshold: float, id_col: str = "doc_id", vec: str = "v",
                         bucket_length: float = 1.0, num_tables: int = 4, seed: int = 42) -> DataFrame:
     """Approximate option for very large corpora: Euclidean LSH on unit vectors, then exact re-check.

@@ -98,8 +98,7 @@ def curated_scores(spark: SparkSession, sf_dir: str, threshold: float = 0.85, as
     mclusters = models.select("doc_id", "model").join(f.select("doc_id", "cluster"), "doc_id")
     # centroids are fitted before duplicates are removed, then used after
     cents = V.mean_vectors(models.join(mclusters, ["doc_id", "model"]), ["model", "cluster"], "v", out="centroid", dim=dim)
-    pairs = similarity.ensemble_pairs(models, threshold)
-    curated = f.join(curate.duplicate_losers(pairs, f), "doc_id", "left_anti")
+    curated = curate.near_duplicates(f, threshold, models=models)  # best neighbour per article, no pair list
     cm = models.join(curated.select("doc_id"), "doc_id", "left_semi")
     es = scoring.ensemble_scores(cm, mclusters, cents, dim)
     x = curated.join(es, "doc_id")

@@ -127,3 +127,25 @@ def test_kmeans_invariants_and_repeatability(spark, rand_vecs):
     assert {r.doc_id: r.cluster for r in labels2.collect()} == lab  # same seed, same input order -> same fit
     inertia = clusters.kmeans_inertia(df.select("doc_id", "v").join(labels, "doc_id"), cents).first().inertia
     assert inertia == pytest.approx(model.summary.trainingCost, rel=1e-9)
+
+
+def test_best_neighbour_rule_equals_pair_rule(spark, rand_vecs):
+    df, rows = rand_vecs
+    art = df.withColumn("word_count", (F.col("doc_id") * 7919 % 13).cast("long"))  # many ties on purpose
+    pairs = similarity.cosine_pairs(art, 0.25, blocks=3)
+    via_pairs = {r.doc_id for r in curate.near_duplicates(art, 0.25, pairs=pairs).collect()}
+    via_best = {r.doc_id for r in curate.near_duplicates(art, 0.25, blocks=3).collect()}
+    assert via_pairs == via_best
+
+
+def test_copy_group_output_is_linear(spark):
+    # a third of the rows are copies of one article: no pair list, one best-neighbour row per article
+    n_copies, n_other = 300, 600
+    rng = np.random.default_rng(3)
+    rows = [(i, 100 + (i % 5), [1.0] + [0.0] * 15) for i in range(n_copies)]
+    rows += [(n_copies + i, 50, unit(rng.normal(size=16))) for i in range(n_other)]
+    df = spark.createDataFrame(rows, "doc_id long, word_count long, v array<double>")
+    best = similarity.best_neighbours(df, 0.95, blocks=4)
+    assert best.count() <= len(rows)
+    kept = {r.doc_id for r in curate.near_duplicates(df, 0.95, blocks=4).collect()}
+    assert 4 in kept and not any(i in kept for i in range(n_copies) if i != 4)  # most words, then earliest id
