@@ -137,23 +137,33 @@ def density_clusters(df: DataFrame, threshold: float, min_pts: int, id_col: str
     Neighbours: cosine > threshold (E5).  Core: at least ``min_pts`` points in the neighbourhood, itself included.
     Core points connected through core-core edges share a label (smallest member id); a border point takes the
     smallest label among its core neighbours; the rest is noise (-1).
+
+    Exact copies are collapsed first (one representative per distinct vector, with its multiplicity): copies are
+    each other's neighbours, so a group of m copies contributes m - 1 to every member's degree and is one node of
+    the graph -- the edge list only joins distinct vectors, never the m^2/2 copy pairs.
     """
-    p = pairs if pairs is not None else cosine_pairs(df.select(id_col, vec), threshold, id_col=id_col, vec=vec)
+    ids = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec).alias("_v"))
+    groups = ids.groupBy("_v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("mult"))  # partial aggregate
+    member = ids.join(groups.select("_v", "rep"), "_v").select("id", "rep")
+    reps = groups.select(F.col("rep").alias(id_col), F.col("_v").alias(vec), "mult")
+    copies_link = threshold < 1.0  # identical vectors have cosine 1
+    p = pairs if pairs is not None else cosine_pairs(reps.select(id_col, vec), threshold, id_col=id_col, vec=vec)
     # the neighbour list feeds every propagation round: materialise it once (reliable checkpoint, lineage cut)
     ensure_checkpoint_dir(df.sparkSession)
     p = p.checkpoint()
     nb = (p.select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
           .unionByName(p.select(F.col("id_b").alias("src"), F.col("id_a").alias("dst"))))
-    deg = nb.groupBy("src").agg(F.count(F.lit(1)).alias("_deg"))
-    ids = df.select(F.col(id_col).cast("long").alias("id"))
-    core = (ids.join(deg.withColumnRenamed("src", "id"), "id", "left")
-            .where(F.coalesce("_deg", F.lit(0)) + 1 >= min_pts).select("id"))
+    mult = reps.select(F.col(id_col).alias("dst"), F.col("mult").alias("_m"))
+    deg = nb.join(mult, "dst").groupBy("src").agg(F.sum("_m").alias("_deg"))
+    own = (F.col("mult") - 1) if copies_link else F.lit(0)
+    core = (reps.select(F.col(id_col).alias("id"), "mult").join(deg.withColumnRenamed("src", "id"), "id", "left")
+            .where(F.coalesce("_deg", F.lit(0)) + own + 1 >= min_pts).select("id"))
     core_edges = (nb.join(core.withColumnRenamed("id", "src"), "src", "left_semi")
                   .join(core.withColumnRenamed("id", "dst"), "dst", "left_semi"))
     comp = connected_components(core, core_edges)
     border = (nb.join(comp.withColumnRenamed("id", "dst"), "dst")
               .join(core.withColumnRenamed("id", "src"), "src", "left_anti")
               .groupBy(F.col("src").alias("id")).agg(F.min("label").alias("label")))
-    labels = comp.unionByName(border)
-    return (ids.join(labels, "id", "left")
+    labels = comp.unionByName(border).withColumnRenamed("id", "rep")
+    return (member.join(labels, "rep", "left")
             .select(F.col("id").alias(id_col), F.coalesce("label", F.lit(-1)).cast("long").alias("cluster")))

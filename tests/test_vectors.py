@@ -149,3 +149,42 @@ def test_copy_group_output_is_linear(spark):
     assert best.count() <= len(rows)
     kept = {r.doc_id for r in curate.near_duplicates(df, 0.95, blocks=4).collect()}
     assert 4 in kept and not any(i in kept for i in range(n_copies) if i != 4)  # most words, then earliest id
+
+
+def _density_brute(rows, t, min_pts):
+    ids = [r[0] for r in rows]
+    m = np.array([unit(r[1]) for r in rows])
+    sims = m @ m.T
+    n = len(rows)
+    nbr = [[j for j in range(n) if j != i and sims[i, j] > t] for i in range(n)]
+    core = [len(nbr[i]) + 1 >= min_pts for i in range(n)]
+    label = {i: ids[i] for i in range(n) if core[i]}
+    changed = True
+    while changed:
+        changed = False
+        for i in range(n):
+            if core[i]:
+                for j in nbr[i]:
+                    if core[j] and label[j] < label[i]:
+                        label[i] = label[j]
+                        changed = True
+    out = {}
+    for i in range(n):
+        if core[i]:
+            out[ids[i]] = label[i]
+        else:
+            cand = [label[j] for j in nbr[i] if core[j]]
+            out[ids[i]] = min(cand) if cand else -1
+    return out
+
+
+@pytest.mark.parametrize("min_pts", [2, 3, 5])
+def test_density_clusters_with_copies_equals_brute_force(spark, min_pts):
+    rng = np.random.default_rng(11)
+    base = [unit(rng.normal(size=8)) for _ in range(40)]
+    rows = [(i, base[i]) for i in range(40)]
+    rows += [(100 + k, base[3]) for k in range(6)]   # a copy group of 7 (with id 3)
+    rows += [(200 + k, base[10]) for k in range(2)]  # a small copy group of 3
+    df = spark.createDataFrame(rows, "doc_id long, v array<double>")
+    got = {r.doc_id: r.cluster for r in clusters.density_clusters(df, 0.5, min_pts).collect()}
+    assert got == _density_brute(rows, 0.5, min_pts)
