@@ -138,5 +138,12 @@ def feedback_v(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("event_id", "url", rating.alias("rating"), F.col("ts").cast("timestamp").alias("ts")))
 
 
+_DIMS: dict[str, int] = {}
+
+
 def vector_dim(spark: SparkSession, sf_dir: str) -> int:
-    return V.vector_dim(table(spark, sf_dir, "embeddings"), "embedding")
+    """Embedding width of a table (read once per path: a model's vectors have a fixed width)."""
+    key = f"{sf_dir.rstrip('/')}/embeddings.parquet"
+    if key not in _DIMS:
+        _DIMS[key] = V.vector_dim(table(spark, sf_dir, "embeddings"), "embedding")
+    return _DIMS[key]
