@@ -6,7 +6,8 @@
   for scheduled catch-up runs).
 * L2 ``stream_url_dedupe``: ``dropDuplicatesWithinWatermark`` on url.
 * L3 ``stream_feedback_counts``: weekly tumbling windows starting Monday
-  06:00 with a watermark; rows later than the watermark are dropped.
+  06:00 with a watermark; rows later than the watermark are dropped (judged, as Spark does for chained
+  stateful operators, against the previous micro-batch's watermark).
 """
 
 from __future__ import annotations

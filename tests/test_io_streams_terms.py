@@ -114,3 +114,27 @@ def test_styled_area_digest(spark):
     html = digest.digest_by_area(df, top_n=10, styled=True).first().html
     assert html.startswith("\n    <style>") and "<h1>Newsletter – A</h1>" in html
     assert html.count("<li>") == 10 and html.index("t11") < html.index("t10") and "t1<" not in html
+
+
+def test_weekly_counts_drop_rows_later_than_the_watermark(spark):
+    import os
+    import time as _t
+    land = scratch_path(spark, "late")
+    # late rows are judged against the previous batch's watermark (Spark's rule for chained stateful operators)
+    batches = [[(1, "u", "view", "2024-03-05 10:00:00")] * 3,     # week of Mon 2024-03-04
+               [(2, "u", "view", "2024-04-10 10:00:00")],          # watermark moves to 2024-04-03
+               [(4, "u", "view", "2024-04-11 10:00:00")],          # (now in force for late events)
+               [(3, "u", "view", "2024-03-06 10:00:00")] * 2]      # late: older than the watermark -> dropped
+    for k, rows in enumerate(batches):
+        d = spark.createDataFrame(rows, "event_id long, url string, rating string, ts string").withColumn("ts", F.to_timestamp("ts"))
+        d.coalesce(1).write.mode("overwrite").parquet(f"{land}/f{k}")
+        local = f"{land}/f{k}".replace("file:", "", 1)
+        for f in os.listdir(local):  # pin the arrival order: the file source reads oldest first
+            os.utime(f"{local}/{f}", (_t.time() - 100 + 10 * k, _t.time() - 100 + 10 * k))
+    s = (spark.readStream.schema(streams.FEEDBACK_STREAM_SCHEMA).option("maxFilesPerTrigger", 1)
+         .option("recursiveFileLookup", True).parquet(land))
+    out, ck = scratch_path(spark, "late-out"), scratch_path(spark, "late-ck")
+    streams.run_to_table(streams.stream_feedback_counts(s, delay="7 days"), out, ck, output_mode="update")
+    got = spark.read.parquet(out).groupBy("week", "rating").agg(F.max_by("n", "batch_id").alias("n"))
+    counts = {str(r.start)[:10]: r.n for r in got.select("week.start", "n").collect()}
+    assert counts["2024-03-04"] == 3 and counts["2024-04-08"] == 2

@@ -119,3 +119,17 @@ def test_scoped_rules_per_site(spark):
     assert links[4] == ["https://aibusiness.com/ml/story"]
     assert links[5] == ["https://es.wired.com/articulos/uno"]
     assert links[6] == ["https://www.xataka.com/a"]  # first link per article; /tag/ excluded
+
+
+def test_build_articles_rule_container_and_title_default(spark):
+    hf = ('<html><body><h1>HF post</h1><div class="prose-other"><p>skip me</p></div>'
+          '<div class="markdown"><p>first para</p><p>second para</p></div><p>outside</p></body></html>')
+    no_h1 = '<html><body><div class="markdown"><p>text</p></div></body></html>'
+    generic_no_h1 = '<html><body><p>text</p></body></html>'
+    df = spark.createDataFrame([(1, "https://huggingface.co/blog/a", hf), (2, "https://huggingface.co/blog/b", no_h1),
+                                (3, "https://a.example.com/x", generic_no_h1), (4, "https://a.example.com/y", "<h1>T</h1>")],
+                               "page_id long, url string, html string")
+    got = {r.page_id: r for r in pages.build_articles(df, pages.source_rules(spark), AS_OF).collect()}
+    assert got[1].content == "first para second para" and got[1].source == "Hugging Face Blog"
+    assert got[2].title == "Sin título"          # the rule's default title
+    assert 3 not in got and 4 not in got         # no h1 on a generic page / no paragraphs: dropped
