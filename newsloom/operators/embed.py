@@ -26,8 +26,11 @@ ENCODERS: dict[str, tuple[Callable[[], Callable[[list[str]], np.ndarray]] | None
 _WORKER_MODELS: dict[str, Callable] = {}
 
 
-def register_encoder(name: str, factory: Callable[[], Callable[[list[str]], np.ndarray]], dim: int) -> None:
-    """M1: plug an embedding model by name (the factory runs once per Python worker)."""
+def register_encoder(name: str, factory: Callable[[], Callable[[list[str]], np.ndarray]] | None, dim: int) -> None:
+    """M1: plug an embedding model by name (the factory runs once per Python worker).
+
+    ``factory=None`` registers another width of the JVM hashing encoder (e.g. ``register_encoder("hashing-768",
+    None, 768)``)."""
     ENCODERS[name] = (factory, dim)
 
 

@@ -121,11 +121,3 @@ def facet_values(df: DataFrame, column: str) -> DataFrame:
 def top_k(df: DataFrame, k: int, score_col: str, key: str = "doc_id") -> DataFrame:
     """Global top-k (D12 and friends): TakeOrderedAndProject."""
     return df.orderBy(F.desc(score_col), F.asc(key)).limit(k)
-
-
-def feed_recent(entries: DataFrame, as_of: str, days: int = 7, date_col: str = "date") -> DataFrame:
-    """Entries dated within ``days`` of as_of, newest first; an unparseable date counts as now."""
-    eff = F.coalesce(F.col(date_col), F.lit(as_of).cast("timestamp"))
-    cutoff = F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(days))
-    return (entries.withColumn("effective_date", eff).where(F.col("effective_date") >= cutoff)
-            .orderBy(F.desc("effective_date")))
