@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..session import ensure_checkpoint_dir
 
 PAIR_SCHEMA = "id_a long, id_b long, sim double"
 DEFAULT_BLOCK_ROWS = 2048
@@ -98,8 +99,8 @@ def best_neighbours(df: DataFrame, threshold: float, id_col: str = "doc_id", vec
     results are merged with a partial ``max`` per id: a group of m copies costs O(m) output, not m^2/2 pairs.
     """
     u = V.l2_normalize(vec) if normalize else F.col(vec)
-    base = df.select(F.col(id_col).cast("long").alias("_id"), F.col(wc_col).cast("long").alias("_wc"), u.alias("_u"))
-    nb = blocks if blocks is not None else choose_blocks(base, block_rows)
+    base, nb = _blocked(df.select(F.col(id_col).cast("long").alias("_id"), F.col(wc_col).cast("long").alias("_wc"),
+                                  u.alias("_u")), blocks, block_rows)
     b = F.pmod(F.xxhash64("_id"), F.lit(nb)).cast("int")
     rep = (base.withColumn("_b", b)
            .withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
@@ -115,12 +116,22 @@ def choose_blocks(df: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS) -> int:
     return max(1, math.ceil(n / block_rows))
 
 
+def _blocked(base: DataFrame, blocks: int | None, block_rows: int) -> tuple[DataFrame, int]:
+    """Fix the block count.  When it has to be measured, the slim (id, vector) rows are materialised once in the
+    shared checkpoint folder: the count and the join then read them, instead of evaluating the upstream plan
+    (text scans, filters, joins) twice."""
+    if blocks is not None:
+        return base, blocks
+    ensure_checkpoint_dir(base.sparkSession)
+    base = base.checkpoint()
+    return base, choose_blocks(base, block_rows)
+
+
 def cosine_pairs(df: DataFrame, threshold: float, id_col: str = "doc_id", vec: str = "v", blocks: int | None = None,
                  block_rows: int = DEFAULT_BLOCK_ROWS, normalize: bool = True) -> DataFrame:
     """E5: (id_a < id_b, sim) for every pair with cosine strictly above ``threshold``."""
     u = V.l2_normalize(vec) if normalize else F.col(vec)
-    base = df.select(F.col(id_col).cast("long").alias("_id"), u.alias("_u"))
-    nb = blocks if blocks is not None else choose_blocks(base, block_rows)
+    base, nb = _blocked(df.select(F.col(id_col).cast("long").alias("_id"), u.alias("_u")), blocks, block_rows)
     b = F.pmod(F.xxhash64("_id"), F.lit(nb)).cast("int")
     rep = (base.withColumn("_b", b)
            .withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
