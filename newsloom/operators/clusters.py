@@ -102,28 +102,25 @@ def kmeans_inertia(df: DataFrame, centroids: DataFrame, vec: str = "v", cluster_
     return j.agg(F.sum(sq).alias("inertia"))
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_iter: int = 100, checkpoint_every: int = 3) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, max_iter: int = 100) -> DataFrame:
     """(id, label) with label = smallest id of the component.
 
     Each round: min-label propagation over the edges (one join + one partial aggregate), then pointer jumping
     (a node also takes the label of its label, one more join), which shortcuts long chains so the number of
     rounds grows with the log of the diameter.  Labels are always ids of the same component, so the fixed point
-    is the component minimum.  Lineage is cut with a reliable checkpoint in the shared folder every few rounds.
+    is the component minimum.  Every round ends in a reliable checkpoint in the shared folder: a round reads the
+    previous labels several times, so without cutting the lineage the query plan would double each round; with
+    it, each round is a constant-size plan and restarts from the last round after an executor loss.
     """
     ensure_checkpoint_dir(nodes.sparkSession)
-    labels = nodes.select(F.col("id"), F.col("id").alias("label"))
-    for i in range(max_iter):
+    labels = nodes.select(F.col("id"), F.col("id").alias("label")).checkpoint()
+    for _ in range(max_iter):
         msgs = edges.join(labels.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "label")
         best = msgs.unionByName(labels).groupBy("id").agg(F.min("label").alias("label"))
         hop = best.select(F.col("id").alias("label"), F.col("label").alias("_ll"))
         best = best.join(hop, "label", "left").select("id", F.least("label", F.coalesce("_ll", "label")).alias("label"))
-        if (i + 1) % checkpoint_every == 0:
-            best = best.checkpoint()  # reliable: survives executor loss, cuts the lineage
-        else:
-            best = best.cache()
+        best = best.checkpoint()
         changed = best.join(labels.withColumnRenamed("label", "_old"), "id").where(F.col("label") != F.col("_old")).count()
-        if i > 0:
-            labels.unpersist()
         labels = best
         if changed == 0:
             break
@@ -158,8 +155,10 @@ def density_clusters(df: DataFrame, threshold: float, min_pts: int, id_col: str
     own = (F.col("mult") - 1) if copies_link else F.lit(0)
     core = (reps.select(F.col(id_col).alias("id"), "mult").join(deg.withColumnRenamed("src", "id"), "id", "left")
             .where(F.coalesce("_deg", F.lit(0)) + own + 1 >= min_pts).select("id"))
+    # both feed every propagation round: materialise them once
+    core = core.checkpoint()
     core_edges = (nb.join(core.withColumnRenamed("id", "src"), "src", "left_semi")
-                  .join(core.withColumnRenamed("id", "dst"), "dst", "left_semi"))
+                  .join(core.withColumnRenamed("id", "dst"), "dst", "left_semi")).checkpoint()
     comp = connected_components(core, core_edges)
     border = (nb.join(comp.withColumnRenamed("id", "dst"), "dst")
               .join(core.withColumnRenamed("id", "src"), "src", "left_anti")
