@@ -946,7 +946,7 @@ def q_detect_language(spark, sf):
     return EM.detect_language(X.articles_v(spark, sf).select("doc_id", "content")).select("doc_id", "language")
 
 
-@register("embed_text")
+@register("embed_text", with_views("SELECT doc_id, 64 AS dims, 1.0::DOUBLE AS norm FROM articles_v", "articles_v"))
 def q_embed_text(spark, sf):
     a = X.articles_v(spark, sf).select("doc_id", T.text_for_embedding("title", "content").alias("text_for_embedding"))
     e = EM.embed_text(a, "hashing")
@@ -1061,7 +1061,8 @@ def q_append_feedback(spark, sf):
     return FS.read_feedback(spark, path).withColumn("timestamp", ts("timestamp"))
 
 
-@register("save_cluster_metadata")
+@register("save_cluster_metadata",
+          "SELECT 'm1' AS model_name, CAST(6 AS BIGINT) AS n_clusters, 6 AS n_centroids, true AS has_inertia")
 def q_save_cluster_metadata(spark, sf):
     model, _l, _c = clusters.fit_kmeans(clusters.stable_input(emb_vectors(spark, sf)), k=6)
     path = scratch_path(spark, "cluster-meta")
@@ -1071,7 +1072,7 @@ def q_save_cluster_metadata(spark, sf):
                        (F.col("inertia") > 0).alias("has_inertia"))
 
 
-@register("save_model_version")
+@register("save_model_version", "SELECT vec_id AS doc_id, true AS same FROM embeddings")
 def q_save_model_version(spark, sf):
     data = clusters.stable_input(emb_vectors(spark, sf))
     model, labels, _c = clusters.fit_kmeans(data, k=6)
@@ -1080,7 +1081,8 @@ def q_save_model_version(spark, sf):
     loaded = FS.load_model_version(root, "20240401")
     again = loaded.transform(clusters.to_features(data.drop("cluster"))).select(
         "doc_id", F.col("cluster").cast("int").alias("again"))
-    return labels.join(again, "doc_id").select("doc_id", "cluster", (F.col("cluster") == F.col("again")).alias("same"))
+    # the reloaded model must give every row the label the fitted one gave
+    return labels.join(again, "doc_id").select("doc_id", (F.col("cluster") == F.col("again")).alias("same"))
 
 
 @register("save_embeddings_version", """SELECT vec_id AS doc_id, CAST(len(embedding) AS INTEGER) AS dims,
