@@ -837,7 +837,7 @@ _ENRICH_SQL = f"""enriched AS (
 
 
 def _enriched(spark, sf):
-    recent = FD.feed_recent(feed_entries(spark, sf), X.AS_OF, days=7)
+    recent = FD.feed_recent(feed_entries(spark, sf), X.AS_OF, days=7, ordered=False)
     return FD.enrich_feed(recent, FD.page_texts(X.table(spark, sf, "pages")), max_articles=10)
 
 
@@ -901,7 +901,7 @@ UNION ALL SELECT fs.s_day, fs.s_feed_ord, fs.s_pos, 1, rk.dkey, rk.feed_ord, rk.
 UNION ALL SELECT s_day, s_feed_ord, s_pos, 2, 0, 0, 0, {_sql_str(DG.SOURCE_FOOTER)} FROM fs)
 SELECT {", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in DG.LINE_ORDER)}, line FROM lines""", "feed_entries_v"))
 def q_digest_by_source(spark, sf):
-    recent = FD.feed_recent(feed_entries(spark, sf), X.AS_OF, days=7)
+    recent = FD.feed_recent(feed_entries(spark, sf), X.AS_OF, days=7, ordered=False)
     return DG.digest_by_source_lines(recent).select(*[F.col(c).cast("int").alias(c) for c in DG.LINE_ORDER], "line")
 
 

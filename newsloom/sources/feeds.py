@@ -96,13 +96,18 @@ def api_posts(payloads: DataFrame, as_of: str, days: int = 30, payload_col: str
                     F.coalesce("p.likesCount", F.lit(0)).alias("likes")))
 
 
-def feed_recent(entries: DataFrame, as_of: str, days: int = 7, summary_chars: int = 300) -> DataFrame:
-    """Dated within ``days`` of as_of (an unparseable date counts as now), newest first, summary cut to 300."""
+def feed_recent(entries: DataFrame, as_of: str, days: int = 7, summary_chars: int = 300,
+                ordered: bool = True) -> DataFrame:
+    """Dated within ``days`` of as_of (an unparseable date counts as now), newest first, summary cut to 300.
+
+    ``ordered=False`` skips the global sort (a range-partitioned shuffle) when a consumer applies its own order
+    (the enrichment top-k, the by-source digest lines).
+    """
     now = F.lit(as_of).cast("timestamp")
     eff = F.coalesce(F.col("date"), now)
-    return (entries.withColumn("date", eff).where(F.col("date") >= now - F.make_dt_interval(F.lit(days)))
-            .withColumn("summary", T.truncate_summary("summary", summary_chars))
-            .orderBy(F.desc("date"), "feed_ord", "pos"))  # a distributed range sort
+    out = (entries.withColumn("date", eff).where(F.col("date") >= now - F.make_dt_interval(F.lit(days)))
+           .withColumn("summary", T.truncate_summary("summary", summary_chars)))
+    return out.orderBy(F.desc("date"), "feed_ord", "pos") if ordered else out
 
 
 def feed_collect(entries: DataFrame, articles: DataFrame, as_of: str, days: int = 7, max_articles: int = 20) -> DataFrame:
