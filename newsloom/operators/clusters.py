@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..session import ensure_checkpoint_dir
-from .similarity import cosine_pairs
+from .similarity import cosine_pairs, neighbour_reduce
 
 
 def stable_input(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -128,41 +128,68 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_iter: int = 100
 
 
 def density_clusters(df: DataFrame, threshold: float, min_pts: int, id_col: str = "doc_id", vec: str = "v",
-                     pairs: DataFrame | None = None) -> DataFrame:
+                     pairs: DataFrame | None = None, max_iter: int = 100) -> DataFrame:
     """fixed-radius density clustering with noise = -1.
 
     Neighbours: cosine > threshold (E5).  Core: at least ``min_pts`` points in the neighbourhood, itself included.
-    Core points connected through core-core edges share a label (smallest member id); a border point takes the
-    smallest label among its core neighbours; the rest is noise (-1).
-
-    Exact copies are collapsed first (one representative per distinct vector, with its multiplicity): copies are
-    each other's neighbours, so a group of m copies contributes m - 1 to every member's degree and is one node of
-    the graph -- the edge list only joins distinct vectors, never the m^2/2 copy pairs.
+    Core points connected through core-core neighbourhoods share a label (smallest member id); a border point takes
+    the smallest label among its core neighbours; the rest is noise (-1).
+
+    Exact copies are first collapsed to one representative per distinct vector, with its multiplicity.  No
+    neighbour edge list is built: every step is a block join that reduces each point's neighbourhood inside the
+    task (multiplicity-weighted degree; smallest label among core neighbours), so a group of near copies costs
+    one row per point and round, never its m^2/2 pairs.  Label rounds use min-label propagation plus pointer
+    jumping, each ending in a reliable checkpoint.  With explicit ``pairs`` the edge-list form is used instead.
     """
+    ensure_checkpoint_dir(df.sparkSession)
     ids = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec).alias("_v"))
     groups = ids.groupBy("_v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("mult"))  # partial aggregate
     member = ids.join(groups.select("_v", "rep"), "_v").select("id", "rep")
-    reps = groups.select(F.col("rep").alias(id_col), F.col("_v").alias(vec), "mult")
-    copies_link = threshold < 1.0  # identical vectors have cosine 1
-    p = pairs if pairs is not None else cosine_pairs(reps.select(id_col, vec), threshold, id_col=id_col, vec=vec)
-    # the neighbour list feeds every propagation round: materialise it once (reliable checkpoint, lineage cut)
-    ensure_checkpoint_dir(df.sparkSession)
-    p = p.checkpoint()
+    reps = groups.select(F.col("rep").alias("id"), F.col("_v").alias("v"), "mult").checkpoint()
+    own = (F.col("mult") - 1) if threshold < 1.0 else F.lit(0)  # identical vectors have cosine 1
+    if pairs is not None:
+        labels = _density_from_pairs(reps, pairs, own, min_pts)
+    else:
+        deg = neighbour_reduce(reps, threshold, "weight", "mult", id_col="id")
+        core = (reps.join(deg.withColumnRenamed("value", "_deg"), "id", "left")
+                .where(F.coalesce("_deg", F.lit(0)) + own + 1 >= min_pts).select("id", "v").checkpoint())
+        lab = core.select("id", "v", F.col("id").alias("label")).checkpoint()
+        for _ in range(max_iter):
+            cand = neighbour_reduce(lab, threshold, "minlabel", "label", id_col="id")
+            best = (lab.join(cand, "id", "left")
+                    .select("id", "v", F.least("label", F.coalesce("value", "label")).alias("label")))
+            hop = best.select(F.col("id").alias("label"), F.col("label").alias("_ll"))
+            best = (best.join(hop, "label", "left")
+                    .select("id", "v", F.least("label", F.coalesce("_ll", "label")).alias("label")).checkpoint())
+            changed = (best.join(lab.select("id", F.col("label").alias("_old")), "id")
+                       .where(F.col("label") != F.col("_old")).count())
+            lab = best
+            if changed == 0:
+                break
+        # border points: smallest label among core neighbours (core points carry their label, the others -1)
+        tagged = (reps.select("id", "v").join(lab.select("id", "label"), "id", "left")
+                  .select("id", "v", F.coalesce("label", F.lit(-1)).alias("label")))
+        near = neighbour_reduce(tagged, threshold, "minlabel", "label", id_col="id")
+        border = near.join(lab.select("id"), "id", "left_anti").select("id", F.col("value").alias("label"))
+        labels = lab.select("id", "label").unionByName(border)
+    labels = labels.withColumnRenamed("id", "rep")
+    return (member.join(labels, "rep", "left")
+            .select(F.col("id").alias(id_col), F.coalesce("label", F.lit(-1)).cast("long").alias("cluster")))
+
+
+def _density_from_pairs(reps: DataFrame, pairs: DataFrame, own, min_pts: int) -> DataFrame:
+    """Edge-list form of F6 for a given pair table (id_a, id_b) over the representatives."""
+    p = pairs.checkpoint()
     nb = (p.select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
           .unionByName(p.select(F.col("id_b").alias("src"), F.col("id_a").alias("dst"))))
-    mult = reps.select(F.col(id_col).alias("dst"), F.col("mult").alias("_m"))
+    mult = reps.select(F.col("id").alias("dst"), F.col("mult").alias("_m"))
     deg = nb.join(mult, "dst").groupBy("src").agg(F.sum("_m").alias("_deg"))
-    own = (F.col("mult") - 1) if copies_link else F.lit(0)
-    core = (reps.select(F.col(id_col).alias("id"), "mult").join(deg.withColumnRenamed("src", "id"), "id", "left")
-            .where(F.coalesce("_deg", F.lit(0)) + own + 1 >= min_pts).select("id"))
-    # both feed every propagation round: materialise them once
-    core = core.checkpoint()
+    core = (reps.select("id", "mult").join(deg.withColumnRenamed("src", "id"), "id", "left")
+            .where(F.coalesce("_deg", F.lit(0)) + own + 1 >= min_pts).select("id")).checkpoint()
     core_edges = (nb.join(core.withColumnRenamed("id", "src"), "src", "left_semi")
                   .join(core.withColumnRenamed("id", "dst"), "dst", "left_semi")).checkpoint()
     comp = connected_components(core, core_edges)
     border = (nb.join(comp.withColumnRenamed("id", "dst"), "dst")
               .join(core.withColumnRenamed("id", "src"), "src", "left_anti")
               .groupBy(F.col("src").alias("id")).agg(F.min("label").alias("label")))
-    labels = comp.unionByName(border).withColumnRenamed("id", "rep")
-    return (member.join(labels, "rep", "left")
-            .select(F.col("id").alias(id_col), F.coalesce("label", F.lit(-1)).cast("long").alias("cluster")))
+    return comp.unionByName(border)

@@ -165,6 +165,61 @@ def ensemble_best_neighbours(models: DataFrame, articles: DataFrame, threshold:
     return best_neighbours(st, threshold, id_col=id_col, vec="v", wc_col=wc_col, blocks=blocks, normalize=False)
 
 
+REDUCE_SCHEMA = "id long, value long"
+
+
+def _block_reduce_udf(threshold: float, kind: str):
+    """Per block pair, reduce every row's neighbourhood (cosine > threshold, itself excluded) to one value:
+    ``weight``: sum of the neighbours' weights; ``minlabel``: smallest label among labelled neighbours."""
+    thr = float(threshold)
+    big = np.iinfo(np.int64).max
+
+    def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
+        bi, bj = int(pdf["_bi"].iloc[0]), int(pdf["_bj"].iloc[0])
+        ids = pdf["_id"].to_numpy(dtype=np.int64)
+        val = pdf["_x"].to_numpy(dtype=np.int64)
+        mat = np.vstack(pdf["_u"].to_numpy())
+        blk = pdf["_b"].to_numpy()
+        outs = []
+        sides = [(blk == bi, blk == bi)] if bi == bj else [(blk == bi, blk == bj), (blk == bj, blk == bi)]
+        for rows, cols in sides:
+            hit = (mat[rows] @ mat[cols].T) > thr
+            if bi == bj:
+                np.fill_diagonal(hit, False)
+            if kind == "weight":
+                red = (hit * val[cols][None, :]).sum(axis=1)
+                keep = red > 0
+            else:
+                red = np.where(hit & (val[cols][None, :] >= 0), val[cols][None, :], big).min(axis=1)
+                keep = red < big
+            if keep.any():
+                outs.append(pd.DataFrame({"id": ids[rows][keep], "value": red[keep].astype(np.int64)}))
+        if not outs:
+            return pd.DataFrame({"id": pd.Series(dtype=np.int64), "value": pd.Series(dtype=np.int64)})
+        return pd.concat(outs, ignore_index=True)
+
+    return reduce
+
+
+def neighbour_reduce(df: DataFrame, threshold: float, kind: str, value_col: str, id_col: str = "doc_id",
+                     vec: str = "v", blocks: int | None = None, block_rows: int = DEFAULT_BLOCK_ROWS,
+                     normalize: bool = True) -> DataFrame:
+    """(id, value) per row: its neighbourhood reduced inside the block join -- ``weight`` sums ``value_col`` over
+    the neighbours, ``minlabel`` takes the smallest non-negative ``value_col`` among them.  No pair leaves a task;
+    block results merge with one partial aggregate per id."""
+    u = V.l2_normalize(vec) if normalize else F.col(vec)
+    base, nb = _blocked(df.select(F.col(id_col).cast("long").alias("_id"), F.col(value_col).cast("long").alias("_x"),
+                                  u.alias("_u")), blocks, block_rows)
+    b = F.pmod(F.xxhash64("_id"), F.lit(nb)).cast("int")
+    rep = (base.withColumn("_b", b)
+           .withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
+           .withColumn("_bi", F.least("_b", "_o")).withColumn("_bj", F.greatest("_b", "_o"))
+           .drop("_o"))
+    part = rep.groupBy("_bi", "_bj").applyInPandas(_block_reduce_udf(threshold, kind), REDUCE_SCHEMA)
+    agg = F.sum("value") if kind == "weight" else F.min("value")
+    return part.groupBy("id").agg(agg.alias("value"))
+
+
 def approx_cosine_pairs(df: DataFrame, threshold: float, id_col: str = "doc_id", vec: str = "v",
                         bucket_length: float = 1.0, num_tables: int = 4, seed: int = 42) -> DataFrame:
     """Approximate option for very large corpora: Euclidean LSH on unit vectors, then exact re-check.
