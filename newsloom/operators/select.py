@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import regex_contains_ci
 
-PAGE_COLUMNS = ["title", "url", "source", "cluster", "final_score", "scraping_date"]
-ALL = "Todas"
+# ---- fixed values (must equal the reference's) ---------------------------------
+PAGE_COLUMNS = ["title", "url", "source", "cluster", "final_score", "scraping_date"]  # API page projection
+ALL = "Todas"  # the "no filter" facet value
+# -------------------------------------------------------------------------------
 
 
 def filter_source_regex(df: DataFrame, pattern: str, source_col: str = "source") -> DataFrame:

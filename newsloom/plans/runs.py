@@ -19,7 +19,9 @@ from . import fixtures as X
 from . import slices
 
 CSV_SCHEMA = "doc_id long, source string, url string, title string, content string, scraping_date timestamp"
-RETRAIN_SOURCES = ("Xataka", "Hugging Face Blog", "TechCrunch", "AWS Blog")
+# ---- fixed values (must equal the reference's) ---------------------------------
+RETRAIN_SOURCES = ("Xataka", "Hugging Face Blog", "TechCrunch", "AWS Blog")  # the full retrain's corpus
+# -------------------------------------------------------------------------------
 
 
 def batch_run(spark: SparkSession, csv_path: str, out_dir: str, as_of: str, k: int = 6, model: str = "hashing",

@@ -20,8 +20,10 @@ ATOM_SCHEMA = ("title string, entry array<struct<title:string, link:struct<_href
 SITEMAP_SCHEMA = "url array<struct<loc:string>>"
 POST_SCHEMA = ("array<struct<title:string, slug:string, author:struct<name:string>, createdAt:string, "
                "summary:string, tags:array<string>, likesCount:long>>")
-NO_CONTENT = "Contenido no disponible"
-API_POST_BASE = "https://huggingface.co/blog/"
+# ---- fixed values (must equal the reference's) ---------------------------------
+NO_CONTENT = "Contenido no disponible"              # full content when neither feed nor page has text
+API_POST_BASE = "https://huggingface.co/blog/"      # post url = base + slug
+# -------------------------------------------------------------------------------
 
 
 def xml_escape(c) -> Column:
