@@ -133,3 +133,19 @@ def test_build_articles_rule_container_and_title_default(spark):
     assert got[1].content == "first para second para" and got[1].source == "Hugging Face Blog"
     assert got[2].title == "Sin título"          # the rule's default title
     assert 3 not in got and 4 not in got         # no h1 on a generic page / no paragraphs: dropped
+
+
+def test_enrich_feed_fallback_chain(spark):
+    long_text = "x" * 501
+    entries = spark.createDataFrame([
+        ("S", 0, 1, "a", "https://p/1", long_text, "", "2024-03-30 10:00:00"),   # long feed content wins
+        ("S", 0, 2, "b", "https://p/2", "", "short summary", "2024-03-30 09:00:00"),  # page text wins
+        ("S", 0, 3, "c", "https://p/3", "", "only summary", "2024-03-29 10:00:00"),   # no page: feed text
+        ("S", 0, 4, "d", "https://p/4", "", "", "2024-03-28 10:00:00"),               # nothing at all
+    ], "source string, feed_ord int, pos int, title string, url string, content string, summary string, date string")
+    entries = entries.withColumn("date", F.to_timestamp("date"))
+    arts = spark.createDataFrame([("https://p/1", "page one"), ("https://p/2", "page two")], "url string, content string")
+    got = {r.pos: r.full_content for r in feeds.enrich_feed(entries, arts, max_articles=10).collect()}
+    assert got == {1: long_text, 2: "page two", 3: "only summary", 4: "Contenido no disponible"}
+    top2 = {r.pos for r in feeds.enrich_feed(entries, arts, max_articles=2).collect()}
+    assert top2 == {1, 2}  # newest day first, then feed order
