@@ -138,3 +138,23 @@ def test_weekly_counts_drop_rows_later_than_the_watermark(spark):
     got = spark.read.parquet(out).groupBy("week", "rating").agg(F.max_by("n", "batch_id").alias("n"))
     counts = {str(r.start)[:10]: r.n for r in got.select("week.start", "n").collect()}
     assert counts["2024-03-04"] == 3 and counts["2024-04-08"] == 2
+
+
+def test_weekly_digest_orders_and_escapes(spark):
+    rows = [(i, i % 2, f"T<{i}>", "S&P", "en", f"https://x/{i}", float(i)) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, cluster int, title string, source string, language string, "
+                                     "url string, final_score double")
+    r = digest.digest_weekly(df, "20240401T0000Z", top_n=2).first()
+    assert r.n_articles == 4 and "T&lt;7&gt;" in r.html and "S&amp;P" in r.html and "<7>" not in r.html
+    order = [r.html.index(f"T&lt;{i}&gt;") for i in (7, 6, 5, 4)]
+    assert order == sorted(order)  # overall score order, best first
+    assert "Generado automáticamente el 20240401T0000Z" in r.html
+
+
+def test_full_digest_orders_by_day_then_feed_order(spark):
+    rows = [("S1", 1, 0, "b", "u1", "2024-03-30 01:00:00", "c1"), ("S0", 0, 5, "a", "u2", "2024-03-30 23:00:00", "c2"),
+            ("S0", 0, 1, "z", "u3", "2024-03-31 00:00:00", "c3")]
+    df = spark.createDataFrame(rows, "source string, feed_ord int, pos int, title string, url string, date string, "
+                                     "full_content string").withColumn("date", F.to_timestamp("date"))
+    html = digest.digest_full(df).first().html
+    assert html.index("'u3'") < html.index("'u2'") < html.index("'u1'")  # newest day, then feed order in a day
