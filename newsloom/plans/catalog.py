@@ -1184,7 +1184,7 @@ def q_weekly_run(spark, sf):
 def q_full_retrain(spark, sf):
     corpus = clusters.stable_input(X.articles_v(spark, sf))
     meta = RN.full_retrain(spark, corpus, scratch_path(spark, "retrain-models"), scratch_path(spark, "retrain-corpus"),
-                           "20240401", 4, 8)
+                           "20240401", 4, 12)
     return meta.select("best_k", F.size("k_scores").alias("n_scores"), "model", "trained_at")
 
 
