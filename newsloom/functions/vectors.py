@@ -78,15 +78,3 @@ def mean_vectors(df: DataFrame, keys: list[str], vec: str, out: str = "mean", di
     return (per_dim.groupBy(*keys)
             .agg(F.sort_array(F.collect_list(F.struct("_pos", "_val"))).alias("_pv"))
             .select(*keys, F.transform("_pv", lambda s: s["_val"]).alias(out)))
-
-
-def sum_vectors(df: DataFrame, keys: list[str], vec: str, out: str = "total", dim: int | None = None) -> DataFrame:
-    if dim:
-        v = col(vec)
-        g = df.groupBy(*keys).agg(*[F.sum(v[i]).alias(f"_s{i}") for i in range(dim)])
-        return g.select(*keys, F.array(*[F.col(f"_s{i}") for i in range(dim)]).alias(out))
-    ex = df.select(*keys, F.posexplode(vec).alias("_pos", "_val"))
-    per_dim = ex.groupBy(*keys, "_pos").agg(F.sum("_val").alias("_val"))
-    return (per_dim.groupBy(*keys)
-            .agg(F.sort_array(F.collect_list(F.struct("_pos", "_val"))).alias("_pv"))
-            .select(*keys, F.transform("_pv", lambda s: s["_val"]).alias(out)))
