@@ -188,3 +188,13 @@ def test_density_clusters_with_copies_equals_brute_force(spark, min_pts):
     df = spark.createDataFrame(rows, "doc_id long, v array<double>")
     got = {r.doc_id: r.cluster for r in clusters.density_clusters(df, 0.5, min_pts).collect()}
     assert got == _density_brute(rows, 0.5, min_pts)
+
+
+def test_mean_vectors_wide_and_generic_forms_agree(rand_vecs):
+    from newsloom.functions import vectors as VV
+    df, _ = rand_vecs
+    wide = {r.cluster: r.mean for r in VV.mean_vectors(df, ["cluster"], "v", dim=16).collect()}
+    generic = {r.cluster: r.mean for r in VV.mean_vectors(df, ["cluster"], "v").collect()}
+    assert wide.keys() == generic.keys()
+    for k in wide:
+        assert np.allclose(wide[k], generic[k], atol=1e-12)
