@@ -953,7 +953,8 @@ def q_embed_text(spark, sf):
     return e.select("doc_id", F.size("v").alias("dims"), r6(V.norm("v")).alias("norm"))
 
 
-@register("embed_models")
+@register("embed_models", with_views("""SELECT doc_id, 'hashing' AS model, 64 AS dims, 1.0::DOUBLE AS norm FROM articles_v
+UNION ALL SELECT doc_id, 'char_profile', 26, 1.0::DOUBLE FROM articles_v""", "articles_v"))
 def q_embed_models(spark, sf):
     EM.register_encoder("char_profile", EM.letter_profile_encoder, 26)
     a = X.articles_v(spark, sf).select("doc_id", T.text_for_embedding("title", "content").alias("text_for_embedding"))
@@ -961,7 +962,7 @@ def q_embed_models(spark, sf):
     return m.select("doc_id", "model", F.size("v").alias("dims"), r6(V.norm("v")).alias("norm"))
 
 
-@register("register_encoder")
+@register("register_encoder", with_views("SELECT doc_id, 26 AS dims, 1.0::DOUBLE AS norm FROM articles_v", "articles_v"))
 def q_register_encoder(spark, sf):
     EM.register_encoder("char_profile", EM.letter_profile_encoder, 26)
     a = X.articles_v(spark, sf).select("doc_id", T.text_for_embedding("title", "content").alias("text_for_embedding"))
