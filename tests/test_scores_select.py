@@ -125,3 +125,12 @@ def test_flagship_invariant_to_partitioning(spark, parts):
     want = sorted(map(tuple, catalog.flagship(spark, "/root/testdata/sf0.001").collect()))
     spark.conf.set("spark.sql.shuffle.partitions", old)
     assert got == want
+
+
+def test_spread_only_when_the_scan_is_narrow(spark):
+    from newsloom.plans.fixtures import spread
+    cores = spark.sparkContext.defaultParallelism
+    wide = spark.range(0, 1000, numPartitions=cores * 2)
+    narrow = spark.range(0, 1000, numPartitions=1)
+    assert "RoundRobinPartitioning" not in spread(wide)._jdf.queryExecution().executedPlan().toString()
+    assert spread(narrow).rdd.getNumPartitions() == cores
