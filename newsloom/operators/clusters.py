@@ -19,10 +19,11 @@ from .similarity import cosine_pairs, neighbour_reduce
 
 
 def stable_input(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Repeatable KMeans input without funnelling it through one task: rows are hash-partitioned by id (the
-    session's shuffle width) and sorted within partitions, so the same data gives the same partitions in the
-    same order, and the seeded fit is reproducible."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Repeatable KMeans input without funnelling it through one task: rows are hash-partitioned by id (one
+    partition per core: KMeans runs one job per iteration, so a wider split only adds task overhead) and sorted
+    within partitions, so the same data gives the same partitions in the same order, and the seeded fit is
+    reproducible."""
+    n = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n, id_col).sortWithinPartitions(id_col)
 
 
