@@ -1121,7 +1121,7 @@ def q_stream_ingest(spark, sf):
     cents = X.centroids_v(spark, sf, dim_of(spark, sf))
     cents = cents.select("cluster", F.slice("centroid", 1, 64).alias("centroid"))
     ST.stream_ingest(spark, land, P.source_rules(spark), cents, lambda d: EM.embed_text(d, "hashing"), X.AS_OF, out,
-                     ledger, ck)
+                     ledger, ck, dim=EM.ENCODERS["hashing"][1])
     return spark.read.parquet(out).select("page_id", "url", "cluster", r6("final_score").alias("final_score"))
 
 

@@ -59,7 +59,7 @@ def weekly_run(spark: SparkSession, pages_df: DataFrame, centroids: DataFrame, a
     """
     rules = pages.source_rules(spark)
     streams.ingest_batch(pages_df, rules, centroids, lambda d: embed.embed_text(d, model), as_of, out_path,
-                         ledger_root, version)
+                         ledger_root, version, dim=embed.ENCODERS[model][1])
     combined = spark.read.parquet(out_path)
     return digest.digest_weekly(combined, generated_at, top_n, key="page_id")
 
