@@ -42,7 +42,7 @@ SOURCE_HEADER = "<h2>{source}</h2>\n<ul>\n"
 SOURCE_ITEM = '  <li><a href="{url}">{title}</a> - {date}<br>  <small>{summary}</small></li>\n'
 SOURCE_FOOTER = "</ul>\n"
 FULL_ITEM = "<h2><a href='{url}'>{title}</a></h2>\n<p><strong>{source}</strong> - {date}</p>\n<div>{content}</div>\n<hr>\n"
-WEEKLY_TITLE = "🧠 AI Newsletter – AMC Global"
+WEEKLY_TITLE = "🧠 AI Newsletter"  # the organisation's name is a deployment setting, not part of the format
 WEEKLY_SUBTITLE = "Generado automáticamente el {date}"
 WEEKLY_FOOTER = "Sistema automatizado de clasificación basado en clustering."
 READ_MORE = "Leer más"
