@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, tokencount
+from . import decontam, pii, simhash, tokencount
 from .common import read_table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -19,6 +19,47 @@ def op1_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.col("component").alias("component_id"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), 10)
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda acc, x: x.cast("long") - acc)  # ends less starts
+    return found.select(F.col("id").alias("doc_id"), "n_words", n_hit.alias("n_hit"),
+                        F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"),
+                        (F.size("hits") > 0).alias("contaminated"))
+
+
+OP2_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+i AS MATERIALIZED (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+iw AS MATERIALIZED (
+  SELECT DISTINCT item_id, k, array_to_string(w[s:s + k - 1], ' ') AS g
+  FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM i WHERE len(w) > 0)),
+dw AS MATERIALIZED (
+  SELECT doc_id, s, k, array_to_string(w[s:s + k - 1], ' ') AS g
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, (SELECT DISTINCT k FROM iw) WHERE len(w) >= k)),
+hits AS MATERIALIZED (SELECT DISTINCT dw.doc_id, dw.s, dw.k, iw.item_id FROM dw JOIN iw ON dw.g = iw.g AND dw.k = iw.k),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(covered.n, 0) AS n_hit, coalesce(found.n, 0) AS n_items,
+       sha256(coalesce(found.ids, '')) AS items_sha256, coalesce(covered.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_<kind> counts the base spans; n_<kind>_all also those that deobfuscation adds."""
+    found = pii.find_pii(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    kinds = [f"n_{k}" for k in pii.KINDS]
+    return found.select("doc_id", *kinds, "base_sha256", "spans", *[f"{k}_all" for k in kinds])
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = tokencount.token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
     return counts.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens",
@@ -28,5 +69,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # name -> (query, DuckDB SQL or None)
 REGISTRY = {
     "op1_simhash_neardup": (op1_simhash_neardup, None),
+    "op2_decontamination": (op2_decontamination, OP2_SQL),
+    "op6_pii": (op6_pii, None),
     "op10_token_counts": (op10_token_counts, None),
 }
