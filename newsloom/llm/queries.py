@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, pii, simhash, tokencount
+from newsloom.session import scratch_path
+
+from . import decontam, htmltext, pii, simhash, tokencount, toxicity, warc
 from .common import read_table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -60,6 +62,40 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *kinds, "base_sha256", "spans", *[f"{k}_all" for k in kinds])
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.archive_round_trip(read_table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY x) AS m FROM p)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + CAST((CAST(concat('0x', substr(x, 1 + 10 * (i // 8), 10)) AS UBIGINT) >> (35 - 5 * (i % 8))) & 31 AS INTEGER), 1)), '')
+         AS payload_digest,
+       CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> m THEN m END AS refers_to
+FROM f
+"""
+
+
+HELD_OUT = "crc32(cast(doc_id AS string)) % 3 = 1"
+TOXIC_SCORE = 0.7
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity.toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"),
+                                      ~F.expr(HELD_OUT))
+    held_out = F.expr(HELD_OUT.replace("doc_id", "id"))
+    return scores.select(F.col("id").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= TOXIC_SCORE).cast("int").alias("predicted"))
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract_main_text(read_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = tokencount.token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
     return counts.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens",
@@ -71,5 +107,8 @@ REGISTRY = {
     "op1_simhash_neardup": (op1_simhash_neardup, None),
     "op2_decontamination": (op2_decontamination, OP2_SQL),
     "op6_pii": (op6_pii, None),
+    "op7_warc": (op7_warc, OP7_SQL),
+    "op8_toxicity": (op8_toxicity, None),
+    "op9_main_text": (op9_main_text, None),
     "op10_token_counts": (op10_token_counts, None),
 }
