@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from newsloom.session import scratch_path
 
-from . import decontam, htmltext, pii, simhash, tokencount, toxicity, warc
+from . import decontam, htmltext, pii, simhash, substring, tokencount, toxicity, warc
 from .common import read_table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -55,6 +55,27 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.remove_repeats(read_table(spark, sf_dir, "documents"), 20)
+    return kept.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS MATERIALIZED (
+  SELECT doc_id, s, md5(array_to_string(w[s:s + 19], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20)),
+r AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) AS n FROM g) WHERE n > 1),
+gone AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM r),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.p) AS t, count(*) AS n
+         FROM words ANTI JOIN gone ON words.doc_id = gone.doc_id AND words.p = gone.p GROUP BY words.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n_<kind> counts the base spans; n_<kind>_all also those that deobfuscation adds."""
     found = pii.find_pii(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
@@ -106,6 +127,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {
     "op1_simhash_neardup": (op1_simhash_neardup, None),
     "op2_decontamination": (op2_decontamination, OP2_SQL),
+    "op4_substring_dedup": (op4_substring_dedup, OP4_SQL),
     "op6_pii": (op6_pii, None),
     "op7_warc": (op7_warc, OP7_SQL),
     "op8_toxicity": (op8_toxicity, None),

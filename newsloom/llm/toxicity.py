@@ -27,11 +27,12 @@ from collections import Counter
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field_type
+from .common import field_type, stored
 
 SAMPLE_ROWS = 20_000
 FEATURES = 4_000
@@ -49,7 +50,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 _SYMBOLS = re.escape("".join(LEET))
 _LEET_TOKEN = re.compile(rf"(?<![\w{_SYMBOLS}])(?=[\w{_SYMBOLS}]*[^\W\d_])[^\W_{_SYMBOLS}]*[{_SYMBOLS}](?:[^\W_]|[{_SYMBOLS}])*[^\W_]")
 _REPEAT = re.compile(r"[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")
-_SPACED = re.compile(rf"(?<![\w{_SYMBOLS}])(?:[^\W_]|[@$!|+])(?:[ .\-_*]{{1,2}}(?:[^\W_]|[@$!|+])(?![\w])){{3,}}")
+_TRIPLE = re.compile(r"([^\W\d_])\1\1").search
+_SPACED = re.compile(rf"(?<![\w{_SYMBOLS}])(?:[^\W_]|[@$!|+])(?:[ .\-_*]{{1,2}}(?:[^\W_]|[@$!|+])(?!\w)){{3,}}")
+_SPACED_HINT = re.compile(r"[ .\-_*]\S[ .\-_*]{1,2}\S[ .\-_*]").search
 
 
 class CharModel:
@@ -128,21 +131,25 @@ class Restorer:
 
     def __call__(self, text: str) -> str:
         text = text.lower()
-        words = _WORD.findall(text)
-        found = {m.group() for m in _SPACED.finditer(text)} | {m.group() for m in _REPEAT.finditer(text)}
-        if _has_symbol(text):
-            found |= {m.group() for m in _LEET_TOKEN.finditer(text)}
-        if found:
-            if len(self.memo) > _FLUSH:
-                self.memo.clear()
-            for token in found:
-                if token not in self.memo:
-                    self.memo[token] = restore(token, self.model)
-                words += _WORD.findall(self.memo[token])
+        words, memo = _WORD.findall(text), self.memo
+        if len(memo) > _FLUSH:
+            memo.clear()
+        for token in set(text.split()):
+            got = memo.get(token)
+            if got is None:
+                got = memo[token] = self._restored(token)
+            words += got
+        if _SPACED_HINT(text):
+            for m in _SPACED.finditer(text):
+                words += _WORD.findall(restore(m.group(), self.model))
         return f" {' '.join(words)} "
 
-
-_has_symbol = re.compile(rf"[^\W\d_{_SYMBOLS}][{_SYMBOLS}][^\W\d_]|[{_SYMBOLS}][^\W\d_]").search
+    def _restored(self, token: str) -> tuple[str, ...]:
+        """Words behind the disguised parts of one token; most tokens have none."""
+        found = [m.group() for m in _REPEAT.finditer(token)] if _TRIPLE(token) else []
+        if not token.isalpha():
+            found += [m.group() for m in _LEET_TOKEN.finditer(token)]
+        return tuple(w for x in found for w in _WORD.findall(restore(x, self.model)))
 
 
 def word_census(docs: DataFrame, text_col: str) -> DataFrame:
@@ -187,20 +194,25 @@ def _grams(word: str) -> list[str]:
 
 
 class Classifier:
-    """Logistic model over the presence of n-grams; ``weight`` maps an n-gram to its weight."""
+    """Logistic model over the presence of n-grams, and for each n-gram the lower bound of its share of label 1.
+
+    The score is the larger of the model's probability and the best bound: training texts hold several signs at once,
+    which halves each one's weight, yet one certain sign is enough.
+    """
 
-    def __init__(self, weight: dict[str, float], bias: float):
-        self.weight, self.bias = weight, bias
+    def __init__(self, weight: dict[str, float], bias: float, sure: dict[str, float] | None = None):
+        self.weight, self.bias, self.sure = weight, bias, sure or {}
 
     def scorer(self):
         auto = ahocorasick.Automaton()
         for g, w in self.weight.items():
-            auto.add_word(g, (g, w))
+            auto.add_word(g, (g, w, self.sure.get(g, 0.0)))
         auto.make_automaton()
 
         def score(normal: str) -> float:
-            total = self.bias + sum(w for _, w in {x for _, x in auto.iter(normal)}) if self.weight else self.bias
-            return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, total))))
+            signs = sorted({x for _, x in auto.iter(normal)}) if self.weight else ()
+            total = self.bias + math.fsum(w for _, w, _ in signs)
+            return max([1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, total)))), *(s for _, _, s in signs)])
 
         return score
 
@@ -215,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, model: CharModel,
         known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < int((1 << 30) * sample_rows / n))
     # at most the sample's bounded number of ids is broadcast; the texts are scanned where they are
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("t"))
-    rows = rows.join(F.broadcast(known), "__id").select("t", "y")
+    rows = stored(_one_per_copy(rows.join(F.broadcast(known), "__id").select("t", "y")), "toxic-sample")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def count(batches):
@@ -252,12 +264,39 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, model: CharModel,
     grams = rows.mapInArrow(count, "g string, n0 long, n1 long").groupBy("g").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     p1, p0 = (F.col("n1") + 0.5) / (n1 + 1.0), (F.col("n0") + 0.5) / (n0 + 1.0)
     odds = F.log(p1 * (1 - p0) / (p0 * (1 - p1)))
-    strong = grams.where((F.col("n1") >= MIN_ROWS) & (odds > 2)).select("g", (odds * F.sqrt("n1")).alias("rank"))
-    chosen = [r["g"] for r in strong.orderBy(F.desc("rank"), "g").limit(FEATURES).collect()]
-    return _logistic(rows, chosen, shared)
+    strong = grams.where((F.col("n1") >= MIN_ROWS) & (odds > 2)).withColumn("rank", odds * F.sqrt("n1"))
+    best = strong.orderBy(F.desc("rank"), "g").limit(FEATURES).collect()
+    sure = {r["g"]: _lower_bound(r["n1"], r["n0"]) for r in best}
+    return _logistic(rows, [r["g"] for r in best], shared, sure)
+
+
+def _lower_bound(n1: int, n0: int, z: float = 3.0) -> float:
+    """Wilson lower bound of n1 / (n1 + n0)."""
+    n = n1 + n0
+    p = n1 / n
+    return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def _one_per_copy(rows: DataFrame) -> DataFrame:
+    """One row of each group of copies or near copies: rows that share the least word pair under any of three hashes."""
+
+    def run(batches):
+        for b in batches:
+            keys = []
+            for t in b.column(0):
+                words = (t.as_py() or "").lower().split()
+                pairs = {f"{x} {y}" for x, y in zip(words, words[1:])} or {" ".join(words)}
+                keys.append([min(xxhash.xxh64_intdigest(p, seed) for p in pairs) >> 1 for seed in (1, 2, 3)])
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([k[i] for k in keys], pa.int64()) for i in range(3))],
+                                             ["t", "y", "k0", "k1", "k2"])
+
+    rows = rows.mapInArrow(run, "t string, y int, k0 long, k1 long, k2 long")
+    for k in ("k0", "k1", "k2"):
+        rows = rows.groupBy(F.col(k).alias("k")).agg(F.min(F.struct("t", "y", "k0", "k1", "k2")).alias("r")).select("r.*")
+    return rows.select("t", "y")
 
 
-def _logistic(rows: DataFrame, chosen: list[str], shared) -> Classifier:
+def _logistic(rows: DataFrame, chosen: list[str], shared, sure: dict[str, float]) -> Classifier:
     """Ridge logistic regression over the chosen n-grams; each sampled row reaches the driver as its feature numbers."""
     names = rows.sparkSession.sparkContext.broadcast(chosen)
 
@@ -285,7 +324,7 @@ def _logistic(rows: DataFrame, chosen: list[str], shared) -> Classifier:
         curve = np.bincount(col, weights=(p * (1 - p))[row], minlength=len(chosen)) * widest + 0.5
         w += grad / curve
         b += 0.5 * (y - p).sum() / max(1e-6, (p * (1 - p)).sum() + 1e-3)
-    return Classifier(dict(zip(chosen, w.tolist())), float(b))
+    return Classifier(dict(zip(chosen, w.tolist())), float(b), sure)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: str = "text",
