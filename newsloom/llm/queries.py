@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from newsloom.session import scratch_path
 
-from . import decontam, htmltext, pii, simhash, substring, tokencount, toxicity, warc
+from . import decontam, htmltext, merkle, pii, simhash, spm, substring, tokencount, toxicity, warc
 from .common import read_table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -55,6 +55,10 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+def op3_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.neighbour_report(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring.remove_repeats(read_table(spark, sf_dir, "documents"), 20)
     return kept.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -76,6 +80,14 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and the digest of the text they decode to."""
+    model = public_tokenizers.path(PIECE_MODEL)
+    encoded = spm.encode_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    decoded = spm.decode_documents(encoded.drop("text"), model)
+    return decoded.select("doc_id", "n_tokens", "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n_<kind> counts the base spans; n_<kind>_all also those that deobfuscation adds."""
     found = pii.find_pii(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
@@ -127,7 +139,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {
     "op1_simhash_neardup": (op1_simhash_neardup, None),
     "op2_decontamination": (op2_decontamination, OP2_SQL),
+    "op3_merkle_fingerprints": (op3_merkle_fingerprints, None),
     "op4_substring_dedup": (op4_substring_dedup, OP4_SQL),
+    "op5_sentencepiece": (op5_sentencepiece, None),
     "op6_pii": (op6_pii, None),
     "op7_warc": (op7_warc, OP7_SQL),
     "op8_toxicity": (op8_toxicity, None),
