@@ -169,7 +169,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3,
                        max_bits: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component (rows with a null id stay)."""
+    """The rows of ``docs``, with all columns, whose id is the smallest of its component.  Rows of one id are one
+    document: it goes if any of its texts belongs to an earlier id's group.  Rows with a null id stay."""
     groups = simhash_groups(docs, id_col, text_col, k, max_bits)
     gone = groups.where(F.col("id") != F.col("component")).select(F.col("id").alias("__gone")).distinct()
     return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 CHUNK_CHARS = 1 << 16
-_MEMORY = 300_000
+_MEMORY = 500_000
 SPACE = "▁"
 _SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -144,6 +144,8 @@ class PieceModel:
 
     def word(self, core: str) -> list[str]:
         """Pieces of a text that begins after a reset, left to right: the one state each position has."""
+        if core in self.pieces:
+            return [core]
         last: list[str] = [""]
         pieces, fits, longest = self.pieces, self.fits, self.longest
         for i in range(1, len(core) + 1):
