@@ -59,7 +59,7 @@ class _Lines(HTMLParser):
         self.parent = [0]                                 # container tree; 0 is the page
         self.lines: list[tuple[str, int, int, int, bool]] = []
         self.buffer: list[str] = []
-        self.tags = self.links = self.anchor = self.article = 0
+        self.tags = self.links = self.anchor = self.article = self.noise = 0
         self.at: tuple[int, bool] = (0, False)
 
     def updatepos(self, i, j):
@@ -67,9 +67,9 @@ class _Lines(HTMLParser):
 
     def _end_line(self):
         text = " ".join("".join(self.buffer).split())
-        if text:
-            self.lines.append((text, self.tags, self.links, *self.at))
-            self.tags = self.links = 0
+        if text or self.noise:
+            self.lines.append((text, self.tags, self.links, self.at[0], not text))
+            self.tags = self.links = self.noise = 0
         self.buffer.clear()
 
     def _pop(self, tag):
@@ -139,6 +139,9 @@ class _Lines(HTMLParser):
             self._pop(tag)
 
     def handle_data(self, data):
+        if self.at[1]:
+            self.noise += 1                               # furniture leaves a line of ratio zero, without its text
+            return
         if self.anchor > 0:
             self.links += len(data)
         self.buffer.append(data)

@@ -173,13 +173,16 @@ def _send(src: DataFrame, window: int, parts: int, extended: list[np.ndarray]) -
             part, path = _parts_of(c.words, at, window, extended, parts)
             doc = np.searchsorted(c.start, at, side="right") - 1
             ids = np.array([NO_ID if i is None else i for i in c.ids], np.int64)
-            order = np.argsort(path, kind="stable")            # offsets are in (id, start) order within a chunk
+            pos = at - c.start[doc]
+            if len(np.unique(ids)) == len(ids):
+                order = np.argsort(path, kind="stable")        # offsets are in (id, start) order already
+            else:
+                order = np.lexsort((pos, ids[doc], path))
             head = np.r_[True, path[order][1:] != path[order][:-1]]
             first = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-            pos = at - c.start[doc]
             later = (ids[doc[order]] > ids[doc[first]]) | (pos[order] > pos[first]) & (ids[doc[order]] == ids[doc[first]])
             known = np.sort(at[order[later]])
-            keep = np.sort(order[head])
+            keep = np.sort(order[~later])                      # the earliest, and equal rows' twins
             keep = keep[np.argsort(part[keep], kind="stable")]
             cut = np.flatnonzero(np.r_[True, part[keep][1:] != part[keep][:-1]])
             for n, (lo, hi) in enumerate(zip(cut, np.r_[cut[1:], len(keep)])):

@@ -41,6 +41,8 @@ def pre_tokens(text: str) -> list[str]:
     """
     if not text:
         return []
+    if "▁" in text:
+        text = text.replace("▁", " ")                     # the library's own sign for a space
     if text[0] != " " and "  " not in text:
         return text.split(" ")
     parts = _SPACED.findall(text)
