@@ -71,8 +71,11 @@ def mean_vectors(df: DataFrame, keys: list[str], vec: str, out: str = "mean", di
     if dim:
         v = col(vec)
         aggs = [F.avg(v[i]).alias(f"_m{i}") for i in range(dim)]
-        g = df.groupBy(*keys).agg(*aggs)
-        return g.select(*keys, F.array(*[F.col(f"_m{i}") for i in range(dim)]).alias(out))
+        g = df.groupBy(*keys).agg(F.min(F.size(v)).alias("_lo"), F.max(F.size(v)).alias("_hi"), *aggs)
+        right = F.coalesce((F.col("_lo") == dim) & (F.col("_hi") == dim), F.lit(True))
+        mean = F.when(right, F.array(*[F.col(f"_m{i}") for i in range(dim)])).otherwise(
+            F.raise_error(F.lit(f"a vector's width is not {dim}")))
+        return g.select(*keys, mean.alias(out))
     ex = df.select(*keys, F.posexplode(vec).alias("_pos", "_val"))
     per_dim = ex.groupBy(*keys, "_pos").agg(F.avg("_val").alias("_val"))
     return (per_dim.groupBy(*keys)

@@ -7,6 +7,8 @@ things ever brought to the driver are the k centres and the k-score list.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
@@ -15,26 +17,36 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..session import ensure_checkpoint_dir
-from .similarity import cosine_pairs, neighbour_reduce
+from .similarity import core_links, neighbour_sum
+
+
+MAX_ITER = 300  # of a KMeans fit; one that stops there is reported as not converged
 
 
 def stable_input(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Repeatable KMeans input without funnelling it through one task: rows are hash-partitioned by id (one
-    partition per core: KMeans runs one job per iteration, so a wider split only adds task overhead) and sorted
-    within partitions, so the same data gives the same partitions in the same order, and the seeded fit is
-    reproducible."""
-    n = df.sparkSession.sparkContext.defaultParallelism
+    """Repeatable KMeans input without funnelling it through one task: rows are hash-partitioned by id into
+    ``spark.sql.shuffle.partitions`` (the setting a job sizes to its data) and sorted within partitions, so the same
+    data gives the same partitions in the same order, and the seeded fit is reproducible."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, id_col).sortWithinPartitions(id_col)
 
 
+def _fit(feats: DataFrame, k: int, seed: int, max_iter: int) -> KMeansModel:
+    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster", maxIter=max_iter).fit(feats)
+    if model.hasSummary and model.summary.numIter >= max_iter:
+        warnings.warn(f"KMeans with k={k} stopped after {max_iter} iterations without converging", stacklevel=3)
+    return model
+
+
 def to_features(df: DataFrame, vec: str = "v", out: str = "features") -> DataFrame:
     return df.withColumn(out, array_to_vector(F.col(vec)))
 
 
-def fit_kmeans(df: DataFrame, k: int, seed: int = 42, vec: str = "v", id_col: str = "doc_id", max_iter: int = 20):
+def fit_kmeans(df: DataFrame, k: int, seed: int = 42, vec: str = "v", id_col: str = "doc_id",
+               max_iter: int = MAX_ITER):
     """(model, labels (id, cluster), centroids (cluster, centroid)); Euclidean KMeans (k-means||)."""
     feats = to_features(df.select(id_col, vec), vec)
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster", maxIter=max_iter).fit(feats)
+    model = _fit(feats, k, seed, max_iter)
     labels = model.transform(feats).select(id_col, F.col("cluster").cast("int").alias("cluster"))
     return model, labels, centroid_table(model)
 
@@ -73,7 +85,7 @@ def silhouette_table(df: DataFrame, vec: str = "v", cluster_col: str = "cluster"
 
 
 def find_optimal_k(df: DataFrame, k_min: int = 3, k_max: int = 10, seed: int = 42, vec: str = "v",
-                   id_col: str = "doc_id"):
+                   id_col: str = "doc_id", max_iter: int = MAX_ITER):
     """silhouette (cosine) per k; best k is the highest score, ties -> smallest k.
 
     Returns (best_k, scores_table(k, silhouette)).  The input is cached once for the 2 x (k_max-k_min+1) jobs.
@@ -83,7 +95,7 @@ def find_optimal_k(df: DataFrame, k_min: int = 3, k_max: int = 10, seed: int = 4
     scores = []
     try:
         for k in range(k_min, k_max + 1):
-            model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(base)
+            model = _fit(base, k, seed, max_iter)
             scores.append((k, float(ev.evaluate(model.transform(base)))))
     finally:
         base.unpersist()
@@ -103,19 +115,22 @@ def kmeans_inertia(df: DataFrame, centroids: DataFrame, vec: str = "v", cluster_
     return j.agg(F.sum(sq).alias("inertia"))
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_iter: int = 100) -> DataFrame:
-    """(id, label) with label = smallest id of the component.
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, label) with label = smallest id of the component; ``edges`` (src, dst) hold both directions.
 
     Each round: min-label propagation over the edges (one join + one partial aggregate), then pointer jumping
     (a node also takes the label of its label, one more join), which shortcuts long chains so the number of
     rounds grows with the log of the diameter.  Labels are always ids of the same component, so the fixed point
-    is the component minimum.  Every round ends in a reliable checkpoint in the shared folder: a round reads the
-    previous labels several times, so without cutting the lineage the query plan would double each round; with
-    it, each round is a constant-size plan and restarts from the last round after an executor loss.
+    is the component minimum; rounds go on until none changes a label.  Every round ends in a reliable checkpoint in
+    the shared folder: a round reads the previous labels several times, so without cutting the lineage the query
+    plan would double each round; with it, each round is a constant-size plan and restarts from the last round
+    after an executor loss.
     """
     ensure_checkpoint_dir(nodes.sparkSession)
+    edges = edges.checkpoint()
     labels = nodes.select(F.col("id"), F.col("id").alias("label")).checkpoint()
-    for _ in range(max_iter):
+    changed = 1
+    while changed:
         msgs = edges.join(labels.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "label")
         best = msgs.unionByName(labels).groupBy("id").agg(F.min("label").alias("label"))
         hop = best.select(F.col("id").alias("label"), F.col("label").alias("_ll"))
@@ -123,74 +138,43 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_iter: int = 100
         best = best.checkpoint()
         changed = best.join(labels.withColumnRenamed("label", "_old"), "id").where(F.col("label") != F.col("_old")).count()
         labels = best
-        if changed == 0:
-            break
     return labels
 
 
+HOT_PARTS = 1000  # a vector with more than 1/HOT_PARTS of the rows is joined by broadcast: fewer than HOT_PARTS vectors
+
+
 def density_clusters(df: DataFrame, threshold: float, min_pts: int, id_col: str = "doc_id", vec: str = "v",
-                     pairs: DataFrame | None = None, max_iter: int = 100) -> DataFrame:
+                     blocks: int | None = None) -> DataFrame:
     """fixed-radius density clustering with noise = -1.
 
-    Neighbours: cosine > threshold (E5).  Core: at least ``min_pts`` points in the neighbourhood, itself included.
-    Core points connected through core-core neighbourhoods share a label (smallest member id); a border point takes
-    the smallest label among its core neighbours; the rest is noise (-1).
+    Neighbours: cosine > threshold (E5); a zero vector has cosine 0, also to its copies.  Core: at least ``min_pts``
+    points in the neighbourhood, itself included.  Core points connected through core-core neighbourhoods share a
+    label (smallest member id); a border point takes the smallest label among its core neighbours; the rest is noise.
 
-    Exact copies are first collapsed to one representative per distinct vector, with its multiplicity.  No
-    neighbour edge list is built: every step is a block join that reduces each point's neighbourhood inside the
-    task (multiplicity-weighted degree; smallest label among core neighbours), so a group of near copies costs
-    one row per point and round, never its m^2/2 pairs.  Label rounds use min-label propagation plus pointer
-    jumping, each ending in a reliable checkpoint.  With explicit ``pairs`` the edge-list form is used instead.
+    Exact copies are first collapsed to one representative per distinct vector, with its multiplicity.  The vectors
+    pass through the pruned block join twice: once for the degrees, once for the links (a spanning forest per group
+    plus the few core neighbours of each border point); the label rounds work on ids only.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    ids = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec).alias("_v"))
-    groups = ids.groupBy("_v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("mult"))  # partial aggregate
-    member = ids.join(groups.select("_v", "rep"), "_v").select("id", "rep")
-    reps = groups.select(F.col("rep").alias("id"), F.col("_v").alias("v"), "mult").checkpoint()
-    own = (F.col("mult") - 1) if threshold < 1.0 else F.lit(0)  # identical vectors have cosine 1
-    if pairs is not None:
-        labels = _density_from_pairs(reps, pairs, own, min_pts)
-    else:
-        deg = neighbour_reduce(reps, threshold, "weight", "mult", id_col="id")
-        core = (reps.join(deg.withColumnRenamed("value", "_deg"), "id", "left")
-                .where(F.coalesce("_deg", F.lit(0)) + own + 1 >= min_pts).select("id", "v").checkpoint())
-        lab = core.select("id", "v", F.col("id").alias("label")).checkpoint()
-        for _ in range(max_iter):
-            cand = neighbour_reduce(lab, threshold, "minlabel", "label", id_col="id")
-            best = (lab.join(cand, "id", "left")
-                    .select("id", "v", F.least("label", F.coalesce("value", "label")).alias("label")))
-            hop = best.select(F.col("id").alias("label"), F.col("label").alias("_ll"))
-            best = (best.join(hop, "label", "left")
-                    .select("id", "v", F.least("label", F.coalesce("_ll", "label")).alias("label")).checkpoint())
-            changed = (best.join(lab.select("id", F.col("label").alias("_old")), "id")
-                       .where(F.col("label") != F.col("_old")).count())
-            lab = best
-            if changed == 0:
-                break
-        # border points: smallest label among core neighbours (core points carry their label, the others -1)
-        tagged = (reps.select("id", "v").join(lab.select("id", "label"), "id", "left")
-                  .select("id", "v", F.coalesce("label", F.lit(-1)).alias("label")))
-        near = neighbour_reduce(tagged, threshold, "minlabel", "label", id_col="id")
-        border = near.join(lab.select("id"), "id", "left_anti").select("id", F.col("value").alias("label"))
-        labels = lab.select("id", "label").unionByName(border)
-    labels = labels.withColumnRenamed("id", "rep")
+    ids = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec).alias("_v")).checkpoint()
+    groups = ids.groupBy("_v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("mult")).checkpoint()  # partial aggregate
+    hot = groups.where(F.col("mult") * HOT_PARTS > ids.count()).select("_v", F.col("rep").alias("_hot"))
+    tagged = ids.join(F.broadcast(hot), "_v", "left")          # all copies of one vector must not meet in one task
+    member = (tagged.where("_hot is not null").select("id", F.col("_hot").alias("rep"))
+              .unionByName(tagged.where("_hot is null").select("id", "_v").join(groups, "_v").select("id", "rep")))
+    alike = F.when(V.sumsq("_v") > 0, F.lit(1.0)).otherwise(F.lit(0.0)) > F.lit(float(threshold))
+    own = F.when(alike, F.col("mult") - 1).otherwise(0)
+    reps = groups.select(F.col("rep").alias("id"), F.col("_v").alias("v"), "mult", own.alias("own")).checkpoint()
+    deg = neighbour_sum(reps, threshold, "mult", id_col="id", blocks=blocks)
+    flagged = (reps.join(deg.withColumnRenamed("value", "_deg"), "id", "left")
+               .select("id", "v", (F.coalesce("_deg", F.lit(0)) + F.col("own") + 1 >= min_pts).alias("core"))).checkpoint()
+    links = core_links(flagged, threshold, "core", id_col="id", blocks=blocks).checkpoint()
+    joined = links.where("core").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    labels = connected_components(flagged.where("core").select("id"),
+                                  joined.unionByName(joined.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    border = (links.where(~F.col("core")).join(labels.withColumnRenamed("id", "b"), "b")
+              .groupBy(F.col("a").alias("id")).agg(F.min("label").alias("label")))
+    labels = labels.unionByName(border).withColumnRenamed("id", "rep")
     return (member.join(labels, "rep", "left")
             .select(F.col("id").alias(id_col), F.coalesce("label", F.lit(-1)).cast("long").alias("cluster")))
-
-
-def _density_from_pairs(reps: DataFrame, pairs: DataFrame, own, min_pts: int) -> DataFrame:
-    """Edge-list form of F6 for a given pair table (id_a, id_b) over the representatives."""
-    p = pairs.checkpoint()
-    nb = (p.select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
-          .unionByName(p.select(F.col("id_b").alias("src"), F.col("id_a").alias("dst"))))
-    mult = reps.select(F.col("id").alias("dst"), F.col("mult").alias("_m"))
-    deg = nb.join(mult, "dst").groupBy("src").agg(F.sum("_m").alias("_deg"))
-    core = (reps.select("id", "mult").join(deg.withColumnRenamed("src", "id"), "id", "left")
-            .where(F.coalesce("_deg", F.lit(0)) + own + 1 >= min_pts).select("id")).checkpoint()
-    core_edges = (nb.join(core.withColumnRenamed("id", "src"), "src", "left_semi")
-                  .join(core.withColumnRenamed("id", "dst"), "dst", "left_semi")).checkpoint()
-    comp = connected_components(core, core_edges)
-    border = (nb.join(comp.withColumnRenamed("id", "dst"), "dst")
-              .join(core.withColumnRenamed("id", "src"), "src", "left_anti")
-              .groupBy(F.col("src").alias("id")).agg(F.min("label").alias("label")))
-    return comp.unionByName(border)

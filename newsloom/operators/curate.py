@@ -13,17 +13,6 @@ def new_links(links: DataFrame, ledger: DataFrame, url_col: str = "url") -> Data
     return links.join(ledger.select(F.col(url_col)).distinct(), url_col, "left_anti")
 
 
-def duplicate_losers(pairs: DataFrame, articles: DataFrame, id_col: str = "doc_id", wc_col: str = "word_count") -> DataFrame:
-    """For each pair (id_a < id_b) the row that is dropped: the one with fewer words; a tie drops the later one.
-
-    Not transitive and not greedy: a row already dropped still knocks out others.
-    """
-    wc = articles.select(F.col(id_col).alias("_id"), F.col(wc_col).alias("_wc"))
-    p = (pairs.join(wc.withColumnRenamed("_id", "id_a").withColumnRenamed("_wc", "wc_a"), "id_a")
-         .join(wc.withColumnRenamed("_id", "id_b").withColumnRenamed("_wc", "wc_b"), "id_b"))
-    return p.select(F.when(F.col("wc_a") >= F.col("wc_b"), F.col("id_b")).otherwise(F.col("id_a")).alias(id_col)).distinct()
-
-
 def losers_from_best(best: DataFrame, articles: DataFrame, id_col: str = "doc_id", wc_col: str = "word_count") -> DataFrame:
     """x is dropped iff some neighbour outranks it: more words, or as many words and an earlier id (= the pair rule
     applied to every pair, non-transitively)."""
@@ -34,19 +23,14 @@ def losers_from_best(best: DataFrame, articles: DataFrame, id_col: str = "doc_id
 
 
 def near_duplicates(articles: DataFrame, threshold: float, id_col: str = "doc_id", vec: str = "v",
-                    wc_col: str = "word_count", pairs: DataFrame | None = None, models: DataFrame | None = None,
-                    blocks: int | None = None) -> DataFrame:
+                    wc_col: str = "word_count", models: DataFrame | None = None, blocks: int | None = None) -> DataFrame:
     """H2: drop near duplicates: of each pair above the threshold the one with fewer words, a tie drops the later.
 
-    Without explicit ``pairs`` no pair list is built: each article only needs its best-ranked neighbour
-    (E5 similarity, or E6 when ``models`` (long form) are given).
+    No pair list is built: each article only needs its best-ranked neighbour (E5 similarity, or E6 when ``models``
+    (long form) are given).  Not transitive and not greedy: an article already dropped still knocks out others.
     """
-    if pairs is not None:
-        losers = duplicate_losers(pairs, articles, id_col, wc_col)
+    if models is not None:
+        best = ensemble_best_neighbours(models, articles, threshold, id_col, wc_col, blocks)
     else:
-        if models is not None:
-            best = ensemble_best_neighbours(models, articles, threshold, id_col, wc_col, blocks)
-        else:
-            best = best_neighbours(articles.select(id_col, wc_col, vec), threshold, id_col, vec, wc_col, blocks)
-        losers = losers_from_best(best, articles, id_col, wc_col)
-    return articles.join(losers, id_col, "left_anti")
+        best = best_neighbours(articles.select(id_col, wc_col, vec), threshold, id_col, vec, wc_col, blocks)
+    return articles.join(losers_from_best(best, articles, id_col, wc_col), id_col, "left_anti")

@@ -62,10 +62,9 @@ def list_articles(df: DataFrame, skip: int = 0, limit: int = 10, source: str | N
     if cluster is not None:
         f = f.where(F.col("cluster") == cluster)
     total = f.select(F.count(F.lit(1))).scalar()
-    page = f.orderBy(key).offset(skip).limit(limit).select(key, *PAGE_COLUMNS)
-    returned = page.select(F.count(F.lit(1))).scalar()
-    return page.select(F.lit(skip).alias("skip"), F.lit(limit).alias("limit"), total.alias("total"),
-                       returned.alias("returned"), *[F.col(c) for c in [key] + PAGE_COLUMNS])
+    page = f.orderBy(key).offset(skip).limit(limit).select(key, *PAGE_COLUMNS).withColumn("total", total)
+    returned = F.least(F.lit(limit).cast("long"), F.greatest(F.col("total") - skip, F.lit(0)))
+    return page.select(F.lit(skip).alias("skip"), F.lit(limit).alias("limit"), "total", returned.alias("returned"), key, *PAGE_COLUMNS)
 
 
 def top_articles(df: DataFrame, limit: int = 10, cluster: int | None = None, min_score: float = 0.0,

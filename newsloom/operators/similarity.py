@@ -1,17 +1,20 @@
 """All-pairs cosine similarity (E5, E6) and its consumers.
 
-Exact pairs above a threshold are found with a *block self-join*: every row is
-hashed to one of B blocks and replicated to the B unordered block pairs it
-belongs to; each (bi, bj) group holds at most two blocks, so per-task memory is
-bounded by the block size (a parameter), whatever the corpus size.  Inside a
-group one matrix product scores all pairs and only pairs above the threshold
-leave the task -- never the full pair set.  Blocks are assigned by hash, so no
-source or cluster skew can concentrate rows in one group.
+Exact pairs above a threshold t come from a *pruned block join*.  A bounded set of rows (the pivots) cuts the unit
+vectors into cells: each row belongs to its nearest pivot, and a cell's radius is its largest angle to the pivot.  By
+the triangle inequality of angles a row x can only have a neighbour in another cell if its angle to that cell's pivot
+is at most the cell's radius plus acos(t); only then is x sent there, as a guest.  At the thresholds of duplicate
+removal (0.85 to 0.95) most cells are skipped; at low thresholds nothing can be skipped and the join is a plain block
+join.  Cells are cut further into groups of at most ``block_rows`` targets and about as many query rows, so a cell
+that holds a third of all rows (near copies) is many groups, and memory per task is bounded whatever n is.  Inside a
+group one matrix product scores all pairs; only what a consumer asks for (pairs, a best neighbour, a sum, links of a
+spanning forest) leaves the task.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -22,122 +25,213 @@ from ..functions import vectors as V
 from ..session import ensure_checkpoint_dir
 
 PAIR_SCHEMA = "id_a long, id_b long, sim double"
+BEST_SCHEMA = "id long, best_wc long, best_id long"
+REDUCE_SCHEMA = "id long, value long"
+LINK_SCHEMA = "a long, b long, core boolean"
 DEFAULT_BLOCK_ROWS = 2048
+MAX_PIVOTS = 1024          # rows of the pivot matrix, the only thing broadcast
+_EPS = 1e-6                # angles are computed in floating point
+_GROUP = ["_c", "_b", "_q"]
 
 
-def _block_pairs_udf(threshold: float):
-    thr = float(threshold)
+def _angles(u: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(u @ pivots.T, -1.0, 1.0))
 
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        bi, bj = int(pdf["_bi"].iloc[0]), int(pdf["_bj"].iloc[0])
-        ids = pdf["_id"].to_numpy(dtype=np.int64)
-        mat = np.vstack(pdf["_u"].to_numpy()) if len(pdf) else np.zeros((0, 0))
-        blk = pdf["_b"].to_numpy()
-        if bi == bj:
-            order = np.argsort(ids, kind="stable")
-            ids, mat = ids[order], mat[order]
-            sims = mat @ mat.T
-            ia, ib = np.nonzero(np.triu(sims > thr, k=1))
-            a, b, s = ids[ia], ids[ib], sims[ia, ib]
-        else:
-            left, right = blk == bi, blk == bj
-            la, ra = ids[left], ids[right]
-            sims = mat[left] @ mat[right].T
-            ia, ib = np.nonzero(sims > thr)
-            x, y, s = la[ia], ra[ib], sims[ia, ib]
-            a, b = np.minimum(x, y), np.maximum(x, y)
-        return pd.DataFrame({"id_a": a.astype(np.int64), "id_b": b.astype(np.int64), "sim": s.astype(np.float64)})
-
-    return score
 
+def candidate_groups(base: DataFrame, threshold: float, payload: dict[str, str], blocks: int | None = None,
+                     block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """Rows (_c, _b, _q, _side, _same, _id, _u, payload) dealt into groups so that every unordered pair of rows with
+    cosine above ``threshold`` meets in exactly one group, one row as target (side 0), the other as query (side 1).
 
-BEST_SCHEMA = "id long, best_wc long, best_id long"
-
+    Query rows with ``_same`` also lie among the group's targets; of those pairs only query id < target id counts.
+    ``base`` has columns _id (unique), _u (unit vectors of one width, or zero) and the payload columns; it is read
+    several times and should be stored.  ``blocks`` fixes the number of cells.
+    """
+    spark = base.sparkSession
+    n = base.count()
+    rows = max(64, min(block_rows, math.ceil(n / math.ceil(math.sqrt(2 * spark.sparkContext.defaultParallelism)))))
+    cells = min(MAX_PIVOTS, blocks or max(1, math.ceil(n / rows)))
+    prune = threshold >= 0.0
+    source = base.where(V.sumsq("_u") > 0) if prune else base    # a zero vector has cosine 0 to everything
+    picked = source.where(V.sumsq("_u") > 0).orderBy(F.xxhash64("_id"), "_id").limit(cells).select("_u").collect()
+    theta = math.acos(min(1.0, threshold)) + _EPS if prune else math.pi
+    schema = "_c int, _b int, _q int, _side int, _same boolean, _id long, _u array<double>" + "".join(f", {k} {t}" for k, t in payload.items())
+    if not picked:
+        return spark.createDataFrame([], schema)
+    pivots = spark.sparkContext.broadcast(np.array([r["_u"] for r in picked], float))
+
+    def extent(batches):
+        for pdf in batches:
+            a = _angles(np.vstack(pdf["_u"].to_numpy()), pivots.value)
+            own = a.argmin(axis=1)
+            yield pd.DataFrame({"c": own.astype(np.int32), "r": a[np.arange(len(a)), own]})
+
+    # one row per cell (at most MAX_PIVOTS) reaches the driver
+    size = {r["c"]: (r["r"], r["n"]) for r in source.select("_u").mapInPandas(extent, "c int, r double").groupBy("c").agg(
+        F.max("r").alias("r"), F.count("*").alias("n")).collect()}
+    radius = np.array([size.get(c, (-math.inf, 0))[0] for c in range(len(picked))])
+    members = np.array([size.get(c, (0.0, 0))[1] for c in range(len(picked))])
+
+    def guests_of(a, own):
+        return (a <= radius[None, :] + theta) & (np.arange(a.shape[1])[None, :] > own[:, None]) & (members > 0)[None, :]
+
+    def guest_counts(batches):
+        for pdf in batches:
+            a = _angles(np.vstack(pdf["_u"].to_numpy()), pivots.value)
+            count = guests_of(a, a.argmin(axis=1)).sum(axis=0)
+            yield pd.DataFrame({"c": np.flatnonzero(count).astype(np.int32), "n": count[count > 0]})
+
+    visits = {r["c"]: r["n"] for r in source.select("_u").mapInPandas(guest_counts, "c int, n long").groupBy("c").agg(
+        F.sum("n").alias("n")).collect()} if len(picked) > 1 else {}
+    subs = np.maximum(1, -(-members // rows))
+    shares = np.array([max(1, -(-(int(members[c]) + visits.get(c, 0)) // (2 * rows))) for c in range(len(picked))])
+    names = list(payload)
+
+    def deal(batches):
+        for pdf in batches:
+            ids = pdf["_id"].to_numpy(np.int64)
+            h = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+            a = _angles(np.vstack(pdf["_u"].to_numpy()), pivots.value)
+            own = a.argmin(axis=1)
+            visit = guests_of(a, own)
+            parts = []
+            for c in np.flatnonzero(visit.any(axis=0) | np.isin(np.arange(len(subs)), own)):
+                s, q = int(subs[c]), int(shares[c])
+                mine, guest = np.flatnonzero(own == c), np.flatnonzero(visit[:, c])
+                sub = (h[mine] % np.uint64(s)).astype(int)
+                for share in range(q):                                     # targets meet every share of the queries
+                    parts.append((mine, c, sub, share, 0, np.zeros(len(mine), bool)))
+                for b in range(s):
+                    ask = mine[sub <= b]
+                    parts.append((ask, c, b, (h[ask] >> np.uint64(9)) % np.uint64(q), 1, sub[sub <= b] == b))
+                    parts.append((guest, c, b, (h[guest] >> np.uint64(9)) % np.uint64(q), 1, np.zeros(len(guest), bool)))
+            for at, c, b, share, side, same in parts:
+                if len(at):
+                    out = pdf.iloc[at]
+                    yield pd.DataFrame({"_c": np.int32(c), "_b": np.asarray(b, np.int32), "_q": np.asarray(share, np.int32), "_side": np.int32(side),
+                                        "_same": same, "_id": out["_id"].to_numpy(), "_u": out["_u"].to_numpy(),
+                                        **{k: out[k].to_numpy() for k in names}}, index=range(len(at)))
+
+    return source.select("_id", "_u", *names).mapInPandas(deal, schema)
+
+
+def _hits(pdf: pd.DataFrame, thr: float):
+    """(query rows, target rows, similarities, mask of pairs that count) of one group."""
+    ask, tgt = pdf[pdf["_side"] == 1], pdf[pdf["_side"] == 0]
+    if not len(ask) or not len(tgt):
+        return ask, tgt, np.zeros((len(ask), len(tgt))), np.zeros((len(ask), len(tgt)), bool)
+    sims = np.vstack(ask["_u"].to_numpy()) @ np.vstack(tgt["_u"].to_numpy()).T
+    same = ask["_same"].to_numpy(bool)[:, None] & (ask["_id"].to_numpy()[:, None] >= tgt["_id"].to_numpy()[None, :])
+    return ask, tgt, sims, (sims > thr) & ~same
+
+
+def _grouped(df: DataFrame, threshold: float, score: Callable, out_schema: str, payload: dict[str, str], blocks, block_rows) -> DataFrame:
+    """Store the slim rows once in the shared checkpoint folder, deal them, and score every group."""
+    ensure_checkpoint_dir(df.sparkSession)
+    groups = candidate_groups(df.checkpoint(), threshold, payload, blocks, block_rows)
+    return groups.groupBy(*_GROUP).applyInPandas(score, out_schema)
+
+
+def _unit(vec: str, normalize: bool):
+    return (V.l2_normalize(vec) if normalize else F.col(vec)).alias("_u")
 
-def _block_best_udf(threshold: float):
-    """Per block pair: for every row, its best-ranked neighbour above the threshold (most words, then smallest id).
 
-    One row per row that has a neighbour -- never the pairs themselves.
-    """
+def cosine_pairs(df: DataFrame, threshold: float, id_col: str = "doc_id", vec: str = "v", blocks: int | None = None,
+                 block_rows: int = DEFAULT_BLOCK_ROWS, normalize: bool = True) -> DataFrame:
+    """E5: (id_a < id_b, sim) for every pair with cosine strictly above ``threshold``."""
     thr = float(threshold)
-    none = np.iinfo(np.int64).max
 
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        bi, bj = int(pdf["_bi"].iloc[0]), int(pdf["_bj"].iloc[0])
-        ids = pdf["_id"].to_numpy(dtype=np.int64)
-        wcs = pdf["_wc"].to_numpy(dtype=np.int64)
-        mat = np.vstack(pdf["_u"].to_numpy())
-        blk = pdf["_b"].to_numpy()
-        outs = []
-        sides = [(blk == bi, blk == bi)] if bi == bj else [(blk == bi, blk == bj), (blk == bj, blk == bi)]
-        for rows, cols in sides:
-            r_ids, c_ids, c_wc = ids[rows], ids[cols], wcs[cols]
-            hit = (mat[rows] @ mat[cols].T) > thr
-            if bi == bj:
-                np.fill_diagonal(hit, False)
-            has = hit.any(axis=1)
-            if not has.any():
-                continue
-            top_wc = np.where(hit, c_wc[None, :], -1).max(axis=1)
-            top_id = np.where(hit & (c_wc[None, :] == top_wc[:, None]), c_ids[None, :], none).min(axis=1)
-            outs.append(pd.DataFrame({"id": r_ids[has], "best_wc": top_wc[has], "best_id": top_id[has]}))
-        if not outs:
-            return pd.DataFrame({"id": pd.Series(dtype=np.int64), "best_wc": pd.Series(dtype=np.int64),
-                                 "best_id": pd.Series(dtype=np.int64)})
-        return pd.concat(outs, ignore_index=True)
-
-    return best
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        ask, tgt, sims, hit = _hits(pdf, thr)
+        i, j = np.nonzero(hit)
+        x, y = ask["_id"].to_numpy()[i], tgt["_id"].to_numpy()[j]
+        return pd.DataFrame({"id_a": np.minimum(x, y), "id_b": np.maximum(x, y), "sim": sims[i, j]})
+
+    base = df.select(F.col(id_col).cast("long").alias("_id"), _unit(vec, normalize))
+    return _grouped(base, thr, score, PAIR_SCHEMA, {}, blocks, block_rows)
 
 
 def best_neighbours(df: DataFrame, threshold: float, id_col: str = "doc_id", vec: str = "v",
                     wc_col: str = "word_count", blocks: int | None = None, block_rows: int = DEFAULT_BLOCK_ROWS,
                     normalize: bool = True) -> DataFrame:
     """For every row with at least one neighbour (cosine > threshold): its best neighbour by (word count desc,
-    id asc) -> (id, best_wc, best_id).
+    id asc) -> (id, best_wc, best_id).  A group returns one row per row, so m copies cost O(m) output, not m^2/2."""
+    thr, none = float(threshold), np.iinfo(np.int64).max
 
-    Same block self-join as ``cosine_pairs`` but each task returns one row per row and block pair, and the block
-    results are merged with a partial ``max`` per id: a group of m copies costs O(m) output, not m^2/2 pairs.
-    """
-    u = V.l2_normalize(vec) if normalize else F.col(vec)
-    base, nb = _blocked(df.select(F.col(id_col).cast("long").alias("_id"), F.col(wc_col).cast("long").alias("_wc"),
-                                  u.alias("_u")), blocks, block_rows)
-    b = F.pmod(F.xxhash64("_id"), F.lit(nb)).cast("int")
-    rep = (base.withColumn("_b", b)
-           .withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
-           .withColumn("_bi", F.least("_b", "_o")).withColumn("_bj", F.greatest("_b", "_o"))
-           .drop("_o"))
-    per_block = rep.groupBy("_bi", "_bj").applyInPandas(_block_best_udf(threshold), BEST_SCHEMA)
-    best = per_block.groupBy("id").agg(F.max(F.struct("best_wc", (F.lit(0) - F.col("best_id")).alias("nid"))).alias("b"))
-    return best.select("id", F.col("b.best_wc").alias("best_wc"), (F.lit(0) - F.col("b.nid")).alias("best_id"))
-
-
-def choose_blocks(df: DataFrame, block_rows: int = DEFAULT_BLOCK_ROWS) -> int:
-    n = df.count()
-    return max(1, math.ceil(n / block_rows))
-
-
-def _blocked(base: DataFrame, blocks: int | None, block_rows: int) -> tuple[DataFrame, int]:
-    """Fix the block count.  When it has to be measured, the slim (id, vector) rows are materialised once in the
-    shared checkpoint folder: the count and the join then read them, instead of evaluating the upstream plan
-    (text scans, filters, joins) twice."""
-    if blocks is not None:
-        return base, blocks
-    ensure_checkpoint_dir(base.sparkSession)
-    base = base.checkpoint()
-    return base, choose_blocks(base, block_rows)
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        ask, tgt, _, hit = _hits(pdf, thr)
+        out = []
+        for rows, cols, h in ((ask, tgt, hit), (tgt, ask, hit.T)):
+            has = h.any(axis=1) if h.size else np.zeros(len(rows), bool)
+            if has.any():
+                wc, ids, h = cols["_x"].to_numpy(np.int64), cols["_id"].to_numpy(np.int64), h[has]
+                top = np.where(h, wc[None, :], np.iinfo(np.int64).min).max(axis=1)
+                first = np.where(h & (wc[None, :] == top[:, None]), ids[None, :], none).min(axis=1)
+                out.append(pd.DataFrame({"id": rows["_id"].to_numpy()[has], "best_wc": top, "best_id": first}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["id", "best_wc", "best_id"], dtype=np.int64)
+
+    base = df.select(F.col(id_col).cast("long").alias("_id"), _unit(vec, normalize), F.col(wc_col).cast("long").alias("_x"))
+    per_group = _grouped(base, thr, best, BEST_SCHEMA, {"_x": "long"}, blocks, block_rows)
+    b = per_group.groupBy("id").agg(F.max(F.struct("best_wc", (F.lit(0) - F.col("best_id")).alias("nid"))).alias("b"))
+    return b.select("id", F.col("b.best_wc").alias("best_wc"), (F.lit(0) - F.col("b.nid")).alias("best_id"))
+
+
+def neighbour_sum(df: DataFrame, threshold: float, value_col: str, id_col: str = "doc_id", vec: str = "v",
+                  blocks: int | None = None, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """(id, value): the sum of ``value_col`` over each row's neighbours (itself excluded); rows without any are absent."""
+    thr = float(threshold)
 
+    def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
+        ask, tgt, _, hit = _hits(pdf, thr)
+        x, y = ask["_x"].to_numpy(np.int64), tgt["_x"].to_numpy(np.int64)
+        out = pd.DataFrame({"id": np.r_[ask["_id"].to_numpy(np.int64), tgt["_id"].to_numpy(np.int64)],
+                            "value": np.r_[hit @ y, hit.T @ x].astype(np.int64)})
+        return out[out["value"] > 0]
 
-def cosine_pairs(df: DataFrame, threshold: float, id_col: str = "doc_id", vec: str = "v", blocks: int | None = None,
-                 block_rows: int = DEFAULT_BLOCK_ROWS, normalize: bool = True) -> DataFrame:
-    """E5: (id_a < id_b, sim) for every pair with cosine strictly above ``threshold``."""
-    u = V.l2_normalize(vec) if normalize else F.col(vec)
-    base, nb = _blocked(df.select(F.col(id_col).cast("long").alias("_id"), u.alias("_u")), blocks, block_rows)
-    b = F.pmod(F.xxhash64("_id"), F.lit(nb)).cast("int")
-    rep = (base.withColumn("_b", b)
-           .withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
-           .withColumn("_bi", F.least("_b", "_o")).withColumn("_bj", F.greatest("_b", "_o"))
-           .drop("_o"))
-    return rep.groupBy("_bi", "_bj").applyInPandas(_block_pairs_udf(threshold), PAIR_SCHEMA)
+    base = df.select(F.col(id_col).cast("long").alias("_id"), _unit(vec, True), F.col(value_col).cast("long").alias("_x"))
+    part = _grouped(base, thr, reduce, REDUCE_SCHEMA, {"_x": "long"}, blocks, block_rows)
+    return part.groupBy("id").agg(F.sum("value").alias("value"))
+
+
+def core_links(df: DataFrame, threshold: float, core_col: str, id_col: str = "doc_id", vec: str = "v",
+               blocks: int | None = None, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """(a, b, core): for core rows a spanning forest of the neighbour graph of each group (core = true: a and b are
+    connected), and every link of a row that is not core to a core row (core = false: a is the row, b the core row).
+
+    A group of m near copies costs m links, not m^2/2: a group's core rows are labelled inside the task.
+    """
+    thr = float(threshold)
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        ask, tgt, _, hit = _hits(pdf, thr)
+        qi, ti = ask["_id"].to_numpy(np.int64), tgt["_id"].to_numpy(np.int64)
+        qc, tc = ask["_x"].to_numpy(np.int64) > 0, tgt["_x"].to_numpy(np.int64) > 0
+        both = hit & qc[:, None] & tc[None, :]
+        big = np.iinfo(np.int64).max
+        lq, lt = qi.copy(), ti.copy()
+        while both.any():
+            # a row may stand on both sides: give both its labels the smaller one
+            order = np.argsort(np.r_[qi, ti], kind="stable")
+            ids, lab = np.r_[qi, ti][order], np.r_[lq, lt][order]
+            head = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+            low = np.repeat(np.minimum.reduceat(lab, head), np.diff(np.r_[head, len(ids)]))
+            merged = np.empty_like(low)
+            merged[order] = low
+            mq, mt = merged[:len(qi)], merged[len(qi):]
+            nq = np.minimum(mq, np.where(both, mt[None, :], big).min(axis=1))
+            nt = np.minimum(mt, np.where(both, nq[:, None], big).min(axis=0))
+            if (nq == lq).all() and (nt == lt).all():
+                break
+            lq, lt = nq, nt
+        rows = [pd.DataFrame({"a": np.r_[qi, ti], "b": np.r_[lq, lt], "core": True})]
+        rows[0] = rows[0][rows[0]["a"] != rows[0]["b"]]
+        for x, y, h in ((qi, ti, hit & ~qc[:, None] & tc[None, :]), (ti, qi, (hit & qc[:, None] & ~tc[None, :]).T)):
+            i, j = np.nonzero(h)
+            rows.append(pd.DataFrame({"a": x[i], "b": y[j], "core": False}))
+        return pd.concat(rows, ignore_index=True).drop_duplicates()
+
+    base = df.select(F.col(id_col).cast("long").alias("_id"), _unit(vec, True), F.col(core_col).cast("long").alias("_x"))
+    return _grouped(base, thr, links, LINK_SCHEMA, {"_x": "long"}, blocks, block_rows)
 
 
 def stacked_models(models: DataFrame, id_col: str = "doc_id", model_col: str = "model", vec: str = "v") -> DataFrame:
@@ -165,61 +259,6 @@ def ensemble_best_neighbours(models: DataFrame, articles: DataFrame, threshold:
     return best_neighbours(st, threshold, id_col=id_col, vec="v", wc_col=wc_col, blocks=blocks, normalize=False)
 
 
-REDUCE_SCHEMA = "id long, value long"
-
-
-def _block_reduce_udf(threshold: float, kind: str):
-    """Per block pair, reduce every row's neighbourhood (cosine > threshold, itself excluded) to one value:
-    ``weight``: sum of the neighbours' weights; ``minlabel``: smallest label among labelled neighbours."""
-    thr = float(threshold)
-    big = np.iinfo(np.int64).max
-
-    def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
-        bi, bj = int(pdf["_bi"].iloc[0]), int(pdf["_bj"].iloc[0])
-        ids = pdf["_id"].to_numpy(dtype=np.int64)
-        val = pdf["_x"].to_numpy(dtype=np.int64)
-        mat = np.vstack(pdf["_u"].to_numpy())
-        blk = pdf["_b"].to_numpy()
-        outs = []
-        sides = [(blk == bi, blk == bi)] if bi == bj else [(blk == bi, blk == bj), (blk == bj, blk == bi)]
-        for rows, cols in sides:
-            hit = (mat[rows] @ mat[cols].T) > thr
-            if bi == bj:
-                np.fill_diagonal(hit, False)
-            if kind == "weight":
-                red = (hit * val[cols][None, :]).sum(axis=1)
-                keep = red > 0
-            else:
-                red = np.where(hit & (val[cols][None, :] >= 0), val[cols][None, :], big).min(axis=1)
-                keep = red < big
-            if keep.any():
-                outs.append(pd.DataFrame({"id": ids[rows][keep], "value": red[keep].astype(np.int64)}))
-        if not outs:
-            return pd.DataFrame({"id": pd.Series(dtype=np.int64), "value": pd.Series(dtype=np.int64)})
-        return pd.concat(outs, ignore_index=True)
-
-    return reduce
-
-
-def neighbour_reduce(df: DataFrame, threshold: float, kind: str, value_col: str, id_col: str = "doc_id",
-                     vec: str = "v", blocks: int | None = None, block_rows: int = DEFAULT_BLOCK_ROWS,
-                     normalize: bool = True) -> DataFrame:
-    """(id, value) per row: its neighbourhood reduced inside the block join -- ``weight`` sums ``value_col`` over
-    the neighbours, ``minlabel`` takes the smallest non-negative ``value_col`` among them.  No pair leaves a task;
-    block results merge with one partial aggregate per id."""
-    u = V.l2_normalize(vec) if normalize else F.col(vec)
-    base, nb = _blocked(df.select(F.col(id_col).cast("long").alias("_id"), F.col(value_col).cast("long").alias("_x"),
-                                  u.alias("_u")), blocks, block_rows)
-    b = F.pmod(F.xxhash64("_id"), F.lit(nb)).cast("int")
-    rep = (base.withColumn("_b", b)
-           .withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
-           .withColumn("_bi", F.least("_b", "_o")).withColumn("_bj", F.greatest("_b", "_o"))
-           .drop("_o"))
-    part = rep.groupBy("_bi", "_bj").applyInPandas(_block_reduce_udf(threshold, kind), REDUCE_SCHEMA)
-    agg = F.sum("value") if kind == "weight" else F.min("value")
-    return part.groupBy("id").agg(agg.alias("value"))
-
-
 def approx_cosine_pairs(df: DataFrame, threshold: float, id_col: str = "doc_id", vec: str = "v",
                         bucket_length: float = 1.0, num_tables: int = 4, seed: int = 42) -> DataFrame:
     """Approximate option for very large corpora: Euclidean LSH on unit vectors, then exact re-check.

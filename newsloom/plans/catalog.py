@@ -791,7 +791,7 @@ def q_sitemap_urls(spark, sf):
 
 @register("api_posts", with_views(f"""SELECT title, 'https://huggingface.co/blog/post-' || CAST(doc_id AS VARCHAR) AS url,
   CASE WHEN language <> 'de' THEN source ELSE '' END AS author, strftime(scraping_date, '%Y-%m-%d') AS date,
-  substr(content, 1, 200) AS summary, CASE WHEN language <> 'fr' THEN language || ',ai' ELSE '' END AS tags,
+  content AS summary, CASE WHEN language <> 'fr' THEN language || ',ai' ELSE '' END AS tags,
   doc_id % 50 AS likes
 FROM articles_v WHERE scraping_date >= {AS_OF_SQL} - INTERVAL 30 DAY""", "articles_v"))
 def q_api_posts(spark, sf):
@@ -799,7 +799,7 @@ def q_api_posts(spark, sf):
     post = F.struct(F.col("title").alias("title"), F.concat(F.lit("post-"), F.col("doc_id").cast("string")).alias("slug"),
                     F.when(F.col("language") != "de", F.struct(F.col("source").alias("name"))).alias("author"),
                     F.date_format("scraping_date", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("createdAt"),
-                    F.substring("content", 1, 200).alias("summary"),
+                    F.col("content").alias("summary"),
                     F.when(F.col("language") != "fr", F.array(F.col("language"), F.lit("ai"))).alias("tags"),
                     (F.col("doc_id") % 50).alias("likesCount"))
     payloads = a.select(F.to_json(F.array(post)).alias("payload"))

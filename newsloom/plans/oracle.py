@@ -29,7 +29,7 @@ def with_views(body: str, *names: str) -> str:
         visit(n)
     if not order:
         return body
-    ctes = ",\n".join(f"{n} AS (\n{_VIEWS[n][1]}\n)" for n in order)
+    ctes = ",\n".join(f"{n} AS MATERIALIZED (\n{_VIEWS[n][1]}\n)" for n in order)
     stripped = body.lstrip()
     if stripped[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{stripped[5:]}"
@@ -38,8 +38,9 @@ def with_views(body: str, *names: str) -> str:
 
 def unit(v: str) -> str:
     """DuckDB: unit-length copy of a DOUBLE[] (zero stays zero)."""
-    return (f"(CASE WHEN list_dot_product({v}, {v}) > 0 THEN list_transform({v}, lambda x: x / sqrt(list_dot_product({v}, {v})))"
-            f" ELSE {v} END)")
+    # the norm is bound once (a one-element list), not computed per element
+    return (f"list_transform([{{'v': {v}, 'n': sqrt(list_dot_product({v}, {v}))}}], "
+            "lambda s: CASE WHEN s.n > 0 THEN list_transform(s.v, lambda x: x / s.n) ELSE s.v END)[1]")
 
 
 def cosine(a: str, b: str) -> str:
@@ -71,7 +72,7 @@ def preprocess(c: str) -> str:
 view("articles_v", [], """  SELECT d.doc_id,
     ['TechCrunch','Hugging Face Blog','AWS Blog','Xataka','Wired ES','OpenAI Blog'][1 + CAST(substr(d.source, 4) AS INTEGER) % 6] AS source,
     'https://' || d.source || '.example.org/' || CAST(d.doc_id AS VARCHAR) AS url,
-    substr(string_split(d.text, chr(10))[1], 1, 120) AS title,
+    string_split(d.text, chr(10))[1] AS title,
     d.text AS content, d.lang AS language,
     TIMESTAMP '2024-01-01 08:00:00' + to_days(CAST(d.doc_id % 90 AS INTEGER)) + to_hours(CAST(d.doc_id % 13 AS INTEGER)) AS scraping_date
   FROM documents d""")
@@ -81,9 +82,8 @@ view("emb_count", [], "  SELECT count(*) AS n FROM embeddings")
 view("vec_v", ["articles_v"], """  SELECT a.doc_id, e.label AS cluster, CAST(e.embedding AS DOUBLE[]) AS v
   FROM articles_v a JOIN embeddings e ON e.vec_id = a.doc_id % (SELECT count(*) FROM embeddings)""")
 
-view("norm_v", ["articles_v"], f"""  SELECT *, CAST(length(content) AS BIGINT) AS content_length, {word_count('content')} AS word_count,
-    ({word_count('content')} > 150 AND language IN ('es', 'en')) AS is_valid
-  FROM articles_v""")
+view("norm_v", ["articles_v"], f"""  SELECT *, (word_count > 150 AND language IN ('es', 'en')) AS is_valid FROM (
+    SELECT *, CAST(length(content) AS BIGINT) AS content_length, {word_count('content')} AS word_count FROM articles_v)""")
 
 view("valid_v", ["norm_v"], "  SELECT * FROM norm_v WHERE is_valid")
 

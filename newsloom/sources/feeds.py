@@ -51,8 +51,10 @@ def feed_items(feeds: DataFrame, xml_col: str = "xml", keep: tuple[str, ...] = (
     Output: (source, feed_ord, pos, title, url, published, summary, content, date) where ``date`` is the
     published (else updated) date parsed as RFC-822 with the offset dropped; unparseable -> null.
     """
-    rss = F.from_xml(F.col(xml_col), RSS_SCHEMA, {"mode": "PERMISSIVE"})
-    atom = F.from_xml(F.col(xml_col), ATOM_SCHEMA, {"mode": "PERMISSIVE"})
+    # the format is chosen first: a document is parsed once, the other parser sees null
+    is_atom = F.col(xml_col).rlike(r"^\s*(<\?xml[^>]*>\s*)?<feed\b")
+    rss = F.from_xml(F.when(~is_atom, F.col(xml_col)), RSS_SCHEMA, {"mode": "PERMISSIVE"})
+    atom = F.from_xml(F.when(is_atom, F.col(xml_col)), ATOM_SCHEMA, {"mode": "PERMISSIVE"})
     f = feeds.withColumn("_rss", rss).withColumn("_atom", atom)
     rss_items = F.transform(F.coalesce(F.col("_rss.channel.item"), F.array()), lambda e: F.struct(
         e["title"].alias("title"), e["link"].alias("url"), e["pubDate"].alias("published"), e["updated"].alias("updated"),
@@ -60,7 +62,6 @@ def feed_items(feeds: DataFrame, xml_col: str = "xml", keep: tuple[str, ...] = (
     atom_items = F.transform(F.coalesce(F.col("_atom.entry"), F.array()), lambda e: F.struct(
         e["title"].alias("title"), e["link"]["_href"].alias("url"), e["published"].alias("published"),
         e["updated"].alias("updated"), e["summary"].alias("summary"), e["content"].alias("content")))
-    is_atom = F.col(xml_col).rlike(r"^\s*(<\?xml[^>]*>\s*)?<feed\b")
     items = F.when(is_atom, atom_items).otherwise(rss_items)
     ex = f.select("source", F.col("feed_ord"), *keep, F.posexplode(items).alias("pos", "e"))
     return ex.select("source", "feed_ord", *keep, "pos",

@@ -46,7 +46,9 @@ def ingest_batch(batch: DataFrame, rules: DataFrame, centroids: DataFrame, embed
     """
     spark = batch.sparkSession
     ledger = files.ledger_before(spark, ledger_root, version)  # replay-safe: never the batch's own ledger
-    fresh = batch.join(ledger, "url", "left_anti").dropDuplicates(["url"])
+    fresh = batch.join(ledger, "url", "left_anti")
+    # of the pages of one url always the one with the smallest id, whatever the order of the rows
+    fresh = fresh.groupBy("url").agg(F.min(F.struct("page_id", "html")).alias("p")).select("p.page_id", "url", "p.html")
     arts = pages.build_articles(fresh, rules, as_of)
     arts = arts.join(fresh.select("page_id", page_language("html").alias("language")), "page_id")
     arts = (arts.withColumn("content_length", T.content_length("content"))

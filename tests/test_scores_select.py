@@ -127,10 +127,13 @@ def test_flagship_invariant_to_partitioning(spark, parts):
     assert got == want
 
 
-def test_spread_only_when_the_scan_is_narrow(spark):
+def test_scan_partitions_are_the_callers_choice(spark):
     from newsloom.plans.fixtures import spread
-    cores = spark.sparkContext.defaultParallelism
-    wide = spark.range(0, 1000, numPartitions=cores * 2)
-    narrow = spark.range(0, 1000, numPartitions=1)
-    assert "RoundRobinPartitioning" not in spread(wide)._jdf.queryExecution().executedPlan().toString()
-    assert spread(narrow).rdd.getNumPartitions() == cores
+
+    df = spark.range(10).repartition(2)
+    assert spread(df).rdd.getNumPartitions() == 2
+    spark.conf.set("spark.newsloom.scanPartitions", "5")
+    try:
+        assert spread(df).rdd.getNumPartitions() == 5
+    finally:
+        spark.conf.unset("spark.newsloom.scanPartitions")

@@ -1,5 +1,7 @@
 """Identities and edge rules of the vector operators (dup_chain, tiny_clusters, block join vs brute force)."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -132,10 +134,55 @@ def test_kmeans_invariants_and_repeatability(spark, rand_vecs):
 def test_best_neighbour_rule_equals_pair_rule(spark, rand_vecs):
     df, rows = rand_vecs
     art = df.withColumn("word_count", (F.col("doc_id") * 7919 % 13).cast("long"))  # many ties on purpose
-    pairs = similarity.cosine_pairs(art, 0.25, blocks=3)
-    via_pairs = {r.doc_id for r in curate.near_duplicates(art, 0.25, pairs=pairs).collect()}
-    via_best = {r.doc_id for r in curate.near_duplicates(art, 0.25, blocks=3).collect()}
-    assert via_pairs == via_best
+    wc = {r.doc_id: r.word_count for r in art.collect()}
+    lost = {p.id_b if wc[p.id_a] >= wc[p.id_b] else p.id_a for p in similarity.cosine_pairs(art, 0.25, blocks=3).collect()}
+    assert {r.doc_id for r in curate.near_duplicates(art, 0.25, blocks=3).collect()} == set(wc) - lost
+
+
+@pytest.mark.parametrize("threshold,blocks,block_rows", [(0.9, 12, 64), (0.9, None, 64), (0.97, 40, 2048), (0.2, 7, 64), (-0.5, 5, 64)])
+def test_pruned_join_loses_no_pair(spark, threshold, blocks, block_rows):
+    rng = np.random.default_rng(5)
+    centres = [unit(rng.normal(size=6)) for _ in range(15)]
+    rows = [(i, unit(np.array(centres[i % 15]) + rng.normal(size=6) * rng.choice([0.02, 0.1, 0.4]))) for i in range(400)]
+    rows += [(400 + i, centres[0]) for i in range(200)] + [(700, [0.0] * 6), (701, [0.0] * 6)]
+    m = np.array([r[1] for r in rows])
+    sims = m @ m.T
+    want = {(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in range(i + 1, len(rows)) if sims[i, j] > threshold + 1e-9}
+    edge = {(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in range(i + 1, len(rows)) if abs(sims[i, j] - threshold) <= 1e-9}
+    df = spark.createDataFrame(rows, "doc_id long, v array<double>")
+    got = [(r.id_a, r.id_b) for r in similarity.cosine_pairs(df, threshold, blocks=blocks, block_rows=block_rows).collect()]
+    assert len(got) == len(set(got)) and set(got) - edge == want
+
+
+def test_far_cells_are_not_compared(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, unit(np.eye(8)[i % 8] + rng.normal(size=8) * 0.02)) for i in range(800)]
+    df = spark.createDataFrame(rows, "_id long, _u array<double>")
+    groups = similarity.candidate_groups(df, 0.9, {}, blocks=40)
+    asked = groups.where("_side = 1").count()
+    assert asked < 3 * 800 * 5      # without pruning each row would meet about half of 40 cells
+
+
+def test_a_long_chain_is_one_density_cluster(spark):
+    n = 260
+    rows = [(i, [math.cos(i * 0.02), math.sin(i * 0.02)]) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, v array<double>")
+    got = {r.doc_id: r.cluster for r in clusters.density_clusters(df, math.cos(0.021), 2, blocks=30).collect()}
+    assert got == {i: 0 for i in range(n)}
+
+
+def test_zero_vectors_are_noise(spark):
+    rows = [(1, [0.0, 0.0]), (2, [0.0, 0.0]), (3, [0.0, 0.0]), (4, [1.0, 0.0]), (5, [1.0, 0.0]), (6, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "doc_id long, v array<double>")
+    got = {r.doc_id: r.cluster for r in clusters.density_clusters(df, 0.5, 3).collect()}
+    assert got == {1: -1, 2: -1, 3: -1, 4: 4, 5: 4, 6: 4}
+
+
+def test_width_mismatch_raises(spark):
+    from newsloom.functions import vectors as VV
+    df = spark.createDataFrame([(0, [1.0, 2.0, 3.0]), (0, [1.0, 2.0, 3.0])], "cluster int, v array<double>")
+    with pytest.raises(Exception, match="width"):
+        VV.mean_vectors(df, ["cluster"], "v", dim=2).collect()
 
 
 def test_copy_group_output_is_linear(spark):
