@@ -10,8 +10,10 @@ Storage.  Spark has no sink for binary files, so an archive -- a complete .warc.
 of a Parquet table (archive, data).  That keeps Spark's task commit (a lost executor leaves no half archive) and works
 on any store the session can reach; blocks and directory are Parquet tables too.
 
-Scale.  The first page id of each payload is an aggregate with map-side combine over digests; only digests that occur
-more than once are joined, hot ones by broadcast (see left_join_skewed).  The index is range-partitioned by key and
+Scale.  The first page id of each payload is an aggregate with map-side combine over digests.  A bitmap of fixed size
+(FILTER_BITS) marks the digests that occur more than once: a page whose bit is clear has a payload of its own and is
+written where it is read; only the others are shuffled to meet the first id of their payload, hot payloads by broadcast
+(see left_join_skewed).  A full bitmap would only mean that more pages take that way.  The index is range-partitioned by key and
 position, so one URL with a third of all captures still spreads.
 
 Edge cases.  Null html is an empty payload; null urls get a urn of the page id.  Rows with equal id and equal payload
@@ -28,16 +30,19 @@ import zlib
 from bisect import bisect_left
 from urllib.parse import quote, unquote, urlsplit
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field_type, left_join_skewed
+from .common import field_type, left_join_skewed, stored
 
 ARCHIVE_BYTES = 2 << 20
 BLOCK_LINES = 3000
+FILTER_BITS = 1 << 26
 CAPTURED = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
@@ -100,20 +105,54 @@ def parse_record(member: bytes) -> tuple[dict[str, str], bytes, int]:
     return head, payload, full
 
 
+def _place(digest: str) -> int:
+    return int(digest[:12], 16) % FILTER_BITS
+
+
+def _bit(digest: str, bitmap: dict[int, bytes]) -> bool:
+    at = _place(digest)
+    part = bitmap.get(at >> 16)
+    return part is not None and bool(part[(at & 0xFFFF) >> 3] >> (at & 7) & 1)
+
+
+def _bitmap(digests: DataFrame) -> dict[int, bytes]:
+    """Slices of the bitmap that have a bit; at most FILTER_BITS / 8 bytes reach the driver."""
+
+    def slices(rows: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(1 << 16, np.uint8)
+        bits[rows["at"].to_numpy() & 0xFFFF] = 1
+        return pd.DataFrame({"slice": [int(rows["at"].iloc[0]) >> 16], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    at = F.pmod(F.conv(F.substring("digest", 1, 12), 16, 10).cast("long"), F.lit(FILTER_BITS))
+    placed = digests.select(at.alias("at")).distinct().withColumn("slice", F.shiftright("at", 16))
+    rows = placed.groupBy("slice").applyInPandas(slices, "slice long, bits binary").collect()
+    return {r["slice"]: bytes(r["bits"]) for r in rows}
+
+
 def archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
              min_bytes: int = 0, captured: str = CAPTURED) -> DataFrame:
     """(archive, data): complete .warc.gz archives of all pages; payloads under ``min_bytes`` are never revisits."""
+    spark = pages.sparkSession
     src = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"),
                        F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     src = src.withColumn("digest", F.sha1("html"))
     large = src.where(F.octet_length("html") >= min_bytes).select("id", "digest")
     first = large.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    first = first.where("n > 1 and first is not null")
-    total = pages.count()
-    decided = left_join_skewed(src, first, "digest", "n", total)
-    revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("id"))
-    rows = decided.select(F.col("id").cast("string").alias("id"), "url", "html",
-                          F.when(revisit, F.col("first").cast("string")).alias("first"))
+    first = stored(first.where("n > 1 and first is not null"), "payloads")
+    total = first.agg(F.sum("n")).first()[0] or 0
+    marked = spark.sparkContext.broadcast(_bitmap(first))
+
+    def with_bit(value):
+        def run(batches):
+            for b in batches:
+                yield b.filter(pa.array([_bit(d.as_py(), marked.value) == value for d in b.column(3)], pa.bool_()))
+        return src.select("id", "url", "html", "digest").mapInArrow(run, src.schema)
+
+    decided = left_join_skewed(with_bit(True), first, "digest", "n", total)
+    revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("id")) & (F.octet_length("html") >= min_bytes)
+    columns = [F.col("id").cast("string").alias("id"), "url"]
+    rows = with_bit(False).select(*columns, "html", F.lit(None).cast("string").alias("first")).unionByName(
+        decided.select(*columns, "html", F.when(revisit, F.col("first").cast("string")).alias("first")))
 
     def run(batches):
         task, count, held, size = TaskContext.get().partitionId(), 0, [], 0
