@@ -567,11 +567,12 @@ from ..sources import pages as P  # noqa: E402
 _D_NOISE = "regexp_replace({h}, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', ' ', 'g')"
 _D_HOST = "lower(regexp_extract({u}, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
 _D_BASE = "regexp_extract({u}, '^([a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?[^/?#:]*)', 1)"
-_D_LINKS = "regexp_extract_all({h}, '(?i)<a[^>]*?href=\"([^\"]*)\"', 1)"
+_D_LINKS = ("list_transform(regexp_extract_all({h}, '" + P.LINK_PATTERN.replace("'", "''") + "', 1), "
+            + "lambda x: trim(x, " + "'" + P.QUOTES.replace("'", "''") + "'))")
 
 
 def _d_unescape(x: str) -> str:
-    for ent, raw in P.ENTITIES:
+    for ent, raw in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]:
         x = f"replace({x}, '{ent}', '{raw.replace(chr(39), chr(39) * 2)}')"
     return x
 
@@ -589,81 +590,116 @@ def _d_lit(v):
     return "NULL" if v is None else "'" + str(v).replace("'", "''") + "'"
 
 
-def _d_route_case(host: str) -> str:
-    rules = list(P.RULES) + [dict(source=h, domain=h, prefix="/") for h in P.GENERIC_HOSTS]
+def _d_route_case(host: str, rules: list[dict]) -> str:
     whens = " ".join(f"WHEN contains({host}, lower({_d_lit(r['domain'])})) THEN {i}" for i, r in enumerate(rules))
     return f"CASE {whens} END"
 
 
-def _d_rules_table() -> str:
-    rules = list(P.RULES) + [dict(source=h, domain=h, prefix="/") for h in P.GENERIC_HOSTS]
-    rows = []
-    for i, r in enumerate(rules):
-        ex = "[" + ", ".join(_d_lit(e) for e in r.get("excludes", [])) + "]::VARCHAR[]"
-        ca = ("[" + ", ".join(_d_lit(e) for e in r["contains_any"]) + "]::VARCHAR[]") if r.get("contains_any") else "NULL::VARCHAR[]"
-        rows.append(f"({i}, {_d_lit(r['source'])}, {_d_lit(r.get('prefix'))}, {ca}, {ex}, {_d_lit(r.get('not_equal'))}, "
-                    f"{r.get('min_slashes') if r.get('min_slashes') is not None else 'NULL'}, {_d_lit(r.get('base'))})")
+def _d_list(values) -> str:
+    return "[" + ", ".join(_d_lit(v) for v in values) + "]::VARCHAR[]" if values else "NULL::VARCHAR[]"
+
+
+def _d_rules_table(rules: list[dict]) -> str:
+    rows = [f"({i}, " + ", ".join([_d_lit(r["source"]), _d_lit(r.get("prefix")), _d_lit(r.get("alt_prefix")), _d_list(r.get("contains_any")),
+                                    _d_list(r.get("excludes")), _d_lit(r.get("not_equal")),
+                                    str(r["min_slashes"]) if r.get("min_slashes") is not None else "NULL", _d_list(r.get("allowed")),
+                                    _d_lit(r.get("base")), _d_lit(r.get("title_default"))]) + ")" for i, r in enumerate(rules)]
     return ("SELECT * FROM (VALUES " + ", ".join(rows) +
-            ") AS t(ord, source, prefix, contains_any, excludes, not_equal, min_slashes, base)")
+            ") AS t(ord, source, prefix, alt_prefix, contains_any, excludes, not_equal, min_slashes, allowed, base, title_default)")
+
 
+def _d_routed(pages: str = "pages", rules: list[dict] | None = None) -> str:
+    rules = rules if rules is not None else P.rule_rows()
+    return f"""routed AS MATERIALIZED (SELECT p.page_id, p.url, p.html, r.* FROM {pages} p JOIN ({_d_rules_table(rules)}) r
+    ON r.ord = {_d_route_case(_D_HOST.format(u='p.url'), rules)})"""
 
-_D_KEEP = """coalesce(starts_with(href, r.prefix), true)
-  AND coalesce(len(list_filter(r.contains_any, lambda s: contains(href, s))) > 0, true)
-  AND NOT coalesce(len(list_filter(r.excludes, lambda s: contains(href, s))) > 0, false)
-  AND coalesce(href <> r.not_equal, true)
-  AND coalesce(length(href) - length(replace(href, '/', '')) > r.min_slashes, true)"""
 
-_D_ROUTED = f"""routed AS (SELECT p.page_id, p.url, p.html, r.source, r.prefix, r.contains_any, r.excludes, r.not_equal,
-    r.min_slashes, r.base FROM pages p JOIN ({_d_rules_table()}) r ON r.ord = {_d_route_case(_D_HOST.format(u='p.url'))})"""
+_D_KEEP = """(coalesce(starts_with(href, prefix), true) OR coalesce(starts_with(href, alt_prefix), false))
+  AND coalesce(len(list_filter(contains_any, lambda s: contains(href, s))) > 0, true)
+  AND NOT coalesce(len(list_filter(excludes, lambda s: contains(href, s))) > 0, false)
+  AND coalesce(href <> not_equal, true)
+  AND coalesce(length(href) - length(replace(href, '/', '')) > min_slashes, true)"""
 
-_D_LINKS_EX = """links AS (SELECT page_id, url, source, prefix, contains_any, excludes, not_equal, min_slashes, base,
-    CAST(i - 1 AS INTEGER) AS pos, href FROM (
-    SELECT *, unnest(l) AS href, unnest(range(1, len(l) + 1)) AS i FROM (SELECT *, """ + _D_LINKS.format(h="html") + """ AS l FROM routed)))"""
 
+def _d_scope(rule: dict) -> str:
+    """The link list of a page under a rule; containers of these pages hold no container of their own tag before
+    their first link, so a pattern up to the first closing tag finds the same links."""
+    if not rule.get("scope"):
+        return _D_LINKS.format(h="html")
+    opener, tag = P._css_regex(rule["scope"])
+    opener = opener.replace("'", "''")
+    pattern, group = (f"(?is){opener}", 0) if tag == "a" else (f"(?is){opener}(.*?)</{tag}\\s*>", 1)
+    links = _D_LINKS.format(h="c") + ("[1:1]" if rule.get("first_only") else "")
+    return f"flatten(list_transform(regexp_extract_all({_D_NOISE.format(h='html')}, '{pattern}', {group}), lambda c: {links}))"
 
-@register("extract_links", f"""SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, href FROM (
-  SELECT page_id, unnest(l) AS href, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, {_D_LINKS.format(h='html')} AS l FROM pages))""")
+
+def _d_kept(rules: list[dict]) -> str:
+    """CTEs links and kept (page_id, source, pos, href, link)."""
+    scopes: dict[str, list[str]] = {}
+    for i, r in enumerate(rules):
+        scopes.setdefault(_d_scope(r), []).append(str(i))
+    parts = " UNION ALL ".join(f"SELECT *, {expr} AS l FROM routed WHERE ord IN ({', '.join(ords)})" for expr, ords in scopes.items())
+    base = f"coalesce(base, {_D_BASE.format(u='url')})"
+    return f"""links AS (SELECT *, CAST(i - 1 AS INTEGER) AS pos FROM (SELECT *, unnest(l) AS href, unnest(range(1, len(l) + 1)) AS i FROM ({parts}))),
+kept AS (SELECT * FROM (SELECT page_id, source, pos, href, allowed,
+    CASE WHEN starts_with(href, '/') THEN {base} || href WHEN starts_with(href, './') THEN {base} || substr(href, 2)
+      WHEN allowed IS NOT NULL AND NOT starts_with(href, 'http') THEN regexp_replace({base}, '/+$', '') || '/' || href ELSE href END AS link
+  FROM links WHERE {_D_KEEP}) WHERE coalesce(len(list_filter(allowed, lambda d: contains(link, d))) > 0, true))"""
+
+
+@register("extract_links", with_views(f"""SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, href FROM (
+  SELECT page_id, unnest(l) AS href, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, {_D_LINKS.format(h='html')} AS l FROM listing_v))""",
+                                      "listing_v"))
 def q_extract_links(spark, sf):
-    return P.extract_links(X.table(spark, sf, "pages"))
+    return P.extract_links(X.listing_v(spark, sf))
 
 
-@register("filter_links_by_rule", f"""WITH {_D_ROUTED}, {_D_LINKS_EX}
-SELECT page_id, source, pos, href FROM links r WHERE {_D_KEEP}""")
+@register("filter_links_by_rule", with_views(f"""WITH {_d_routed("listing_v")}, {_d_kept(P.rule_rows())}
+SELECT page_id, source, pos, href FROM kept""", "listing_v"))
 def q_filter_links_by_rule(spark, sf):
-    return P.filter_links_by_rule(X.table(spark, sf, "pages"), P.source_rules(spark))
+    return P.filter_links_by_rule(X.listing_v(spark, sf), P.source_rules(spark))
 
 
-@register("resolve_links", f"""WITH {_D_ROUTED}, {_D_LINKS_EX}
-SELECT page_id, source, pos, CASE WHEN starts_with(href, '/') THEN coalesce(r.base, {_D_BASE.format(u='url')}) || href ELSE href END AS link
-FROM links r WHERE {_D_KEEP}""")
+@register("resolve_links", with_views(f"""WITH {_d_routed("listing_v")}, {_d_kept(P.rule_rows())}
+SELECT page_id, source, pos, link FROM kept""", "listing_v"))
 def q_resolve_links(spark, sf):
-    return P.resolve_links(X.table(spark, sf, "pages"), P.source_rules(spark))
+    return P.resolve_links(X.listing_v(spark, sf), P.source_rules(spark))
+
+
+@register("resolve_links_alternatives", with_views(
+    f"""WITH {_d_routed("listing_v", P.rule_rows(alternatives=True))}, {_d_kept(P.rule_rows(alternatives=True))}
+SELECT page_id, source, pos, link FROM kept""", "listing_v"))
+def q_resolve_links_alternatives(spark, sf):
+    """B2, B3 with the other rules of the sites (blog listing and earlier forms)."""
+    return P.resolve_links(X.listing_v(spark, sf), P.source_rules(spark, alternatives=True))
 
 
-@register("scoped_links", f"""SELECT page_id, CAST(ci - 1 AS INTEGER) AS container_pos, 0 AS pos, l[1] AS href FROM (
+@register("scoped_links", with_views(f"""SELECT page_id, CAST(ci - 1 AS INTEGER) AS container_pos, 0 AS pos, l[1] AS href FROM (
   SELECT page_id, ci, {_D_LINKS.format(h='chunk')} AS l FROM (
     SELECT page_id, unnest(c) AS chunk, unnest(range(1, len(c) + 1)) AS ci FROM (
-      SELECT page_id, regexp_extract_all({_D_NOISE.format(h='html')}, '(?is)<li\\b[^>]*>(.*?)</li\\s*>', 1) AS c FROM pages)))
-WHERE len(l) > 0""")
+      SELECT page_id, regexp_extract_all({_D_NOISE.format(h='html')}, '(?is)<h2\\b[^>]*>(.*?)</h2\\s*>', 1) AS c FROM listing_v)))
+WHERE len(l) > 0""", "listing_v"))
 def q_scoped_links(spark, sf):
-    return P.scoped_links(X.table(spark, sf, "pages"), "li", first_only=True).select("page_id", "container_pos", "pos", "href")
+    return P.scoped_links(X.listing_v(spark, sf), "h2", first_only=True).select("page_id", "container_pos", "pos", "href")
 
 
-@register("link_dedupe", f"""SELECT page_id, href, CAST(min(i) - 1 AS INTEGER) AS pos FROM (
-  SELECT page_id, unnest(l) AS href, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, {_D_LINKS.format(h='html')} AS l FROM pages))
-GROUP BY page_id, href""")
+@register("link_dedupe", with_views(f"""SELECT page_id, href, CAST(min(i) - 1 AS INTEGER) AS pos FROM (
+  SELECT page_id, unnest(l) AS href, unnest(range(1, len(l) + 1)) AS i FROM (SELECT page_id, {_D_LINKS.format(h='html')} AS l FROM listing_v))
+GROUP BY page_id, href""", "listing_v"))
 def q_link_dedupe(spark, sf):
-    return P.link_dedupe(P.extract_links(X.table(spark, sf, "pages")))
+    return P.link_dedupe(P.extract_links(X.listing_v(spark, sf)))
 
 
-_D_TITLE = ("coalesce(nullif(" + _d_text("regexp_extract({h}, '(?is)<h1[^>]*>(.*?)</h1>', 1)") + ", ''), nullif(trim("
-            + _d_unescape("regexp_extract({h}, '(?is)<meta[^>]*property=\"og:title\"[^>]*content=\"([^\"]*)\"', 1)")
-            + "), ''), 'Sin título')")
+_D_H1 = "nullif(" + _d_text("regexp_extract({h}, '(?is)<h1[^>]*>(.*?)</h1>', 1)") + ", '')"
+_D_OG = ", ".join("nullif(trim(" + _d_unescape("trim(regexp_extract({h}, '" + p.replace("'", "''") + "', 1), '" + P.QUOTES.replace("'", "''") + "')")
+                  + "), '')" for p in P.OG_TITLE_PATTERNS)
+_D_ANY_TITLE = f"coalesce({_D_H1}, {_D_OG})"
+_D_TITLE = f"coalesce({_D_ANY_TITLE}, 'Sin título')"
 
 
-@register("extract_title", f"SELECT page_id, {_D_TITLE.format(h='html')} AS title FROM pages")
+@register("extract_title", with_views(f"SELECT page_id, {_D_TITLE.format(h='html')} AS title FROM pages_v", "pages_v"))
 def q_extract_title(spark, sf):
-    return X.table(spark, sf, "pages").select("page_id", P.extract_title("html").alias("title"))
+    return X.pages_v(spark, sf).select("page_id", P.extract_title("html").alias("title"))
 
 
 @register("extract_paragraphs", f"""SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, text FROM (
@@ -693,19 +729,18 @@ def q_filter_paragraphs(spark, sf):
     return X.table(spark, sf, "pages").select("page_id", F.posexplode(kept).alias("pos", "text"))
 
 
-@register("build_articles", f"""WITH {_D_ROUTED}
+@register("build_articles", with_views(f"""WITH {_d_routed("pages_v")}
 SELECT page_id, source, url, title, array_to_string(ps, ' ') AS content, '2024-04-01 00:00:00' AS scraping_date FROM (
-  SELECT page_id, source, url, nullif({_d_text("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")}, '') AS title,
-    {_d_paragraphs('html')} AS ps FROM routed)
-WHERE title IS NOT NULL AND len(ps) > 0""")
+  SELECT page_id, source, url, coalesce({_D_ANY_TITLE.format(h='html')}, title_default) AS title, {_d_paragraphs('html')} AS ps FROM routed)
+WHERE title IS NOT NULL AND len(ps) > 0""", "pages_v"))
 def q_build_articles(spark, sf):
-    a = P.build_articles(X.table(spark, sf, "pages"), P.source_rules(spark), X.AS_OF)
+    a = P.build_articles(X.pages_v(spark, sf), P.source_rules(spark), X.AS_OF)
     return a.withColumn("scraping_date", ts("scraping_date"))
 
 
-@register("route_url_to_source", f"""WITH {_D_ROUTED} SELECT page_id, source FROM routed""")
+@register("route_url_to_source", with_views(f"""WITH {_d_routed("pages_v")} SELECT page_id, source FROM routed""", "pages_v"))
 def q_route_url_to_source(spark, sf):
-    return P.route_url_to_source(X.table(spark, sf, "pages"), P.source_rules(spark)).select("page_id", "source")
+    return P.route_url_to_source(X.pages_v(spark, sf), P.source_rules(spark)).select("page_id", "source")
 
 
 @register("normalize_host", f"SELECT page_id, regexp_replace({_D_HOST.format(u='url')}, 'www\\.', '', 'g') AS host FROM pages")
@@ -754,7 +789,7 @@ _view("feed_entries_v", [], f"""  SELECT r.source, r.ord AS feed_ord, p.page_id
     coalesce({_d_paragraphs('p.html')}[1], '') AS summary,
     CASE WHEN p.page_id % 3 = 0 THEN array_to_string({_d_paragraphs('p.html')}, ' ') ELSE '' END AS content,
     try_strptime(nullif(regexp_extract(trim({_FEED_DATE_DUCK.replace('page_id', 'p.page_id')}), '{T.RFC822_PATTERN}', 1), ''), '%d %b %Y %H:%M:%S') AS date
-  FROM pages p JOIN ({_d_rules_table()}) r ON r.ord = {_d_route_case(_D_HOST.format(u='p.url'))}""")
+  FROM pages p JOIN ({_d_rules_table(P.rule_rows())}) r ON r.ord = {_d_route_case(_D_HOST.format(u='p.url'), P.rule_rows())}""")
 
 _ART = "regexp_extract(" + _D_NOISE.format(h="html") + ", '(?is)<article\\b[^>]*>(.*?)</article\\s*>', 1)"
 _view("page_texts_v", [], f"""  SELECT url, {_D_TITLE.format(h='html')} AS title,
@@ -970,7 +1005,7 @@ def q_register_encoder(spark, sf):
     return e.select("doc_id", F.size("v").alias("dims"), r6(V.norm("v")).alias("norm"))
 
 
-@register("register_source_rule", f"""WITH {_D_ROUTED}
+@register("register_source_rule", f"""WITH {_d_routed()}
 SELECT page_id, CASE WHEN contains({_D_HOST.format(u='url')}, 'blog.') THEN 'Blogs' ELSE source END AS source FROM routed""")
 def q_register_source_rule(spark, sf):
     rules = P.source_rules(spark, generic=False)

@@ -83,6 +83,47 @@ def articles_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Hosts of the site rules (and one that no rule knows), and a block of links of every form the rules judge: kept and
+# rejected, quoted in each way, nested, relative, with a leading dot, in allowed and foreign domains.  @ is the page id.
+LISTING_HOSTS = ["www.xataka.com", "huggingface.co", "techcrunch.com", "aws.amazon.com", "es.wired.com", "aibusiness.com",
+                 "news.microsoft.com", "openai.com", "allenai.org", "blogs.microsoft.com", "news.google.com", "unknown.test"]
+LISTING = """<article><a href="https://www.xataka.com/a@">1</a><a href='https://www.xataka.com/b@'>2</a></article>
+<article><a href=https://www.xataka.com/tag/@>3</a></article><h2><a href="https://aws.amazon.com/blogs/@">4</a>
+<a href="/elsewhere/@">5</a></h2><h2><a href='https://other.test/@'>6</a></h2>
+<a class="loop-card__title-link" href="https://techcrunch.com/2024/@">7</a>
+<a class='wide loop-card__title-link' href='https://other.test/x@'>8</a><a href="https://techcrunch.com/tag/@">9</a>
+<a href="/blog/">10</a><a href="/blog/p@">11</a><a href='/blog/community/@'>12</a><a href="/blog/p@?page=2">13</a>
+<a href="/blog">14</a><a href="/blog/p@">15</a><a href=/articulos/@>16</a><a href="/es-ES/news/">17</a>
+<a href="/es-ES/news/x@/">18</a><h3 class="listing-title"><a href="/ai/@">19</a></h3>
+<h3 class='listing-title wide'><a href="https://other.test/h@">20</a></h3>
+<div class="listingResult"><div><a href="https://news.microsoft.com/source/@">21</a></div>
+<a href="https://news.microsoft.com/second/@">22</a></div><a href="/research/">23</a><a href=/research/@>24</a>
+<a href="https://allenai.org/research/@">25</a><a href="/2024/05/@">26</a><a href="news/post/@">27</a>
+<a href="https://azure.microsoft.com/post/@">28</a><a href="https://other.test/post/@">29</a>
+<a href="./articles/@">30</a><a href="./topics/@">31</a>"""
+
+
+def listing_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` as listing pages of the rule hosts: the page's own html after the block of links."""
+    hosts = F.array(*[F.lit(h) for h in LISTING_HOSTS])
+    host = F.element_at(hosts, (F.col("page_id") % len(LISTING_HOSTS) + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select(
+        "page_id", F.concat(F.lit("https://"), host, F.lit("/list")).alias("url"),
+        F.concat(F.replace(F.lit(LISTING), F.lit("@"), F.col("page_id").cast("string")), F.col("html")).alias("html"))
+
+
+def pages_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` with cases that drop out: every 5th has no h1 but an og:title, every 7th no title at all, every 11th
+    no paragraph, every 13th a host that no rule knows."""
+    i = F.col("page_id")
+    no_h1 = F.replace(F.replace(F.col("html"), F.lit("<h1>"), F.lit("<h9>")), F.lit("</h1>"), F.lit("</h9>"))
+    og = F.concat(F.lit("<meta content='&quot;OG&quot; "), i.cast("string"), F.lit("' property='og:title'>"), no_h1)
+    html = F.when(i % 7 == 0, no_h1).when(i % 5 == 0, og).otherwise(F.col("html"))
+    html = F.when(i % 11 == 0, F.replace(html, F.lit("<p>"), F.lit("<q>"))).otherwise(html)
+    url = F.when(i % 13 == 0, F.lit("https://unknown.test/x")).otherwise(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", url.alias("url"), html.alias("html"))
+
+
 def embeddings_count(spark: SparkSession, sf_dir: str):
     """Scalar subquery column: number of rows of ``embeddings`` (evaluated once, no join)."""
     return table(spark, sf_dir, "embeddings").select(F.count(F.lit(1))).scalar()

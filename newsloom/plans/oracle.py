@@ -6,6 +6,8 @@ dependencies, in order).  Only the driver tables are assumed to exist.
 
 from __future__ import annotations
 
+from .fixtures import LISTING, LISTING_HOSTS
+
 AS_OF_SQL = "TIMESTAMP '2024-04-01 00:00:00'"
 
 _VIEWS: dict[str, tuple[list[str], str]] = {}
@@ -77,6 +79,20 @@ view("articles_v", [], """  SELECT d.doc_id,
     TIMESTAMP '2024-01-01 08:00:00' + to_days(CAST(d.doc_id % 90 AS INTEGER)) + to_hours(CAST(d.doc_id % 13 AS INTEGER)) AS scraping_date
   FROM documents d""")
 
+def _str(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+view("listing_v", [], f"""  SELECT page_id, 'https://' || [{", ".join(_str(h) for h in LISTING_HOSTS)}][1 + page_id % {len(LISTING_HOSTS)}] || '/list' AS url,
+    replace({_str(LISTING)}, '@', CAST(page_id AS VARCHAR)) || html AS html FROM pages""")
+
+view("pages_v", [], """  SELECT page_id, CASE WHEN page_id % 13 = 0 THEN 'https://unknown.test/x' ELSE url END AS url,
+    CASE WHEN page_id % 11 = 0 THEN replace(h, '<p>', '<q>') ELSE h END AS html FROM (
+      SELECT page_id, url, CASE WHEN page_id % 7 = 0 THEN n
+        WHEN page_id % 5 = 0 THEN '<meta content=' || chr(39) || '&quot;OG&quot; ' || CAST(page_id AS VARCHAR) || chr(39) || ' property=' || chr(39) || 'og:title' || chr(39) || '>' || n
+        ELSE html END AS h
+      FROM (SELECT *, replace(replace(html, '<h1>', '<h9>'), '</h1>', '</h9>') AS n FROM pages))""")
+
 view("emb_count", [], "  SELECT count(*) AS n FROM embeddings")
 
 view("vec_v", ["articles_v"], """  SELECT a.doc_id, e.label AS cluster, CAST(e.embedding AS DOUBLE[]) AS v
