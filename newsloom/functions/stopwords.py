@@ -1,7 +1,7 @@
-"""Stop-word lists: Spark MLlib's bundled lists, read straight from the MLlib jar.
+"""Stop-word lists: Spark MLlib's bundled lists.
 
-Reading them from the jar (rather than through the JVM) lets the DuckDB oracle
-embed exactly the lists the Spark side uses, with no session needed.
+Spark jobs ask MLlib for them.  The DuckDB oracle, whose SQL is built without a session, reads the same lists from the
+MLlib jar beside pyspark.
 """
 
 from __future__ import annotations
@@ -16,6 +16,13 @@ LANG_FILES = {"en": "english", "es": "spanish", "fr": "french", "de": "german"}
 
 @functools.lru_cache(maxsize=None)
 def stop_words(lang: str) -> tuple[str, ...]:
+    from pyspark.ml.feature import StopWordsRemover
+
+    return tuple(StopWordsRemover.loadDefaultStopWords(LANG_FILES.get(lang, lang)))
+
+
+@functools.lru_cache(maxsize=None)
+def _jar_stop_words(lang: str) -> tuple[str, ...]:
     import pyspark
 
     # the driver sees pyspark/jars; a Python worker may import pyspark from a zip, so SPARK_HOME is tried too
@@ -33,5 +40,5 @@ def stop_words(lang: str) -> tuple[str, ...]:
 
 
 def sql_list(lang: str) -> str:
-    words = ", ".join("'" + w.replace("'", "''") + "'" for w in stop_words(lang))
+    words = ", ".join("'" + w.replace("'", "''") + "'" for w in _jar_stop_words(lang))
     return f"[{words}]"

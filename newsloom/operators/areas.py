@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from .similarity import stacked_models
 
+TIE_DIGITS = 12  # similarities are compared at 12 decimals, so the order of a sum cannot decide a tie
+
+
 def _profile_array(profiles: DataFrame, ord_col: str, area_col: str, vec: str, normalize: bool):
     u = V.l2_normalize(vec) if normalize else F.col(vec)
     p = profiles.select(F.col(ord_col).cast("int").alias("ord"), F.col(area_col).alias("area"), u.alias("pv"))
@@ -27,7 +30,7 @@ def assign_area(df: DataFrame, profiles: DataFrame, vec: str = "v", out: str = "
     u = V.l2_normalize(vec) if normalize else F.col(vec)
     # the article vector is bound once, then scored against every profile
     best = V.let(u, lambda uu: F.array_max(F.transform("_ps", lambda p: F.struct(
-        V.dot(uu, p["pv"]).alias("sim"), (-p["ord"]).alias("nord"), p["area"].alias("area")))))
+        F.round(V.dot(uu, p["pv"]), TIE_DIGITS).alias("sim"), (-p["ord"]).alias("nord"), p["area"].alias("area")))))
     return df.withColumn("_ps", ps).withColumn(out, best["area"]).drop("_ps")
 
 

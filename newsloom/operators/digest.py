@@ -142,7 +142,7 @@ def digest_full(enriched: DataFrame, escape: bool = False) -> DataFrame:
 
 
 def digest_weekly(scored: DataFrame, generated_at: str, top_n: int = 3, escape: bool = True,
-                  key: str = "doc_id") -> DataFrame:
+                  key: str = "doc_id", title: str = WEEKLY_TITLE) -> DataFrame:
     """K6: the weekly newsletter: header with the run stamp, one card per selected article (best ``top_n`` per
     cluster, in overall score order), footer.  One row per run; the selection is bounded by k * top_n."""
     top = top_n_per_group(scored, "cluster", top_n, key=key)
@@ -157,7 +157,7 @@ def digest_weekly(scored: DataFrame, generated_at: str, top_n: int = 3, escape:
     k = F.struct(F.lit(0.0) - F.col("final_score"), F.col(key))
     g = top.select(F.struct(k.alias("k"), card.alias("c")).alias("it")).agg(F.sort_array(F.collect_list("it")).alias("its"),
                                                                           F.count(F.lit(1)).alias("n_articles"))
-    header = (f'<html><body><div class="container"><div class="header"><h1>{WEEKLY_TITLE}</h1><p>'
+    header = (f'<html><body><div class="container"><div class="header"><h1>{title}</h1><p>'
               + WEEKLY_SUBTITLE.format(date=generated_at) + "</p></div>")
     footer = f'<div class="footer">{WEEKLY_FOOTER}</div></div></body></html>'
     return g.select(F.lit(generated_at).alias("generated_at"), "n_articles",

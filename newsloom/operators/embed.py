@@ -8,6 +8,8 @@ the model built once per Python worker and reused across batches.
 
 from __future__ import annotations
 
+import functools
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,17 +36,27 @@ def register_encoder(name: str, factory: Callable[[], Callable[[list[str]], np.n
     ENCODERS[name] = (factory, dim)
 
 
-def letter_profile_encoder():
-    """A small plug-in encoder (26 letter frequencies), built once per worker: the shape of a real model factory."""
+def md5_encoder(dim: int) -> Callable[[list[str]], np.ndarray]:
+    """A plug-in encoder: counts of lower-cased words (letters and digits), each in the column its MD5 names (the first
+    seven hexadecimal digits modulo ``dim``).  Any engine can repeat it, so results can be compared value by value.
+    Works on whole batches; each distinct word is hashed once."""
     def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), 26))
-        for i, t in enumerate(texts):
-            codes = np.frombuffer(t.lower().encode("ascii", "ignore"), dtype=np.uint8).astype(np.int64) - 97
-            out[i] = np.bincount(codes[(codes >= 0) & (codes < 26)], minlength=26)
-        return out
+        words = pd.Series(texts, dtype=object).str.lower().str.findall(r"[^\W_]+")
+        row = np.repeat(np.arange(len(texts)), words.str.len().to_numpy(np.int64))
+        codes, distinct = pd.factorize(words.explode().dropna().to_numpy(object))
+        column = np.array([int(hashlib.md5(w.encode("utf-8")).hexdigest()[:7], 16) % dim for w in distinct], np.int64)
+        if not len(column):
+            return np.zeros((len(texts), dim))
+        return np.bincount(row * dim + column[codes], minlength=len(texts) * dim).reshape(len(texts), dim).astype(float)
     return encode
 
 
+# three encoders of different width, for the ensemble operators; none needs model weights
+ENSEMBLE = {"md5-64": 64, "md5-96": 96, "md5-128": 128}
+for _name, _dim in ENSEMBLE.items():
+    register_encoder(_name, functools.partial(md5_encoder, _dim), _dim)
+
+
 def _check(name: str):
     if name not in ENCODERS:
         raise ValueError(f"unsupported model: {name}")
@@ -85,11 +97,11 @@ def embed_text(df: DataFrame, model: str = "hashing", text_col: str = "text_for_
 def embed_models(df: DataFrame, models: list[str], id_col: str = "doc_id",
                  text_col: str = "text_for_embedding") -> DataFrame:
     """The same text under several models, long form (id, model, v)."""
-    out = None
-    for m in models:
-        e = embed_text(df.select(id_col, text_col), m, text_col).select(id_col, F.lit(m).alias("model"), "v")
-        out = e if out is None else out.unionByName(e)
-    return out
+    d = df.select(id_col, text_col)                 # the text is read once for all models
+    for i, m in enumerate(models):
+        d = embed_text(d, m, text_col, f"_v{i}")
+    each = F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"_v{i}").alias("v")) for i, m in enumerate(models)])
+    return d.select(id_col, F.inline(each))
 
 
 # ------------------------------------------------------------------ language

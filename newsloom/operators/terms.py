@@ -105,6 +105,13 @@ def doc_freq_bounds(docs: DataFrame, min_df: int = 5, max_df: float = 0.9, id_co
     return d.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("n_docs")))
 
 
+def idf_table(docs: DataFrame, min_df: int = 5, max_df: float = 0.9, id_col: str = "doc_id", terms_col: str = "terms",
+              tf: DataFrame | None = None) -> DataFrame:
+    """The vocabulary with its weights: (term, idf), idf = ln((1+N)/(1+df)) + 1."""
+    vocab = doc_freq_bounds(docs, min_df, max_df, id_col, terms_col, tf)
+    return vocab.select("term", (F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
+
+
 def tfidf(docs: DataFrame, min_df: int = 5, max_df: float = 0.9, id_col: str = "doc_id",
           terms_col: str = "terms") -> DataFrame:
     """(doc_id, term, weight) with weight = tf * (ln((1+N)/(1+df)) + 1), L2-normalised per document.
@@ -112,8 +119,7 @@ def tfidf(docs: DataFrame, min_df: int = 5, max_df: float = 0.9, id_col: str = "
     Not ``pyspark.ml.feature.IDF`` (it lacks the +1).
     """
     tf = term_counts(docs, id_col, terms_col)
-    vocab = doc_freq_bounds(docs, min_df, max_df, id_col, terms_col, tf)
-    vocab = vocab.select("term", (F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
+    vocab = idf_table(docs, min_df, max_df, id_col, terms_col, tf)
     w = tf.join(vocab, "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
     return w.select(id_col, "term", (F.col("w") / norm).alias("weight"))

@@ -7,6 +7,7 @@ both sides, so value hashes compare across engines.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +18,8 @@ from ..functions import vectors as V
 from ..operators import areas, clusters, curate, scoring, select, similarity, terms
 from . import fixtures as X
 from . import slices
-from .oracle import AS_OF_SQL, cosine, mean_vec_sql, preprocess, unit, with_views, word_count
+from ..operators import embed as EM
+from .oracle import AS_OF_SQL, area_sql, assigned, cosine, md5_encoded, mean_vec_sql, preprocess, unit, with_views, word_count
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -404,25 +406,14 @@ def q_ensemble_scores(spark, sf):
 
 @register("assign_area", with_views("SELECT doc_id, area FROM area_v", "area_v"))
 def q_assign_area(spark, sf):
-    v = slices.valid_with_vectors(spark, sf).select("doc_id", "v")
-    return areas.assign_area(v, X.profiles_v(spark, sf)).select("doc_id", "area")
+    v = X.text_models(slices.valid_articles(spark, sf))
+    return areas.assign_area(v, X.profiles_v(spark)).select("doc_id", "area")
 
 
-_PROFILE_MODELS_SQL = f"""pm AS (SELECT ord, area, 'm1' AS model, v FROM profiles_v
-  UNION ALL SELECT ord, area, 'm2', list_reverse(v) FROM profiles_v
-  UNION ALL SELECT ord, area, 'm3', {unit('w')} FROM (SELECT ord, area, list_transform(v[2:] || v[1:1], lambda x, i: x * (1 + (i - 1) % 3)) AS w FROM profiles_v))"""
-
-
-@register("assign_area_ensemble", with_views(f"""WITH {_PROFILE_MODELS_SQL},
-sims AS (SELECT d.doc_id, p.ord, p.area, avg({cosine('d.v', 'p.v')}) AS sim
-  FROM valid_models_v d JOIN pm p ON d.model = p.model GROUP BY ALL)
-SELECT doc_id, first(area ORDER BY sim DESC, ord ASC) AS area FROM sims GROUP BY doc_id""", "valid_models_v", "profiles_v"))
+@register("assign_area_ensemble", with_views(area_sql("valid_v", list(EM.ENSEMBLE.values())), "valid_v", "profiles_v"))
 def q_assign_area_ensemble(spark, sf):
-    models = _valid_models(spark, sf)
-    p = X.profiles_v(spark, sf)
-    pm = X.models_v(spark, sf, p.select(F.col("ord").cast("long").alias("doc_id"), "v"))
-    pm = pm.join(p.select(F.col("ord").cast("long").alias("doc_id"), "ord", "area"), "doc_id").drop("doc_id")
-    return areas.assign_area_ensemble(models, pm).select("doc_id", "area")
+    models = tuple(EM.ENSEMBLE)
+    return areas.assign_area_ensemble(X.text_models(slices.valid_articles(spark, sf), models), X.profiles_v(spark, models)).select("doc_id", "area")
 
 
 # ================================ K: aggregates ================================
@@ -497,10 +488,14 @@ def q_top_terms_one_cluster(spark, sf):
 
 # ================================ F: clustering ================================
 
-@register("fit_kmeans")
+@register("fit_kmeans", "SELECT vec_id AS doc_id, true AS nearest FROM embeddings")
 def q_fit_kmeans(spark, sf):
-    _model, labels, _c = clusters.fit_kmeans(clusters.stable_input(emb_vectors(spark, sf)), k=6)
-    return labels
+    """A fit is seeded but not portable, so the query returns what must hold of it: every row's label is its nearest
+    returned centroid."""
+    data = clusters.stable_input(emb_vectors(spark, sf)).drop("cluster")
+    _model, labels, cents = clusters.fit_kmeans(data, k=6)
+    own = clusters.predict_cluster(data, cents, out="own")
+    return own.join(labels, "doc_id").select("doc_id", (F.col("own") == F.col("cluster")).alias("nearest"))
 
 
 @register("predict_cluster", with_views("""SELECT v.doc_id, first(c.cluster ORDER BY list_distance(v.v, c.centroid), c.cluster) AS cluster
@@ -527,10 +522,18 @@ def q_silhouette_cosine(spark, sf):
     return t.select(r6("silhouette").alias("silhouette"))
 
 
-@register("find_optimal_k")
+def _best_is_argmax(best: int, scores: DataFrame) -> DataFrame:
+    """Facts of a k search: each k once with a score in [-1, 1], and the chosen k is the smallest with the best score."""
+    top = F.expr("min_by(k, struct(-silhouette, k)) OVER ()")
+    return scores.select("k", F.col("silhouette").between(-1.0, 1.0).alias("in_range"), (top == best).alias("best_is_argmax"))
+
+
+_K_SQL = "SELECT CAST(unnest(range(4, 13)) AS INTEGER) AS k, true AS in_range, true AS best_is_argmax"
+
+
+@register("find_optimal_k", _K_SQL)
 def q_find_optimal_k(spark, sf):
-    best, scores = clusters.find_optimal_k(clusters.stable_input(emb_vectors(spark, sf)), 4, 12)
-    return scores.withColumn("best_k", F.lit(best))
+    return _best_is_argmax(*clusters.find_optimal_k(clusters.stable_input(emb_vectors(spark, sf)), 4, 12))
 
 
 @register("cluster_sizes", "SELECT label AS cluster, count(*) AS n FROM embeddings GROUP BY label")
@@ -916,7 +919,7 @@ def _sql_escape(x: str) -> str:
 SELECT p.area, {_sql_text(DG.AREA_HEADER, area='p.area')} || coalesce(string_agg(t.item, '' ORDER BY t.rank), '') || '{DG.AREA_FOOTER}' AS html
 FROM profiles_v p LEFT JOIN top t ON t.area = p.area GROUP BY p.area""", "final_v", "profiles_v"))
 def q_digest_by_area(spark, sf):
-    return DG.digest_by_area(slices.scored_articles(spark, sf), X.profiles_v(spark, sf), top_n=3)
+    return DG.digest_by_area(slices.scored_articles(spark, sf), X.profiles_v(spark), top_n=3)
 
 
 _RECENT_SQL = f"""recent AS (SELECT source, feed_ord, pos, title, url, substr(summary, 1, 300) AS summary,
@@ -962,7 +965,6 @@ def q_digest_weekly(spark, sf):
 
 
 # ================================ C3, E1, E3, M1: language and embeddings ================================
-from ..operators import embed as EM  # noqa: E402
 
 
 def _detect_language_sql():
@@ -981,28 +983,39 @@ def q_detect_language(spark, sf):
     return EM.detect_language(X.articles_v(spark, sf).select("doc_id", "content")).select("doc_id", "language")
 
 
-@register("embed_text", with_views("SELECT doc_id, 64 AS dims, 1.0::DOUBLE AS norm FROM articles_v", "articles_v"))
+_EMBED_TEXT = preprocess("title || '. ' || content")
+
+
+def _encoded_sql(models: list[str]) -> str:
+    """Every non-zero entry of every vector."""
+    return with_views(" UNION ALL ".join(
+        f"SELECT doc_id, '{m}' AS model, CAST(i AS INTEGER) AS pos, round(x, 6) AS value FROM ({md5_encoded('articles_v', 'doc_id', _EMBED_TEXT, EM.ENCODERS[m][1])})"
+        for m in models), "articles_v")
+
+
+def _entries(models: DataFrame) -> DataFrame:
+    ex = models.select("doc_id", "model", F.posexplode("v").alias("pos", "value")).where("value != 0")
+    return ex.select("doc_id", "model", "pos", r6("value").alias("value"))
+
+
+@register("embed_text", _encoded_sql(["md5-64"]))
 def q_embed_text(spark, sf):
     a = X.articles_v(spark, sf).select("doc_id", T.text_for_embedding("title", "content").alias("text_for_embedding"))
-    e = EM.embed_text(a, "hashing")
-    return e.select("doc_id", F.size("v").alias("dims"), r6(V.norm("v")).alias("norm"))
+    return _entries(EM.embed_text(a, "md5-64").withColumn("model", F.lit("md5-64")))
 
 
-@register("embed_models", with_views("""SELECT doc_id, 'hashing' AS model, 64 AS dims, 1.0::DOUBLE AS norm FROM articles_v
-UNION ALL SELECT doc_id, 'char_profile', 26, 1.0::DOUBLE FROM articles_v""", "articles_v"))
+@register("embed_models", _encoded_sql(list(EM.ENSEMBLE)))
 def q_embed_models(spark, sf):
-    EM.register_encoder("char_profile", EM.letter_profile_encoder, 26)
-    a = X.articles_v(spark, sf).select("doc_id", T.text_for_embedding("title", "content").alias("text_for_embedding"))
-    m = EM.embed_models(a, ["hashing", "char_profile"])
-    return m.select("doc_id", "model", F.size("v").alias("dims"), r6(V.norm("v")).alias("norm"))
+    return _entries(X.text_models(X.articles_v(spark, sf), tuple(EM.ENSEMBLE)))
+
 
+EM.register_encoder("md5-26", functools.partial(EM.md5_encoder, 26), 26)
 
-@register("register_encoder", with_views("SELECT doc_id, 26 AS dims, 1.0::DOUBLE AS norm FROM articles_v", "articles_v"))
+
+@register("register_encoder", _encoded_sql(["md5-26"]))
 def q_register_encoder(spark, sf):
-    EM.register_encoder("char_profile", EM.letter_profile_encoder, 26)
-    a = X.articles_v(spark, sf).select("doc_id", T.text_for_embedding("title", "content").alias("text_for_embedding"))
-    e = EM.embed_text(a, "char_profile")
-    return e.select("doc_id", F.size("v").alias("dims"), r6(V.norm("v")).alias("norm"))
+    EM.register_encoder("md5-26", functools.partial(EM.md5_encoder, 26), 26)
+    return _entries(X.text_models(X.articles_v(spark, sf), ("md5-26",)))
 
 
 @register("register_source_rule", f"""WITH {_d_routed()}
@@ -1097,15 +1110,18 @@ def q_append_feedback(spark, sf):
     return FS.read_feedback(spark, path).withColumn("timestamp", ts("timestamp"))
 
 
-@register("save_cluster_metadata",
-          "SELECT 'm1' AS model_name, CAST(6 AS BIGINT) AS n_clusters, 6 AS n_centroids, true AS has_inertia")
+@register("save_cluster_metadata", "SELECT 'm1' AS model_name, CAST(6 AS BIGINT) AS n_clusters, true AS inertia_is_the_sum")
 def q_save_cluster_metadata(spark, sf):
-    model, _l, _c = clusters.fit_kmeans(clusters.stable_input(emb_vectors(spark, sf)), k=6)
+    """The record read back: its inertia must be the sum of squared distances to its own centroids."""
+    data = clusters.stable_input(emb_vectors(spark, sf)).drop("cluster")
+    model, _l, _c = clusters.fit_kmeans(data, k=6)
     path = scratch_path(spark, "cluster-meta")
     FS.save_cluster_metadata(spark, path, "m1", model)
     back = spark.read.json(path)
-    return back.select("model_name", "n_clusters", F.size("centroids").alias("n_centroids"),
-                       (F.col("inertia") > 0).alias("has_inertia"))
+    cents = back.select(F.posexplode("centroids").alias("cluster", "centroid"))
+    again = clusters.kmeans_inertia(clusters.predict_cluster(data, cents), cents).withColumnRenamed("inertia", "again")
+    same = F.abs(F.col("inertia") - F.col("again")) <= 1e-6 * F.col("again")
+    return back.crossJoin(F.broadcast(again)).select("model_name", "n_clusters", same.alias("inertia_is_the_sum"))  # one row each
 
 
 @register("save_model_version", "SELECT vec_id AS doc_id, true AS same FROM embeddings")
@@ -1133,7 +1149,7 @@ def q_save_embeddings_version(spark, sf):
 
 @register("write_digest", REGISTRY["digest_by_area"][1])
 def q_write_digest(spark, sf):
-    d = DG.digest_by_area(slices.scored_articles(spark, sf), X.profiles_v(spark, sf), top_n=3)
+    d = DG.digest_by_area(slices.scored_articles(spark, sf), X.profiles_v(spark), top_n=3)
     path = FS.write_digest(d, scratch_path(spark, "digests"), "20240401T0000Z")
     return FS.read_digest(spark, path).select("area", "html")
 
@@ -1148,16 +1164,26 @@ def _stage_files(spark, df, name, n_files=3, order_col=None):
     return path
 
 
-@register("stream_ingest")
+_PAGE_ART_SQL = f"""{_d_routed("(SELECT url, min(page_id) AS page_id, arg_min(html, page_id) AS html FROM pages GROUP BY url)")},
+page_art AS MATERIALIZED (SELECT * FROM (SELECT page_id, source, url, coalesce({_D_ANY_TITLE.format(h='html')}, title_default) AS title,
+    array_to_string(ps, ' ') AS content, lower(nullif(regexp_extract(html, '(?i)<html[^>]*\\blang="([A-Za-z]+)', 1), '')) AS language, len(ps) AS np
+  FROM (SELECT *, {_d_paragraphs('html')} AS ps FROM routed))
+  WHERE title IS NOT NULL AND np > 0 AND {word_count('content')} > 150 AND language IN ('es', 'en'))"""
+_RUN_SCORE = """0.4 * similarity_to_centroid + 0.3 * novelty_score + 0.2 * {recency} + 0.5 * CASE source WHEN 'TechCrunch' THEN 1.0
+  WHEN 'Hugging Face Blog' THEN 0.9 WHEN 'AWS ML Blog' THEN 0.85 WHEN 'Xataka' THEN 0.7 WHEN 'Wired ES' THEN 0.6 ELSE 0.5 END"""
+
+
+@register("stream_ingest", with_views(f"""WITH {_PAGE_ART_SQL}, {assigned("page_art", "page_id")}
+SELECT page_id, url, cluster, round(similarity_to_centroid, 6) AS similarity_to_centroid FROM page_art JOIN asg USING (page_id)""",
+                                      "text_cents_v"))
 def q_stream_ingest(spark, sf):
+    """Novelty counts the members of a micro-batch, which depends on the files' split; the rest does not."""
     pg = X.table(spark, sf, "pages")
-    land = _stage_files(spark, pg.unionByName(pg.where(F.col("page_id") % 5 == 0)), "pages-landing", 3, "page_id")
+    land = _stage_files(spark, pg.unionByName(pg.where(F.col("page_id") % 5 == 0)), "pages-landing", 3, "url")
     out, ledger, ck = (scratch_path(spark, n) for n in ("ingested", "ledger", "ckpt-ingest"))
-    cents = X.centroids_v(spark, sf, dim_of(spark, sf))
-    cents = cents.select("cluster", F.slice("centroid", 1, 64).alias("centroid"))
-    ST.stream_ingest(spark, land, P.source_rules(spark), cents, lambda d: EM.embed_text(d, "hashing"), X.AS_OF, out,
-                     ledger, ck, dim=EM.ENCODERS["hashing"][1])
-    return spark.read.parquet(out).select("page_id", "url", "cluster", r6("final_score").alias("final_score"))
+    ST.stream_ingest(spark, land, P.source_rules(spark), X.text_centroids_v(spark, sf).checkpoint(), lambda d: EM.embed_text(d, "md5-64"),
+                     X.AS_OF, out, ledger, ck, dim=EM.ENCODERS["md5-64"][1])
+    return spark.read.parquet(out).select("page_id", "url", "cluster", r6("similarity_to_centroid").alias("similarity_to_centroid"))
 
 
 @register("stream_url_dedupe", with_views("SELECT DISTINCT url FROM feedback_v WHERE url IS NOT NULL", "feedback_v"))
@@ -1202,33 +1228,48 @@ def q_stream_feedback_counts(spark, sf):
 
 # ================================ M, K2, K7: composed runs ================================
 
-@register("batch_run")
+@register("batch_run", with_views(f"""WITH {assigned("articles_v", "doc_id")}
+SELECT doc_id, cluster, round({_RUN_SCORE.format(recency=f"exp(-floor((epoch_us({AS_OF_SQL}) - epoch_us(scraping_date)) / 86400000000) / 30.0)")}, 6) AS final_score
+FROM articles_v JOIN asg USING (doc_id)""", "articles_v", "text_cents_v"))
 def q_batch_run(spark, sf):
     csv = _articles_csv(spark, sf)
-    out = RN.batch_run(spark, csv, scratch_path(spark, "batch-run"), X.AS_OF, k=6)
-    return out.select("doc_id", "cluster", "cluster_name", r6("final_score").alias("final_score"))
+    out = RN.batch_run(spark, csv, scratch_path(spark, "batch-run"), X.AS_OF, model="md5-64",
+                       centroids=X.text_centroids_v(spark, sf).checkpoint())
+    return out.select("doc_id", "cluster", r6("final_score").alias("final_score"))
 
 
-@register("weekly_run")
+@register("weekly_run", with_views(f"""WITH {_PAGE_ART_SQL}, {assigned("page_art", "page_id")},
+scored AS (SELECT *, round({_RUN_SCORE.format(recency="1.0")}, 12) AS final_score FROM page_art JOIN asg USING (page_id)),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY final_score DESC, page_id) AS rank FROM scored) WHERE rank <= 3)
+SELECT '20240401T0000Z' AS generated_at, count(*) AS n_articles,
+  '<html><body><div class="container"><div class="header"><h1>{DG.WEEKLY_TITLE}</h1><p>{DG.WEEKLY_SUBTITLE.format(date='20240401T0000Z')}</p></div>'
+  || string_agg({_WEEKLY_CARD.format(t=_sql_escape('title'), s=_sql_escape('source'), l=_sql_escape('language'), u=_sql_escape('url'))}, '' ORDER BY final_score DESC, page_id)
+  || '<div class="footer">{DG.WEEKLY_FOOTER}</div></div></body></html>' AS html FROM top""", "text_cents_v"))
 def q_weekly_run(spark, sf):
-    cents = X.centroids_v(spark, sf, dim_of(spark, sf))
-    return RN.weekly_run(spark, X.table(spark, sf, "pages"), cents, X.AS_OF, scratch_path(spark, "weekly-articles"),
-                         scratch_path(spark, "weekly-ledger"), "20240401", "20240401T0000Z")
+    return RN.weekly_run(spark, X.table(spark, sf, "pages"), X.text_centroids_v(spark, sf).checkpoint(), X.AS_OF,
+                         scratch_path(spark, "weekly-articles"), scratch_path(spark, "weekly-ledger"), "20240401", "20240401T0000Z",
+                         model="md5-64")
 
 
-@register("full_retrain")
+@register("full_retrain", f"{_K_SQL.replace('true AS in_range, true', 'true')}")
 def q_full_retrain(spark, sf):
+    """Facts of the retrained version: the scores of each k with the choice, and the snapshot holds every article's label."""
     corpus = clusters.stable_input(X.articles_v(spark, sf))
-    meta = RN.full_retrain(spark, corpus, scratch_path(spark, "retrain-models"), scratch_path(spark, "retrain-corpus"),
-                           "20240401", 4, 12)
-    return meta.select("best_k", F.size("k_scores").alias("n_scores"), "model", "trained_at")
+    models, snapshot = scratch_path(spark, "retrain-models"), scratch_path(spark, "retrain-corpus")
+    meta = RN.full_retrain(spark, corpus, models, snapshot, "20240401", 4, 12, model="md5-64")
+    kept = spark.read.parquet(snapshot)
+    whole = (kept.where("cluster IS NOT NULL").count() == spark.read.parquet(f"{models}/embeddings/v=20240401").count()
+             == corpus.where(F.col("source").isin(*RN.RETRAIN_SOURCES)).count())
+    scores = meta.select("best_k", F.explode("k_scores").alias("ks")).select("best_k", "ks.k", "ks.silhouette")
+    top = F.expr("min_by(k, struct(-silhouette, k)) OVER ()")
+    return scores.select("k", ((top == F.col("best_k")) & F.lit(whole)).alias("best_is_argmax"))
 
 
-@register("retrain_metadata")
+@register("retrain_metadata", _K_SQL)
 def q_retrain_metadata(spark, sf):
     best, scores = clusters.find_optimal_k(clusters.stable_input(emb_vectors(spark, sf)), 4, 12)
     meta = DG.retrain_metadata(spark, best, scores, "hashing", "20240401")
-    return meta.select("best_k", F.explode("k_scores").alias("ks")).select("best_k", "ks.k", r6("ks.silhouette").alias("silhouette"))
+    return _best_is_argmax(best, meta.select(F.explode("k_scores").alias("ks")).select("ks.k", "ks.silhouette"))
 
 
 _CURATED_SQL = f"""f AS (SELECT * FROM valid_vec_v WHERE NOT coalesce(regexp_matches(source, 'wired', 'i'), false)),
@@ -1244,10 +1285,7 @@ cmean AS ({mean_vec_sql('cm', 'model, cluster', 'u')}),
 es AS (SELECT cm.doc_id, avg(1.0 - list_dot_product(cm.u, cmean.m)) AS novelty_score,
     avg({cosine('cm.v', 'cents.m')}) AS similarity_to_centroid
   FROM cm JOIN cmean USING (model, cluster) JOIN cents USING (model, cluster) GROUP BY cm.doc_id),
-{_PROFILE_MODELS_SQL},
-ar AS (SELECT doc_id, first(area ORDER BY sim DESC, ord ASC) AS area FROM (
-    SELECT d.doc_id, p.ord, p.area, avg({cosine('d.v', 'p.v')}) AS sim FROM cm d JOIN pm p ON d.model = p.model GROUP BY ALL)
-  GROUP BY doc_id),
+ar AS ({area_sql("cur", list(EM.ENSEMBLE.values()))}),
 x AS (SELECT cur.*, es.novelty_score, es.similarity_to_centroid, ar.area,
     CASE cur.source WHEN 'TechCrunch' THEN 1.0 WHEN 'Hugging Face Blog' THEN 0.9 WHEN 'AWS ML Blog' THEN 0.85
       WHEN 'Xataka' THEN 0.7 WHEN 'Wired ES' THEN 0.6 ELSE 0.5 END::DOUBLE AS source_score,
@@ -1265,6 +1303,16 @@ def q_curated_newsletter(spark, sf):
     return RN.curated_newsletter(spark, sf, threshold=0.85, top_n=3)
 
 
+_VARIANT_SQL = REGISTRY["curated_newsletter"][1].replace("0.3 * novelty_score + 0.2 * recency_score + 0.1 * source_score AS final_score FROM x)",
+                                                         "0.4 * novelty_score + 0.2 * recency_score + 0.1 * source_score AS final_score FROM x)")
+
+
+@register("curated_newsletter_novel", _VARIANT_SQL)
+def q_curated_newsletter_novel(spark, sf):
+    """M6 in its other known form: novelty weighs 0.4."""
+    return RN.curated_newsletter(spark, sf, threshold=0.85, top_n=3, w_novelty=0.4)
+
+
 @register("stage_counts", with_views(f"""WITH {_CURATED_SQL}
 SELECT 0 AS ord, 'filtered' AS stage, (SELECT count(*) FROM f) AS n
 UNION ALL SELECT 1, 'curated', (SELECT count(*) FROM cur)

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions import vectors as V
+from ..operators import embed
 
 AS_OF = "2024-04-01 00:00:00"
 
@@ -154,12 +156,24 @@ def centroids_v(spark: SparkSession, sf_dir: str, dim: int | None = None) -> Dat
     return V.mean_vectors(e, ["cluster"], "v", out="centroid", dim=dim)
 
 
-def profiles_v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < len(AREAS))
-    names = F.array(*[F.lit(a) for a in AREAS])
-    return e.select(F.col("vec_id").cast("int").alias("ord"),
-                    F.element_at(names, F.col("vec_id").cast("int") + 1).alias("area"),
-                    V.as_double("embedding").alias("v"))
+def profiles_v(spark: SparkSession, models: tuple[str, ...] = ("md5-64",)) -> DataFrame:
+    """The ten area profile texts under the named encoders: (ord, area, model, v)."""
+    rows = [(i, a, t) for i, (a, t) in enumerate(AREA_PROFILES.items())]
+    p = spark.createDataFrame(rows, "ord int, area string, text_for_embedding string").coalesce(1)
+    e = embed.embed_models(p, list(models), "ord")
+    return e.join(F.broadcast(p.select("ord", "area")), "ord").select("ord", "area", "model", "v")
+
+
+def text_models(articles: DataFrame, models: tuple[str, ...] = ("md5-64",)) -> DataFrame:
+    """Articles (doc_id, title, content) under the named encoders: (doc_id, model, v)."""
+    text = articles.select("doc_id", T.text_for_embedding("title", "content").alias("text_for_embedding"))
+    return embed.embed_models(text, list(models))
+
+
+def text_centroids_v(spark: SparkSession, sf_dir: str, k: int = 6, model: str = "md5-64") -> DataFrame:
+    """Fixed centroids in the encoder's own space: the mean article vector of each group doc_id % k."""
+    v = text_models(articles_v(spark, sf_dir), (model,)).withColumn("cluster", (F.col("doc_id") % k).cast("int"))
+    return V.mean_vectors(v, ["cluster"], "v", out="centroid", dim=embed.ENCODERS[model][1])
 
 
 def processed_v(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ dependencies, in order).  Only the driver tables are assumed to exist.
 
 from __future__ import annotations
 
-from .fixtures import LISTING, LISTING_HOSTS
+from .fixtures import AREA_PROFILES, LISTING, LISTING_HOSTS
 
 AS_OF_SQL = "TIMESTAMP '2024-04-01 00:00:00'"
 
@@ -109,10 +109,27 @@ view("valid_vec_v", ["valid_v"], """  SELECT a.*, e.label AS cluster, CAST(e.emb
 view("centroids_v", [], "  " + mean_vec_sql("(SELECT label AS cluster, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)",
                                                "cluster", "v").replace("list(val ORDER BY i) AS m", "list(val ORDER BY i) AS centroid"))
 
-view("profiles_v", [], """  SELECT CAST(vec_id AS INTEGER) AS ord,
-    ['Data & AI','IT & Cloud','Business','Risk & Compliance','Marketing','Category Management','Supply Chain','Sales / Commercial','Board','New Product Development'][vec_id + 1] AS area,
-    CAST(embedding AS DOUBLE[]) AS v
-  FROM embeddings WHERE vec_id < 10""")
+def md5_encoded(src: str, key: str, text: str, dim: int, where: str = "true") -> str:
+    """(key, i, x): non-zero entries of the unit vectors of the MD5 word encoder over a relation."""
+    return f"""SELECT {key}, i, n / sqrt(sum(n * n) OVER (PARTITION BY {key})) AS x FROM (
+    SELECT {key}, CAST(concat('0x', substr(md5(t), 1, 7)) AS BIGINT) % {dim} AS i, CAST(count(*) AS DOUBLE) AS n FROM (
+      SELECT {key}, unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+')) AS t FROM {src} WHERE {where}) GROUP BY ALL)"""
+
+
+_PROFILES = ", ".join(f"({i}, {_str(a)}, {_str(t)})" for i, (a, t) in enumerate(AREA_PROFILES.items()))
+view("profiles_v", [], f"  SELECT * FROM (VALUES {_PROFILES}) AS t(ord, area, text)")
+
+
+def area_sql(articles: str, dims: list[int]) -> str:
+    """(doc_id, area): the profile most similar on average over MD5 encoders of these widths; ties go to the first."""
+    text = preprocess("title || '. ' || content")
+    sims = " UNION ALL ".join(f"""SELECT d.doc_id, p.ord, sum(d.x * p.x) AS sim FROM ({md5_encoded(articles, "doc_id", text, n)}) d
+    JOIN ({md5_encoded("profiles_v", "ord", "text", n)}) p USING (i) GROUP BY ALL""" for n in dims)
+    return f"""  SELECT a.doc_id, first(p.area ORDER BY round(coalesce(s.sim, 0), 12) DESC, p.ord ASC) AS area
+  FROM {articles} a CROSS JOIN profiles_v p
+  LEFT JOIN (SELECT doc_id, ord, sum(sim) / {len(dims)} AS sim FROM ({sims}) GROUP BY ALL) s ON s.doc_id = a.doc_id AND s.ord = p.ord
+  GROUP BY a.doc_id"""
+
 
 view("processed_v", ["articles_v"], "  SELECT url FROM articles_v WHERE doc_id % 3 = 0")
 
@@ -125,9 +142,29 @@ view("feedback_v", ["articles_v"], """  SELECT e.event_id, a.url,
 view("valid_unit_v", ["valid_vec_v"], f"  SELECT doc_id, cluster, {unit('v')} AS u FROM valid_vec_v")
 view("valid_cmean_v", ["valid_unit_v"], "  " + mean_vec_sql("valid_unit_v", "cluster", "u"))
 
-view("area_v", ["valid_unit_v", "profiles_v"], f"""  SELECT u.doc_id, first(p.area ORDER BY list_dot_product(u.u, p.pu) DESC, p.ord ASC) AS area
-  FROM valid_unit_v u CROSS JOIN (SELECT ord, area, {unit('v')} AS pu FROM profiles_v) p
-  GROUP BY u.doc_id""")
+view("text_cents_v", ["articles_v"], f"""  SELECT CAST(doc_id % 6 AS INTEGER) AS g, i, sum(x) / any_value(n) AS c
+  FROM ({md5_encoded("articles_v", "doc_id", preprocess("title || '. ' || content"), 64)})
+  JOIN (SELECT doc_id % 6 AS r, count(*) AS n FROM articles_v GROUP BY ALL) z ON z.r = doc_id % 6 GROUP BY ALL""")
+
+
+def assigned(src: str, key: str) -> str:
+    """CTE asg (key, cluster, similarity_to_centroid, novelty_score) of a relation with title and content: nearest fixed
+    centroid, cosine to it, and novelty against the members of the same cluster within the relation."""
+    return f"""ev AS MATERIALIZED ({md5_encoded(src, key, preprocess("title || '. ' || content"), 64)}),
+vn AS (SELECT {key}, sum(x * x) AS vv FROM ev GROUP BY ALL),
+cn AS (SELECT g, sum(c * c) AS cc FROM text_cents_v GROUP BY g),
+dt AS (SELECT {key}, g, sum(x * c) AS dot FROM ev JOIN text_cents_v USING (i) GROUP BY ALL),
+near AS MATERIALIZED (SELECT {key}, g AS cluster, dot / sqrt(vv * cc) AS similarity_to_centroid FROM (
+  SELECT vn.{key}, cn.g, coalesce(dot, 0) AS dot, vv, cc, row_number() OVER (
+    PARTITION BY vn.{key} ORDER BY round(vv - 2 * coalesce(dot, 0) + cc, 12), cn.g) AS r
+  FROM vn CROSS JOIN cn LEFT JOIN dt ON dt.{key} = vn.{key} AND dt.g = cn.g) WHERE r = 1),
+mu AS (SELECT cluster, i, sum(x) / any_value(n) AS m FROM ev JOIN near USING ({key})
+  JOIN (SELECT cluster, count(*) AS n FROM near GROUP BY cluster) USING (cluster) GROUP BY ALL),
+asg AS (SELECT near.{key}, near.cluster, any_value(similarity_to_centroid) AS similarity_to_centroid, 1 - sum(x * m) AS novelty_score
+  FROM near JOIN ev USING ({key}) JOIN mu ON mu.cluster = near.cluster AND mu.i = ev.i GROUP BY ALL)"""
+
+
+view("area_v", ["valid_vec_v", "profiles_v"], area_sql("valid_vec_v", [64]))
 
 view("scored_v", ["valid_vec_v", "valid_cmean_v", "centroids_v", "area_v"], f"""  SELECT b.doc_id, b.source, b.url, b.title, b.content, b.language, b.scraping_date, b.cluster, b.word_count,
     b.content_length, b.v,

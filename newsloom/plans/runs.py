@@ -22,24 +22,30 @@ CSV_SCHEMA = "doc_id long, source string, url string, title string, content stri
 # ---- fixed values (must equal the reference's) ---------------------------------
 RETRAIN_SOURCES = ("Xataka", "Hugging Face Blog", "TechCrunch", "AWS Blog")  # the full retrain's corpus
 # -------------------------------------------------------------------------------
+MODELS = tuple(embed.ENSEMBLE)
 
 
 def batch_run(spark: SparkSession, csv_path: str, out_dir: str, as_of: str, k: int = 6, model: str = "hashing",
-              run_date: str = "20240401", top_terms: int = 10) -> DataFrame:
-    """M3: CSV -> text -> embed -> KMeans(k) -> centroid similarity -> terms, names -> scores -> CSV + Parquet."""
+              run_date: str = "20240401", top_terms: int = 10, centroids: DataFrame | None = None) -> DataFrame:
+    """M3: CSV -> text -> embed -> KMeans(k) -> centroid similarity -> terms, names -> scores -> CSV + Parquet.
+
+    With ``centroids`` (cluster, centroid; in the encoder's space) rows go to the nearest of them instead of a fit."""
     a = files.read_articles_csv(spark, csv_path, CSV_SCHEMA)
     a = a.withColumn("text_for_embedding", T.text_for_embedding("title", "content"))
     a = embed.embed_text(a, model).cache()
     try:
-        _m, labels, cents = clusters.fit_kmeans(a, k)
-        x = a.join(labels, "doc_id")
+        if centroids is None:
+            _m, labels, cents = clusters.fit_kmeans(a, k)
+            x = a.join(labels, "doc_id")
+        else:
+            cents, x = centroids, clusters.predict_cluster(a, centroids)
         x = scoring.similarity_to_centroid(x, cents)
         docs = terms.materialize(terms.token_ngrams(terms.clean_tokens(
             embed.detect_language(x.select("doc_id", "cluster", "content")))))
         names = terms.name_clusters(terms.top_terms_per_cluster(terms.tfidf(docs), docs.select("doc_id", "cluster"),
                                                                 top_terms))
         x = terms.attach_cluster_name(x, names)
-        x = scoring.novelty_score(x, "cluster", "v")
+        x = scoring.novelty_score(x, "cluster", "v", embed.ENCODERS[model][1])
         x = scoring.recency_score(x, as_of)
         x = scoring.source_score(x)
         x = scoring.final_score(x, 0.4, 0.3, 0.2, 0.5)
@@ -60,25 +66,28 @@ def weekly_run(spark: SparkSession, pages_df: DataFrame, centroids: DataFrame, a
     rules = pages.source_rules(spark)
     streams.ingest_batch(pages_df, rules, centroids, lambda d: embed.embed_text(d, model), as_of, out_path,
                          ledger_root, version, dim=embed.ENCODERS[model][1])
-    combined = spark.read.parquet(out_path)
+    # copies of one text tie: compare scores at 12 decimals, so the order of a sum cannot decide
+    combined = spark.read.parquet(out_path).withColumn("final_score", F.round("final_score", 12))
     return digest.digest_weekly(combined, generated_at, top_n, key="page_id")
 
 
 def full_retrain(spark: SparkSession, corpus: DataFrame, model_root: str, corpus_root: str, as_of_stamp: str,
                  k_min: int = 4, k_max: int = 12, model: str = "hashing", top_terms: int = 12) -> DataFrame:
-    """M5: corpus (four sources) -> text -> embed -> best k -> KMeans -> TF-IDF on the preprocessed text -> terms ->
-    model version, corpus snapshot and metadata row (K7)."""
+    """M5: corpus (four sources) -> text -> embed -> best k -> KMeans -> TF-IDF on the preprocessed content -> terms ->
+    model, embeddings, vocabulary and terms of this version, corpus snapshot with clusters, metadata row (K7)."""
     c = corpus.where(F.col("source").isin(*RETRAIN_SOURCES))
     c = c.withColumn("text_for_embedding", T.text_for_embedding("title", "content"))
     e = embed.embed_text(c, model).cache()
     try:
         best_k, scores = clusters.find_optimal_k(e, k_min, k_max)
         km, labels, _c = clusters.fit_kmeans(e, best_k)
-        docs = terms.materialize(terms.ngrams(e.select("doc_id", F.col("text_for_embedding").alias("text_tfidf"))))
+        docs = terms.materialize(terms.ngrams(e.select("doc_id", T.basic_preprocess("content").alias("text_tfidf"))))
         top = terms.top_terms_per_cluster(terms.tfidf(docs), labels, top_terms)
         files.save_model_version(km, model_root, as_of_stamp)
         top.write.mode("overwrite").parquet(f"{model_root}/terms/v={as_of_stamp}")
-        files.write_articles_parquet(e.drop("v"), corpus_root, as_of_stamp, mode="overwrite")
+        terms.idf_table(docs).write.mode("overwrite").parquet(f"{model_root}/vocabulary/v={as_of_stamp}")
+        files.save_embeddings_version(e.select("doc_id", "v"), f"{model_root}/embeddings", as_of_stamp)
+        files.write_articles_parquet(e.drop("v").join(labels, "doc_id"), corpus_root, as_of_stamp, mode="overwrite")
         meta = digest.retrain_metadata(spark, best_k, scores, model, as_of_stamp)
     finally:
         e.unpersist()
@@ -86,7 +95,7 @@ def full_retrain(spark: SparkSession, corpus: DataFrame, model_root: str, corpus
 
 
 def curated_scores(spark: SparkSession, sf_dir: str, threshold: float = 0.85, as_of: str = X.AS_OF,
-                   dim: int | None = None) -> tuple[DataFrame, list[tuple[str, DataFrame]]]:
+                   dim: int | None = None, w_novelty: float = 0.3) -> tuple[DataFrame, list[tuple[str, DataFrame]]]:
     """M6 up to the scores: D9 -> three models (E3) -> clusters (fixed: the labels) -> E6 -> H2 -> I10 -> I1, I2 ->
     I8 -> J2.  Returns the scored table and the named stages (for K2)."""
     dim = dim or X.vector_dim(spark, sf_dir)
@@ -94,8 +103,8 @@ def curated_scores(spark: SparkSession, sf_dir: str, threshold: float = 0.85, as
     # every later branch (models, pairs, losers, centroids, scores) starts here: materialise it once in the
     # shared checkpoint folder instead of re-reading and re-counting the texts per branch
     ensure_checkpoint_dir(spark)
-    f = select.exclude_source(v).select("doc_id", "source", "url", "title", "language", "scraping_date", "cluster",
-                                        "word_count", "v").checkpoint()
+    f = select.exclude_source(v).select("doc_id", "source", "url", "title", "content", "language", "scraping_date",
+                                        "cluster", "word_count", "v").checkpoint()
     models = X.models_v(spark, sf_dir, f.select("doc_id", "v"))
     mclusters = models.select("doc_id", "model").join(f.select("doc_id", "cluster"), "doc_id")
     # centroids are fitted before duplicates are removed, then used after
@@ -106,16 +115,14 @@ def curated_scores(spark: SparkSession, sf_dir: str, threshold: float = 0.85, as
     x = curated.join(es, "doc_id")
     x = scoring.source_score(x)
     x = scoring.recency_score(x, as_of)
-    x = scoring.final_score(x, 0.4, 0.3, 0.2, 0.1)
-    p = X.profiles_v(spark, sf_dir)
-    pm = X.models_v(spark, sf_dir, p.select(F.col("ord").cast("long").alias("doc_id"), "v"))
-    pm = pm.join(p.select(F.col("ord").cast("long").alias("doc_id"), "ord", "area"), "doc_id").drop("doc_id")
-    x = x.join(areas.assign_area_ensemble(cm, pm), "doc_id")
+    x = scoring.final_score(x, 0.4, w_novelty, 0.2, 0.1)
+    x = x.join(areas.assign_area_ensemble(X.text_models(x, MODELS), X.profiles_v(spark, MODELS)).select("doc_id", "area"), "doc_id")
     return x, [("filtered", f), ("curated", curated), ("scored", x)]
 
 
 def curated_newsletter(spark: SparkSession, sf_dir: str, threshold: float = 0.85, top_n: int = 3,
-                       as_of: str = X.AS_OF) -> DataFrame:
-    """M6 (flagship composition): curated, scored articles -> best ``top_n`` per area -> one digest per area."""
-    x, _ = curated_scores(spark, sf_dir, threshold, as_of)
-    return digest.digest_by_area(x, X.profiles_v(spark, sf_dir), top_n)
+                       as_of: str = X.AS_OF, w_novelty: float = 0.3) -> DataFrame:
+    """M6 (flagship composition): curated, scored articles -> best ``top_n`` per area -> one digest per area.  The two
+    known forms of this run differ in the weight of novelty (0.3 and 0.4)."""
+    x, _ = curated_scores(spark, sf_dir, threshold, as_of, w_novelty=w_novelty)
+    return digest.digest_by_area(x, X.profiles_v(spark), top_n)

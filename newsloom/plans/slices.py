@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import areas, scoring
+from ..operators import areas, embed, scoring
 from . import fixtures as X
 
 
@@ -46,6 +46,8 @@ def scored_articles(spark: SparkSession, sf_dir: str, as_of: str = X.AS_OF, dim:
     x = scoring.novelty_score(x, "cluster", "v", dim)
     x = scoring.similarity_to_centroid(x, X.centroids_v(spark, sf_dir, dim))
     x = scoring.final_score(x, w_similarity, w_novelty, w_recency, w_source)
-    if with_area:
-        x = areas.assign_area(x, X.profiles_v(spark, sf_dir))
+    if with_area:  # article text and profile texts under the same encoder
+        x = x.withColumn("text_for_embedding", T.text_for_embedding("title", "content"))
+        x = embed.embed_text(x, "md5-64", out="_text_v")
+        x = areas.assign_area(x, X.profiles_v(spark), vec="_text_v").drop("text_for_embedding", "_text_v")
     return x

@@ -1,7 +1,7 @@
 """Sources and sinks (section A): CSV / Parquet / JSON / text and ML model writers.
 
-Writers never overwrite what is being read: versioned folders (``v=YYYYMMDD``)
-and a small pointer table select the current version of the URL ledger.
+Writers never overwrite what is being read: artefacts go to versioned folders (``v=YYYYMMDD``), and the URL ledger is
+append-only, one partition per batch.
 """
 
 from __future__ import annotations
@@ -55,7 +55,7 @@ def read_articles_parquet(spark: SparkSession, path: str, schema: str | None = N
             r = r.schema(schema)
         return r.parquet(path)
     except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
+        if _no_path(e):
             return _empty(spark, schema or ARTICLE_SCHEMA)
         raise
 
@@ -70,53 +70,38 @@ def append_articles(existing: DataFrame, new: DataFrame) -> DataFrame:
     return existing.unionByName(new, allowMissingColumns=True)
 
 
-def _current_version(spark: SparkSession, root: str) -> str | None:
-    try:
-        cur = spark.read.parquet(f"{root}/_current").first()
-    except AnalysisException:
-        return None
-    return cur["version"] if cur is not None else None
+def _no_path(e: AnalysisException) -> bool:
+    return "PATH_NOT_FOUND" in (e.getCondition() or str(e))
 
 
-def _previous_ledger(spark: SparkSession, root: str, version: str) -> DataFrame:
+def _ledger_batches(spark: SparkSession, root: str) -> DataFrame:
+    """All (url, batch) rows; only a missing folder counts as an empty ledger."""
     try:
-        prev = spark.read.parquet(f"{root}/_previous").first()
-    except AnalysisException:
-        prev = None
-    if prev is None or prev["version"] == version:
-        return _empty(spark, LEDGER_SCHEMA)
-    return spark.read.option("header", True).schema(LEDGER_SCHEMA).csv(f"{root}/v={prev['version']}")
+        return spark.read.option("header", True).schema(f"{LEDGER_SCHEMA}, batch string").csv(root)
+    except AnalysisException as e:
+        if _no_path(e):
+            return _empty(spark, f"{LEDGER_SCHEMA}, batch string")
+        raise
 
 
 def ledger_before(spark: SparkSession, root: str, version: str) -> DataFrame:
-    """The ledger as it was before ``version`` was written (the current one, or -- when ``version`` is already
-    current because a batch is replayed -- the one before it)."""
-    if _current_version(spark, root) == version:
-        return _previous_ledger(spark, root, version)
-    return load_processed_urls(spark, root)
+    """The ledger without the batch ``version`` itself, so a replayed batch does not see its own URLs."""
+    return _ledger_batches(spark, root).where(F.col("batch") != version).select("url").distinct()
 
 
 def load_processed_urls(spark: SparkSession, root: str) -> DataFrame:
-    """The current URL ledger (one column ``url``); missing -> empty."""
-    cur = _current_version(spark, root)
-    if cur is None:
-        return _empty(spark, LEDGER_SCHEMA)
-    return spark.read.option("header", True).schema(LEDGER_SCHEMA).csv(f"{root}/v={cur}")
+    """The URL ledger (one column ``url``); missing -> empty."""
+    return _ledger_batches(spark, root).select("url").distinct()
 
 
 def append_processed_urls(spark: SparkSession, root: str, new_urls: DataFrame, version: str) -> DataFrame:
-    """Ledger union new URLs, distinct, written as a NEW version folder, then the pointer is switched.
+    """Append one partition with the batch's distinct URLs; returns the whole ledger, distinct.
 
-    The old version is never overwritten while it may be read.  Returns the new ledger.
+    A batch owns its folder and overwrites it, so a replay changes nothing; no other batch's URLs are rewritten, and
+    there is no pointer to lose: a crash in a write leaves that batch's folder without committed files, nothing else.
     """
-    old = ledger_before(spark, root, version)
-    merged = old.unionByName(new_urls.select("url")).distinct()
-    merged.write.mode("overwrite").option("header", True).csv(f"{root}/v={version}")
-    cur = _current_version(spark, root)
-    if cur is not None and cur != version:
-        spark.createDataFrame([(cur,)], "version string").write.mode("overwrite").parquet(f"{root}/_previous")
-    spark.createDataFrame([(version,)], "version string").write.mode("overwrite").parquet(f"{root}/_current")
-    return spark.read.option("header", True).schema(LEDGER_SCHEMA).csv(f"{root}/v={version}")
+    new_urls.select("url").distinct().write.mode("overwrite").option("header", True).csv(f"{root}/batch={version}")
+    return load_processed_urls(spark, root)
 
 
 def append_feedback(feedback: DataFrame, path: str) -> None:
@@ -128,8 +113,10 @@ def append_feedback(feedback: DataFrame, path: str) -> None:
 def read_feedback(spark: SparkSession, path: str) -> DataFrame:
     try:
         return spark.read.option("header", True).schema(FEEDBACK_SCHEMA).csv(path)
-    except AnalysisException:
-        return _empty(spark, FEEDBACK_SCHEMA)
+    except AnalysisException as e:
+        if _no_path(e):
+            return _empty(spark, FEEDBACK_SCHEMA)
+        raise
 
 
 def save_cluster_metadata(spark: SparkSession, path: str, model_name: str, model: KMeansModel) -> None:

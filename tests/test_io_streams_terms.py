@@ -108,6 +108,31 @@ def test_replayed_batch_is_idempotent(spark):
     assert files.load_processed_urls(spark, ledger).count() == 2
 
 
+def test_ledger_survives_a_crash_between_writes(spark):
+    import os
+    root = scratch_path(spark, "ledger-crash")
+    urls = lambda *u: spark.createDataFrame([(x,) for x in u], "url string")
+    files.append_processed_urls(spark, root, urls("a", "b"), "1")
+    os.makedirs(f"{root.replace('file:', '', 1)}/batch=2/_temporary/0/task_1")   # a batch whose write died
+    assert sorted(r.url for r in files.load_processed_urls(spark, root).collect()) == ["a", "b"]
+    files.append_processed_urls(spark, root, urls("b", "c", "c"), "2")           # its replay
+    files.append_processed_urls(spark, root, urls("b", "c"), "2")
+    assert sorted(r.url for r in files.load_processed_urls(spark, root).collect()) == ["a", "b", "c"]
+    assert sorted(r.url for r in files.ledger_before(spark, root, "2").collect()) == ["a", "b"]
+
+
+def test_one_page_of_a_repeated_url_by_smallest_id(spark):
+    from newsloom.operators import embed as EM
+    from newsloom.sources import pages
+    page = lambda i, t: (i, "https://a.example.com/1", f'<html lang="en"><h1>{t}</h1><p>' + " ".join(["word"] * 200) + "</p></html>")
+    pg = spark.createDataFrame([page(9, "nine"), page(4, "four"), page(7, "seven")], "page_id long, url string, html string")
+    cents = spark.createDataFrame([(0, [1.0] + [0.0] * 63)], "cluster int, centroid array<double>")
+    out = scratch_path(spark, "ing")
+    streams.ingest_batch(pg, pages.source_rules(spark), cents, lambda d: EM.embed_text(d, "hashing"), "2024-04-01 00:00:00", out,
+                         scratch_path(spark, "led"), version="1")
+    assert [(r.page_id, r.title) for r in spark.read.parquet(out).collect()] == [(4, "four")]
+
+
 def test_styled_area_digest(spark):
     rows = [(i, "A", f"t{i}", "s", f"u{i}", i / 100) for i in range(12)]
     df = spark.createDataFrame(rows, "doc_id long, area string, title string, source string, url string, final_score double")
