@@ -4,8 +4,9 @@ Method.  The standard library's HTML parser streams events; block-level tags and
 gets its text-to-tag ratio (characters over tags since the line before, anchors' text left out); lines inside menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments have ratio zero.  The ratios
 are smoothed by a Gaussian, and runs of lines above the threshold (the deviation of the smoothed ratios) are the
-content clusters.  The deepest container that holds ``MASS`` of the clusters' text is the content region; all its
-lines are returned but the marked ones, so short paragraphs inside an article are not lost.
+content clusters.  The deepest container that holds ``MASS`` of the clusters' text is the content region (an article
+or main element around it if there is one); all its lines are returned but the marked ones, so short paragraphs inside
+an article are not lost.  Outside article and main, lines that are nothing but links are left out too.
 
 Scale.  One pass, no shuffle; a page is parsed on its own, with memory linear in its length.
 
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 from .common import field_type
 
 SIGMA = 1.0
-MASS = 0.8
+MASS = 0.9
 # fixed values: HTML element names by role, and words that mark furniture in class, id and role
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption "
@@ -56,7 +57,7 @@ class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int, bool]] = []      # (tag, innermost container, marked)
-        self.parent = [0]                                 # container tree; 0 is the page
+        self.parent, self.name = [0], [""]               # container tree; 0 is the page
         self.lines: list[tuple[str, int, int, int, bool]] = []
         self.buffer: list[str] = []
         self.tags = self.links = self.anchor = self.article = self.noise = 0
@@ -125,6 +126,7 @@ class _Lines(HTMLParser):
         box, marked = self.at
         if tag in CONTAINER:
             self.parent.append(box)
+            self.name.append(tag)
             box = len(self.parent) - 1
         self.at = (box, marked or self._marked(tag, attrs))
         self.anchor += tag == "a"
@@ -176,11 +178,16 @@ def main_text(html: str | None) -> str:
     for box in range(len(mass) - 1, 0, -1):              # children come after their parents
         mass[page.parent[box]] += mass[box]
     region = max(b for b in range(len(mass)) if mass[b] >= MASS * mass[0]) if mass[0] else 0
+    around = region
+    while around and page.name[around] not in ("article", "main"):
+        around = page.parent[around]
+    region = around or region
     inside = [False] * len(mass)
     inside[region] = True
     for box in range(region + 1, len(mass)):
         inside[box] = inside[page.parent[box]]
-    return "\n".join(text for text, _, _, box, marked in lines if inside[box] and not marked)
+    whole = around > 0 or not weight.any()
+    return "\n".join(text for (text, _, _, box, marked), w in zip(lines, weight) if inside[box] and not marked and (whole or w > 0))
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

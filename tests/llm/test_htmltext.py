@@ -30,6 +30,13 @@ def test_furniture_goes():
     assert htmltext.main_text(page).split("\n") == ["Title & more", text, "Short.", "one", "two", text]
 
 
+def test_sections_of_an_article_stay_together():
+    page = f"<body><ul><li><a href='/'>Home</a><li><a href='/x'>News</a></ul><article><section>{'<p>' + LONG * 5}</section><section><p>Short end.</section></article></body>"
+    assert htmltext.main_text(page).split("\n") == [(LONG * 5).strip(), "Short end."]
+    bare = f"<body><ul><li><a href='/'>Home</a><li><a href='/x'>News</a></ul><h2>Head</h2><p>{LONG}<p>Short end."
+    assert htmltext.main_text(bare).split("\n") == ["Head", LONG.strip(), "Short end."]
+
+
 def test_edge_pages(spark):
     cases = [(1, None, None), (2, "u", ""), (3, "u", "plain &lt;text&gt;\n only"), (4, "u", "<p>a</p><p>b"), (5, "u", "<"), (6, "u", "</div></p>"),
              (None, None, "<p>x  y</p>"), (4, "u", "<p>a</p><p>b"), (7, "u", "<div>" * 3000 + "deep"), (8, "u", "<p>" + "long " * 100_000)]
