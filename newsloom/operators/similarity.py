@@ -257,24 +257,3 @@ def ensemble_best_neighbours(models: DataFrame, articles: DataFrame, threshold:
     """``best_neighbours`` under the similarity averaged over the models (E6 semantics, stacked vectors)."""
     st = stacked_models(models, id_col, "model", "v").join(articles.select(id_col, wc_col), id_col)
     return best_neighbours(st, threshold, id_col=id_col, vec="v", wc_col=wc_col, blocks=blocks, normalize=False)
-
-
-def approx_cosine_pairs(df: DataFrame, threshold: float, id_col: str = "doc_id", vec: str = "v",
-                        bucket_length: float = 1.0, num_tables: int = 4, seed: int = 42) -> DataFrame:
-    """Approximate option for very large corpora: Euclidean LSH on unit vectors, then exact re-check.
-
-    On unit vectors cos > t  <=>  ||a - b|| < sqrt(2 - 2t).  Recall is below 1; use ``cosine_pairs`` when exact
-    results are required.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    base = df.select(F.col(id_col).cast("long").alias("id"), array_to_vector(V.l2_normalize(vec)).alias("features"))
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=seed).fit(base)
-    dist = math.sqrt(max(0.0, 2.0 - 2.0 * threshold))
-    j = lsh.approxSimilarityJoin(base, base, dist, distCol="dist")
-    j = j.where(F.col("datasetA.id") < F.col("datasetB.id"))
-    return (j.select(F.col("datasetA.id").alias("id_a"), F.col("datasetB.id").alias("id_b"),
-                     (F.lit(1.0) - F.col("dist") * F.col("dist") / 2).alias("sim"))
-            .where(F.col("sim") > threshold))

@@ -19,7 +19,7 @@ from ..operators import areas, clusters, curate, scoring, select, similarity, te
 from . import fixtures as X
 from . import slices
 from ..operators import embed as EM
-from .oracle import AS_OF_SQL, area_sql, assigned, cosine, md5_encoded, mean_vec_sql, preprocess, unit, with_views, word_count
+from .oracle import AS_OF_SQL, area_sql, assigned, cosine, md5_encoded, mean_vec_sql, preprocess, source_weight, unit, with_views, word_count
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -302,8 +302,7 @@ def q_near_duplicates(spark, sf):
     return curate.near_duplicates(v, 0.35).select("doc_id", "word_count")
 
 
-@register("score_lookup", with_views("""SELECT doc_id, source, CASE source WHEN 'TechCrunch' THEN 1.0 WHEN 'Hugging Face Blog' THEN 0.9
-  WHEN 'AWS ML Blog' THEN 0.85 WHEN 'Xataka' THEN 0.7 WHEN 'Wired ES' THEN 0.6 ELSE 0.5 END::DOUBLE AS weight FROM articles_v""", "articles_v"))
+@register("score_lookup", with_views(f"""SELECT doc_id, source, {source_weight('source')} AS weight FROM articles_v""", "articles_v"))
 def q_score_lookup(spark, sf):
     a = X.articles_v(spark, sf).select("doc_id", "source")
     return scoring.score_lookup(a, scoring.weights_table(spark), "source", "weight", "weight", 0.5)
@@ -853,11 +852,12 @@ def q_feed_recent(spark, sf):
 
 
 @register("feed_collect", with_views(f"""SELECT e.source, e.feed_ord, e.pos, e.title, e.url, t.content AS page_content
-FROM feed_entries_v e JOIN page_texts_v t USING (url)
+FROM feed_entries_v e JOIN (SELECT url, array_to_string(list_filter(ps, lambda t: length(t) > 50), ' ') AS content
+  FROM (SELECT url, {_d_paragraphs(_ART)} AS ps FROM pages) WHERE len(ps) > 0) t USING (url)
 WHERE (e.date IS NULL OR e.date >= {AS_OF_SQL} - INTERVAL 7 DAY) AND e.url <> '' AND e.title <> ''
-ORDER BY e.feed_ord, e.pos LIMIT 20""", "feed_entries_v", "page_texts_v"))
+ORDER BY e.feed_ord, e.pos LIMIT 20""", "feed_entries_v"))
 def q_feed_collect(spark, sf):
-    c = FD.feed_collect(feed_entries(spark, sf), FD.page_texts(X.table(spark, sf, "pages")), X.AS_OF, days=7,
+    c = FD.feed_collect(feed_entries(spark, sf), FD.collector_texts(X.table(spark, sf, "pages")), X.AS_OF, days=7,
                         max_articles=20)
     return c.select("source", "feed_ord", "pos", "title", "url", "page_content")
 
@@ -922,6 +922,17 @@ def q_digest_by_area(spark, sf):
     return DG.digest_by_area(slices.scored_articles(spark, sf), X.profiles_v(spark), top_n=3)
 
 
+_STYLED = DG.STYLED_AREA_HEADER.split("@AREA@")
+
+
+@register("digest_by_area_styled", with_views(f"""WITH top AS (SELECT area, rank, {_sql_text(DG.AREA_ITEM, title='title', source='source', url='url')} AS item
+  FROM (SELECT *, row_number() OVER (PARTITION BY area ORDER BY final_score DESC, doc_id) AS rank FROM final_v) WHERE rank <= 10)
+SELECT p.area, {_sql_str(_STYLED[0])} || p.area || {_sql_str(_STYLED[1])} || coalesce(string_agg(t.item, '' ORDER BY t.rank), '') || '{DG.AREA_FOOTER}' AS html
+FROM profiles_v p LEFT JOIN top t ON t.area = p.area GROUP BY p.area""", "final_v", "profiles_v"))
+def q_digest_by_area_styled(spark, sf):
+    return DG.digest_by_area(slices.scored_articles(spark, sf), X.profiles_v(spark), top_n=10, styled=True)
+
+
 _RECENT_SQL = f"""recent AS (SELECT source, feed_ord, pos, title, url, substr(summary, 1, 300) AS summary,
     coalesce(date, {AS_OF_SQL}) AS date FROM feed_entries_v WHERE coalesce(date, {AS_OF_SQL}) >= {AS_OF_SQL} - INTERVAL 7 DAY),
 rk AS (SELECT *, 0 - date_diff('day', DATE '1970-01-01', CAST(date AS DATE)) AS dkey FROM recent),
@@ -1169,8 +1180,7 @@ page_art AS MATERIALIZED (SELECT * FROM (SELECT page_id, source, url, coalesce({
     array_to_string(ps, ' ') AS content, lower(nullif(regexp_extract(html, '(?i)<html[^>]*\\blang="([A-Za-z]+)', 1), '')) AS language, len(ps) AS np
   FROM (SELECT *, {_d_paragraphs('html')} AS ps FROM routed))
   WHERE title IS NOT NULL AND np > 0 AND {word_count('content')} > 150 AND language IN ('es', 'en'))"""
-_RUN_SCORE = """0.4 * similarity_to_centroid + 0.3 * novelty_score + 0.2 * {recency} + 0.5 * CASE source WHEN 'TechCrunch' THEN 1.0
-  WHEN 'Hugging Face Blog' THEN 0.9 WHEN 'AWS ML Blog' THEN 0.85 WHEN 'Xataka' THEN 0.7 WHEN 'Wired ES' THEN 0.6 ELSE 0.5 END"""
+_RUN_SCORE = """0.4 * similarity_to_centroid + 0.3 * novelty_score + 0.2 * {recency} + 0.5 * {weight}"""
 
 
 @register("stream_ingest", with_views(f"""WITH {_PAGE_ART_SQL}, {assigned("page_art", "page_id")}
@@ -1229,7 +1239,7 @@ def q_stream_feedback_counts(spark, sf):
 # ================================ M, K2, K7: composed runs ================================
 
 @register("batch_run", with_views(f"""WITH {assigned("articles_v", "doc_id")}
-SELECT doc_id, cluster, round({_RUN_SCORE.format(recency=f"exp(-floor((epoch_us({AS_OF_SQL}) - epoch_us(scraping_date)) / 86400000000) / 30.0)")}, 6) AS final_score
+SELECT doc_id, cluster, round({_RUN_SCORE.format(weight=source_weight('source'), recency=f"exp(-floor((epoch_us({AS_OF_SQL}) - epoch_us(scraping_date)) / 86400000000) / 30.0)")}, 6) AS final_score
 FROM articles_v JOIN asg USING (doc_id)""", "articles_v", "text_cents_v"))
 def q_batch_run(spark, sf):
     csv = _articles_csv(spark, sf)
@@ -1239,7 +1249,7 @@ def q_batch_run(spark, sf):
 
 
 @register("weekly_run", with_views(f"""WITH {_PAGE_ART_SQL}, {assigned("page_art", "page_id")},
-scored AS (SELECT *, round({_RUN_SCORE.format(recency="1.0")}, 12) AS final_score FROM page_art JOIN asg USING (page_id)),
+scored AS (SELECT *, round({_RUN_SCORE.format(weight=source_weight('source'), recency="1.0")}, 12) AS final_score FROM page_art JOIN asg USING (page_id)),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY final_score DESC, page_id) AS rank FROM scored) WHERE rank <= 3)
 SELECT '20240401T0000Z' AS generated_at, count(*) AS n_articles,
   '<html><body><div class="container"><div class="header"><h1>{DG.WEEKLY_TITLE}</h1><p>{DG.WEEKLY_SUBTITLE.format(date='20240401T0000Z')}</p></div>'
@@ -1287,8 +1297,7 @@ es AS (SELECT cm.doc_id, avg(1.0 - list_dot_product(cm.u, cmean.m)) AS novelty_s
   FROM cm JOIN cmean USING (model, cluster) JOIN cents USING (model, cluster) GROUP BY cm.doc_id),
 ar AS ({area_sql("cur", list(EM.ENSEMBLE.values()))}),
 x AS (SELECT cur.*, es.novelty_score, es.similarity_to_centroid, ar.area,
-    CASE cur.source WHEN 'TechCrunch' THEN 1.0 WHEN 'Hugging Face Blog' THEN 0.9 WHEN 'AWS ML Blog' THEN 0.85
-      WHEN 'Xataka' THEN 0.7 WHEN 'Wired ES' THEN 0.6 ELSE 0.5 END::DOUBLE AS source_score,
+    {source_weight('cur.source')} AS source_score,
     exp(-floor((epoch_us({AS_OF_SQL}) - epoch_us(cur.scraping_date)) / 86400000000) / 30.0) AS recency_score
   FROM cur JOIN es USING (doc_id) JOIN ar USING (doc_id)),
 xs AS (SELECT *, 0.4 * similarity_to_centroid + 0.3 * novelty_score + 0.2 * recency_score + 0.1 * source_score AS final_score FROM x)"""

@@ -6,7 +6,8 @@ dependencies, in order).  Only the driver tables are assumed to exist.
 
 from __future__ import annotations
 
-from .fixtures import AREA_PROFILES, LISTING, LISTING_HOSTS
+from ..operators.scoring import DEFAULT_SOURCE_WEIGHT, SOURCE_WEIGHTS
+from .fixtures import AREA_PROFILES, FIXTURE_SOURCES, LISTING, LISTING_HOSTS
 
 AS_OF_SQL = "TIMESTAMP '2024-04-01 00:00:00'"
 
@@ -71,8 +72,8 @@ def preprocess(c: str) -> str:
 
 
 # ---- fixture views -------------------------------------------------------------------------------------------
-view("articles_v", [], """  SELECT d.doc_id,
-    ['TechCrunch','Hugging Face Blog','AWS Blog','Xataka','Wired ES','OpenAI Blog'][1 + CAST(substr(d.source, 4) AS INTEGER) % 6] AS source,
+view("articles_v", [], f"""  SELECT d.doc_id,
+    [{", ".join("'" + x + "'" for x in FIXTURE_SOURCES)}][1 + CAST(substr(d.source, 4) AS INTEGER) % 6] AS source,
     'https://' || d.source || '.example.org/' || CAST(d.doc_id AS VARCHAR) AS url,
     string_split(d.text, chr(10))[1] AS title,
     d.text AS content, d.lang AS language,
@@ -93,6 +94,11 @@ view("pages_v", [], """  SELECT page_id, CASE WHEN page_id % 13 = 0 THEN 'https:
         ELSE html END AS h
       FROM (SELECT *, replace(replace(html, '<h1>', '<h9>'), '</h1>', '</h9>') AS n FROM pages))""")
 
+def source_weight(c: str) -> str:
+    whens = " ".join(f"WHEN {_str(k)} THEN {v}" for k, v in SOURCE_WEIGHTS.items())
+    return f"CAST(CASE {c} {whens} ELSE {DEFAULT_SOURCE_WEIGHT} END AS DOUBLE)"
+
+
 view("emb_count", [], "  SELECT count(*) AS n FROM embeddings")
 
 view("vec_v", ["articles_v"], """  SELECT a.doc_id, e.label AS cluster, CAST(e.embedding AS DOUBLE[]) AS v
@@ -168,8 +174,7 @@ view("area_v", ["valid_vec_v", "profiles_v"], area_sql("valid_vec_v", [64]))
 
 view("scored_v", ["valid_vec_v", "valid_cmean_v", "centroids_v", "area_v"], f"""  SELECT b.doc_id, b.source, b.url, b.title, b.content, b.language, b.scraping_date, b.cluster, b.word_count,
     b.content_length, b.v,
-    CASE b.source WHEN 'TechCrunch' THEN 1.0 WHEN 'Hugging Face Blog' THEN 0.9 WHEN 'AWS ML Blog' THEN 0.85
-      WHEN 'Xataka' THEN 0.7 WHEN 'Wired ES' THEN 0.6 ELSE 0.5 END::DOUBLE AS source_score,
+    {source_weight('b.source')} AS source_score,
     exp(-floor((epoch_us({AS_OF_SQL}) - epoch_us(b.scraping_date)) / 86400000000) / 30.0) AS recency_score,
     1.0 - list_dot_product({unit('b.v')}, m.m) AS novelty_score,
     {cosine('b.v', 'c.centroid')} AS similarity_to_centroid,

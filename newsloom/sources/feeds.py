@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vectors import col
+from . import pages as P
 
 RSS_SCHEMA = ("channel struct<title:string, item:array<struct<title:string, link:string, pubDate:string, "
               "updated:string, description:string, `content:encoded`:string>>>")
@@ -34,15 +35,24 @@ def xml_escape(c) -> Column:
 
 
 def page_texts(pages: DataFrame, profile: str | None = "clean") -> DataFrame:
-    """(url, content): paragraphs of each page's content container, filtered by a profile, joined by a space;
+    """(url, title, content): paragraphs of each page's content container, filtered by a profile, joined by a space;
     pages whose container has no paragraph are left out."""
-    from . import pages as P
-
     paras = P.paragraphs_array(P.content_container(F.col("html"), F.col("url")))
-    kept = P.filter_paragraphs(paras, profile) if profile else paras
-    return (pages.select("url", "html", paras.alias("_all"), kept.alias("_kept"))
-            .where(F.size("_all") > 0)
-            .select("url", P.extract_title("html").alias("title"), F.array_join("_kept", " ").alias("content")))
+    return _texts(pages, paras, profile)
+
+
+def _texts(pages: DataFrame, paras: Column, profile: str | None) -> DataFrame:
+    # the filter sits in the generator, on the bound row: a filter above it would be pushed down and parse twice
+    row = F.struct(P.extract_title("html").alias("title"), paras.alias("paras"))
+    kept = pages.select("url", F.inline(F.filter(F.array(row), lambda x: F.size(x["paras"]) > 0)))
+    chosen = P.filter_paragraphs("paras", profile) if profile else F.col("paras")
+    return kept.select("url", "title", F.array_join(chosen, " ").alias("content"))
+
+
+def collector_texts(pages: DataFrame) -> DataFrame:
+    """(url, title, content) as the feed collector reads a page: container prose, else article, else main, else
+    content; paragraphs of more than 50 characters; pages without a container or paragraphs yield nothing."""
+    return _texts(pages, P.paragraphs_array(P.container_html(F.col("html"), "div.prose, article, main, div.content", by_priority=True)), "long")
 
 
 def feed_items(feeds: DataFrame, xml_col: str = "xml", keep: tuple[str, ...] = ()) -> DataFrame:

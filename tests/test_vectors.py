@@ -110,13 +110,6 @@ def test_silhouette_matches_definition(spark, rand_vecs):
     assert s == pytest.approx(float(np.mean(vals)), abs=1e-9)
 
 
-def test_lsh_option_returns_only_true_pairs(rand_vecs):
-    df, rows = rand_vecs
-    exact = {(r.id_a, r.id_b) for r in similarity.cosine_pairs(df, 0.3, blocks=2).collect()}
-    approx = {(r.id_a, r.id_b) for r in similarity.approx_cosine_pairs(df, 0.3, bucket_length=2.0, num_tables=6).collect()}
-    assert approx <= exact and len(approx) > 0
-
-
 def test_kmeans_invariants_and_repeatability(spark, rand_vecs):
     df, rows = rand_vecs
     data = clusters.stable_input(df.select("doc_id", "v"))
