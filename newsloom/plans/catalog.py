@@ -1130,9 +1130,9 @@ def q_save_cluster_metadata(spark, sf):
     FS.save_cluster_metadata(spark, path, "m1", model)
     back = spark.read.json(path)
     cents = back.select(F.posexplode("centroids").alias("cluster", "centroid"))
-    again = clusters.kmeans_inertia(clusters.predict_cluster(data, cents), cents).withColumnRenamed("inertia", "again")
-    same = F.abs(F.col("inertia") - F.col("again")) <= 1e-6 * F.col("again")
-    return back.crossJoin(F.broadcast(again)).select("model_name", "n_clusters", same.alias("inertia_is_the_sum"))  # one row each
+    again = clusters.kmeans_inertia(clusters.predict_cluster(data, cents), cents).scalar()
+    return back.withColumn("again", again).select(
+        "model_name", "n_clusters", (F.abs(F.col("inertia") - F.col("again")) <= 1e-6 * F.col("again")).alias("inertia_is_the_sum"))
 
 
 @register("save_model_version", "SELECT vec_id AS doc_id, true AS same FROM embeddings")
