@@ -24,11 +24,10 @@ MAX_ITER = 300  # of a KMeans fit; one that stops there is reported as not conve
 
 
 def stable_input(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Repeatable KMeans input without funnelling it through one task: rows are hash-partitioned by id into
-    ``spark.sql.shuffle.partitions`` (the setting a job sizes to its data) and sorted within partitions, so the same
-    data gives the same partitions in the same order, and the seeded fit is reproducible."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, id_col).sortWithinPartitions(id_col)
+    """Repeatable KMeans input without funnelling it through one task: rows are hash-partitioned by id, adaptive
+    execution sizes the partitions to the data, and rows are sorted within them, so the same data gives the same
+    partitions in the same order, and the seeded fit is reproducible."""
+    return df.repartition(id_col).sortWithinPartitions(id_col)
 
 
 def _fit(feats: DataFrame, k: int, seed: int, max_iter: int) -> KMeansModel:
