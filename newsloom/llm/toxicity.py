@@ -38,7 +38,7 @@ SAMPLE_ROWS = 20_000
 FEATURES = 4_000
 GRAMS = (4, 5, 6)
 MIN_ROWS = 5              # rows of label 1 that must hold an n-gram
-_FLUSH = 300_000
+_FLUSH = 100_000          # entries a task's counter or memory may hold
 ALPHABET = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
 OTHER = "?"
 # fixed values: letters a symbol may stand for
@@ -231,23 +231,18 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, model: CharModel,
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def count(batches):
-        restorer, memo, seen = Restorer(shared.value), {}, {}
+        restorer, seen = Restorer(shared.value), {}
         for b in batches:
             for t, y in zip(*b.columns):
                 grams: set = set()
                 for w in set(restorer(t.as_py() or "").split()):
-                    got = memo.get(w)
-                    if got is None:
-                        got = memo[w] = _grams(w)
-                    grams.update(got)
+                    grams.update(_grams(w))
                 for g in grams:
                     two = seen.get(g)
                     if two is None:
                         two = seen[g] = [0, 0]
                     two[y.as_py() > 0] += 1
-                if len(memo) > _FLUSH:
-                    memo.clear()
-                if len(seen) > 4 * _FLUSH:
+                if len(seen) > 3 * _FLUSH:
                     yield table(seen)
                     seen = {}
         yield table(seen)
