@@ -25,7 +25,9 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -70,7 +72,14 @@ class PieceModel:
         self.longest = max(map(len, self.pieces))
         self.run_longest = max((len(p) for p in self.id if not p.strip(SPACE)), default=1)
         self.fits = lru_cache(_MEMORY)(self._fits)
-        self.memory: dict[str, tuple[int, ...]] = {}
+        self.memory: dict[str, tuple[int, ...]] = {}     # by segment; words after one space are in ``words``
+        self.words: dict[str, tuple[int, ...]] = {}
+        if any(c not in self.pieces for p in self.pieces for c in p):
+            raise ValueError("a piece holds a character that is no piece")
+        self.automaton = ahocorasick.Automaton()
+        for p in self.pieces:
+            self.automaton.add_word(p, p)
+        self.automaton.make_automaton()
 
     def _merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """Best pair first, the leftmost of equals, until no pair is a piece (the definition, for short strings); and
@@ -143,28 +152,32 @@ class PieceModel:
         return None
 
     def word(self, core: str) -> list[str]:
-        """Pieces of a text that begins after a reset, left to right: the one state each position has."""
+        """Pieces of a text that begins after a reset: the one state each position has, left to right.  The automaton
+        names the pieces that end at each position, longest first."""
         if core in self.pieces:
             return [core]
-        last: list[str] = [""]
-        pieces, fits, longest = self.pieces, self.fits, self.longest
-        for i in range(1, len(core) + 1):
-            for j in range(max(0, i - longest), i):
-                t = core[j:i]
-                if (t in pieces or i - j == 1) and (j == 0 or fits(last[j], t)):
-                    last.append(t)
-                    break
+        last: list[str | None] = [""] + [None] * len(core)
+        fits = self.fits
+        for end, t in self.automaton.iter(core):
+            if last[end + 1] is None:
+                j = end + 1 - len(t)
+                before = last[j]
+                if before is None:                   # a character that no piece holds
+                    before = last[j] = core[j - 1]
+                if not j or fits(before, t):
+                    last[end + 1] = t
         out, i = [], len(core)
         while i:
-            out.append(last[i])
-            i -= len(last[i])
+            t = last[i] or core[i - 1]
+            out.append(t)
+            i -= len(t)
         return out[::-1]
 
     def segment(self, text: str) -> tuple[int, ...]:
         """Ids of a run of spaces with the word after it."""
         got = self.memory.get(text)
         if got is None:
-            if len(self.memory) > _MEMORY:
+            if len(self.memory) > _MEMORY // 4:
                 self.memory.clear()
             word = text.lstrip(SPACE)
             lead = len(text) - len(word)
@@ -173,16 +186,27 @@ class PieceModel:
                 alone = parts[0] == SPACE
                 parts = self.run(lead - 1 + alone) + parts[alone:]
             got = tuple(self.ids(parts or self.run(lead)))
-            if len(text) <= 64:
+            if lead != 1 and len(text) <= 64:
                 self.memory[text] = got
         return got
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text."""
         out: list[int] = []
-        if text:
-            for s in _SEGMENT.findall(SPACE + text.replace(" ", SPACE)):
-                out += self.segment(s)
+        if not text:
+            return out
+        if "  " not in text and SPACE not in text and text[0] != " " and text[-1] != " ":
+            known, segment = self.words, self.segment
+            for w in text.split(" "):                # every segment is one space and a word
+                got = known.get(w)
+                if got is None:
+                    if len(known) > _MEMORY:
+                        known.clear()
+                    got = known[w] = segment(SPACE + w)
+                out += got
+            return out
+        for s in _SEGMENT.findall(SPACE + text.replace(" ", SPACE)):
+            out += self.segment(s)
         return out
 
     def decode(self, ids) -> str:
@@ -393,7 +417,7 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", i
 
 def _id_arrays(ids: list[list[int]]) -> list[pa.Array]:
     size = np.fromiter(map(len, ids), np.int32, len(ids))
-    flat = np.fromiter((i for x in ids for i in x), np.int32, int(size.sum()))
+    flat = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
     offsets = pa.array(np.r_[0, np.cumsum(size)].astype(np.int32))
     return [pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array(size.astype(np.int64))]
 
