@@ -24,6 +24,7 @@ of the input are kept, except that columns named like the new ones are replaced.
 from __future__ import annotations
 
 import re
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
 
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 CHUNK_CHARS = 1 << 16
-_MEMORY = 500_000
+_MEMORY = 200_000
 SPACE = "▁"
 _SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -71,7 +72,7 @@ class PieceModel:
         self.rank = {p: r for r, p in enumerate(order)}
         self.longest = max(map(len, self.pieces))
         self.run_longest = max((len(p) for p in self.id if not p.strip(SPACE)), default=1)
-        self.fits = lru_cache(_MEMORY)(self._fits)
+        self.fits = lru_cache(_MEMORY // 2)(self._fits)
         self.memory: dict[str, tuple[int, ...]] = {}     # by segment; words after one space are in ``words``
         self.words: dict[str, tuple[int, ...]] = {}
         if any(c not in self.pieces for p in self.pieces for c in p):
@@ -312,10 +313,22 @@ class PieceModel:
 
 
 @lru_cache(2)
-def piece_model(model_path: str) -> PieceModel:
+def _loaded(model_path: str) -> PieceModel:
     return PieceModel(model_path)
 
 
+@contextmanager
+def piece_model(model_path: str):
+    """The model for one task: the table stays in the worker, what was remembered goes when the task ends."""
+    model = _loaded(model_path)
+    try:
+        yield model
+    finally:
+        model.words.clear()
+        model.memory.clear()
+        model.fits.cache_clear()
+
+
 def cut(text: str, size: int, longest: int) -> list[tuple[str, int, int]]:
     """(context text, from, to) for each chunk of the normalised text; boundaries never fall on a space."""
     s = SPACE + text.replace(" ", SPACE)
@@ -345,22 +358,26 @@ def resolve(chunks: list[list[tuple[int, str, int, str]]]) -> list[tuple[int, st
 
 
 def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "token_ids",
-                     count_col: str = "n_tokens", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """``docs`` with its columns, the ids of each text and their number."""
-    docs = docs.drop(ids_col, count_col)
+                     count_col: str = "n_tokens", chunk_chars: int = CHUNK_CHARS, verify_col: str | None = None) -> DataFrame:
+    """``docs`` with its columns, the ids of each text and their number; with ``verify_col`` also whether the ids decode
+    to the text (null texts count as empty), checked where the ids are made."""
+    added = [ids_col, count_col, *([verify_col] if verify_col else [])]
+    docs = docs.drop(*added)
     names = docs.columns
     size = F.coalesce(F.length(F.col(text_col).cast("string")), F.lit(0))
-    schema = f"{ids_col} array<int>, {count_col} long"
-    full = docs.withColumn(ids_col, F.lit(None).cast("array<int>")).withColumn(count_col, F.lit(None).cast("long")).schema
+    full = docs.withColumn(ids_col, F.lit(None).cast("array<int>")).withColumn(count_col, F.lit(None).cast("long"))
+    full = (full.withColumn(verify_col, F.lit(None).cast("boolean")) if verify_col else full).schema
     at = names.index(text_col)
 
     def short(batches):
-        model = piece_model(model_path)
-        for b in batches:
-            for lo in range(0, b.num_rows, 200):
-                part = b.slice(lo, 200)
-                ids = [model.encode(t.as_py() or "") for t in part.column(at)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *_id_arrays(ids)], [*names, ids_col, count_col])
+        with piece_model(model_path) as model:
+            for b in batches:
+                for lo in range(0, b.num_rows, 200):
+                    part = b.slice(lo, 200)
+                    texts = [t.as_py() or "" for t in part.column(at)]
+                    ids = [model.encode(t) for t in texts]
+                    same = [pa.array([model.decode(x) == t.replace(SPACE, " ") for x, t in zip(ids, texts)], pa.bool_())] if verify_col else []
+                    yield pa.RecordBatch.from_arrays([*part.columns, *_id_arrays(ids), *same], [*names, *added])
 
     done = docs.where(size <= chunk_chars).mapInArrow(short, full)
 
@@ -368,28 +385,28 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", i
     uid = len(names)
 
     def split(batches):
-        model = piece_model(model_path)
-        for b in batches:
-            for u, t in zip(b.column(0), b.column(1)):
-                parts = cut(t.as_py(), chunk_chars, model.longest)
-                for n, (text, lo, hi) in enumerate(parts):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([u.as_py()], pa.int64()), pa.array([n], pa.int32()), pa.array([text], pa.string()), pa.array([lo], pa.int32()),
-                         pa.array([hi], pa.int32()), pa.array([n == len(parts) - 1], pa.bool_())], ["__uid", "n", "s", "lo", "hi", "last"])
+        with piece_model(model_path) as model:
+            for b in batches:
+                for u, t in zip(b.column(0), b.column(1)):
+                    parts = cut(t.as_py(), chunk_chars, model.longest)
+                    for n, (text, lo, hi) in enumerate(parts):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([u.as_py()], pa.int64()), pa.array([n], pa.int32()), pa.array([text], pa.string()), pa.array([lo], pa.int32()),
+                             pa.array([hi], pa.int32()), pa.array([n == len(parts) - 1], pa.bool_())], ["__uid", "n", "s", "lo", "hi", "last"])
 
     parts = giants.select("__uid", F.col(text_col).cast("string").alias("t")).mapInArrow(
         split, "__uid long, n int, s string, lo int, hi int, last boolean")
     parts = stored(parts.repartition("__uid", "n"), "giant-chunks")
 
     def matrices(batches):
-        model = piece_model(model_path)
-        for b in batches:
-            for u, n, s, lo, hi, last in zip(*b.columns):
-                m = model.transfer(s.as_py(), lo.as_py(), hi.as_py(), last.as_py())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([u.as_py()], pa.int64()), pa.array([n.as_py()], pa.int32()),
-                     *(pa.array([[x[i] for x in m]], pa.list_(pa.int32() if i % 2 == 0 else pa.string())) for i in range(4))],
-                    ["__uid", "n", "a", "b", "c", "d"])
+        with piece_model(model_path) as model:
+            for b in batches:
+                for u, n, s, lo, hi, last in zip(*b.columns):
+                    m = model.transfer(s.as_py(), lo.as_py(), hi.as_py(), last.as_py())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([u.as_py()], pa.int64()), pa.array([n.as_py()], pa.int32()),
+                         *(pa.array([[x[i] for x in m]], pa.list_(pa.int32() if i % 2 == 0 else pa.string())) for i in range(4))],
+                        ["__uid", "n", "a", "b", "c", "d"])
 
     def path(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("n")
@@ -401,18 +418,21 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", i
         "__uid").applyInPandas(path, "__uid long, n int, le int, lp string, re int, rp string")
 
     def trace(batches):
-        model = piece_model(model_path)
-        for b in batches:
-            for u, n, s, lo, hi, last, le, lp, re_, rp in zip(*(c.to_pylist() for c in b.columns)):
-                ids = model.backtrace(s, lo, hi, last, (le, lp), (re_, rp))
-                yield pa.RecordBatch.from_arrays([pa.array([u], pa.int64()), pa.array([n], pa.int32()), _id_arrays([ids])[0]],
-                                                 ["__uid", "n", "ids"])
+        with piece_model(model_path) as model:
+            for b in batches:
+                for u, n, s, lo, hi, last, le, lp, re_, rp in zip(*(c.to_pylist() for c in b.columns)):
+                    ids = model.backtrace(s, lo, hi, last, (le, lp), (re_, rp))
+                    yield pa.RecordBatch.from_arrays([pa.array([u], pa.int64()), pa.array([n], pa.int32()), _id_arrays([ids])[0]],
+                                                     ["__uid", "n", "ids"])
 
     traced = parts.join(bounds, ["__uid", "n"]).select("__uid", "n", "s", "lo", "hi", "last", "le", "lp", "re", "rp").mapInArrow(
         trace, "__uid long, n int, ids array<int>")
     whole = traced.groupBy("__uid").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "ids"))), lambda x: x["ids"])).alias(ids_col))
-    giant = giants.join(whole, "__uid").withColumn(count_col, F.size(ids_col).cast("long")).select(*names, ids_col, count_col)
-    return done.unionByName(giant)
+    giant = giants.join(whole, "__uid").withColumn(count_col, F.size(ids_col).cast("long"))
+    if verify_col:
+        text = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), SPACE, " ")
+        giant = decode_documents(giant, model_path, ids_col, "__decoded").withColumn(verify_col, F.col("__decoded") == text)
+    return done.unionByName(giant.select(*names, *added))
 
 
 def _id_arrays(ids: list[list[int]]) -> list[pa.Array]:
@@ -429,11 +449,11 @@ def decode_documents(encoded: DataFrame, model_path: str, ids_col: str = "token_
     at, names = encoded.columns.index(ids_col), [*encoded.columns, text_col]
 
     def run(batches):
-        model = piece_model(model_path)
-        for b in batches:
-            for lo in range(0, b.num_rows, 200):
-                part = b.slice(lo, 200)
-                texts = [model.decode(x.values.to_numpy().tolist()) if x.is_valid else None for x in part.column(at)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names)
+        with piece_model(model_path) as model:
+            for b in batches:
+                for lo in range(0, b.num_rows, 200):
+                    part = b.slice(lo, 200)
+                    texts = [model.decode(x.values.to_numpy().tolist()) if x.is_valid else None for x in part.column(at)]
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names)
 
     return encoded.mapInArrow(run, full)

@@ -60,4 +60,6 @@ def test_edge_documents_and_round_trip(edge_docs, no_docs, library):
         got = sorted(((r["doc_id"] or -1, r["text"] or "", r["token_ids"], r["n_tokens"], r["decoded"]) for r in out.collect()))
         want = sorted((i or -1, t or "", library.encode(t or ""), len(library.encode(t or "")), (t or "").replace("▁", " ")) for i, t in edge_texts())
         assert got == want
+        checked = spm.encode_documents(edge_docs, PATH, chunk_chars=size, verify_col="same")
+        assert checked.count() == len(want) and checked.where("same").count() == len(want)
     assert spm.encode_documents(no_docs.withColumnRenamed("part", "token_ids"), PATH).count() == 0
