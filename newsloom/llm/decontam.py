@@ -230,25 +230,46 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 def remove_contamination(docs: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.5,
                          text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` with all its columns: hit words are cut from the text, and a document with more than ``max_coverage`` of
-    its words hit is dropped.  Texts without hits stay as they are."""
-    schema = docs.schema
-    at = docs.columns.index(text_col)
-    for automaton in automata(items, item_id, item_text, window):
-        shared = docs.sparkSession.sparkContext.broadcast(automaton)
-
-        def run(batches, shared=shared):
-            auto = shared.value
-            for b in batches:
-                keep, texts = [], []
-                for t in b.column(at):
-                    text = t.as_py()
-                    words = item_words(text)
-                    hits, _ = auto.scan(words)
+    its words hit is dropped, both by the merged hits of all shards on the text as given.  Texts without hits stay."""
+    at, own = docs.columns.index(text_col), "__hits"
+    while own in docs.columns:
+        own += "_"
+    out = docs.withColumn(own, F.array().cast("array<int>"))
+    shards = automata(items, item_id, item_text, window)
+    automaton, after = next(shards), next(shards, None)
+    while after is not None:
+        out = stored(_hit_pass(out, automaton, at, None), "decontam-hits")
+        automaton, after = after, next(shards, None)
+    return _hit_pass(out, automaton, at, max_coverage)
+
+
+def _hit_pass(rows: DataFrame, automaton: SuffixAutomaton, at: int, max_coverage: float | None) -> DataFrame:
+    """``rows`` with one more shard's hits merged into their last column; with ``max_coverage`` (the last shard) the
+    texts are cut once by the hits of all shards, and that column goes."""
+    shared = rows.sparkSession.sparkContext.broadcast(automaton)
+    schema = rows.schema if max_coverage is None else T.StructType(rows.schema.fields[:-1])
+
+    def run(batches):
+        auto = shared.value
+        for b in batches:
+            keep, texts, every = [], [], []
+            for t, old in zip(b.column(at), b.column(b.num_columns - 1).to_pylist()):
+                text = t.as_py()
+                words = item_words(text)
+                hits = auto.scan(words)[0]
+                if old:
+                    hits = [tuple(s) for s in merged([*zip(old[::2], old[1::2]), *hits])]
+                if max_coverage is None:
+                    every.append([x for s in hits for x in s])
+                else:
                     keep.append(sum(e - s for s, e in hits) <= max_coverage * len(words))
                     texts.append(cut_words(text, hits) if hits else text)
-                columns = [*b.columns]
-                columns[at] = pa.array(texts, b.schema.field(at).type)
-                yield pa.RecordBatch.from_arrays(columns, schema=b.schema).filter(pa.array(keep, pa.bool_()))
+            columns, fields = [*b.columns], [*b.schema]
+            if max_coverage is None:
+                columns[-1] = pa.array(every, fields[-1].type)
+                yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
+            else:
+                columns[at] = pa.array(texts, fields[at].type)
+                yield pa.RecordBatch.from_arrays(columns[:-1], schema=pa.schema(fields[:-1])).filter(pa.array(keep, pa.bool_()))
 
-        docs = docs.mapInArrow(run, schema)
-    return docs
+    return rows.mapInArrow(run, schema)

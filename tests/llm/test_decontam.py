@@ -75,3 +75,24 @@ def test_extra_document_columns_do_not_matter(spark):
     items = spark.createDataFrame([(1, "b c")], "item_id long, text string")
     r = decontam.contamination(df, items).first()
     assert (r["n_words"], r["hits"], r["items"]) == (3, [1, 3], ["1"])
+
+
+def test_shards_do_not_change_what_is_cut(spark, edge_docs, monkeypatch):
+    """Limit and cut follow the hits of all shards: 30% by one item and 30% by another is over half."""
+    word = lambda c, n, at=0: [f"{c}{k}" for k in range(at, at + n)]
+    items = [(f"i{c}", " ".join(word(c, 40))) for c in "abcdefgh"]
+    items += [(f"o{c}{at}", " ".join(word(c, 12, at))) for c in "pqrs" for at in (0, 6)]     # overlap in words 6..11
+    texts = [(910 + k, " ".join(word(a, 30) + word("x", 40) + word(b, 30))) for k, (a, b) in enumerate(zip("abcdefg", "bcdefgh"))]
+    texts += [(902 + k, " ".join(word("y", 80) + word(c, 18) + word("y", 40, 90))) for k, c in enumerate("pqrs")]
+    docs = spark.createDataFrame(rows(texts), DOCS).unionByName(edge_docs)
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    results = []
+    for shard in (100_000, 150, 40):
+        monkeypatch.setattr(decontam, "SHARD_WORDS", shard)
+        kept = decontam.remove_contamination(docs, bench)
+        assert kept.columns == docs.columns
+        results.append(sorted((r["doc_id"] or -1, r["text"] or "") for r in kept.collect()))
+    assert results[0] == results[1] == results[2]
+    texts = dict(results[0])
+    assert not set(range(910, 917)) & set(texts)
+    assert all(texts[902 + k].split() == word("y", 80) + word("y", 40, 90) for k in range(4))
