@@ -7,7 +7,9 @@ character model restores the likeliest word.  (3) Character n-grams of raw and r
 association with the label, feed a logistic model; the score is its probability.
 
 Learning.  The census of words covers every document.  The classifier is fitted on at most SAMPLE_ROWS labelled rows
-(a documented bound; chosen by a hash of the id, only rows the caller marks as learnable).
+(a documented bound; chosen by a hash of the id, only rows the caller marks as learnable).  Copies of one label count
+once: equal texts, and texts whose word pairs have a Jaccard similarity of at least NEAR with those of a kept row.
+Rows of different labels are never taken for copies.
 
 Scale.  The census sums per-task counters before the shuffle; the model has at most |ALPHABET|^3 trigrams, the
 classifier at most FEATURES n-grams, so what is collected and broadcast is bounded.  Scoring is one pass without a
@@ -38,6 +40,9 @@ SAMPLE_ROWS = 20_000
 FEATURES = 4_000
 GRAMS = (4, 5, 6)
 MIN_ROWS = 5              # rows of label 1 that must hold an n-gram
+NEAR = 0.8                # Jaccard similarity of near copies
+SKETCH = 512              # least word-pair hashes kept of a text: up to so many distinct pairs the similarity is exact
+BANDS, BAND = 12, 5       # rows that agree in the BAND minima of some band are compared
 _FLUSH = 100_000          # entries a task's counter or memory may hold
 ALPHABET = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
 OTHER = "?"
@@ -227,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, model: CharModel,
         known = known.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < int((1 << 30) * sample_rows / n))
     # at most the sample's bounded number of ids is broadcast; the texts are scanned where they are
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("t"))
-    rows = stored(_one_per_copy(rows.join(F.broadcast(known), "__id").select("t", "y")), "toxic-sample")
+    rows = _one_per_copy(rows.join(F.broadcast(known), "__id").select("t", "y"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def count(batches):
@@ -273,22 +278,60 @@ def _lower_bound(n1: int, n0: int, z: float = 3.0) -> float:
 
 
 def _one_per_copy(rows: DataFrame) -> DataFrame:
-    """One row of each group of copies or near copies: rows that share the least word pair under any of three hashes."""
+    """One row of each group of equal (t, y), and of those no row that is a near copy of a kept row of its label.
 
-    def run(batches):
+    Each row of the bounded sample reaches the driver as a sketch of bounded size, never as its text."""
+
+    def sketch(batches):
         for b in batches:
-            keys = []
-            for t in b.column(0):
-                words = (t.as_py() or "").lower().split()
-                pairs = {f"{x} {y}" for x, y in zip(words, words[1:])} or {" ".join(words)}
-                keys.append([min(xxhash.xxh64_intdigest(p, seed) for p in pairs) >> 1 for seed in (1, 2, 3)])
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([k[i] for k in keys], pa.int64()) for i in range(3))],
-                                             ["t", "y", "k0", "k1", "k2"])
-
-    rows = rows.mapInArrow(run, "t string, y int, k0 long, k1 long, k2 long")
-    for k in ("k0", "k1", "k2"):
-        rows = rows.groupBy(F.col(k).alias("k")).agg(F.min(F.struct("t", "y", "k0", "k1", "k2")).alias("r")).select("r.*")
-    return rows.select("t", "y")
+            found = [_sketch(t.as_py() or "") for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, pa.binary()) for c in zip(*found))], ["t", "y", "h", "m", "s"])
+
+    schema = "t string, y int, h binary, m binary, s binary"
+    rows = stored(rows.dropDuplicates(["t", "y"]).mapInArrow(sketch, schema), "toxic-sample")
+    gone = near_copies([(bytes(r["h"]), r["y"] > 0, r["m"], r["s"]) for r in rows.select("h", "y", "m", "s").collect()])
+    gone = rows.sparkSession.createDataFrame([(bytearray(h), y) for h, y in gone], "h binary, positive boolean")
+    return rows.join(F.broadcast(gone), (rows["h"] == gone["h"]) & ((rows["y"] > 0) == gone["positive"]), "left_anti").select("t", "y")
+
+
+_MIX = np.random.default_rng(7).integers(1, 1 << 63, (2, BANDS * BAND), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _sketch(text: str) -> tuple[bytes, bytes, bytes]:
+    """Hash of the text, its minima for the bands, and its SKETCH least word-pair hashes."""
+    words = text.lower().split()
+    pairs = {f"{x} {y}" for x, y in zip(words, words[1:])} or {" ".join(words)}
+    x = np.sort(np.fromiter(map(xxhash.xxh3_64_intdigest, pairs), np.uint64, len(pairs)))
+    y = x ^ (x >> np.uint64(29))
+    minima = np.array([(y * a + b).min() for a, b in _MIX.T], np.uint64)
+    return xxhash.xxh3_128_digest(text), minima.tobytes(), x[:SKETCH].tobytes()
+
+
+def near_copies(sketches: list[tuple[bytes, bool, bytes, bytes]]) -> list[tuple[bytes, bool]]:
+    """(hash, label) of the rows that are near copies of a kept row, rows being taken by hash; all others are kept."""
+    gone, kept, by_band = [], [], {}
+    for h, y, minima, least in sorted(sketches, key=lambda r: (r[1], r[0])):
+        keys = [(y, i, minima[i * BAND * 8:(i + 1) * BAND * 8]) for i in range(BANDS)]
+        least = np.frombuffer(least, np.uint64)
+        if any(_similar(least, kept[k]) for k in {k for key in keys for k in by_band.get(key, ())}):
+            gone.append((h, y))
+            continue
+        for key in keys:
+            by_band.setdefault(key, []).append(len(kept))
+        kept.append(least)
+    return gone
+
+
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two sorted sketches is at least NEAR: the share of common hashes among the
+    least of their union, which is all of it unless a text has more than SKETCH pairs."""
+    if min(len(x), len(y)) < NEAR * max(len(x), len(y)):
+        return False
+    both = np.union1d(x, y)
+    if max(len(x), len(y)) == SKETCH:
+        both = both[:SKETCH]
+    common = np.intersect1d(x, y, assume_unique=True)
+    return np.count_nonzero(common <= both[-1]) >= NEAR * len(both)
 
 
 def _logistic(rows: DataFrame, chosen: list[str], shared, sure: dict[str, float]) -> Classifier:

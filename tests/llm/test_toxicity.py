@@ -50,6 +50,30 @@ def test_without_labels_or_documents(spark):
     assert toxicity.toxicity_scores(docs.limit(0), labels, F.lit(True)).count() == 0
 
 
+def test_only_true_copies_of_one_label_count_once(spark):
+    rnd = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    text = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
+    apart = [(" ".join(["of", "the", *text(60), "it", "is", "of", "the"]), k % 2) for k in range(300)]     # share common pairs
+    base = text(100)
+    near = [(" ".join([*base[:40], f"x{k}", *base[41:]]), 1) for k in range(20)]
+    long = text(3000)
+    rows = [*apart, *near, (" ".join(near[0][0].split()[:50] + text(50)), 1), (" ".join(base), 0), (apart[0][0], 1), *[apart[1]] * 30,
+            (" ".join(long), 1), (" ".join([*long[:1500], "y", *long[1501:]]), 1), (" ".join(long[:1500] + text(1500)), 1),
+            (None, 0), (None, 0), ("", 1), ("one", 1), ("One", 1)]
+    kept = [(r["t"], r["y"]) for r in toxicity._one_per_copy(spark.createDataFrame(rows, "t string, y int").repartition(5)).collect()]
+    assert len(set(kept)) == len(kept) and set(kept) <= set(rows)
+
+    def pairs(t):
+        words = (t or "").lower().split()
+        return set(zip(words, words[1:])) or {tuple(words)}
+
+    for t, y in set(rows) - set(kept):
+        assert any(len(pairs(t) & pairs(x)) >= 0.8 * len(pairs(t) | pairs(x)) for x, z in kept if z == y)
+    assert set(apart) <= set(kept) and (apart[0][0], 1) in kept and (" ".join(base), 0) in kept
+    assert len(set(near) & set(kept)) == 1 and len(kept) == len(set(apart)) + 1 + 1 + 1 + 1 + 2 + 1 + 1 + 1
+
+
 def test_restoration_is_the_best_path():
     """Viterbi equals the cheapest of all readings."""
     from itertools import product
