@@ -4,9 +4,10 @@ Method.  The standard library's HTML parser streams events; block-level tags and
 gets its text-to-tag ratio (characters over tags since the line before, anchors' text left out); lines inside menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments have ratio zero.  The ratios
 are smoothed by a Gaussian, and runs of lines above the threshold (the deviation of the smoothed ratios) are the
-content clusters.  The deepest container that holds ``MASS`` of the clusters' text is the content region (an article
-or main element around it if there is one); all its lines are returned but the marked ones, so short paragraphs inside
-an article are not lost.  Outside article and main, lines that are nothing but links are left out too.
+content clusters.  The deepest container that holds all clusters is the content region (an article or main element
+around it if there is one); all its lines are returned but the marked ones, so neither a cluster nor a short paragraph
+beside one is lost.  Outside article and main, lines that are nothing but links are left out too, and the text lines
+before and after the region, up to the next such line, belong to it (headlines and leads below the threshold).
 
 Scale.  One pass, no shuffle; a page is parsed on its own, with memory linear in its length.
 
@@ -29,7 +30,6 @@ from pyspark.sql import types as T
 from .common import field_type
 
 SIGMA = 1.0
-MASS = 0.9
 # fixed values: HTML element names by role, and words that mark furniture in class, id and role
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption "
@@ -171,23 +171,30 @@ def main_text(html: str | None) -> str:
     content = (level > level.std()) & (weight > 0)
     if not content.any():
         content = np.array([not marked for *_, marked in lines])
-    mass = np.zeros(len(page.parent))
-    for (text, _, _, box, _), inside in zip(lines, content):
-        if inside:
-            mass[box] += len(text)
-    for box in range(len(mass) - 1, 0, -1):              # children come after their parents
-        mass[page.parent[box]] += mass[box]
-    region = max(b for b in range(len(mass)) if mass[b] >= MASS * mass[0]) if mass[0] else 0
+    count = np.zeros(len(page.parent), int)
+    for (*_, box, _), inside in zip(lines, content):
+        count[box] += inside
+    for box in range(len(count) - 1, 0, -1):             # children come after their parents
+        count[page.parent[box]] += count[box]
+    region = max(b for b in range(len(count)) if count[b] == count[0]) if count[0] else 0
     around = region
     while around and page.name[around] not in ("article", "main"):
         around = page.parent[around]
     region = around or region
-    inside = [False] * len(mass)
-    inside[region] = True
-    for box in range(region + 1, len(mass)):
+    inside, whole = [False] * len(count), [not weight.any()] * len(count)
+    inside[region], whole[region] = True, around > 0 or not weight.any()
+    for box in range(region + 1, len(count)):
         inside[box] = inside[page.parent[box]]
-    whole = around > 0 or not weight.any()
-    return "\n".join(text for (text, _, _, box, marked), w in zip(lines, weight) if inside[box] and not marked and (whole or w > 0))
+        whole[box] = whole[page.parent[box]] or page.name[box] in ("article", "main")
+    first = min((i for i, x in enumerate(lines) if inside[x[3]]), default=0)
+    last = max((i for i, x in enumerate(lines) if inside[x[3]]), default=-1)
+    if not around:                                       # text beside the region, up to the next line of links
+        while first and (lines[first - 1][4] or weight[first - 1] > 0):
+            first -= 1
+        while last + 1 < len(lines) and (lines[last + 1][4] or weight[last + 1] > 0):
+            last += 1
+    return "\n".join(text for (text, _, _, box, marked), w in zip(lines[first:last + 1], weight[first:last + 1])
+                     if not marked and (whole[box] or w > 0))
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

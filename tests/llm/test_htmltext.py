@@ -37,6 +37,18 @@ def test_sections_of_an_article_stay_together():
     assert htmltext.main_text(bare).split("\n") == ["Head", LONG.strip(), "Short end."]
 
 
+def test_small_clusters_beside_the_main_container_stay():
+    body = "".join(f"<p>{LONG * 2}</p>" for _ in range(12))
+    menu = "<ul><li><a href='/'>Home</a><li><a href='/x'>News</a></ul>"
+    page = f"<body>{menu}<div id=story><h1>A headline of words</h1><div class=lead><p>{LONG}</p></div><div class=body>{body}</div></div></body>"
+    text = (LONG * 2).strip()
+    assert htmltext.main_text(page).split("\n") == ["A headline of words", LONG.strip()] + [text] * 12
+    late = f"<body>{menu}<div>{body}</div><div class=share>{LONG}</div><div><p>{LONG}<p>Short end.</div></body>"
+    assert htmltext.main_text(late).split("\n") == [text] * 12 + [LONG.strip(), "Short end."]
+    two = f"<body>{menu}<div><article>{body * 4}<p><a href='/s'>Source</a></article><article>{body[:len(body) // 4]}</article></div>{menu}</body>"
+    assert htmltext.main_text(two).split("\n") == [text] * 48 + ["Source"] + [text] * 3
+
+
 def test_edge_pages(spark):
     cases = [(1, None, None), (2, "u", ""), (3, "u", "plain &lt;text&gt;\n only"), (4, "u", "<p>a</p><p>b"), (5, "u", "<"), (6, "u", "</div></p>"),
              (None, None, "<p>x  y</p>"), (4, "u", "<p>a</p><p>b"), (7, "u", "<div>" * 3000 + "deep"), (8, "u", "<p>" + "long " * 100_000)]
