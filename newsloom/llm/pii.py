@@ -132,15 +132,23 @@ _HALF = re.compile(rf"@[\w-]+(?:(?:\s+|\.)(?:{DOT_WORDS})(?:\s+|\.)\w+)+", re.I)
 _SPACED_SIGN = re.compile(r"(?<=[A-Za-z0-9]) ?@ ?(?=[A-Za-z0-9-]+ ?\. ?[A-Za-z])|(?<=[A-Za-z0-9]) \. (?=(?:com|org|net|de|fr|es|edu|io)\b)")
 _WORDS = re.compile(r"[^\W\d_]+")
 _DOTS = frozenset(DOT_WORDS.split("|"))
+_UNFOLDED = "\u0130\u0131\u017f\u212a"                             # letters that re.I takes for ASCII ones
+_FOLDED = str.maketrans(_UNFOLDED, "iisk")
+
+
+def _folded(text: str) -> str:
+    if not text.isascii() and any(c in text for c in _UNFOLDED):
+        text = text.translate(_FOLDED)
+    return text.lower()
 
 
 def disguised(text: str) -> bool:
-    """Whether at/dot disguises or spelled digits can be present (cheap; never misses what the transducers rewrite)."""
-    if "&#" in text or "%40" in text or "%2" in text or "@" in text and (" @" in text or "@ " in text):
+    """Whether at/dot disguises or spelled digits can be present (cheap; never misses a span that the transducers add)."""
+    if "&#" in text or "%40" in text or "%2" in text or "@" in text and (" @" in text or "@ " in text or " . " in text):
         return True
     if any(c in text for c in "[({<") and _SIGN.search(text):
         return True
-    words = set(_WORDS.findall(text.lower()))
+    words = set(_WORDS.findall(_folded(text)))
     return not words.isdisjoint(_DOTS) or not words.isdisjoint(DIGIT_WORDS) and bool(_DIGIT_RUN.search(text))
 
 
@@ -200,14 +208,15 @@ def spelled_digits(m: Mapped) -> Mapped:
     """Runs of at least three digit words (digits may stand between them) become digits; separators between go."""
     edits = []
     for run in _DIGIT_RUN.finditer(m.text):
-        if sum(x.lower() != "plus" for x in _DIGIT_PART.findall(run.group())) < 3:
+        if sum(_folded(x) != "plus" for x in _DIGIT_PART.findall(run.group())) < 3:
             continue
         last = None
         for x in _DIGIT_PART.finditer(m.text, *run.span()):
             gap = m.text[last:x.start()] if last is not None else ""
             if gap and not gap.strip(" ,\n\t"):
                 edits.append((last, x.start(), ""))
-            edits.append((*x.span(), "+" if x.group().lower() == "plus" else DIGIT_WORDS[x.group().lower()]))
+            word = _folded(x.group())
+            edits.append((*x.span(), "+" if word == "plus" else DIGIT_WORDS[word]))
             last = x.end()
     return m.replaced(edits) if edits else m
 

@@ -84,3 +84,18 @@ def test_edge_documents(edge_docs, no_docs):
     assert masked.columns == edge_docs.columns
     assert sorted((r["doc_id"] or -1, r["text"] or "") for r in masked.collect()) == sorted((i or -1, t or "") for i, t in edge_texts())
     assert pii.mask_text("write a@b.org or 10.0.0.1!") == "write <EMAIL> or <IP>!"
+
+
+def test_gate_never_misses_an_added_span(monkeypatch):
+    assert found("write john@example . com today") == [("email", "john@example . com")]
+    rnd = random.Random(9)
+    parts = ["john", "mary.b", "example", "host-1", "com", "org", "de", "12", "+49", "4111", "192", "@", " @", "@ ", " @ ", " . ", ". ", " .", ".",
+             "at", "AT", "dot", "DOT", "punkt", "po\u0131nt", "punto", "[at]", "(dot)", "{.}", "<@>", "&#64;", "&#x2e;", "%40", "%2E", "seven",
+             "one", "two", "\u017feven", "s\u0131x", "f\u00fcnf", "plus", "_", "/", "-", ",", " ", " ", " ", "\n", "  "]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(3, 16))) for _ in range(60_000)]
+    texts += [f"{rnd.choice(parts)}john{rnd.choice(parts)}example{rnd.choice(parts)}com {rnd.choice(parts)}" for _ in range(20_000)]
+    gated = [pii.added_spans(t, pii.base_spans(t)) for t in texts]
+    monkeypatch.setattr(pii, "disguised", lambda text: True)
+    assert sum(map(bool, gated)) > 1000
+    for t, got in zip(texts, gated):
+        assert got == pii.added_spans(t, pii.base_spans(t)), t
