@@ -51,5 +51,15 @@ def left_join_skewed(left: DataFrame, right: DataFrame, key: str, count: str, to
     return first.unionByName(rest.select(*first.columns))
 
 
+def inner_join_skewed(left: DataFrame, right: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``left`` JOIN ``right`` on ``key``, with the same split of hot keys and the same reading of ``count``."""
+    payload = [c for c in right.columns if c not in (key, count)]
+    is_hot = F.col(count) * F.lit(HOT_PARTS) > F.lit(total)
+    hot, cold = (right.where(w).select(key, *payload) for w in (is_hot, ~is_hot))
+    first = left.join(F.broadcast(hot), key)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return first.unionByName(rest.select(*first.columns))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

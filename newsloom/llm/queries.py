@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from newsloom.session import scratch_path
 
-from . import decontam, htmltext, merkle, pii, simhash, spm, substring, tokencount, toxicity, warc
+from . import decontam, htmltext, merkle, minhash, pii, simhash, spm, substring, tokencount, toxicity, trie, warc
 from .common import read_table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -134,6 +134,65 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op12_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = minhash.keep_one_per_class(read_table(spark, sf_dir, "documents"), k=5, min_pct=85)
+    return groups.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
+
+
+OP12_SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 4], ' ')) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS MATERIALIZED (
+  SELECT a.doc_id AS x, b.doc_id AS y
+  FROM (SELECT p.doc_id AS x, q.doc_id AS y, count(*) AS c FROM s p JOIN s q ON p.g = q.g AND p.doc_id <> q.doc_id GROUP BY 1, 2) m
+  JOIN n a ON a.doc_id = m.x JOIN n b ON b.doc_id = m.y WHERE 100 * m.c >= 85 * (a.n + b.n - m.c)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x)
+SELECT r.x AS doc_id, coalesce(n.n, 0) AS n_shingles, r.c AS component_id, r.x = r.c AS kept
+FROM (SELECT x, min(y) AS c FROM reach GROUP BY x) r LEFT JOIN n ON n.doc_id = r.x
+"""
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
+OP13_SQL = r"""
+WITH t AS (
+  SELECT conv_id AS c, turn, coalesce(role, '') AS r, coalesce(text, '') AS x, turn IS NOT NULL AS known,
+         md5(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS m
+  FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, list({'r': r, 'x': x} ORDER BY known, turn, m) AS l FROM t GROUP BY c),
+h AS (
+  SELECT c, l, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(c AS VARCHAR), ''),
+           lambda z: [unicode(z)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda a, z: CASE WHEN z >= 0 THEN xor(a, z) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) % 4 AS h
+  FROM o),
+w AS MATERIALIZED (
+  SELECT h.c, list_concat(coalesce(b.l, [])[1:h.h], h.l[h.h + 1:]) AS l FROM h LEFT JOIN o b ON b.c = h.c - h.c % 20),
+m AS MATERIALIZED (
+  SELECT c, d, len(l) AS n, md5(CAST(to_json(l[1:d]) AS VARCHAR)) AS k, CASE WHEN d > 0 THEN md5(CAST(to_json(l[1:d - 1]) AS VARCHAR)) END AS u,
+         CASE WHEN d > 0 THEN len(regexp_extract_all(l[d].x, '[^\x20\x09-\x0D]+')) ELSE 0 END AS words
+  FROM (SELECT c, l, unnest(range(0, len(l) + 1)) AS d FROM w)),
+v AS MATERIALIZED (
+  SELECT k, min(c) AS c, any_value(d) AS d, any_value(u) AS u, count(*) AS n, (count(*) - 1) * any_value(words) AS saved,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (d = n), '')) AS ends
+  FROM m GROUP BY k),
+kids AS MATERIALIZED (SELECT u AS k, count(*) AS n FROM v WHERE u IS NOT NULL GROUP BY u),
+sub AS (
+  SELECT m.k, count(*) FILTER (kids.k IS NULL) AS leaves, sum(v.saved) AS saved
+  FROM v LEFT JOIN kids ON kids.k = v.k JOIN m ON m.c = v.c AND m.d <= v.d GROUP BY m.k)
+SELECT v.c AS conv_id, CAST(v.d AS BIGINT) AS depth, p.c AS parent_conv_id, v.n AS n_convs, coalesce(kids.n, 0) AS n_children,
+       sub.leaves AS n_leaves, CAST(sub.saved AS BIGINT) AS saved_tokens, v.ends AS ends_sha256
+FROM v JOIN sub ON sub.k = v.k LEFT JOIN kids ON kids.k = v.k LEFT JOIN v p ON p.k = v.u
+"""
+
+
 # name -> (query, DuckDB SQL or None)
 REGISTRY = {
     "op1_simhash_neardup": (op1_simhash_neardup, None),
@@ -146,4 +205,6 @@ REGISTRY = {
     "op8_toxicity": (op8_toxicity, None),
     "op9_main_text": (op9_main_text, None),
     "op10_token_counts": (op10_token_counts, None),
+    "op12_minhash_neardup": (op12_minhash_neardup, OP12_SQL),
+    "op13_prefix_trie": (op13_prefix_trie, OP13_SQL),
 }
