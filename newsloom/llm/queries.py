@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from newsloom.session import scratch_path
 
-from . import decontam, htmltext, merkle, minhash, pii, simhash, spm, substring, tokencount, toxicity, trie, warc
+from . import align, decontam, htmltext, merkle, minhash, pii, simhash, spm, substring, tokencount, toxicity, trie, warc
 from .common import read_table
 
 PIECE_MODEL = "piece_bpe_32k.model"
+BYTE_MODEL = "byte_bpe_50k.json"
 TOKEN_LIMIT = 4096
 
 
@@ -134,6 +135,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align.align_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_MODEL),
+                                  public_tokenizers.path(PIECE_MODEL))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op12_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = minhash.keep_one_per_class(read_table(spark, sf_dir, "documents"), k=5, min_pct=85)
     return groups.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
@@ -205,6 +212,7 @@ REGISTRY = {
     "op8_toxicity": (op8_toxicity, None),
     "op9_main_text": (op9_main_text, None),
     "op10_token_counts": (op10_token_counts, None),
+    "op11_token_alignment": (op11_token_alignment, None),
     "op12_minhash_neardup": (op12_minhash_neardup, OP12_SQL),
     "op13_prefix_trie": (op13_prefix_trie, OP13_SQL),
 }
