@@ -1,7 +1,6 @@
 """Clustering (section F): MLlib KMeans and evaluator, plus a radius-based density clustering.
 
-KMeans is iterative (one job per iteration), so its input is cached and the
-k-search loop (F4) reuses the cache.  Centroid tables are k rows: the only
+The k search (F4) fits all its models in shared passes (``ksearch``).  Centroid tables are k rows: the only
 things ever brought to the driver are the k centres and the k-score list.
 """
 
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..session import ensure_checkpoint_dir
+from . import ksearch
 from .similarity import core_links, neighbour_sum
 
 
@@ -83,23 +83,14 @@ def silhouette_table(df: DataFrame, vec: str = "v", cluster_col: str = "cluster"
     return df.sparkSession.createDataFrame([(s,)], "silhouette double")
 
 
-def find_optimal_k(df: DataFrame, k_min: int = 3, k_max: int = 10, seed: int = 42, vec: str = "v",
-                   id_col: str = "doc_id", max_iter: int = MAX_ITER):
+def find_optimal_k(df: DataFrame, k_min: int = 3, k_max: int = 10, vec: str = "v", id_col: str = "doc_id",
+                   max_iter: int = MAX_ITER):
     """silhouette (cosine) per k; best k is the highest score, ties -> smallest k.
 
-    Returns (best_k, scores_table(k, silhouette)).  The input is cached once for the 2 x (k_max-k_min+1) jobs.
+    Returns (best_k, scores_table(k, silhouette)).  All models share their passes over the vectors (see ``ksearch``).
     """
-    base = to_features(df.select(id_col, vec), vec).cache()
-    ev = ClusteringEvaluator(featuresCol="features", predictionCol="cluster", distanceMeasure="cosine")
-    scores = []
-    try:
-        for k in range(k_min, k_max + 1):
-            model = _fit(base, k, seed, max_iter)
-            scores.append((k, float(ev.evaluate(model.transform(base)))))
-    finally:
-        base.unpersist()
-    best_k = max(scores, key=lambda t: (t[1], -t[0]))[0]
-    return best_k, df.sparkSession.createDataFrame(scores, "k int, silhouette double")
+    best_k, scores, _models, _vectors = ksearch.search_k(df, k_min, k_max, id_col, vec, max_iter)
+    return best_k, scores
 
 
 def cluster_sizes(labels: DataFrame, cluster_col: str = "cluster") -> DataFrame:

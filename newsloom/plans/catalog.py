@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import areas, clusters, curate, scoring, select, similarity, terms
+from ..operators import areas, clusters, curate, hierarchy, ksearch, scoring, select, similarity, terms
 from . import fixtures as X
+from . import ksearch_sql as KS
 from . import slices
 from ..operators import embed as EM
 from .oracle import AS_OF_SQL, area_sql, assigned, cosine, md5_encoded, mean_vec_sql, preprocess, source_weight, unit, with_views, word_count
@@ -487,14 +488,19 @@ def q_top_terms_one_cluster(spark, sf):
 
 # ================================ F: clustering ================================
 
-@register("fit_kmeans", "SELECT vec_id AS doc_id, true AS nearest FROM embeddings")
+_EMB_POINTS = "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"
+
+
+@register("fit_kmeans", f"""WITH RECURSIVE {KS.fits(_EMB_POINTS, [6])}
+SELECT id AS doc_id, CAST(j - 1 AS INTEGER) AS cluster, round(d, 6) AS distance FROM own""")
 def q_fit_kmeans(spark, sf):
-    """A fit is seeded but not portable, so the query returns what must hold of it: every row's label is its nearest
-    returned centroid."""
-    data = clusters.stable_input(emb_vectors(spark, sf)).drop("cluster")
-    _model, labels, cents = clusters.fit_kmeans(data, k=6)
-    own = clusters.predict_cluster(data, cents, out="own")
-    return own.join(labels, "doc_id").select("doc_id", (F.col("own") == F.col("cluster")).alias("nearest"))
+    """Labels and the distance to the own centre of a fit with k = 6; the oracle repeats the whole fit."""
+    vectors = ksearch.slim_vectors(emb_vectors(spark, sf))
+    centres = ksearch.fit_models(vectors, [6])[6]
+    labels = ksearch.assign(vectors, centres).join(F.broadcast(ksearch.centroid_table(spark, centres)), "cluster")
+    d = labels.join(vectors.withColumnRenamed("id", "doc_id"), "doc_id")
+    away = F.sqrt(V.sumsq(F.zip_with("v", "centroid", lambda a, b: a - b)))
+    return d.select("doc_id", "cluster", r6(away).alias("distance"))
 
 
 @register("predict_cluster", with_views("""SELECT v.doc_id, first(c.cluster ORDER BY list_distance(v.v, c.centroid), c.cluster) AS cluster
@@ -521,18 +527,15 @@ def q_silhouette_cosine(spark, sf):
     return t.select(r6("silhouette").alias("silhouette"))
 
 
-def _best_is_argmax(best: int, scores: DataFrame) -> DataFrame:
-    """Facts of a k search: each k once with a score in [-1, 1], and the chosen k is the smallest with the best score."""
-    top = F.expr("min_by(k, struct(-silhouette, k)) OVER ()")
-    return scores.select("k", F.col("silhouette").between(-1.0, 1.0).alias("in_range"), (top == best).alias("best_is_argmax"))
-
-
-_K_SQL = "SELECT CAST(unnest(range(4, 13)) AS INTEGER) AS k, true AS in_range, true AS best_is_argmax"
+_K_SQL = f"""WITH RECURSIVE {KS.scores(_EMB_POINTS, range(4, 13))}
+SELECT k, round(silhouette, 6) AS silhouette, k = best_k AS best FROM scores, best"""
 
 
 @register("find_optimal_k", _K_SQL)
 def q_find_optimal_k(spark, sf):
-    return _best_is_argmax(*clusters.find_optimal_k(clusters.stable_input(emb_vectors(spark, sf)), 4, 12))
+    """All scores and the choice; the oracle repeats the nine fits and scores them from the definition."""
+    best, scores = clusters.find_optimal_k(emb_vectors(spark, sf), 4, 12)
+    return scores.select("k", r6("silhouette").alias("silhouette"), (F.col("k") == best).alias("best"))
 
 
 @register("cluster_sizes", "SELECT label AS cluster, count(*) AS n FROM embeddings GROUP BY label")
@@ -547,6 +550,12 @@ def q_kmeans_inertia(spark, sf):
     return i.select(r6("inertia").alias("inertia"))
 
 
+@register("density_hierarchy")
+def q_density_hierarchy(spark, sf):
+    """Hierarchical density clustering of the embeddings; tests compare it with the textbook algorithm."""
+    return hierarchy.density_hierarchy(emb_vectors(spark, sf), 5)
+
+
 @register("density_clusters", f"""WITH RECURSIVE pts AS (SELECT vec_id AS id, {unit('CAST(embedding AS DOUBLE[])')} AS u FROM embeddings),
 pairs AS (SELECT a.id AS a, b.id AS b FROM pts a JOIN pts b ON a.id < b.id WHERE list_dot_product(a.u, b.u) > 0.35),
 nb AS (SELECT a AS src, b AS dst FROM pairs UNION ALL SELECT b, a FROM pairs),
@@ -1261,25 +1270,37 @@ def q_weekly_run(spark, sf):
                          model="md5-64")
 
 
-@register("full_retrain", f"{_K_SQL.replace('true AS in_range, true', 'true')}")
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_RETRAIN_CORPUS = f"(SELECT * FROM articles_v WHERE source IN ({', '.join(_quoted(x) for x in RN.RETRAIN_SOURCES)}))"
+_RETRAIN_TEXT = preprocess("title || '. ' || content")
+_RETRAIN_POINTS = f"""SELECT a.doc_id AS id, list(coalesce(e.x, 0.0) ORDER BY d.i) AS v
+  FROM {_RETRAIN_CORPUS} a CROSS JOIN (SELECT unnest(range(0, 64)) AS i) d
+  LEFT JOIN ({md5_encoded(_RETRAIN_CORPUS, "doc_id", _RETRAIN_TEXT, 64)}) e ON e.doc_id = a.doc_id AND e.i = d.i
+  GROUP BY a.doc_id"""
+
+
+@register("full_retrain", with_views(f"""WITH {KS.scores(_RETRAIN_POINTS, range(4, 13))}
+SELECT s.k, round(s.silhouette, 6) AS silhouette, s.k = best_k AS best, n.cluster, n.n
+FROM scores s, best, (SELECT CAST(j - 1 AS INTEGER) AS cluster, count(*) AS n FROM own, best WHERE own.k = best_k GROUP BY j) n""",
+    "articles_v").replace("WITH ", "WITH RECURSIVE ", 1))
 def q_full_retrain(spark, sf):
-    """Facts of the retrained version: the scores of each k with the choice, and the snapshot holds every article's label."""
-    corpus = clusters.stable_input(X.articles_v(spark, sf))
+    """The retrained version: the score of each k with the choice, and the cluster sizes of the stored snapshot."""
     models, snapshot = scratch_path(spark, "retrain-models"), scratch_path(spark, "retrain-corpus")
-    meta = RN.full_retrain(spark, corpus, models, snapshot, "20240401", 4, 12, model="md5-64")
-    kept = spark.read.parquet(snapshot)
-    whole = (kept.where("cluster IS NOT NULL").count() == spark.read.parquet(f"{models}/embeddings/v=20240401").count()
-             == corpus.where(F.col("source").isin(*RN.RETRAIN_SOURCES)).count())
-    scores = meta.select("best_k", F.explode("k_scores").alias("ks")).select("best_k", "ks.k", "ks.silhouette")
-    top = F.expr("min_by(k, struct(-silhouette, k)) OVER ()")
-    return scores.select("k", ((top == F.col("best_k")) & F.lit(whole)).alias("best_is_argmax"))
+    meta = RN.full_retrain(spark, X.articles_v(spark, sf), models, snapshot, "20240401", 4, 12, model="md5-64")
+    sizes = clusters.cluster_sizes(spark.read.parquet(snapshot).select("cluster"))
+    scores = meta.select("best_k", F.explode("k_scores").alias("ks"))
+    return scores.join(F.broadcast(sizes)).select("ks.k", r6("ks.silhouette").alias("silhouette"),
+                                                  (F.col("ks.k") == F.col("best_k")).alias("best"), "cluster", "n")
 
 
 @register("retrain_metadata", _K_SQL)
 def q_retrain_metadata(spark, sf):
-    best, scores = clusters.find_optimal_k(clusters.stable_input(emb_vectors(spark, sf)), 4, 12)
-    meta = DG.retrain_metadata(spark, best, scores, "hashing", "20240401")
-    return _best_is_argmax(best, meta.select(F.explode("k_scores").alias("ks")).select("ks.k", "ks.silhouette"))
+    best, scores = clusters.find_optimal_k(emb_vectors(spark, sf), 4, 12)
+    meta = DG.retrain_metadata(spark, best, scores, "hashing", "20240401").select("best_k", F.explode("k_scores").alias("ks"))
+    return meta.select("ks.k", r6("ks.silhouette").alias("silhouette"), (F.col("ks.k") == F.col("best_k")).alias("best"))
 
 
 _CURATED_SQL = f"""f AS (SELECT * FROM valid_vec_v WHERE NOT coalesce(regexp_matches(source, 'wired', 'i'), false)),

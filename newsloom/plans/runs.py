@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import areas, clusters, curate, digest, embed, scoring, select, similarity, terms
+from ..operators import areas, clusters, curate, digest, embed, ksearch, scoring, select, similarity, terms
 from ..sources import files, pages
 from ..streaming import streams
 from ..session import ensure_checkpoint_dir
@@ -77,21 +77,17 @@ def full_retrain(spark: SparkSession, corpus: DataFrame, model_root: str, corpus
     model, embeddings, vocabulary and terms of this version, corpus snapshot with clusters, metadata row (K7)."""
     c = corpus.where(F.col("source").isin(*RETRAIN_SOURCES))
     c = c.withColumn("text_for_embedding", T.text_for_embedding("title", "content"))
-    e = embed.embed_text(c, model).cache()
-    try:
-        best_k, scores = clusters.find_optimal_k(e, k_min, k_max)
-        km, labels, _c = clusters.fit_kmeans(e, best_k)
-        docs = terms.materialize(terms.ngrams(e.select("doc_id", T.basic_preprocess("content").alias("text_tfidf"))))
-        top = terms.top_terms_per_cluster(terms.tfidf(docs), labels, top_terms)
-        files.save_model_version(km, model_root, as_of_stamp)
-        top.write.mode("overwrite").parquet(f"{model_root}/terms/v={as_of_stamp}")
-        terms.idf_table(docs).write.mode("overwrite").parquet(f"{model_root}/vocabulary/v={as_of_stamp}")
-        files.save_embeddings_version(e.select("doc_id", "v"), f"{model_root}/embeddings", as_of_stamp)
-        files.write_articles_parquet(e.drop("v").join(labels, "doc_id"), corpus_root, as_of_stamp, mode="overwrite")
-        meta = digest.retrain_metadata(spark, best_k, scores, model, as_of_stamp)
-    finally:
-        e.unpersist()
-    return meta
+    # the search, the labels and the stored embeddings read the slim (id, v) only; texts stay where they are
+    best_k, scores, models, vectors = ksearch.search_k(embed.embed_text(c, model).select("doc_id", "v"), k_min, k_max)
+    labels = ksearch.assign(vectors, models[best_k]).checkpoint()
+    docs = terms.materialize(terms.ngrams(c.select("doc_id", T.basic_preprocess("content").alias("text_tfidf"))))
+    top = terms.top_terms_per_cluster(terms.tfidf(docs), labels, top_terms)
+    files.save_centroid_version(ksearch.centroid_table(spark, models[best_k]), model_root, as_of_stamp)
+    top.write.mode("overwrite").parquet(f"{model_root}/terms/v={as_of_stamp}")
+    terms.idf_table(docs).write.mode("overwrite").parquet(f"{model_root}/vocabulary/v={as_of_stamp}")
+    files.save_embeddings_version(vectors.withColumnRenamed("id", "doc_id"), f"{model_root}/embeddings", as_of_stamp)
+    files.write_articles_parquet(c.join(labels, "doc_id"), corpus_root, as_of_stamp, mode="overwrite")
+    return digest.retrain_metadata(spark, best_k, scores, model, as_of_stamp)
 
 
 def curated_scores(spark: SparkSession, sf_dir: str, threshold: float = 0.85, as_of: str = X.AS_OF,

@@ -135,6 +135,13 @@ def save_model_version(model, root: str, version: str) -> str:
     return path
 
 
+def save_centroid_version(centroids: DataFrame, root: str, version: str) -> str:
+    """A13 for a fit by shared passes: the (cluster, centroid) table that the incremental runs read."""
+    path = f"{root}/centroids/v={version}"
+    centroids.coalesce(1).write.mode("overwrite").parquet(path)
+    return path
+
+
 def load_model_version(root: str, version: str) -> KMeansModel:
     return KMeansModel.load(f"{root}/v={version}")
 
