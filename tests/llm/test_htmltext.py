@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from newsloom.llm import htmltext, queries
 from tests.llm.conftest import SF
@@ -58,3 +59,50 @@ def test_edge_pages(spark):
                    (7, "deep", 4), (8, "long long long long ", 499_999)}
     assert htmltext.extract_main_text(df).count() == len(cases)
     assert htmltext.extract_main_text(df.limit(0)).count() == 0
+
+
+WORDS = " ".join(f"word{i}" for i in range(50)) + "."
+
+
+def test_unknown_marked_sections_and_endings():
+    for page, want in [("<p>a</p><![foo[x]]><p>b</p>", "a\nb"), ("a<![CDATA[x>y]]>b", "ab"), ("<!DOCTYPE [", ""), ("<p>x</p><![x[", "x"),
+                       ("x <b", "x"), ("<p>x</p><!-- never", "x"), ("x & y &amp", "x & y &"), ("text &lt", "text <"), ("<", "<"),
+                       ("<p>x</p><textarea>zz", "x"), ("a < b", "a < b"), ("<![if !IE]><p>y</p><![endif]>", "y")]:
+        assert htmltext.main_text(page) == want, page
+
+
+def test_containers_of_the_article_are_no_furniture():
+    menu = "<ul><li><a href=/>link</a></ul>"
+    for page in (f'<form id="aspnetForm"><article><p>{WORDS}</p></article></form>{menu}',
+                 f'<div class="social-science"><p>{WORDS}</p></div>{menu}', f"<form><div><p>{WORDS}</p></div></form>{menu}",
+                 f'<div id="sidebar"><main><p>{WORDS}</p></main></div><div class="sidebar">{LONG}</div>',
+                 f'<header><article><p>{WORDS}</p></article></header>'):
+        assert htmltext.main_text(page) == WORDS, page
+    page = f"""<article><p>{WORDS}</p><section id="related-work"><p>{WORDS}</p></section><p class="ad-hoc">Short, ad hoc.</p>
+    <div class="related-links"><a href=/x>{WORDS}</a></div><div class="ad-slot">Buy this now</div></article>"""
+    assert htmltext.main_text(page) == f"{WORDS}\n{WORDS}\nShort, ad hoc."
+
+
+def test_furniture_stays_furniture():
+    comments = f'<section id="comments"><p>{LONG * 9}</p><article class="comment"><p>{LONG}</p></article></section>'
+    page = f'<div class=post><p>{LONG * 2}</p></div>{comments}<div class="cookie-notice">{LONG}</div><div class="site-footer">{LONG}</div>'
+    assert htmltext.main_text(page) == (LONG * 2).strip()
+    assert htmltext.main_text(f"<article><p>{LONG}</p></article><div class=promo>{LONG * 9}</div>") == LONG.strip()
+
+
+def test_hostile_pages_take_linear_time():
+    hostile = [lambda n: "<a " * n, lambda n: "<p a='" * n, lambda n: "<!--" * n, lambda n: "<b>" * n + "<div>x" * n,
+               lambda n: "<b>" * n + "</i>" * n, lambda n: "<p><tr>" + "<b>" * n + "<li>x" * n, lambda n: "<table>" + "<tr><td>x" * n,
+               lambda n: "<![" * n, lambda n: "<script>" + "</scr" * n, lambda n: "<div class=share>" * n + "x", lambda n: "&" * n,
+               lambda n: "</" * n + ">", lambda n: "<a " + "=" * n + ">", lambda n: "<title>" + "</t" * n]
+    for make in hostile:
+        took = []
+        for n in (20_000, 40_000):
+            page, best = make(n), 9e9
+            for _ in range(3):
+                start = time.process_time()
+                htmltext.main_text(page)
+                best = min(best, time.process_time() - start)
+            took.append(best)
+        assert took[1] <= 2.5 * took[0] + 0.1, make(2)
+    assert len(htmltext.main_text("<p>" + "word " * 200_000 + "<b>" * 50_000)) == 999_999
