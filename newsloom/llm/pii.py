@@ -120,11 +120,14 @@ TOP_LABELS = frozenset("com org net edu gov info biz io co uk us de fr es it nl
 
 _ODD = re.compile("[" + re.escape("".join(LOOK_ALIKES) + INVISIBLE) + "]")
 _ONE = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-_DIGIT_RUN = re.compile(rf"(?<!\w)(?:(?:{_ONE}|plus|[0-9+]+)[\s,.()/-]{{1,3}}){{3,}}(?:{_ONE}|[0-9]+)(?!\w)", re.I)
+# an element of a run of digits: possessive, and never begun inside a run of digits and signs, so a text is read once
+_ELEMENT = rf"(?:(?<!\w)(?:{_ONE}|plus)|(?<![\w+])[0-9+]++)(?!\w)"
+_DIGIT_RUN = re.compile(rf"{_ELEMENT}(?:[\s,.()/-]{{1,3}}+{_ELEMENT}){{3,}}+", re.I)
+_DIGIT_ELEMENT = re.compile(rf"(?:{_ONE}|plus|[0-9+]+)", re.I)
 _DIGIT_PART = re.compile(rf"(?:{_ONE}|plus)", re.I)
-_SIGN = re.compile(
-    rf"\s*[\[({{<]\s*(?:(?P<bat>{AT_WORDS}|@)|(?P<bdot>{DOT_WORDS}|\.))\s*[\])}}>]\s*"
-    rf"|(?P<hat>&#0*64;|&#x0*40;|%40)|(?P<hdot>&#0*46;|&#x0*2e;|%2e)", re.I)
+_SIGN = re.compile(                                                # spaces before a bracket: see _signs
+    rf"[\[({{<]\s*+(?:(?P<bat>{AT_WORDS}|@)|(?P<bdot>{DOT_WORDS}|\.))\s*+[\])}}>]\s*+"
+    rf"|(?P<hat>&#0*+64;|&#x0*+40;|%40)|(?P<hdot>&#0*+46;|&#x0*+2e;|%2e)", re.I)
 _PLAIN = re.compile(
     rf"(?<![\w.%+-])[\w.%+-]+(?:\s+|[_/-])(?P<at>{AT_WORDS})(?:\s+|[_/-])(?P<host>[\w-]+(?:(?:\s+|[_/-])(?:{DOT_WORDS})(?:\s+|[_/-])\w+)+)", re.I)
 _PLAIN_DOT = re.compile(rf"(?:\s+|[_/-])(?:{DOT_WORDS})(?:\s+|[_/-])", re.I)
@@ -149,7 +152,32 @@ def disguised(text: str) -> bool:
     if any(c in text for c in "[({<") and _SIGN.search(text):
         return True
     words = set(_WORDS.findall(_folded(text)))
-    return not words.isdisjoint(_DOTS) or not words.isdisjoint(DIGIT_WORDS) and bool(_DIGIT_RUN.search(text))
+    return not words.isdisjoint(_DOTS) or not words.isdisjoint(DIGIT_WORDS) and any(True for _ in _digit_runs(text))
+
+
+def _digit_runs(text: str):
+    """(from, to) of runs of at least four elements; the last is a digit word or begins with digits, which end the run."""
+    for run in _DIGIT_RUN.finditer(text):
+        parts = list(_DIGIT_ELEMENT.finditer(text, *run.span()))
+        while len(parts) >= 4:
+            end = parts[-1].end()
+            word = parts.pop().group()
+            if word[0] in "+pP":                                       # a sign or "plus" ends no run
+                continue
+            yield run.start(), end - len(word) + len(word.split("+")[0])
+            break
+
+
+def _signs(text: str):
+    """(from, to, sign) of bracketed and encoded signs; the spaces before a bracket belong to it."""
+    last = 0
+    for x in _SIGN.finditer(text):
+        a, b = x.span()
+        if x["bat"] or x["bdot"]:
+            while a > last and text[a - 1].isspace():
+                a -= 1
+        yield a, b, "@" if x["bat"] or x["hat"] else "."
+        last = b
 
 
 class Mapped:
@@ -180,7 +208,7 @@ def look_alikes(m: Mapped) -> Mapped:
 
 
 def signs(m: Mapped) -> Mapped:
-    edits = [(x.start(), x.end(), "@" if x["bat"] or x["hat"] else ".") for x in _SIGN.finditer(m.text)]
+    edits = list(_signs(m.text))
     m = m.replaced(edits) if edits else m
     edits = []
     for x in _PLAIN.finditer(m.text):
@@ -207,11 +235,11 @@ def _blank(text: str, at: int, step: int) -> int:
 def spelled_digits(m: Mapped) -> Mapped:
     """Runs of at least three digit words (digits may stand between them) become digits; separators between go."""
     edits = []
-    for run in _DIGIT_RUN.finditer(m.text):
-        if sum(_folded(x) != "plus" for x in _DIGIT_PART.findall(run.group())) < 3:
+    for run in _digit_runs(m.text):
+        if sum(_folded(x) != "plus" for x in _DIGIT_PART.findall(m.text, *run)) < 3:
             continue
         last = None
-        for x in _DIGIT_PART.finditer(m.text, *run.span()):
+        for x in _DIGIT_PART.finditer(m.text, *run):
             gap = m.text[last:x.start()] if last is not None else ""
             if gap and not gap.strip(" ,\n\t"):
                 edits.append((last, x.start(), ""))

@@ -54,7 +54,6 @@ LEET_COST, KEEP_COST, DROP_COST, DOUBLE_COST = 0.7, 2.5, 0.3, 1.2
 _WORD = re.compile(r"[^\W\d_]+")
 _SYMBOLS = re.escape("".join(LEET))
 _LEET_TOKEN = re.compile(rf"(?<![\w{_SYMBOLS}])(?=[\w{_SYMBOLS}]*[^\W\d_])[^\W_{_SYMBOLS}]*[{_SYMBOLS}](?:[^\W_]|[{_SYMBOLS}])*[^\W_]")
-_REPEAT = re.compile(r"[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1").search
 _SPACED = re.compile(rf"(?<![\w{_SYMBOLS}])(?:[^\W_]|[@$!|+])(?:[ .\-_*]{{1,2}}(?:[^\W_]|[@$!|+])(?!\w)){{3,}}")
 _SPACED_HINT = re.compile(r"[ .\-_*]\S[ .\-_*]{1,2}\S[ .\-_*]").search
@@ -151,7 +150,7 @@ class Restorer:
 
     def _restored(self, token: str) -> tuple[str, ...]:
         """Words behind the disguised parts of one token; most tokens have none."""
-        found = [m.group() for m in _REPEAT.finditer(token)] if _TRIPLE(token) else []
+        found = [w for w in _WORD.findall(token) if _TRIPLE(w)] if _TRIPLE(token) else []
         if not token.isalpha():
             found += [m.group() for m in _LEET_TOKEN.finditer(token)]
         return tuple(w for x in found for w in _WORD.findall(restore(x, self.model)))

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from newsloom.llm import pii, queries
 from tests.llm.conftest import SF, edge_texts
@@ -99,3 +100,25 @@ def test_gate_never_misses_an_added_span(monkeypatch):
     assert sum(map(bool, gated)) > 1000
     for t, got in zip(texts, gated):
         assert got == pii.added_spans(t, pii.base_spans(t)), t
+
+
+def test_hostile_texts_take_linear_time():
+    hostile = [lambda n: "one " + "+" * n, lambda n: "one " + "+ " * n, lambda n: " " * n + "[", lambda n: "one " + "1 " * n + "a",
+               lambda n: "[ " * n, lambda n: "x at " + "a-dot-" * n, lambda n: "a@" * n + " dot ", lambda n: "one " * n,
+               lambda n: "plus " * n + "one one one two", lambda n: "a at b dot " * n, lambda n: "one " + "1" * n + "a"]
+    for make in hostile:
+        took = []
+        for n in (20_000, 40_000):
+            text, best = make(n), 9e9
+            for _ in range(3):
+                start = time.process_time()
+                pii.added_spans(text, [])
+                best = min(best, time.process_time() - start)
+            took.append(best)
+        assert took[1] <= 2.5 * took[0] + 0.1, make(2)
+
+
+def test_runs_of_digit_words_end_in_a_digit():
+    for text, runs in [("one two three four", [(0, 18)]), ("plus one two three +", [(0, 18)]), ("++one two three 55+3", [(2, 18)]),
+                       ("1 2 3 4 plus", [(0, 7)]), ("one two three", []), ("1 2 3 4 5a", [(0, 7)]), ("+49 1 2 +", [])]:
+        assert list(pii._digit_runs(text)) == runs, text

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 from pyspark.sql import functions as F
@@ -96,3 +97,15 @@ def test_query_marks_held_out_rows(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
     assert all(r["predicted"] == int(r["score"] >= 0.7) for r in rows)
     assert len(rows) == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
+def test_repeats_take_linear_time():
+    took = []
+    for n in (200_000, 400_000):
+        token, best = "aaa1" + "ab" * n, 9e9
+        for _ in range(3):
+            start = time.process_time()
+            assert [w for w in toxicity._WORD.findall(token) if toxicity._TRIPLE(w)] == ["aaa"]
+            best = min(best, time.process_time() - start)
+        took.append(best)
+    assert took[1] <= 2.5 * took[0] + 0.05
