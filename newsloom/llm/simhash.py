@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field_type, left_join_skewed, stored
+from .common import field_type, free_name, left_join_skewed, stored
 from .components import connected_components
 
 BLOCKS = 6
@@ -172,5 +172,6 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """The rows of ``docs``, with all columns, whose id is the smallest of its component.  Rows of one id are one
     document: it goes if any of its texts belongs to an earlier id's group.  Rows with a null id stay."""
     groups = simhash_groups(docs, id_col, text_col, k, max_bits)
-    gone = groups.where(F.col("id") != F.col("component")).select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    name = free_name(docs, "gone")
+    gone = groups.where(F.col("id") != F.col("component")).select(F.col("id").alias(name)).distinct()
+    return docs.join(gone, docs[id_col] == gone[name], "left_anti")

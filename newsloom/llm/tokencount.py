@@ -5,9 +5,10 @@ pre-tokens (a run of spaces with the word after it) whose piece counts add up.
 pre-token of the corpus; the counts are joined to each document's pre-token frequencies and summed.
 
 Scale.  The census sums per-task counters before the shuffle.  Pre-tokens with more than 1/HOT_PARTS of all occurrences
-(so fewer than HOT_PARTS of them, each of at most HOT_CHARS characters) are broadcast and summed where the text is
-read; the remaining (document, pre-token, frequency) rows go through a shuffle join, so every pre-token counts.  No
-key is hot in that join: a pre-token there has at most 1/HOT_PARTS of the occurrences or is longer than HOT_CHARS.
+(so fewer than HOT_PARTS of them; those of over HOT_CHARS characters by a 128-bit digest) are broadcast and summed where
+the text is read; the remaining (document, pre-token, frequency) rows go through a shuffle join, so every pre-token counts.
+No key is hot in that join: a pre-token there has at most 1/HOT_PARTS of the occurrences, and a document's head row has
+a key of its own.  Rows of one id are told apart by a 128-bit digest of the text; equal texts have equal counts.
 
 Edge cases.  Null text counts as empty: 0 bytes, 0 tokens.  Repeated rows are each returned.  Null ids are kept.
 Extra columns are ignored; an empty table gives no rows.
@@ -16,11 +17,12 @@ Extra columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 
 import pyarrow as pa
 import sentencepiece
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,6 +63,11 @@ class PieceCounter:
         return [len(ids) if k else self.space for k, ids in zip(keys, self.model.encode(keys, num_threads=1))]
 
 
+def hot_key(pre_token: str) -> str | bytes:
+    """The name of a pre-token in the broadcast table."""
+    return pre_token if len(pre_token) <= HOT_CHARS else xxhash.xxh128_digest(pre_token.encode("utf-8"))
+
+
 def pre_token_census(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """(piece_key, n): every distinct pre-token with its occurrences in the corpus."""
 
@@ -94,54 +101,68 @@ def piece_counts(census: DataFrame, model_path: str) -> DataFrame:
     return census.mapInArrow(run, "piece_key string, n long, pieces long")
 
 
+def _hot_table(hot: DataFrame) -> dict[str | bytes, int]:
+    """Pieces of the frequent pre-tokens by ``hot_key``, which is taken in the tasks."""
+
+    def run(batches):
+        for b in batches:
+            keys = [hot_key(k) for k in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([k if isinstance(k, str) else None for k in keys], pa.string()),
+                                              pa.array([k if isinstance(k, bytes) else None for k in keys], pa.binary()),
+                                              b.column(1)], ["key", "digest", "pieces"])
+
+    rows = hot.select("piece_key", "pieces").mapInArrow(run, "key string, digest binary, pieces long").collect()
+    return {r[0] if r[0] is not None else bytes(r[1]): r[2] for r in rows}
+
+
 def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens) for every row."""
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     vocab = stored(piece_counts(pre_token_census(src, "t"), model_path), "pieces")
     total = vocab.agg(F.sum("n")).first()[0] or 0
-    is_hot = (F.col("n") * F.lit(HOT_PARTS) > F.lit(total)) & (F.length("piece_key") <= HOT_CHARS)
-    hot = spark.sparkContext.broadcast({r[0]: r[1] for r in vocab.where(is_hot).select("piece_key", "pieces").collect()})
+    is_hot = F.col("n") * F.lit(HOT_PARTS) > F.lit(total)
+    hot = spark.sparkContext.broadcast(_hot_table(vocab.where(is_hot)))
     id_type = field_type(docs, id_col)
-    names = ["id", "crc", "n_bytes", "known", "piece_key", "freq"]
-    schema = T.StructType([T.StructField("id", id_type), T.StructField("crc", T.LongType()),
+    names = ["id", "mark", "n_bytes", "known", "piece_key", "freq"]
+    schema = T.StructType([T.StructField("id", id_type), T.StructField("mark", T.BinaryType()),
                            T.StructField("n_bytes", T.LongType()), T.StructField("known", T.LongType()),
                            T.StructField("piece_key", T.StringType()), T.StructField("freq", T.LongType())])
 
     def run(batches):
         """One head row per document (its bytes and the sum over broadcast pre-tokens), then a row for each other one."""
-        pieces = hot.value
+        pieces, task, heads = hot.value, TaskContext.get().partitionId(), 0
         for b in batches:
             for lo in range(0, b.num_rows, 2000):
                 part = b.slice(lo, 2000)
-                row, crc, size, known, key, freq = [], [], [], [], [], []
+                row, mark, size, known, key, freq = [], [], [], [], [], []
                 for i, t in enumerate(part.column(1)):
                     text = t.as_py() or ""
                     raw = text.encode("utf-8")
-                    check, rest, total = zlib.crc32(raw), Counter(), 0
+                    check, rest, total = xxhash.xxh128_digest(raw), Counter(), 0
                     for k in pre_tokens(text):
-                        n = pieces.get(k)
+                        n = pieces.get(k if len(k) <= HOT_CHARS else hot_key(k))
                         if n is None:
                             rest[k] += 1
                         else:
                             total += n
                     n = 1 + len(rest)
                     row += [i] * n
-                    crc += [check] * n
+                    mark += [check] * n
                     size += [len(raw)] + [None] * (n - 1)
                     known += [total] + [0] * (n - 1)
-                    key += [None, *rest]
+                    # no pre-token has an inner space before a non-space, so the head row's key is its own
+                    key += [f"x x{task}-{heads}", *rest]
+                    heads += 1
                     freq += [0, *rest.values()]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(row, pa.int32())), pa.array(crc, pa.int64()), pa.array(size, pa.int64()),
+                    [part.column(0).take(pa.array(row, pa.int32())), pa.array(mark, pa.binary()), pa.array(size, pa.int64()),
                      pa.array(known, pa.int64()), pa.array(key, pa.string()), pa.array(freq, pa.int64())], names)
 
     rows = src.mapInArrow(run, schema)
-    # head rows get keys of their own that no pre-token has (it cannot hold an inner space before a non-space)
-    rows = rows.withColumn("piece_key", F.coalesce("piece_key", F.concat(F.lit("x x"), F.col("crc").cast("string"))))
     cold = vocab.where(~is_hot).select("piece_key", "pieces")
     summed = (rows.join(cold, "piece_key", "left")
-              .groupBy("id", "crc")
+              .groupBy("id", "mark")
               .agg(F.max("n_bytes").alias("n_bytes"), F.count("n_bytes").alias("copies"),
                    F.sum(F.col("known") + F.col("freq") * F.coalesce("pieces", F.lit(0))).alias("s")))
     return (summed.select("id", "n_bytes", F.expr("s div copies").alias("n_tokens"),

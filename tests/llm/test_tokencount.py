@@ -1,8 +1,10 @@
+import zlib
+
 import public_tokenizers
 import sentencepiece
 
 from newsloom.llm import queries, tokencount
-from tests.llm.conftest import SF, edge_texts
+from tests.llm.conftest import DOCS, SF, edge_texts, rows
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -29,3 +31,17 @@ def test_query_equals_the_library(spark):
     want = sorted((r["doc_id"], len(r["text"].encode()), n := len(sp.encode(r["text"])), n > 4096) for r in docs)
     names = ["doc_id", "n_bytes", "n_tokens", "over_limit"]
     assert sorted(tuple(r[x] for x in names) for r in queries.op10_token_counts(spark, SF).collect()) == want
+
+
+def test_texts_of_one_id_and_equal_checksums_are_told_apart(spark, monkeypatch):
+    """Two texts with one CRC-32, null ids, long frequent pre-tokens and many copies."""
+    first = "plumless"
+    assert zlib.crc32(first.encode()) == zlib.crc32(b"buckeroo")
+    pairs = [(1, first), (1, "buckeroo"), (None, "a b"), (None, "c"), (1, first)] + [(i, "") for i in range(50)]
+    pairs += [(200 + i, "y" * 90 + " tail") for i in range(30)]
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    want = sorted((i or -1, len(t.encode()), len(library.encode(t))) for i, t in pairs)
+    for parts in (1, 20, 10**6):
+        monkeypatch.setattr(tokencount, "HOT_PARTS", parts)
+        df = spark.createDataFrame(rows(pairs), DOCS).repartition(3)
+        assert sorted((r["id"] or -1, r["n_bytes"], r["n_tokens"]) for r in tokencount.token_counts(df, PATH).collect()) == want
