@@ -25,6 +25,8 @@ Extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,6 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from newsloom.session import scratch_path
+
 from .common import field_type, inner_join_skewed, left_join_skewed, stored
 from .components import connected_components
 from .simhash import shingle_hashes
@@ -104,14 +108,15 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int, bands: int, ro
 
 
 def tensor_keys(distinct: DataFrame, bands: int) -> DataFrame:
-    """(key, sid, n): the table keys of each set whose two half keys both occur in another set too."""
+    """(key, sid, n): the table keys of each set whose two half keys both occur in another set too.  The lowest 16 bits of
+    a key are the numbers i and j of its table."""
     half = distinct.select("sid", F.posexplode("halves").alias("pos", "key"))
     shared = half.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     met = inner_join_skewed(half, shared, "key", "c", distinct.count() * 2 * bands)
     mask = met.groupBy("sid").agg(F.sort_array(F.collect_set("pos")).alias("pos"))         # at most 2 * bands numbers
     pairs = distinct.join(mask, "sid").withColumn("keys", F.expr(f"""
         flatten(transform(filter(pos, i -> i < {bands}), i -> transform(filter(pos, j -> j >= {bands}),
-                j -> xxhash64(halves[i], halves[j]))))"""))
+                j -> (xxhash64(halves[i], halves[j]) & -65536L) | ((i << 8) | (j - {bands})))))"""))
     return pairs.select(F.explode("keys").alias("key"), "sid", "n")
 
 
@@ -129,14 +134,17 @@ def _wanted_ids(distinct: DataFrame, sids: DataFrame) -> dict[int, bytes]:
     return {r["part"]: bytes(r["bits"]) for r in slices.collect()}
 
 
-def full_sets(docs: DataFrame, distinct: DataFrame, sids: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(sid, shingles, parity) of the listed sets, from the texts of one document each (a bitmap passes over the others)."""
-    wanted = docs.sparkSession.sparkContext.broadcast(_wanted_ids(distinct, sids))
+def full_sets(docs: DataFrame, distinct: DataFrame, sids: DataFrame, id_col: str, text_col: str, k: int, bands: int,
+              rows: int) -> DataFrame:
+    """(sid, shingles, parity, marks) of the listed sets, from the texts of one document each (a bitmap passes over the
+    others); marks are the lowest 32 bits of the half keys.  A table bucketed by sid, so joins on sid don't move it."""
+    spark = docs.sparkSession
+    wanted = spark.sparkContext.broadcast(_wanted_ids(distinct, sids))
 
     def run(batches):
-        bitmap = wanted.value
+        bitmap, half = wanted.value, HalfKeys(bands, rows)
         for b in batches:
-            sid, sets, bits = [], [], []
+            sid, sets, bits, marks = [], [], [], []
             for t, at in zip(b.column(0), b.column(1).to_pylist()):
                 part = bitmap.get(at >> 15)
                 if part is None or not part[(at & 32767) >> 3] >> (at & 7) & 1:
@@ -146,30 +154,43 @@ def full_sets(docs: DataFrame, distinct: DataFrame, sids: DataFrame, id_col: str
                     sid.append(xxhash.xxh128_digest(s.tobytes()))
                     sets.append(s.view(np.int64))
                     bits.append(parity(s))
-            yield pa.RecordBatch.from_arrays([pa.array(sid, pa.binary()), pa.array(sets, pa.list_(pa.int64())),
-                                              pa.array(bits, pa.list_(pa.int64()))], ["sid", "shingles", "parity"])
+                    marks.append(half(s).astype(np.uint32).view(np.int64))
+            longs = [pa.array(x, pa.list_(pa.int64())) for x in (sets, bits, marks)]
+            yield pa.RecordBatch.from_arrays([pa.array(sid, pa.binary()), *longs], ["sid", "shingles", "parity", "marks"])
 
     at = F.pmod(F.xxhash64(id_col), F.lit(ID_BITS))
     made = docs.select(F.col(text_col).cast("string").alias("t"), at.alias("at")).mapInArrow(
-        run, "sid binary, shingles array<long>, parity array<long>")
-    return made.join(sids, "sid", "left_semi").dropDuplicates(["sid"])
+        run, "sid binary, shingles array<long>, parity array<long>, marks array<long>")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    one = made.join(sids, "sid", "left_semi").dropDuplicates(["sid"]).repartition(parts, "sid")
+    name, path = f"mh_sets_{uuid.uuid4().hex}", scratch_path(spark, "mh-sets")
+    one.write.format("parquet").bucketBy(parts, "sid").option("path", path).saveAsTable(name)
+    return spark.table(name)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, an, b, bn, inter): the pairs' intersection sizes.  A set with many pairs is copied once per PAIRS_PER_SALT."""
+    """(a, an, b, bn, inter): the pairs' intersection sizes.  Pairs move to the bucketed sets; sets with PAIRS_PER_SALT pairs
+    or more are copied once per that many pairs instead, so no task gets all pairs of one set."""
     pairs = stored(pairs, "mh-pairs")
-
-    def joined(left: DataFrame, side: str) -> DataFrame:
-        need = pairs.groupBy(F.col(side).alias("sid")).agg(F.count("*").alias("c"))
-        copies = sets.join(need, "sid").select(F.col("sid").alias(side), F.col("shingles").alias(f"{side}_set"), F.explode(
+    sets = sets.select("sid", "shingles")
+    many = [pairs.groupBy(F.col(x).alias("sid")).agg(F.count("*").alias("c")).where(f"c >= {PAIRS_PER_SALT}") for x in "ab"]
+    named = [m.select(F.col("sid").alias(x), F.col("c").alias(f"{x}c")) for x, m in zip("ab", many)]
+    marked = stored(pairs.join(named[0], "a", "left").join(named[1], "b", "left"), "mh-marked")
+    cold, hot = marked.where("ac is null and bc is null"), marked.where("ac is not null or bc is not null")
+    shared = F.size(F.array_intersect("a_set", "b_set")).cast("long").alias("inter")
+
+    def side(x: str, table: DataFrame) -> DataFrame:
+        return table.select(F.col("sid").alias(x), F.col("shingles").alias(f"{x}_set"), *[c for c in ("salt",) if c in table.columns])
+
+    out = cold.join(side("a", sets), "a").join(side("b", sets), "b").select("a", "an", "b", "bn", shared)
+    copied = hot
+    for x, other in ("ab", "ba"):
+        need = hot.groupBy(F.col(x).alias("sid")).agg(F.first(F.coalesce(f"{x}c", F.lit(0))).alias("c"))
+        copies = sets.join(need, "sid").select("sid", "shingles", F.explode(
             F.sequence(F.lit(0), F.expr(f"cast(c div {PAIRS_PER_SALT} as int)"))).alias("salt"))
-        salted = left.join(need.where(f"c >= {PAIRS_PER_SALT}").withColumnRenamed("sid", side), side, "left")
-        other = "b" if side == "a" else "a"
-        salt = F.pmod(F.xxhash64(other), F.expr(f"coalesce(c div {PAIRS_PER_SALT}, 0) + 1")).cast("int")
-        return salted.withColumn("salt", salt).drop("c").join(copies, [side, "salt"]).drop("salt")
-
-    both = joined(joined(pairs, "a"), "b")
-    return both.select("a", "an", "b", "bn", F.size(F.array_intersect("a_set", "b_set")).cast("long").alias("inter"))
+        salt = F.pmod(F.xxhash64(other), F.expr(f"coalesce({x}c, 0) div {PAIRS_PER_SALT} + 1")).cast("int")
+        copied = copied.withColumn("salt", salt).join(side(x, copies), [x, "salt"]).drop("salt")
+    return out.unionByName(copied.select("a", "an", "b", "bn", shared))
 
 
 def _links(results: DataFrame, min_pct: int) -> DataFrame:
@@ -186,14 +207,14 @@ def _mixed(rows: DataFrame, roots: DataFrame, total: int) -> DataFrame:
 
 
 def set_classes(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str, k: int, min_pct: int,
-                bands: int) -> DataFrame:
+                bands: int, band_rows: int) -> DataFrame:
     """(node, root): every set with a partner, and the smallest set of its class."""
     tensor = stored(tensor_keys(distinct, bands), "mh-tensor")
     size = tensor.count()
     hubs = tensor.groupBy("key").agg(F.min(F.struct("sid", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1")
     rows = stored(inner_join_skewed(tensor, hubs, "key", "c", size).select("key", "sid", "n", F.col("hub.sid").alias("hub"),
                                                                          F.col("hub.n").alias("hn")), "mh-rows")
-    sets = stored(full_sets(docs, distinct, rows.select("sid").distinct(), id_col, text_col, k), "mh-sets")
+    sets = full_sets(docs, distinct, rows.select("sid").distinct(), id_col, text_col, k, bands, band_rows)
 
     near = F.expr("sid != hub") & _big_enough("n", "hn", min_pct)
     named = [F.col("sid").alias("a"), F.col("n").alias("an"), F.col("hub").alias("b"), F.col("hn").alias("bn")]
@@ -207,28 +228,42 @@ def set_classes(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str
     links = _links(pivots, min_pct)
     roots = stored(connected_components(links), "mh-roots")
 
-    far = stored(verified(_across(_mixed(mixed, roots, size), pivots, sets, min_pct), sets), "mh-far")
+    far = stored(verified(_across(_mixed(mixed, roots, size), pivots, sets, min_pct, bands), sets), "mh-far")
     links = links.unionByName(_links(far, min_pct))
     return connected_components(links)
 
 
-def _across(mixed: DataFrame, pivots: DataFrame, sets: DataFrame, min_pct: int) -> DataFrame:
-    """(a, an, b, bn): pairs of one bucket and two classes that neither the distances to the pivot nor the parities rule out."""
+def _across(mixed: DataFrame, pivots: DataFrame, sets: DataFrame, min_pct: int, bands: int) -> DataFrame:
+    """(a, an, b, bn): pairs of one bucket and two classes that neither the distances to the pivot nor the parities rule out.
+    A pair is made in the first table that both sets share (told by 32 bits of each half key, so with an error far below
+    that of the banding), not in all of them."""
     exact = F.expr("1 - inter / (an + bn - inter)")
     known = mixed.join(pivots.select(F.col("a").alias("sid"), F.col("b").alias("hub"), exact.alias("d")), ["sid", "hub"], "left")
     least = F.lit(1.0) - F.least("n", "hn") / F.greatest("n", "hn")     # of sizes too unlike to be measured
-    words = [F.col("parity")[i].alias(f"p{i}") for i in range(PARITY_WORDS)]
+    words = [F.col("parity")[i].alias(f"p{i}") for i in range(PARITY_WORDS)] + [F.col("marks")[i].alias(f"m{i}") for i in range(bands)]
     known = known.where("sid != hub").join(sets.select("sid", *words), "sid").select(
         "key", "sid", "n", "root", "is_major", F.coalesce("d", least).alias("lo"), F.coalesce("d", F.lit(1.0)).alias("hi"),
-        *[f"p{i}" for i in range(PARITY_WORDS)])
+        *[f"p{i}" for i in range(PARITY_WORDS)], *[f"m{i}" for i in range(bands)])
     known = stored(known, "mh-known")
     unlike = sum((F.bit_count(F.col(f"x.p{i}").bitwiseXOR(F.col(f"y.p{i}"))) for i in range(PARITY_WORDS)), F.lit(0))
     may_differ = (F.col("x.n") + F.col("y.n")) * (100 - min_pct)          # 100 + min_pct times as many shingles
     reach = 1 - min_pct / 100 + 1e-9
+
+    def first_shared(start: int, number: Column) -> Column:
+        """Whether the collection of half keys from ``start`` on agrees first at ``number``."""
+        first = F.lit(-1)
+        for i in reversed(range(bands)):
+            word, shift = divmod(start + i, 2)
+            differ = F.col(f"x.m{word}").bitwiseXOR(F.col(f"y.m{word}"))
+            half = differ.bitwiseAND(F.lit(0xFFFFFFFF)) if not shift else F.shiftrightunsigned(differ, 32)
+            first = F.when(half == 0, F.lit(i)).otherwise(first)
+        return first == number
+
     x, y = known.where("not is_major").alias("x"), known.alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root"))
                    & (F.col("y.is_major") | (F.col("x.sid") < F.col("y.sid"))) & _big_enough("x.n", "y.n", min_pct)
                    & (F.col("x.lo") - F.col("y.hi") <= reach) & (F.col("y.lo") - F.col("x.hi") <= reach) & (unlike * (100 + min_pct) <= may_differ))
+    pairs = pairs.where(first_shared(0, F.expr("(x.key >> 8) & 255")) & first_shared(bands, F.expr("x.key & 255")))
     one, two = F.struct("x.sid", "x.n"), F.struct("y.sid", "y.n")
     ends = pairs.select(F.least(one, two).alias("p"), F.greatest(one, two).alias("q")).distinct()
     return ends.select(F.col("p.sid").alias("a"), F.col("p.n").alias("an"), F.col("q.sid").alias("b"), F.col("q.n").alias("bn"))
@@ -244,7 +279,7 @@ def minhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     distinct = stored(prints.where("n > 0").groupBy("sid").agg(
         F.min("id").alias("first"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("halves").alias("halves")),
         "mh-distinct")
-    roots = set_classes(docs, distinct, id_col, text_col, k, min_pct, bands)
+    roots = set_classes(docs, distinct, id_col, text_col, k, min_pct, bands, rows)
     member = distinct.select("sid", "first", "copies").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
     member = stored(member, "mh-member")
     low = member.where("root is not null").groupBy("root").agg(F.min("first").alias("low"), F.count("*").alias("c"))

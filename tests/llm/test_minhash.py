@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from newsloom.llm import minhash, queries
 from tests.llm.conftest import DOCS, SF, edge_texts, rows
@@ -57,8 +58,10 @@ def test_query_equals_brute_force(spark):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == brute(docs)
 
 
-def test_chains_stars_and_near_misses(spark):
+@pytest.mark.parametrize("per_salt", [3, 2000])
+def test_chains_stars_and_near_misses(spark, monkeypatch, per_salt):
     """Copies of one text at all distances around the threshold: chains, unlinked members of one bucket, copies."""
+    monkeypatch.setattr(minhash, "PAIRS_PER_SALT", per_salt)
     rnd = random.Random(3)
     vocab = [f"w{i}" for i in range(5000)]
     docs = []
