@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .similarity import best_neighbours, ensemble_best_neighbours
+from ..functions import vectors as V
+from ..session import ensure_checkpoint_dir
+from .similarity import best_neighbours, stacked_models
 
 
 def new_links(links: DataFrame, ledger: DataFrame, url_col: str = "url") -> DataFrame:
@@ -29,8 +31,26 @@ def near_duplicates(articles: DataFrame, threshold: float, id_col: str = "doc_id
     No pair list is built: each article only needs its best-ranked neighbour (E5 similarity, or E6 when ``models``
     (long form) are given).  Not transitive and not greedy: an article already dropped still knocks out others.
     """
-    if models is not None:
-        best = ensemble_best_neighbours(models, articles, threshold, id_col, wc_col, blocks)
+    wc = articles.select(F.col(id_col).cast("long").alias("id"), F.col(wc_col).cast("long").alias("wc"))
+    if models is None:
+        vectors = articles.select(F.col(id_col).cast("long").alias("id"), F.col(vec).alias("v"))
     else:
-        best = best_neighbours(articles.select(id_col, wc_col, vec), threshold, id_col, vec, wc_col, blocks)
-    return articles.join(losers_from_best(best, articles, id_col, wc_col), id_col, "left_anti")
+        vectors = stacked_models(models, id_col, "model", "v").select(F.col(id_col).cast("long").alias("id"), "v")
+    ensure_checkpoint_dir(articles.sparkSession)
+    rows = vectors.join(wc, "id").checkpoint()
+    alike, rest = _one_per_vector(rows, threshold)
+    best = best_neighbours(rest, threshold, "id", "v", "wc", blocks, normalize=models is None)
+    lost = losers_from_best(best, rest, "id", "wc").unionByName(alike).withColumnRenamed("id", id_col)
+    return articles.join(lost, id_col, "left_anti")
+
+
+def _one_per_vector(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(ids that an equal vector's row outranks, all other rows).  Copies have one set of neighbours, so the best ranked of
+    them decides for all: a third of all rows alike cost one aggregate, not their pairs."""
+    if threshold >= 1.0 - 1e-9:                      # not even copies are above it
+        return rows.limit(0).select("id"), rows
+    ranked = rows.where(rows.wc.isNotNull() & (V.sumsq("v") > 0))
+    top = ranked.groupBy("v").agg(F.max(F.struct("wc", (-F.col("id")).alias("nid"))).alias("t"), F.count("*").alias("n"))
+    top = top.where("n > 1").select((-F.col("t.nid")).alias("id"), "v").checkpoint()        # of repeated vectors only
+    alike = ranked.join(top.select("v"), "v", "left_semi").join(top.select("id"), "id", "left_anti").select("id").checkpoint()
+    return alike, rows.join(alike, "id", "left_anti")

@@ -30,6 +30,7 @@ REDUCE_SCHEMA = "id long, value long"
 LINK_SCHEMA = "a long, b long, core boolean"
 DEFAULT_BLOCK_ROWS = 2048
 MAX_PIVOTS = 1024          # rows of the pivot matrix, the only thing broadcast
+FEW_CELLS = 8
 _EPS = 1e-6                # angles are computed in floating point
 _GROUP = ["_c", "_b", "_q"]
 
@@ -53,7 +54,11 @@ def candidate_groups(base: DataFrame, threshold: float, payload: dict[str, str],
     cells = min(MAX_PIVOTS, blocks or max(1, math.ceil(n / rows)))
     prune = threshold >= 0.0
     source = base.where(V.sumsq("_u") > 0) if prune else base    # a zero vector has cosine 0 to everything
-    picked = source.where(V.sumsq("_u") > 0).orderBy(F.xxhash64("_id"), "_id").limit(cells).select("_u").collect()
+    # a few cells could skip hardly a pair, and finding out costs more than comparing: one cell, without any pass over the rows
+    few = blocks is None and cells <= FEW_CELLS
+    nonzero = source.where(V.sumsq("_u") > 0)
+    picked = nonzero.limit(1).select("_u").collect() if few else (
+        nonzero.orderBy(F.xxhash64("_id"), "_id").limit(cells).select("_u").collect())
     theta = math.acos(min(1.0, threshold)) + _EPS if prune else math.pi
     schema = "_c int, _b int, _q int, _side int, _same boolean, _id long, _u array<double>" + "".join(f", {k} {t}" for k, t in payload.items())
     if not picked:
@@ -67,7 +72,7 @@ def candidate_groups(base: DataFrame, threshold: float, payload: dict[str, str],
             yield pd.DataFrame({"c": own.astype(np.int32), "r": a[np.arange(len(a)), own]})
 
     # one row per cell (at most MAX_PIVOTS) reaches the driver
-    size = {r["c"]: (r["r"], r["n"]) for r in source.select("_u").mapInPandas(extent, "c int, r double").groupBy("c").agg(
+    size = {0: (math.pi, n)} if few else {r["c"]: (r["r"], r["n"]) for r in source.select("_u").mapInPandas(extent, "c int, r double").groupBy("c").agg(
         F.max("r").alias("r"), F.count("*").alias("n")).collect()}
     radius = np.array([size.get(c, (-math.inf, 0))[0] for c in range(len(picked))])
     members = np.array([size.get(c, (0.0, 0))[1] for c in range(len(picked))])
@@ -250,10 +255,3 @@ def ensemble_pairs(models: DataFrame, threshold: float, id_col: str = "doc_id",
     """Pairs whose similarity averaged over the models is above ``threshold`` (averaged before thresholding)."""
     st = stacked_models(models, id_col, model_col, vec)
     return cosine_pairs(st, threshold, id_col=id_col, vec="v", blocks=blocks, block_rows=block_rows, normalize=False)
-
-
-def ensemble_best_neighbours(models: DataFrame, articles: DataFrame, threshold: float, id_col: str = "doc_id",
-                             wc_col: str = "word_count", blocks: int | None = None) -> DataFrame:
-    """``best_neighbours`` under the similarity averaged over the models (E6 semantics, stacked vectors)."""
-    st = stacked_models(models, id_col, "model", "v").join(articles.select(id_col, wc_col), id_col)
-    return best_neighbours(st, threshold, id_col=id_col, vec="v", wc_col=wc_col, blocks=blocks, normalize=False)

@@ -20,6 +20,7 @@ from . import fixtures as X
 from . import ksearch_sql as KS
 from . import slices
 from ..operators import embed as EM
+from ..operators import language as LG
 from .oracle import AS_OF_SQL, area_sql, assigned, cosine, md5_encoded, mean_vec_sql, preprocess, source_weight, unit, with_views, word_count
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -192,7 +193,8 @@ _SCORE_COLS = ["similarity_to_centroid", "novelty_score", "recency_score", "sour
 WHERE rank <= 3""", "final_v"))
 def flagship(spark, sf):
     """Best 3 articles per cluster with their scores (the minimum end-to-end slice)."""
-    t = select.top_n_per_cluster(slices.scored_articles(spark, sf), 3)
+    top = select.top_n_per_cluster(slices.scored_articles(spark, sf, with_area=False), 3)
+    t = slices.with_area_column(spark, top)
     return t.select("cluster", F.col("rank").cast("long").alias("rank"), "doc_id", "title", "source", "area",
                     *[r6(c).alias(c) for c in _SCORE_COLS])
 
@@ -206,7 +208,8 @@ def q_top_n_per_area(spark, sf):
 @register("dashboard_view", with_views("""SELECT doc_id, title, source, area, round(final_score, 6) AS final_score FROM final_v
 WHERE source = 'TechCrunch' ORDER BY final_score DESC, doc_id LIMIT 15""", "final_v"))
 def q_dashboard_view(spark, sf):
-    d = select.dashboard_view(slices.scored_articles(spark, sf), source="TechCrunch", area="Todas", k=15)
+    d = select.dashboard_view(slices.scored_articles(spark, sf, with_area=False), source="TechCrunch", area="Todas", k=15)
+    d = slices.with_area_column(spark, d)
     return d.select("doc_id", "title", "source", "area", r6("final_score").alias("final_score"))
 
 
@@ -986,6 +989,31 @@ def q_digest_weekly(spark, sf):
 
 # ================================ C3, E1, E3, M1: language and embeddings ================================
 
+_HELD_OUT = "substr(md5(cast(doc_id as string)), 1, 1) in ('0', '1', '2', '3')"
+
+
+@register("identify_language", f"""WITH t AS (
+  SELECT doc_id, lang, {_HELD_OUT} AS held_out,
+    ' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}]+', ' ', 'g')) || ' ' AS x FROM documents),
+g AS MATERIALIZED (SELECT doc_id, lang, held_out, substr(x, i, 3) AS g, count(*) AS n
+  FROM (SELECT *, unnest(range(1, length(x) - 1)) AS i FROM t) GROUP BY ALL),
+kept AS MATERIALIZED (SELECT lang, g, n FROM (SELECT lang, g, sum(n) AS n, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, g) AS r
+  FROM g WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, g) WHERE r <= {LG.TOP}),
+vocab AS (SELECT DISTINCT g FROM kept),
+logs AS MATERIALIZED (SELECT v.g, t.lang, ln((coalesce(k.n, 0) + 1) / (t.total + (SELECT count(*) FROM vocab))) AS p
+  FROM vocab v CROSS JOIN (SELECT lang, sum(n) AS total FROM kept GROUP BY lang) t LEFT JOIN kept k ON k.g = v.g AND k.lang = t.lang),
+s AS (SELECT doc_id, lang, sum(g.n * p) / sum(g.n) AS score, sum(g.n) AS total FROM (SELECT doc_id, g, n FROM g) g JOIN logs USING (g) GROUP BY doc_id, lang),
+r AS (SELECT doc_id, list(lang ORDER BY score DESC, lang) AS l, list(score ORDER BY score DESC, lang) AS sc, any_value(total) AS total FROM s GROUP BY doc_id)
+SELECT t.doc_id, t.held_out, CASE WHEN r.total >= {LG.MIN_GRAMS} AND sc[1] - sc[2] >= {LG.MARGIN} THEN l[1] END AS language,
+  CASE WHEN r.total >= {LG.MIN_GRAMS} THEN round(sc[1] - sc[2], 6) END AS lead
+FROM t LEFT JOIN r USING (doc_id)""")
+def q_identify_language(spark, sf):
+    """C3 by a model trained on three quarters of the labelled rows (by a hash of the id), applied to all of them."""
+    docs = X.table(spark, sf, "documents").select("doc_id", "lang", "text", F.expr(_HELD_OUT).alias("held_out"))
+    model = LG.train_language_model(docs.where("not held_out"), "lang", "text")
+    return LG.identify_language(docs, model, "text").select("doc_id", "held_out", "language", r6("lead").alias("lead"))
+
+
 
 def _detect_language_sql():
     from ..functions.stopwords import sql_list

@@ -46,8 +46,12 @@ def scored_articles(spark: SparkSession, sf_dir: str, as_of: str = X.AS_OF, dim:
     x = scoring.novelty_score(x, "cluster", "v", dim)
     x = scoring.similarity_to_centroid(x, X.centroids_v(spark, sf_dir, dim))
     x = scoring.final_score(x, w_similarity, w_novelty, w_recency, w_source)
-    if with_area:  # article text and profile texts under the same encoder
-        x = x.withColumn("text_for_embedding", T.text_for_embedding("title", "content"))
-        x = embed.embed_text(x, "md5-64", out="_text_v")
-        x = areas.assign_area(x, X.profiles_v(spark), vec="_text_v").drop("text_for_embedding", "_text_v")
-    return x
+    return with_area_column(spark, x) if with_area else x
+
+
+def with_area_column(spark: SparkSession, articles: DataFrame) -> DataFrame:
+    """Area of each article, its text and the profile texts under the same encoder.  The encoder is Python: selections that
+    do not depend on the area are cut first."""
+    x = articles.withColumn("text_for_embedding", T.text_for_embedding("title", "content"))
+    x = embed.embed_text(x, "md5-64", out="_text_v")
+    return areas.assign_area(x, X.profiles_v(spark), vec="_text_v").drop("text_for_embedding", "_text_v")

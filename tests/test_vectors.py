@@ -238,3 +238,16 @@ def test_mean_vectors_wide_and_generic_forms_agree(rand_vecs):
     assert wide.keys() == generic.keys()
     for k in wide:
         assert np.allclose(wide[k], generic[k], atol=1e-12)
+
+
+def test_copies_are_decided_by_their_best_ranked_row(spark, rand_vecs):
+    df, rows = rand_vecs
+    art = df.withColumn("word_count", (F.col("doc_id") * 7919 % 13).cast("long")).select("doc_id", "v", "word_count")
+    more = art.withColumn("doc_id", F.col("doc_id") + 1000).withColumn("word_count", F.col("word_count") % 3)
+    zero = spark.createDataFrame([(5000 + i, [0.0] * len(rows[0][2]), 4) for i in range(3)], "doc_id long, v array<double>, word_count long")
+    every = art.unionByName(more).unionByName(zero)
+    wc = {r.doc_id: r.word_count for r in every.collect()}
+    for t in (0.25, 0.9):
+        lost = {p.id_b if wc[p.id_a] >= wc[p.id_b] else p.id_a for p in similarity.cosine_pairs(every, t).collect()}
+        assert {r.doc_id for r in curate.near_duplicates(every, t).collect()} == set(wc) - lost
+    assert {r.doc_id for r in curate.near_duplicates(every, 1.0).collect()} == set(wc)
