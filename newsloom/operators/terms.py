@@ -1,19 +1,23 @@
 """Terms and cluster interpretation (section G): TF-IDF and top terms as SQL aggregates.
 
 Plan shape for ``tfidf``: the tokenised documents are materialised once (they
-feed three aggregates); term counts are one partial aggregate keyed by
-(doc, term) -- all tokens of a document sit in one partition, so the map side
-already reduces them -- document frequencies are counted from those (doc, term)
-rows by term (map-side combine absorbs hot terms), then one join on term and
-one per-document norm.  Nothing is collected; the vocabulary is never broadcast blindly (AQE
+feed three aggregates); terms are counted per document where it is read, with
+no shuffle; document frequencies are counted from those (doc, term) rows by
+term (map-side combine absorbs hot terms), then one join on term and one
+per-document norm.  Nothing is collected; the vocabulary is never broadcast blindly (AQE
 picks a broadcast at run time only when the measured side is small).
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import NGram, StopWordsRemover
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.stopwords import stop_words
 from ..functions.text import title_case
@@ -84,10 +88,21 @@ def _with_bigrams(t: DataFrame, out: str) -> DataFrame:
 
 
 def term_counts(docs: DataFrame, id_col: str = "doc_id", terms_col: str = "terms") -> DataFrame:
-    """(doc_id, term, tf): raw term counts; all tokens of a document are in one partition, so the partial
-    aggregate reduces them before the shuffle."""
-    return (docs.select(id_col, F.explode(terms_col).alias("term"))
-            .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
+    """(doc_id, term, tf): raw term counts.  A row is a document with all its tokens, so it is counted where it is read:
+    no (document, term) row is shuffled for it."""
+    schema = T.StructType([docs.schema[id_col], T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 1000):
+                part = b.slice(lo, 1000)
+                counts = [Counter(t) if t else {} for t in part.column(1).to_pylist()]
+                row = np.repeat(np.arange(len(counts)), np.array([len(c) for c in counts], np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(row)), pa.array([t for c in counts for t in c], pa.string()),
+                     pa.array([n for c in counts for n in c.values()], pa.int64())], [id_col, "term", "tf"])
+
+    return docs.select(id_col, terms_col).mapInArrow(run, schema).where("term is not null")
 
 
 def doc_freq(docs: DataFrame, id_col: str = "doc_id", terms_col: str = "terms", tf: DataFrame | None = None) -> DataFrame:
