@@ -4,16 +4,16 @@ Method.  A sequence of pieces is the model's BPE encoding of its text exactly if
 every two neighbours encode, joined, to those two.  So encoding is a best path through the lattice of pieces, with
 weight 0 for neighbours that fit and minus infinity for those that do not; exactly one path is finite.  A boundary
 state is (where the last piece that began before the boundary ends, that piece).  A giant text is cut into chunks;
-each chunk yields the transfer matrix from its left to its right boundary states; the matrices are multiplied in
-max-plus algebra, associatively; the finite path fixes every boundary's state, and each chunk is backtraced on its
-own.  A change from a non-space to a space resets the state, as no piece reaches across it, so inside a chunk the
+each chunk yields the transfer matrix from its left to its right boundary states; neighbouring matrices are multiplied
+pairwise in max-plus algebra, in rounds; the finite path fixes the boundaries' states down the same tree, and each chunk is
+backtraced on its own.  A change from a non-space to a space resets the state, as no piece reaches across it, so inside a chunk the
 words between two resets are encoded once each and remembered.
 
 Runs of spaces: their pieces share one score, which breaks the two-neighbour rule; a run is encoded by its length (the
 longest run piece repeatedly, then the merges of the rest), and chunk boundaries never fall into a run.
 
-Scale.  Texts up to CHUNK_CHARS are encoded where they are read.  Longer ones are stored, cut, and only their small
-matrices are grouped by text; chunk texts are not shuffled together.  Memory per task is a chunk and bounded memories
+Scale.  Texts up to CHUNK_CHARS are encoded where they are read.  Longer ones are stored and cut; matrices meet two at a
+time, and chunk texts are not shuffled together.  Memory per task is a chunk and bounded memories
 of words and neighbours.
 
 Edge cases.  Null or empty text has no ids (an empty array).  Characters without a piece become byte pieces.  Decoding
@@ -24,9 +24,9 @@ of the input are kept, except that columns named like the new ones are replaced.
 from __future__ import annotations
 
 import re
+from array import array
 from contextlib import contextmanager
 from functools import lru_cache
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -36,10 +36,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import free_name, stored
 
 CHUNK_CHARS = 1 << 16
-_MEMORY = 200_000
+_FITS = 100_000            # remembered pairs of neighbours
+_MEMORY = 250_000          # words in each of two generations
 SPACE = "▁"
 _SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -72,9 +73,13 @@ class PieceModel:
         self.rank = {p: r for r, p in enumerate(order)}
         self.longest = max(map(len, self.pieces))
         self.run_longest = max((len(p) for p in self.id if not p.strip(SPACE)), default=1)
-        self.fits = lru_cache(_MEMORY // 2)(self._fits)
-        self.memory: dict[str, tuple[int, ...]] = {}     # by segment; words after one space are in ``words``
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.fits = lru_cache(_FITS)(self._fits)
+        self.code = "H" if n <= 1 << 16 else "I"
+        self.memory: dict[str, bytes] = {}               # by segment; words after one space are in ``words``
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.newline_alone = not any("\n" in p for p in self.pieces if len(p) > 1)
+        self.newline = self.pack(self.ids(["\n"]))
         if any(c not in self.pieces for p in self.pieces for c in p):
             raise ValueError("a piece holds a character that is no piece")
         self.automaton = ahocorasick.Automaton()
@@ -174,7 +179,48 @@ class PieceModel:
             i -= len(t)
         return out[::-1]
 
-    def segment(self, text: str) -> tuple[int, ...]:
+    def pack(self, ids: list[int]) -> bytes:
+        """Ids as the bytes of an array: smaller than a tuple, joined without a loop, and nothing for the garbage collector
+        to visit."""
+        return array(self.code, ids).tobytes()
+
+    def plain(self, core: str) -> bytes:
+        """Ids of a text that begins after a reset and holds no further space."""
+        parts = self.word(core)
+        try:
+            return array(self.code, [self.id[p] for p in parts]).tobytes()
+        except KeyError:                             # a character without a piece
+            return self.pack(self.ids(parts))
+
+    def spaced(self, word: str) -> bytes:
+        """Ids of one space and ``word``; a newline that is in no longer piece is a reset too, so the words beside it are
+        remembered by themselves."""
+        got = self.older.get(word)
+        if got is None:
+            if not word:
+                got = self.segment(SPACE)
+            elif self.newline_alone and "\n" in word:
+                head, *rest = word.split("\n")
+                parts = [self.plain(SPACE + head)]
+                for w in rest:
+                    known = self.words.get("\n" + w)
+                    if known is None:
+                        known = self.remember("\n" + w, self.newline + (self.plain(w) if w else b""))
+                    parts.append(known)
+                got = b"".join(parts)
+            else:
+                got = self.plain(SPACE + word)
+        return self.remember(word, got)
+
+    def remember(self, key: str, got: bytes) -> bytes:
+        """Two generations, so that filling up drops only what was not used since.  A key that begins with a newline is
+        what follows a word; such a word after a space is not kept."""
+        if len(self.words) >= _MEMORY:
+            self.older, self.words = self.words, {}
+        self.words[key] = got
+        return got
+
+    def segment(self, text: str) -> bytes:
         """Ids of a run of spaces with the word after it."""
         got = self.memory.get(text)
         if got is None:
@@ -186,29 +232,40 @@ class PieceModel:
             if parts and lead:
                 alone = parts[0] == SPACE
                 parts = self.run(lead - 1 + alone) + parts[alone:]
-            got = tuple(self.ids(parts or self.run(lead)))
+            got = self.pack(self.ids(parts or self.run(lead)))
             if lead != 1 and len(text) <= 64:
                 self.memory[text] = got
         return got
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a whole text."""
-        out: list[int] = []
+    def encoded(self, text: str) -> bytes:
+        """Packed ids of a whole text."""
         if not text:
-            return out
-        if "  " not in text and SPACE not in text and text[0] != " " and text[-1] != " ":
-            known, segment = self.words, self.segment
+            return b""
+        if "  " not in text and SPACE not in text and text[0] not in " \n" and text[-1] != " " and " \n" not in text:
+            known, spaced = self.words, self.spaced
+            out = []
             for w in text.split(" "):                # every segment is one space and a word
                 got = known.get(w)
                 if got is None:
-                    if len(known) > _MEMORY:
-                        known.clear()
-                    got = known[w] = segment(SPACE + w)
-                out += got
-            return out
+                    got = spaced(w)
+                    known = self.words
+                out.append(got)
+            return b"".join(out)
+        out = []
         for s in _SEGMENT.findall(SPACE + text.replace(" ", SPACE)):
-            out += self.segment(s)
-        return out
+            if s[0] == SPACE and s[1:2] not in (SPACE, "\n", ""):
+                got = self.words.get(s[1:])
+                out.append(self.spaced(s[1:]) if got is None else got)
+            else:
+                out.append(self.segment(s))
+        return b"".join(out)
+
+    def unpacked(self, packed: bytes) -> np.ndarray:
+        return np.frombuffer(packed, self.code)
+
+    def encode(self, text: str) -> list[int]:
+        """Ids of a whole text."""
+        return self.unpacked(self.encoded(text)).tolist()
 
     def decode(self, ids) -> str:
         raw = b"".join(map(self.raw.__getitem__, ids))
@@ -299,14 +356,14 @@ class PieceModel:
         begin = reset if lo else 0
         if last:
             for s in _SEGMENT.findall(text[begin:]):
-                out += self.segment(s)
+                out += self.unpacked(self.segment(s)).tolist()
             return out
         core = self._core(text, begin, hi)
         first = core                                                         # start of the last run of spaces
         while first > begin and text[first - 1] == SPACE:
             first -= 1
         for s in _SEGMENT.findall(text[begin:first]):
-            out += self.segment(s)
+            out += self.unpacked(self.segment(s)).tolist()
         parts = (self.walk(text, core, None, stop, right[1]) if stop > core else []) + tail
         alone = parts[0] == SPACE
         return out + self.ids(self.run(core - first + alone) + parts[alone:])
@@ -325,6 +382,7 @@ def piece_model(model_path: str):
         yield model
     finally:
         model.words.clear()
+        model.older.clear()
         model.memory.clear()
         model.fits.cache_clear()
 
@@ -345,16 +403,70 @@ def cut(text: str, size: int, longest: int) -> list[tuple[str, int, int]]:
     return out
 
 
-def resolve(chunks: list[list[tuple[int, str, int, str]]]) -> list[tuple[int, str]]:
-    """Boundary states on the finite path: product of the transfer matrices from the left, then back from the end."""
-    reached = [{(0, "")}]
-    for m in chunks:
-        reached.append({(c, d) for a, b, c, d in m if (a, b) in reached[-1]})
-    state, out = (0, ""), [(0, "")]
-    for m, before in zip(reversed(chunks), reversed(reached[:-1])):
-        state = next((a, b) for a, b, c, d in m if (c, d) == state and (a, b) in before)
-        out.append(state)
-    return out[::-1]
+Entry = tuple[int, str, int, str]      # left state (end, piece) and right state of a finite entry
+
+
+def product(left: list[Entry], right: list[Entry]) -> list[Entry]:
+    """Max-plus product of two transfer matrices whose finite entries weigh 0."""
+    by_state: dict[tuple[int, str], list[tuple[int, str]]] = {}
+    for a, b, c, d in right:
+        by_state.setdefault((a, b), []).append((c, d))
+    return list(dict.fromkeys((*x[:2], *end) for x in left for end in by_state.get(x[2:], ())))
+
+
+def middle(left: list[Entry], right: list[Entry], start: tuple[int, str], end: tuple[int, str]) -> tuple[int, str]:
+    """The one state between two neighbours on the finite path from ``start`` to ``end``."""
+    reached = {x[2:] for x in left if x[:2] == start}
+    return next(x[:2] for x in right if x[2:] == end and x[:2] in reached)
+
+
+_MATRIX = "uid long, n int, a array<int>, b array<string>, c array<int>, d array<string>"
+_STATES = "uid long, n int, le int, lp string, re int, rp string"
+
+
+def _entries(row) -> list[Entry]:
+    return [(int(a), b, int(c), d) for a, b, c, d in zip(row["a"], row["b"], row["c"], row["d"])]
+
+
+def _pair_product(rows: pd.DataFrame) -> pd.DataFrame:
+    """Rows n = 2 k and 2 k + 1 (or the last one alone) of one text become row k."""
+    rows = rows.sort_values("n")
+    both = [_entries(r) for _, r in rows.iterrows()]
+    out = product(*both) if len(both) == 2 else both[0]
+    first = rows.iloc[0]
+    return pd.DataFrame({"uid": [first["uid"]], "n": np.array([first["n"] // 2], np.int32), **{k: [[x[i] for x in out]] for i, k in enumerate("abcd")}})
+
+
+def _pair_states(rows: pd.DataFrame) -> pd.DataFrame:
+    """The states of a pair's outer boundaries fix the one between."""
+    rows = rows.sort_values("n")
+    first = rows.iloc[0]
+    states = [(int(first["le"]), first["lp"]), (int(first["re"]), first["rp"])]
+    if len(rows) == 2:
+        states.insert(1, middle(_entries(first), _entries(rows.iloc[1]), *states))
+    return pd.DataFrame({"uid": rows["uid"].to_numpy(), "n": rows["n"].to_numpy(), "le": [x[0] for x in states[:-1]],
+                         "lp": [x[1] for x in states[:-1]], "re": [x[0] for x in states[1:]], "rp": [x[1] for x in states[1:]]})
+
+
+def boundary_states(matrices: DataFrame) -> DataFrame:
+    """(uid, n, le, lp, re, rp): the states at both boundaries of each chunk, from (uid, n, a, b, c, d), its matrix.
+
+    Neighbours are multiplied pairwise, by chunk number, until one matrix a text is left; then the states go down the same
+    tree.  Groups have two rows at most, and rounds are the logarithm of the chunks of the longest text.
+    """
+    levels = [stored(matrices, "giant-matrices")]
+    chunks = (levels[0].agg(F.max("n")).first()[0] or 0) + 1
+    while chunks > 1:
+        pairs = levels[-1].groupBy("uid", F.expr("n div 2").alias("k"))
+        levels.append(stored(pairs.applyInPandas(_pair_product, _MATRIX), "giant-products"))
+        chunks = -(-chunks // 2)
+    edge = [F.lit(0).alias("le"), F.lit("").alias("lp"), F.lit(0).alias("re"), F.lit("").alias("rp")]
+    states = levels.pop().select("uid", "n", *edge)
+    while levels:
+        above = states.withColumnRenamed("n", "k")
+        below = levels.pop().withColumn("k", F.expr("cast(n div 2 as int)")).join(above, ["uid", "k"])
+        states = stored(below.groupBy("uid", "k").applyInPandas(_pair_states, _STATES), "giant-states")
+    return states
 
 
 def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "token_ids",
@@ -375,14 +487,14 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", i
                 for lo in range(0, b.num_rows, 200):
                     part = b.slice(lo, 200)
                     texts = [t.as_py() or "" for t in part.column(at)]
-                    ids = [model.encode(t) for t in texts]
-                    same = [pa.array([model.decode(x) == t.replace(SPACE, " ") for x, t in zip(ids, texts)], pa.bool_())] if verify_col else []
+                    ids = [model.unpacked(model.encoded(t)) for t in texts]
+                    same = [pa.array([model.decode(x.tolist()) == t.replace(SPACE, " ") for x, t in zip(ids, texts)], pa.bool_())] if verify_col else []
                     yield pa.RecordBatch.from_arrays([*part.columns, *_id_arrays(ids), *same], [*names, *added])
 
     done = docs.where(size <= chunk_chars).mapInArrow(short, full)
 
-    giants = stored(docs.where(size > chunk_chars).withColumn("__uid", F.monotonically_increasing_id()), "giants")
-    uid = len(names)
+    uid, decoded = free_name(docs, "uid"), free_name(docs, "decoded")
+    giants = stored(docs.where(size > chunk_chars).withColumn(uid, F.monotonically_increasing_id()), "giants")
 
     def split(batches):
         with piece_model(model_path) as model:
@@ -392,11 +504,11 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", i
                     for n, (text, lo, hi) in enumerate(parts):
                         yield pa.RecordBatch.from_arrays(
                             [pa.array([u.as_py()], pa.int64()), pa.array([n], pa.int32()), pa.array([text], pa.string()), pa.array([lo], pa.int32()),
-                             pa.array([hi], pa.int32()), pa.array([n == len(parts) - 1], pa.bool_())], ["__uid", "n", "s", "lo", "hi", "last"])
+                             pa.array([hi], pa.int32()), pa.array([n == len(parts) - 1], pa.bool_())], ["uid", "n", "s", "lo", "hi", "last"])
 
-    parts = giants.select("__uid", F.col(text_col).cast("string").alias("t")).mapInArrow(
-        split, "__uid long, n int, s string, lo int, hi int, last boolean")
-    parts = stored(parts.repartition("__uid", "n"), "giant-chunks")
+    parts = giants.select(F.col(uid).alias("uid"), F.col(text_col).cast("string").alias("t")).mapInArrow(
+        split, "uid long, n int, s string, lo int, hi int, last boolean")
+    parts = stored(parts.repartition("uid", "n"), "giant-chunks")
 
     def matrices(batches):
         with piece_model(model_path) as model:
@@ -406,16 +518,9 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", i
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([u.as_py()], pa.int64()), pa.array([n.as_py()], pa.int32()),
                          *(pa.array([[x[i] for x in m]], pa.list_(pa.int32() if i % 2 == 0 else pa.string())) for i in range(4))],
-                        ["__uid", "n", "a", "b", "c", "d"])
-
-    def path(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("n")
-        found = resolve([list(zip(*m)) for m in zip(rows["a"], rows["b"], rows["c"], rows["d"])])
-        return pd.DataFrame({"__uid": rows["__uid"].to_numpy(), "n": rows["n"].to_numpy(), "le": [s[0] for s in found[:-1]],
-                             "lp": [s[1] for s in found[:-1]], "re": [s[0] for s in found[1:]], "rp": [s[1] for s in found[1:]]})
+                        ["uid", "n", "a", "b", "c", "d"])
 
-    bounds = parts.mapInArrow(matrices, "__uid long, n int, a array<int>, b array<string>, c array<int>, d array<string>").groupBy(
-        "__uid").applyInPandas(path, "__uid long, n int, le int, lp string, re int, rp string")
+    bounds = boundary_states(parts.mapInArrow(matrices, _MATRIX))
 
     def trace(batches):
         with piece_model(model_path) as model:
@@ -423,23 +528,23 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", i
                 for u, n, s, lo, hi, last, le, lp, re_, rp in zip(*(c.to_pylist() for c in b.columns)):
                     ids = model.backtrace(s, lo, hi, last, (le, lp), (re_, rp))
                     yield pa.RecordBatch.from_arrays([pa.array([u], pa.int64()), pa.array([n], pa.int32()), _id_arrays([ids])[0]],
-                                                     ["__uid", "n", "ids"])
+                                                     ["uid", "n", "ids"])
 
-    traced = parts.join(bounds, ["__uid", "n"]).select("__uid", "n", "s", "lo", "hi", "last", "le", "lp", "re", "rp").mapInArrow(
-        trace, "__uid long, n int, ids array<int>")
-    whole = traced.groupBy("__uid").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "ids"))), lambda x: x["ids"])).alias(ids_col))
-    giant = giants.join(whole, "__uid").withColumn(count_col, F.size(ids_col).cast("long"))
+    traced = parts.join(bounds, ["uid", "n"]).select("uid", "n", "s", "lo", "hi", "last", "le", "lp", "re", "rp").mapInArrow(
+        trace, "uid long, n int, ids array<int>")
+    whole = traced.groupBy("uid").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "ids"))), lambda x: x["ids"])).alias(ids_col))
+    giant = giants.join(whole.withColumnRenamed("uid", uid), uid).withColumn(count_col, F.size(ids_col).cast("long"))
     if verify_col:
         text = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), SPACE, " ")
-        giant = decode_documents(giant, model_path, ids_col, "__decoded").withColumn(verify_col, F.col("__decoded") == text)
+        giant = decode_documents(giant, model_path, ids_col, decoded).withColumn(verify_col, F.col(decoded) == text)
     return done.unionByName(giant.select(*names, *added))
 
 
-def _id_arrays(ids: list[list[int]]) -> list[pa.Array]:
-    size = np.fromiter(map(len, ids), np.int32, len(ids))
-    flat = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
+def _id_arrays(ids: list) -> list[pa.Array]:
+    size = np.fromiter(map(len, ids), np.int64, len(ids))
+    flat = np.concatenate([np.asarray(x, np.int32) for x in ids]) if ids else np.empty(0, np.int32)
     offsets = pa.array(np.r_[0, np.cumsum(size)].astype(np.int32))
-    return [pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array(size.astype(np.int64))]
+    return [pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array(size)]
 
 
 def decode_documents(encoded: DataFrame, model_path: str, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:

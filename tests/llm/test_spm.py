@@ -1,3 +1,4 @@
+import functools
 import random
 
 import public_tokenizers
@@ -20,10 +21,20 @@ def model():
     return spm.PieceModel(PATH)
 
 
+def states(matrices, start, end):
+    """Boundary states by halving at any place: the product is associative."""
+    if len(matrices) == 1:
+        return [start, end]
+    cut = random.Random(len(matrices)).randint(1, len(matrices) - 1)
+    left, right = functools.reduce(spm.product, matrices[:cut]), functools.reduce(spm.product, matrices[cut:])
+    at = spm.middle(left, right, start, end)
+    return states(matrices[:cut], start, at) + states(matrices[cut:], at, end)[1:]
+
+
 def by_chunks(model, text, size):
     parts = spm.cut(text, size, model.longest)
     matrices = [model.transfer(s, lo, hi, n == len(parts) - 1) for n, (s, lo, hi) in enumerate(parts)]
-    state = spm.resolve(matrices)
+    state = states(matrices, (0, ""), (0, ""))
     return [i for n, (s, lo, hi) in enumerate(parts) for i in model.backtrace(s, lo, hi, n == len(parts) - 1, state[n], state[n + 1])]
 
 
@@ -63,3 +74,13 @@ def test_edge_documents_and_round_trip(edge_docs, no_docs, library):
         checked = spm.encode_documents(edge_docs, PATH, chunk_chars=size, verify_col="same")
         assert checked.count() == len(want) and checked.where("same").count() == len(want)
     assert spm.encode_documents(no_docs.withColumnRenamed("part", "token_ids"), PATH).count() == 0
+
+
+def test_pairwise_rounds_over_a_very_long_text(spark, library):
+    """Eleven chunks without a space between: four rounds up and four down; and clashing column names."""
+    rnd = random.Random(9)
+    text = "".join(rnd.choice(["the", "ing", "er", "a", "tion", "un", "é", "x"]) for _ in range(400))
+    df = spark.createDataFrame([(1, text, 777, 5), (2, "short one", 778, 6)], "doc_id long, text string, uid long, __uid long")
+    out = spm.encode_documents(df, PATH, chunk_chars=len(text) // 10, verify_col="same").collect()
+    assert {(r["doc_id"], r["uid"], r["__uid"], r["same"]) for r in out} == {(1, 777, 5, True), (2, 778, 6, True)}
+    assert all(r["token_ids"] == library.encode(r["text"]) for r in out)
