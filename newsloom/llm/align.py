@@ -5,9 +5,10 @@ multiplied by Gustavson's row products: row i of A·Bᵀ merges the rows of Bᵀ
 tokens of B that overlap token i, with the bytes they share.  Byte offsets where tokens of both end cut the text into
 groups; the token-group incidence matrices GA and GB give the shared-group links as GA·GBᵀ in the same way.
 
-Scale.  Long texts are encoded in parts that start at a space after a non-space (neither tokenizer has a token across such a
-change) and products are made in blocks of rows, so no work array grows with a text; ids and links of one text do.  A
-document keeps its distinct (a, b) pairs with their numbers.  Counts are summed per task before the shuffle.  Pairs with
+Scale.  Neither tokenizer has a token across the change from a non-space to a single space, so the matrices of a text are
+block-diagonal by its segments (a word, mostly): each distinct segment's blocks are built and multiplied once, many segments
+in one product, and remembered in a bounded table; a document adds up its segments.  Products are made in blocks of rows, so
+no work array grows with a text.  A document keeps its distinct (a, b) pairs with their numbers.  Counts are summed per task before the shuffle.  Pairs with
 more than 1/HOT_PAIRS of all links (so fewer than HOT_PAIRS of them, 25 bytes each) are broadcast and looked up where
 the document is; the others go through a shuffle join, in which no key is hot.
 
@@ -20,10 +21,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +38,10 @@ PART_CHARS = 1 << 16
 _BLOCK = 1 << 18            # entries of a work array
 _CUT = re.compile(r"(?<=[^ ]) (?=[^ ])")
 _FLUSH = 500_000
+_SEGMENTS = 300_000         # remembered segments of a worker, in two generations
+_TOGETHER = 4_000           # segments multiplied at a time
+_JOINED = 200               # segments encoded as one text
+_CHARS = 1 << 20            # characters of documents taken at a time
 
 
 class Csr(NamedTuple):
@@ -107,13 +114,18 @@ class Alignment(NamedTuple):
         """Blocks (a token, b token, 1) of GA·GBᵀ: tokens of one group."""
         return row_products(membership(self.a_groups, self.n_groups), transpose(membership(self.b_groups, self.n_groups)))
 
+    def group_texts(self) -> list[str]:
+        """``a1,a2|b1`` for each group."""
+        sides = []
+        for ids, group in ((self.a, self.a_groups), (self.b, self.b_groups)):
+            first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]).tolist() if len(ids) else []
+            text = list(map(str, ids.tolist()))
+            sides.append([text[s] if e - s == 1 else ",".join(text[s:e]) for s, e in zip(first, [*first[1:], len(text)])])
+        return [f"{x}|{y}" for x, y in zip(*sides)]
+
     def groups_text(self) -> str:
         """``a1,a2|b1;a3|b2,b3``: the ids of each group."""
-        sep_a = np.r_[self.a_groups[1:] != self.a_groups[:-1], True]
-        sep_b = np.r_[self.b_groups[1:] != self.b_groups[:-1], True]
-        left = "".join([f"{i};" if s else f"{i}," for i, s in zip(self.a.tolist(), sep_a.tolist())]).split(";")
-        right = "".join([f"{i};" if s else f"{i}," for i, s in zip(self.b.tolist(), sep_b.tolist())]).split(";")
-        return ";".join([f"{x}|{y}" for x, y in zip(left, right)][:-1])
+        return ";".join(self.group_texts())
 
 
 def byte_level_bytes() -> dict[str, int]:
@@ -176,25 +188,122 @@ class Aligner:
             out.append(self.align(ids_a, ids_b) if same else None)
         return out
 
-    def align(self, ids_a: list[int], ids_b: list[int]) -> Alignment:
+    def align(self, ids_a, ids_b) -> Alignment:
         a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
         a_ends, b_ends = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
-        both = np.intersect1d(a_ends, b_ends)
+        # (a token without bytes would repeat an end)
+        both = np.intersect1d(a_ends, b_ends, assume_unique=bool(self.a_len[a].all() and self.b_len[b].all()))
         # a token belongs to the first group that ends at or after its own end
         return Alignment(a, b, a_ends, b_ends, np.searchsorted(both, a_ends), np.searchsorted(both, b_ends), len(both))
 
 
-def link_pairs(al: Alignment) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct id pairs (a << 32 | b) of the overlap links, and how many links each has."""
-    keys, nums = [], []
-    for i, j, _ in al.overlap_links():
-        k, n = np.unique(al.a[i] << 32 | al.b[j], return_counts=True)
-        keys.append(k)
-        nums.append(n)
-    if len(keys) == 1:
-        return keys[0], nums[0]
-    key, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return key, np.bincount(at, np.concatenate(nums)).astype(np.int64)
+# A segment's share of a document: numbers of tokens (A, B) and of groups, its groups' ids, and the id pair (a << 32 | b) of
+# each overlap link as the bytes of an array of longs
+Block = tuple[int, int, int, str, bytes]
+
+
+def segments(text: str) -> list[str]:
+    """The text cut at single spaces between non-spaces, without them."""
+    if "  " not in text and text[:1] != " " and text[-1:] != " ":
+        return text.split(" ")
+    return _CUT.split(text)
+
+
+class Blocks:
+    """Blocks of segments, each after one space; None for one whose token bytes are not its text."""
+
+    def __init__(self, aligner: Aligner):
+        self.aligner = aligner
+        self.known: dict[str, Block | None] = {}
+        self.older: dict[str, Block | None] = {}
+
+    def of(self, wanted: set[str]) -> dict[str, Block | None]:
+        if len(self.known) > _SEGMENTS // 2:
+            self.older, self.known = self.known, {}
+        out, new = {}, []
+        for s in wanted:
+            if s in self.known:
+                out[s] = self.known[s]
+            elif s in self.older:
+                out[s] = self.known[s] = self.older[s]
+            else:
+                new.append(s)
+        for lo in range(0, len(new), _TOGETHER):
+            made = self._made(new[lo:lo + _TOGETHER])
+            out.update(made)
+            self.known.update((s, x) for s, x in made.items() if len(s) <= 64)
+        return out
+
+    def _made(self, texts: list[str]) -> dict[str, Block | None]:
+        """The blocks of many segments from one product of their block-diagonal matrices.
+
+        Segments are encoded a few hundred at a time, joined by the single spaces that no token crosses; a run whose token
+        bytes are not its text, or have no cut at every segment, is encoded segment by segment.
+        """
+        al = self.aligner
+        out: dict[str, Block | None] = dict.fromkeys(texts)
+        plain = [t for t in texts if t[:1] not in ("", " ") and t[-1] != " "]
+        alone = [t for t in texts if t[:1] in ("", " ") or t[-1] == " "]
+        runs = [plain[i:i + _JOINED] for i in range(0, len(plain), _JOINED)]
+        good: list[str] = []
+        ids: list[list[np.ndarray]] = [[], []]
+        cuts: list[list[np.ndarray]] = [[], []]
+        for step in (runs, None):
+            if step is None:
+                step = [[t] for t in alone]
+            joined = [" ".join(r) for r in step]
+            enc_a = [x.ids for x in al.a.encode_batch_fast([f" {t}" for t in joined], add_special_tokens=False)]
+            enc_b = al.b.encode(joined, num_threads=1) if joined else []                 # it adds the first space itself
+            for run, text, a, b in zip(step, joined, enc_a, enc_b):
+                want = f" {text}".encode("utf-8")
+                ends = np.cumsum([len(t.encode("utf-8")) + 1 for t in run])
+                found = [self._cut(x, of, n, want, ends) for x, of, n in ((a, al.a_bytes, al.a_len), (b, al.b_bytes, al.b_len))]
+                if None not in found:
+                    good += run
+                    for side, (x, cut) in enumerate(found):
+                        ids[side].append(x)
+                        cuts[side].append(np.diff(cut, prepend=0))
+                elif len(run) > 1:
+                    alone += run
+        if not good:
+            return out
+        n_a, n_b = (np.concatenate(c) for c in cuts)
+        whole = al.align(np.concatenate(ids[0]), np.concatenate(ids[1]))
+        a_cut = np.cumsum(n_a)
+        links = [(i, whole.a[i] << 32 | whole.b[j]) for i, j, _ in whole.overlap_links()]
+        pairs = np.concatenate([p for _, p in links]).tobytes()
+        link_cut = (8 * np.searchsorted(np.concatenate([i for i, _ in links]), a_cut)).tolist()
+        group_cut = (whole.a_groups[a_cut - 1] + 1).tolist()                            # a segment ends a group
+        groups, g, k, join = whole.group_texts(), 0, 0, ";".join
+        for t, x, y, g_end, k_end in zip(good, n_a.tolist(), n_b.tolist(), group_cut, link_cut):
+            out[t] = (x, y, g_end - g, groups[g] if g_end - g == 1 else join(groups[g:g_end]), pairs[k:k_end])
+            g, k = g_end, k_end
+        return out
+
+    @staticmethod
+    def _cut(ids: list[int], of: list[bytes], length: np.ndarray, want: bytes, ends: np.ndarray):
+        """(ids, number of tokens up to each of the byte offsets ``ends``), or None if the tokens are not ``want`` or one
+        lies across an offset."""
+        if b"".join(map(of.__getitem__, ids)) != want:
+            return None
+        flat = np.array(ids, np.int64)
+        at = np.cumsum(length[flat])
+        cut = np.searchsorted(at, ends)
+        return (flat, cut + 1) if (at[cut] == ends).all() else None
+
+
+def link_pairs(packed: tuple[bytes, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct id pairs of a document's overlap links, and how many links each has."""
+    pairs = np.sort(np.frombuffer(b"".join(packed), np.int64))
+    head = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
+    return pairs[head], np.diff(np.r_[head, len(pairs)])
+
+
+def _cuts(texts: pa.Array) -> list[int]:
+    """Ends of row ranges of about _CHARS bytes each."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    ends = np.flatnonzero(np.diff(size // _CHARS, prepend=0)) + 1
+    return sorted({*ends.tolist(), len(texts)} - {0})
 
 
 def document_links(docs: DataFrame, bpe_path: str, piece_path: str, id_col: str = "doc_id",
@@ -207,18 +316,24 @@ def document_links(docs: DataFrame, bpe_path: str, piece_path: str, id_col: str
         names, [field_type(docs, id_col), long, long, long, long, T.StringType(), longs, longs])])
 
     def run(batches):
-        aligner = Aligner(bpe_path, piece_path)
+        table = Blocks(Aligner(bpe_path, piece_path))
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
+            lo = 0
+            for hi in _cuts(b.column(1)):
+                part = b.slice(lo, hi - lo)
+                lo = hi
+                split = [segments(t) if t else [] for t in part.column(1).to_pylist()]
+                blocks = table.of({s for words in split for s in words})
                 cols: list[list] = [[] for _ in names[1:]]
-                for al in aligner(part.column(1).to_pylist()):
-                    if al is None:
+                for words in split:
+                    own = [blocks[s] for s in words]
+                    if not own or None in own:
                         row = (0, 0, 0, 0, "", [], [])
                     else:
-                        pairs, nums = link_pairs(al)
-                        sha = hashlib.sha256(al.groups_text().encode()).hexdigest()
-                        row = (len(al.a), len(al.b), al.n_groups, int(nums.sum()), sha, pairs, nums)
+                        n_a, n_b, n_groups, groups, packed = zip(*own)
+                        pairs, nums = link_pairs(packed)
+                        sha = hashlib.sha256(";".join(groups).encode()).hexdigest()
+                        row = (sum(n_a), sum(n_b), sum(n_groups), int(nums.sum()), sha, pairs, nums)
                     for c, x in zip(cols, row):
                         c.append(x)
                 kinds = [pa.int64()] * 4 + [pa.string()] + [pa.list_(pa.int64())] * 2
