@@ -10,7 +10,7 @@ The fingerprint is the tree written out: root, then per section its hash and par
 pieces (hash and length); it can be compared and diffed without the text.
 
 Scale.  ``neighbour_report`` compares each document with the next one in descending id order without a global sort in
-one task: ids are cut at approximate quantiles into parts of about PART_CHARS of text, each part's first document is
+one task: ids are cut at approximate quantiles into parts of as many ids each, about PART_CHARS of text on average, each part's first document is
 also sent to the part before it, and each part is handled on its own.  Texts are shuffled once, compressed.
 
 Edge cases.  Null text counts as empty; empty texts have the empty tree, alike to each other (1.0) and to nothing else

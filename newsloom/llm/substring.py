@@ -1,12 +1,12 @@
-"""Removal of repeated word windows with prefix-partitioned suffix trees.
+"""Removal of repeated word windows: suffixes partitioned by word prefixes, cut at the window and sorted by hash.
 
 Method.  Every window of ``window`` consecutive words is a suffix cut at that depth.  Suffixes are grouped by a
 variable-length word prefix: from a sample of suffixes the driver learns which prefixes are too frequent for one group
 and must be extended by further words (one word, two, ... up to the full window); the group of a suffix is its
-shortest prefix that is not extended, dealt into memory-sized parts.  Within a part the suffixes are sorted by path, so
-equal paths are neighbours: they are the internal nodes of depth ``window`` of the part's subtree, the repeats.  All
-but the earliest occurrence (smallest document id, then start) of such a node are repeats; words covered by one are
-removed.  The sample only balances groups; the result does not depend on it.
+shortest prefix that is not extended, dealt into memory-sized parts.  Within a part the suffixes are sorted by the hash of
+their first ``window`` words, so equal windows are neighbours.  No suffix tree is built: what is found are the nodes that a
+tree would have at exactly that depth, which is all the removal needs.  All but the earliest occurrence (smallest document
+id, then start) of such a window are repeats; words covered by one are removed.  The sample only balances groups; the result does not depend on it.
 
 Paths are 64-bit hashes of word sequences, kept apart by part as well (the part comes from an independent prefix hash).
 
