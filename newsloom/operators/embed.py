@@ -2,18 +2,23 @@
 
 The default encoder is pure JVM: MLlib ``HashingTF`` over unigrams and bigrams,
 L2-normalised -- deterministic and needs no model weights.  Plugged encoders
-(a real sentence model, say) run in an iterator ``pandas_udf``: Arrow batches,
-the model built once per Python worker and reused across batches.
+(a real sentence model, say) run in an iterator ``arrow_udf``, one for all the
+models asked for: Arrow batches, each model built once per Python worker and
+reused.  A model never sees a whole batch: texts reach it in slices of at most
+``SLICE_CHARS`` characters and ``SLICE_ROWS`` rows, so a worker's memory does not
+grow with the length of the texts (a single longer text is a slice of its own).
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import HashingTF, NGram, Normalizer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -26,6 +31,12 @@ ENCODERS: dict[str, tuple[Callable[[], Callable[[list[str]], np.ndarray]] | None
     "hashing": (None, 64),
 }
 _WORKER_MODELS: dict[str, Callable] = {}
+SLICE_ROWS = 512
+SLICE_CHARS = 1 << 18
+_WORD = re.compile(r"[^\W_]+")
+HASHES = 200_000           # words whose hash a worker remembers
+_HASHES: dict[str, int] = {}
+_LAST: tuple = (None, None, None)
 
 
 def register_encoder(name: str, factory: Callable[[], Callable[[list[str]], np.ndarray]] | None, dim: int) -> None:
@@ -36,18 +47,28 @@ def register_encoder(name: str, factory: Callable[[], Callable[[list[str]], np.n
     ENCODERS[name] = (factory, dim)
 
 
+def _hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number named by the MD5) of every word; remembered for the list last seen, which several widths ask for."""
+    global _LAST
+    if _LAST[0] is not texts:
+        words = [_WORD.findall(t.lower()) for t in texts]
+        row = np.repeat(np.arange(len(texts)), np.array([len(w) for w in words], np.int64))
+        codes, distinct = pd.factorize(np.array([w for of in words for w in of], object))
+        if len(_HASHES) > HASHES:
+            _HASHES.clear()
+        for w in distinct:
+            if w not in _HASHES:
+                _HASHES[w] = int(hashlib.md5(w.encode("utf-8")).hexdigest()[:7], 16)
+        _LAST = (texts, row, np.array([_HASHES[w] for w in distinct], np.int64)[codes])
+    return _LAST[1:]
+
+
 def md5_encoder(dim: int) -> Callable[[list[str]], np.ndarray]:
     """A plug-in encoder: counts of lower-cased words (letters and digits), each in the column its MD5 names (the first
-    seven hexadecimal digits modulo ``dim``).  Any engine can repeat it, so results can be compared value by value.
-    Works on whole batches; each distinct word is hashed once."""
+    seven hexadecimal digits modulo ``dim``).  Any engine can repeat it, so results can be compared value by value."""
     def encode(texts: list[str]) -> np.ndarray:
-        words = pd.Series(texts, dtype=object).str.lower().str.findall(r"[^\W_]+")
-        row = np.repeat(np.arange(len(texts)), words.str.len().to_numpy(np.int64))
-        codes, distinct = pd.factorize(words.explode().dropna().to_numpy(object))
-        column = np.array([int(hashlib.md5(w.encode("utf-8")).hexdigest()[:7], 16) % dim for w in distinct], np.int64)
-        if not len(column):
-            return np.zeros((len(texts), dim))
-        return np.bincount(row * dim + column[codes], minlength=len(texts) * dim).reshape(len(texts), dim).astype(float)
+        row, number = _hashed_words(texts)
+        return np.bincount(row * dim + number % dim, minlength=len(texts) * dim).reshape(len(texts), dim).astype(float)
     return encode
 
 
@@ -72,17 +93,38 @@ def hashing_embed(df: DataFrame, text_col: str = "text_for_embedding", out: str
     return t.withColumn(out, vector_to_array("_n")).drop("_w", "_b", "_wb", "_tf", "_n")
 
 
-def _udf_for(name: str, factory, dim: int):
-    @F.pandas_udf("array<double>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = _WORKER_MODELS.get(name)
-        if model is None:
-            model = _WORKER_MODELS[name] = factory()
-        for s in batches:
-            m = np.asarray(model(s.fillna("").tolist()), dtype=np.float64).reshape(len(s), dim)
-            n = np.linalg.norm(m, axis=1, keepdims=True)
-            m = np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-            yield pd.Series(list(m))
+def slices(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts in order, null as empty, in lists of at most SLICE_ROWS rows and SLICE_CHARS characters (one text at least)."""
+    held, chars = [], 0
+    for t in texts:
+        t = t.as_py() or ""
+        if held and (len(held) == SLICE_ROWS or chars + len(t) > SLICE_CHARS):
+            yield held
+            held, chars = [], 0
+        held.append(t)
+        chars += len(t)
+    if held:
+        yield held
+
+
+def _udf_for(plugged: list[tuple[str, Callable, int]]):
+    """The unit vectors of all plugged models, one after the other: a text passes to Python once, whatever their number."""
+    width = sum(dim for _, _, dim in plugged)
+
+    @F.arrow_udf("array<double>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for name, factory, _ in plugged:
+            if name not in _WORKER_MODELS:
+                _WORKER_MODELS[name] = factory()
+        for b in batches:
+            for texts in slices(b):
+                parts = []
+                for name, _, dim in plugged:
+                    m = np.asarray(_WORKER_MODELS[name](texts), dtype=np.float64).reshape(len(texts), dim)
+                    n = np.linalg.norm(m, axis=1, keepdims=True)
+                    parts.append(np.divide(m, n, out=np.zeros_like(m), where=n > 0))
+                ends = pa.array(np.arange(0, width * len(texts) + 1, width, dtype=np.int32))
+                yield pa.ListArray.from_arrays(ends, pa.array(np.hstack(parts).ravel()))
     return encode
 
 
@@ -91,17 +133,26 @@ def embed_text(df: DataFrame, model: str = "hashing", text_col: str = "text_for_
     factory, dim = _check(model)
     if factory is None:
         return hashing_embed(df, text_col, out, dim)
-    return df.withColumn(out, _udf_for(model, factory, dim)(F.col(text_col)))
+    return df.withColumn(out, _udf_for([(model, factory, dim)])(F.col(text_col)))
 
 
 def embed_models(df: DataFrame, models: list[str], id_col: str = "doc_id",
                  text_col: str = "text_for_embedding") -> DataFrame:
     """The same text under several models, long form (id, model, v)."""
     d = df.select(id_col, text_col)                 # the text is read once for all models
-    for i, m in enumerate(models):
-        d = embed_text(d, m, text_col, f"_v{i}")
-    each = F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"_v{i}").alias("v")) for i, m in enumerate(models)])
-    return d.select(id_col, F.inline(each))
+    found = [(m, *_check(m)) for m in models]
+    plugged = [(m, factory, dim) for m, factory, dim in found if factory is not None]
+    if plugged:
+        d = d.withColumn("_all", _udf_for(plugged)(F.col(text_col)))
+    each, at = [], 1
+    for i, (m, factory, dim) in enumerate(found):
+        if factory is None:
+            d = hashing_embed(d, text_col, f"_v{i}", dim)
+            v = F.col(f"_v{i}")
+        else:
+            v, at = F.slice("_all", at, dim), at + dim
+        each.append(F.struct(F.lit(m).alias("model"), v.alias("v")))
+    return d.select(id_col, F.inline(F.array(*each)))
 
 
 # ------------------------------------------------------------------ language
