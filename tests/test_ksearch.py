@@ -79,3 +79,19 @@ def test_few_rows_ties_and_empty(spark):
     assert best == 2 and {r.k: r.silhouette for r in scores.collect()} == {2: 0.0, 3: 0.0}
     best, scores = clusters.find_optimal_k(spark.createDataFrame([], schema), 2, 3)
     assert best == 2 and scores.count() == 0
+
+
+def test_a_pass_is_one_stage(spark, blobs):
+    """Hundreds of passes make a fit: none may shuffle, plan an aggregate or answer more than a row a task."""
+    vectors = ksearch.slim_vectors(blobs[0])
+    blocks = ksearch.packed(vectors)
+    assert sorted(np.frombuffer(r["x"]).tolist() for r in blocks.collect()) == sorted(r["v"] for r in vectors.collect())
+    sc = spark.sparkContext
+    sc.setJobGroup("one pass", "")
+    try:
+        ksearch._centre_sums(blocks, {3: blobs[1][:3], 5: blobs[1][:5]})
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    jobs = sc.statusTracker().getJobIdsForGroup("one pass")
+    assert [len(sc.statusTracker().getJobInfo(j).stageIds) for j in jobs] == [1]
+    assert blocks.rdd.getNumPartitions() <= ksearch.TASKS * sc.defaultParallelism
