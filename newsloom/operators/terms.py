@@ -2,7 +2,7 @@
 
 Plan shape for ``tfidf``: the tokenised documents are materialised once (they
 feed three aggregates); terms are counted per document where it is read, with
-no shuffle; document frequencies are counted from those (doc, term) rows by
+no shuffle, and the counts are written once for their two readers; document frequencies are counted from those (doc, term) rows by
 term (map-side combine absorbs hot terms), then one join on term and one
 per-document norm.  Nothing is collected; the vocabulary is never broadcast blindly (AQE
 picks a broadcast at run time only when the measured side is small).
@@ -10,8 +10,6 @@ picks a broadcast at run time only when the measured side is small).
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import NGram, StopWordsRemover
@@ -21,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions.stopwords import stop_words
 from ..functions.text import title_case
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, scratch_path
 
 WORD_PATTERN = r"\p{L}+"
 TERM_TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
@@ -96,15 +94,28 @@ def term_counts(docs: DataFrame, id_col: str = "doc_id", terms_col: str = "terms
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
-                counts = [Counter(t) if t else {} for t in part.column(1).to_pylist()]
-                row = np.repeat(np.arange(len(counts)), np.array([len(c) for c in counts], np.int64))
+                lists = part.column(1)
+                length = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                coded = lists.flatten().dictionary_encode()         # without null arrays
+                code = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+                size = max(1, len(coded.dictionary))
+                pair = np.repeat(np.arange(len(lists), dtype=np.int64), length) * size + code
+                pair, n = np.unique(pair[code >= 0], return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(row)), pa.array([t for c in counts for t in c], pa.string()),
-                     pa.array([n for c in counts for n in c.values()], pa.int64())], [id_col, "term", "tf"])
+                    [part.column(0).take(pa.array(pair // size)), coded.dictionary.take(pa.array(pair % size)).cast(pa.string()),
+                     pa.array(n.astype(np.int64))], [id_col, "term", "tf"])
 
     return docs.select(id_col, terms_col).mapInArrow(run, schema).where("term is not null")
 
 
+def stored_counts(docs: DataFrame, id_col: str = "doc_id", terms_col: str = "terms") -> DataFrame:
+    """``term_counts`` written once below the shared checkpoint folder: document frequencies and weights both read them."""
+    tf = term_counts(docs, id_col, terms_col)
+    path = scratch_path(docs.sparkSession, "term-counts")
+    tf.write.parquet(path)
+    return docs.sparkSession.read.schema(tf.schema).parquet(path)
+
+
 def doc_freq(docs: DataFrame, id_col: str = "doc_id", terms_col: str = "terms", tf: DataFrame | None = None) -> DataFrame:
     """(term, df): number of documents containing each term -- counted from the (doc, term) counts, so the
     texts are tokenised once for both tf and df (the shared exchange is reused)."""
@@ -128,12 +139,12 @@ def idf_table(docs: DataFrame, min_df: int = 5, max_df: float = 0.9, id_col: str
 
 
 def tfidf(docs: DataFrame, min_df: int = 5, max_df: float = 0.9, id_col: str = "doc_id",
-          terms_col: str = "terms") -> DataFrame:
+          terms_col: str = "terms", tf: DataFrame | None = None) -> DataFrame:
     """(doc_id, term, weight) with weight = tf * (ln((1+N)/(1+df)) + 1), L2-normalised per document.
 
     Not ``pyspark.ml.feature.IDF`` (it lacks the +1).
     """
-    tf = term_counts(docs, id_col, terms_col)
+    tf = tf if tf is not None else stored_counts(docs, id_col, terms_col)
     vocab = idf_table(docs, min_df, max_df, id_col, terms_col, tf)
     w = tf.join(vocab, "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))

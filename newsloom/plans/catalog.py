@@ -430,7 +430,7 @@ def q_source_counts(spark, sf):
 
 def _term_docs(spark, sf) -> DataFrame:
     v = slices.valid_with_vectors(spark, sf).select("doc_id", "cluster", "content", "language")
-    return terms.materialize(terms.token_ngrams(terms.clean_tokens(v)))
+    return terms.materialize(terms.token_ngrams(terms.clean_tokens(v)).select("doc_id", "cluster", "terms"))
 
 
 @register("clean_for_tfidf", with_views("SELECT doc_id, text_tfidf FROM g_clean", "g_clean"))

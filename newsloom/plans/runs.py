@@ -14,7 +14,7 @@ from ..functions import vectors as V
 from ..operators import areas, clusters, curate, digest, embed, ksearch, scoring, select, similarity, terms
 from ..sources import files, pages
 from ..streaming import streams
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, scratch_path
 from . import fixtures as X
 from . import slices
 
@@ -25,6 +25,13 @@ RETRAIN_SOURCES = ("Xataka", "Hugging Face Blog", "TechCrunch", "AWS Blog")  # t
 MODELS = tuple(embed.ENSEMBLE)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written once below the shared checkpoint folder and read back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def batch_run(spark: SparkSession, csv_path: str, out_dir: str, as_of: str, k: int = 6, model: str = "hashing",
               run_date: str = "20240401", top_terms: int = 10, centroids: DataFrame | None = None) -> DataFrame:
     """M3: CSV -> text -> embed -> KMeans(k) -> centroid similarity -> terms, names -> scores -> CSV + Parquet.
@@ -32,29 +39,28 @@ def batch_run(spark: SparkSession, csv_path: str, out_dir: str, as_of: str, k: i
     With ``centroids`` (cluster, centroid; in the encoder's space) rows go to the nearest of them instead of a fit."""
     a = files.read_articles_csv(spark, csv_path, CSV_SCHEMA)
     a = a.withColumn("text_for_embedding", T.text_for_embedding("title", "content"))
-    a = embed.embed_text(a, model).cache()
-    try:
-        if centroids is None:
-            _m, labels, cents = clusters.fit_kmeans(a, k)
-            x = a.join(labels, "doc_id")
-        else:
-            cents, x = centroids, clusters.predict_cluster(a, centroids)
-        x = scoring.similarity_to_centroid(x, cents)
-        docs = terms.materialize(terms.token_ngrams(terms.clean_tokens(
-            embed.detect_language(x.select("doc_id", "cluster", "content")))))
-        names = terms.name_clusters(terms.top_terms_per_cluster(terms.tfidf(docs), docs.select("doc_id", "cluster"),
-                                                                top_terms))
-        x = terms.attach_cluster_name(x, names)
-        x = scoring.novelty_score(x, "cluster", "v", embed.ENCODERS[model][1])
-        x = scoring.recency_score(x, as_of)
-        x = scoring.source_score(x)
-        x = scoring.final_score(x, 0.4, 0.3, 0.2, 0.5)
-        x = x.drop("text_for_embedding")
-        files.write_articles_csv(x.drop("v"), f"{out_dir}/csv")
-        files.write_articles_parquet(x, f"{out_dir}/parquet", run_date, mode="overwrite")
-    finally:
-        a.unpersist()
-    return spark.read.parquet(f"{out_dir}/parquet").where(F.col("run_date") == run_date)
+    # texts, vectors and clusters are written once; the CSV is parsed and the encoder runs in that one pass
+    a = stored(embed.embed_text(a, model).drop("text_for_embedding"), "batch-vectors")
+    if centroids is None:
+        _m, labels, cents = clusters.fit_kmeans(a, k)
+        x = a.join(labels, "doc_id")
+    else:
+        cents, x = centroids, clusters.predict_cluster(a, centroids)
+    x = stored(scoring.similarity_to_centroid(x, cents), "batch-clusters")
+    docs = terms.materialize(terms.token_ngrams(terms.clean_tokens(
+        embed.detect_language(x.select("doc_id", "cluster", "content")))).select("doc_id", "cluster", "terms"))
+    # one row a cluster, read by both sinks
+    names = stored(terms.name_clusters(terms.top_terms_per_cluster(terms.tfidf(docs), docs.select("doc_id", "cluster"),
+                                                                   top_terms)), "batch-names")
+    x = terms.attach_cluster_name(x, names)
+    x = scoring.novelty_score(x, "cluster", "v", embed.ENCODERS[model][1])
+    x = scoring.recency_score(x, as_of)
+    x = scoring.source_score(x)
+    x = scoring.final_score(x, 0.4, 0.3, 0.2, 0.5)
+    files.write_articles_parquet(x, f"{out_dir}/parquet", run_date, mode="overwrite")
+    out = spark.read.parquet(f"{out_dir}/parquet").where(F.col("run_date") == run_date)
+    files.write_articles_csv(out.select(*x.columns).drop("v"), f"{out_dir}/csv")
+    return out
 
 
 def weekly_run(spark: SparkSession, pages_df: DataFrame, centroids: DataFrame, as_of: str, out_path: str,
@@ -81,10 +87,11 @@ def full_retrain(spark: SparkSession, corpus: DataFrame, model_root: str, corpus
     best_k, scores, models, vectors = ksearch.search_k(embed.embed_text(c, model).select("doc_id", "v"), k_min, k_max)
     labels = ksearch.assign(vectors, models[best_k]).checkpoint()
     docs = terms.materialize(terms.ngrams(c.select("doc_id", T.basic_preprocess("content").alias("text_tfidf"))))
-    top = terms.top_terms_per_cluster(terms.tfidf(docs), labels, top_terms)
+    tf = terms.stored_counts(docs)                # the weights and the stored vocabulary read one count
+    top = terms.top_terms_per_cluster(terms.tfidf(docs, tf=tf), labels, top_terms)
     files.save_centroid_version(ksearch.centroid_table(spark, models[best_k]), model_root, as_of_stamp)
     top.write.mode("overwrite").parquet(f"{model_root}/terms/v={as_of_stamp}")
-    terms.idf_table(docs).write.mode("overwrite").parquet(f"{model_root}/vocabulary/v={as_of_stamp}")
+    terms.idf_table(docs, tf=tf).write.mode("overwrite").parquet(f"{model_root}/vocabulary/v={as_of_stamp}")
     files.save_embeddings_version(vectors.withColumnRenamed("id", "doc_id"), f"{model_root}/embeddings", as_of_stamp)
     files.write_articles_parquet(c.join(labels, "doc_id"), corpus_root, as_of_stamp, mode="overwrite")
     return digest.retrain_metadata(spark, best_k, scores, model, as_of_stamp)

@@ -183,3 +183,15 @@ def test_full_digest_orders_by_day_then_feed_order(spark):
                                      "full_content string").withColumn("date", F.to_timestamp("date"))
     html = digest.digest_full(df).first().html
     assert html.index("'u3'") < html.index("'u2'") < html.index("'u1'")  # newest day, then feed order in a day
+
+
+def test_term_counts_are_made_once(spark, monkeypatch):
+    """Weights and document frequencies read one count; null arrays, null terms and empty documents count nothing."""
+    from newsloom.operators import terms
+
+    rows = [(1, ["a", "b", "a", None]), (2, None), (3, []), (3, ["b"]), (None, ["a", "é", "é"]), (4, ["b", "b"])]
+    docs = spark.createDataFrame(rows, "doc_id long, terms array<string>").coalesce(1)
+    got = sorted((str(r.doc_id), r.term, r.tf) for r in terms.term_counts(docs).collect())
+    assert got == sorted([("1", "a", 2), ("1", "b", 1), ("3", "b", 1), ("None", "a", 1), ("None", "é", 2), ("4", "b", 2)])
+    plan = terms.tfidf(docs, min_df=1, max_df=1.0)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan           # both readers read the stored counts
