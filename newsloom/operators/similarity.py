@@ -31,6 +31,8 @@ LINK_SCHEMA = "a long, b long, core boolean"
 DEFAULT_BLOCK_ROWS = 2048
 MAX_PIVOTS = 1024          # rows of the pivot matrix, the only thing broadcast
 FEW_CELLS = 8
+GROUP_BYTES = 24 << 20     # vectors on the target side of a group where no cell can be skipped
+TILE = 2048
 _EPS = 1e-6                # angles are computed in floating point
 _GROUP = ["_c", "_b", "_q"]
 
@@ -88,6 +90,12 @@ def candidate_groups(base: DataFrame, threshold: float, payload: dict[str, str],
 
     visits = {r["c"]: r["n"] for r in source.select("_u").mapInPandas(guest_counts, "c int, n long").groupBy("c").agg(
         F.sum("n").alias("n")).collect()} if len(picked) > 1 else {}
+    met = float((members * (members / 2 + np.array([visits.get(c, 0) for c in range(len(picked))]))).sum())
+    if blocks is None and len(picked) > 1 and met > members.sum() ** 2 / 8:     # cells skip less than three pairs in four
+        picked, radius, members, visits = picked[:1], np.array([math.pi]), np.array([members.sum()]), {}
+        pivots = spark.sparkContext.broadcast(np.array([r["_u"] for r in picked], float))
+        share = math.ceil(n / math.ceil(math.sqrt(8 * spark.sparkContext.defaultParallelism)))
+        rows = max(rows, min(GROUP_BYTES // (8 * len(picked[0]["_u"])), share))
     subs = np.maximum(1, -(-members // rows))
     shares = np.array([max(1, -(-(int(members[c]) + visits.get(c, 0)) // (2 * rows))) for c in range(len(picked))])
     names = list(payload)
@@ -120,14 +128,28 @@ def candidate_groups(base: DataFrame, threshold: float, payload: dict[str, str],
     return source.select("_id", "_u", *names).mapInPandas(deal, schema)
 
 
-def _hits(pdf: pd.DataFrame, thr: float):
-    """(query rows, target rows, similarities, mask of pairs that count) of one group."""
+def _tiles(pdf: pd.DataFrame, thr: float):
+    """(query rows, target rows, similarities, mask of pairs that count) of one group, in tiles of TILE rows a side."""
     ask, tgt = pdf[pdf["_side"] == 1], pdf[pdf["_side"] == 0]
     if not len(ask) or not len(tgt):
-        return ask, tgt, np.zeros((len(ask), len(tgt))), np.zeros((len(ask), len(tgt)), bool)
-    sims = np.vstack(ask["_u"].to_numpy()) @ np.vstack(tgt["_u"].to_numpy()).T
-    same = ask["_same"].to_numpy(bool)[:, None] & (ask["_id"].to_numpy()[:, None] >= tgt["_id"].to_numpy()[None, :])
-    return ask, tgt, sims, (sims > thr) & ~same
+        return
+    x, y = np.vstack(ask["_u"].to_numpy()), np.vstack(tgt["_u"].to_numpy())
+    ask, tgt = ask.drop(columns="_u"), tgt.drop(columns="_u")
+    for i in range(0, len(ask), TILE):
+        some = ask.iloc[i:i + TILE]
+        for j in range(0, len(tgt), TILE):
+            other = tgt.iloc[j:j + TILE]
+            sims = x[i:i + TILE] @ y[j:j + TILE].T
+            same = some["_same"].to_numpy(bool)[:, None] & (some["_id"].to_numpy()[:, None] >= other["_id"].to_numpy()[None, :])
+            yield some, other, sims, (sims > thr) & ~same
+
+
+def _scored(tile: Callable, columns: list[str]) -> Callable:
+    """A group's rows from ``tile(query rows, target rows, similarities, mask)`` on each of its tiles."""
+    def score(pdf: pd.DataFrame, thr: float) -> pd.DataFrame:
+        out = [tile(*t) for t in _tiles(pdf, thr) if t[3].any()]
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({c: [] for c in columns})
+    return score
 
 
 def _grouped(df: DataFrame, threshold: float, score: Callable, out_schema: str, payload: dict[str, str], blocks, block_rows) -> DataFrame:
@@ -146,12 +168,16 @@ def cosine_pairs(df: DataFrame, threshold: float, id_col: str = "doc_id", vec: s
     """E5: (id_a < id_b, sim) for every pair with cosine strictly above ``threshold``."""
     thr = float(threshold)
 
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        ask, tgt, sims, hit = _hits(pdf, thr)
+    def pairs(ask, tgt, sims, hit):
         i, j = np.nonzero(hit)
         x, y = ask["_id"].to_numpy()[i], tgt["_id"].to_numpy()[j]
         return pd.DataFrame({"id_a": np.minimum(x, y), "id_b": np.maximum(x, y), "sim": sims[i, j]})
 
+    tiled = _scored(pairs, ["id_a", "id_b", "sim"])
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        return tiled(pdf, thr)
+
     base = df.select(F.col(id_col).cast("long").alias("_id"), _unit(vec, normalize))
     return _grouped(base, thr, score, PAIR_SCHEMA, {}, blocks, block_rows)
 
@@ -163,8 +189,7 @@ def best_neighbours(df: DataFrame, threshold: float, id_col: str = "doc_id", vec
     id asc) -> (id, best_wc, best_id).  A group returns one row per row, so m copies cost O(m) output, not m^2/2."""
     thr, none = float(threshold), np.iinfo(np.int64).max
 
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        ask, tgt, _, hit = _hits(pdf, thr)
+    def ranked(ask, tgt, _, hit):
         out = []
         for rows, cols, h in ((ask, tgt, hit), (tgt, ask, hit.T)):
             has = h.any(axis=1) if h.size else np.zeros(len(rows), bool)
@@ -173,7 +198,12 @@ def best_neighbours(df: DataFrame, threshold: float, id_col: str = "doc_id", vec
                 top = np.where(h, wc[None, :], np.iinfo(np.int64).min).max(axis=1)
                 first = np.where(h & (wc[None, :] == top[:, None]), ids[None, :], none).min(axis=1)
                 out.append(pd.DataFrame({"id": rows["_id"].to_numpy()[has], "best_wc": top, "best_id": first}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["id", "best_wc", "best_id"], dtype=np.int64)
+        return pd.concat(out, ignore_index=True)
+
+    tiled = _scored(ranked, ["id", "best_wc", "best_id"])
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        return tiled(pdf, thr)
 
     base = df.select(F.col(id_col).cast("long").alias("_id"), _unit(vec, normalize), F.col(wc_col).cast("long").alias("_x"))
     per_group = _grouped(base, thr, best, BEST_SCHEMA, {"_x": "long"}, blocks, block_rows)
@@ -186,13 +216,17 @@ def neighbour_sum(df: DataFrame, threshold: float, value_col: str, id_col: str =
     """(id, value): the sum of ``value_col`` over each row's neighbours (itself excluded); rows without any are absent."""
     thr = float(threshold)
 
-    def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
-        ask, tgt, _, hit = _hits(pdf, thr)
+    def sums(ask, tgt, _, hit):
         x, y = ask["_x"].to_numpy(np.int64), tgt["_x"].to_numpy(np.int64)
         out = pd.DataFrame({"id": np.r_[ask["_id"].to_numpy(np.int64), tgt["_id"].to_numpy(np.int64)],
                             "value": np.r_[hit @ y, hit.T @ x].astype(np.int64)})
         return out[out["value"] > 0]
 
+    tiled = _scored(sums, ["id", "value"])
+
+    def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
+        return tiled(pdf, thr).groupby("id", as_index=False)["value"].sum()
+
     base = df.select(F.col(id_col).cast("long").alias("_id"), _unit(vec, True), F.col(value_col).cast("long").alias("_x"))
     part = _grouped(base, thr, reduce, REDUCE_SCHEMA, {"_x": "long"}, blocks, block_rows)
     return part.groupBy("id").agg(F.sum("value").alias("value"))
@@ -200,15 +234,14 @@ def neighbour_sum(df: DataFrame, threshold: float, value_col: str, id_col: str =
 
 def core_links(df: DataFrame, threshold: float, core_col: str, id_col: str = "doc_id", vec: str = "v",
                blocks: int | None = None, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """(a, b, core): for core rows a spanning forest of the neighbour graph of each group (core = true: a and b are
+    """(a, b, core): for core rows a spanning forest of the neighbour graph of each tile (core = true: a and b are
     connected), and every link of a row that is not core to a core row (core = false: a is the row, b the core row).
 
-    A group of m near copies costs m links, not m^2/2: a group's core rows are labelled inside the task.
+    A group of m near copies costs m links, not m^2/2: a tile's core rows are labelled inside the task.
     """
     thr = float(threshold)
 
-    def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        ask, tgt, _, hit = _hits(pdf, thr)
+    def linked(ask, tgt, _, hit):
         qi, ti = ask["_id"].to_numpy(np.int64), tgt["_id"].to_numpy(np.int64)
         qc, tc = ask["_x"].to_numpy(np.int64) > 0, tgt["_x"].to_numpy(np.int64) > 0
         both = hit & qc[:, None] & tc[None, :]
@@ -233,7 +266,12 @@ def core_links(df: DataFrame, threshold: float, core_col: str, id_col: str = "do
         for x, y, h in ((qi, ti, hit & ~qc[:, None] & tc[None, :]), (ti, qi, (hit & qc[:, None] & ~tc[None, :]).T)):
             i, j = np.nonzero(h)
             rows.append(pd.DataFrame({"a": x[i], "b": y[j], "core": False}))
-        return pd.concat(rows, ignore_index=True).drop_duplicates()
+        return pd.concat(rows, ignore_index=True)
+
+    tiled = _scored(linked, ["a", "b", "core"])
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        return tiled(pdf, thr).drop_duplicates()
 
     base = df.select(F.col(id_col).cast("long").alias("_id"), _unit(vec, True), F.col(core_col).cast("long").alias("_x"))
     return _grouped(base, thr, links, LINK_SCHEMA, {"_x": "long"}, blocks, block_rows)

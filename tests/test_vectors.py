@@ -250,3 +250,16 @@ def test_copies_are_decided_by_their_best_ranked_row(spark, rand_vecs):
     for t in (0.25, 0.9):
         lost = {p.id_b if wc[p.id_a] >= wc[p.id_b] else p.id_a for p in similarity.cosine_pairs(every, t).collect()}
         assert {r.doc_id for r in curate.near_duplicates(every, t).collect()} == set(wc) - lost
+
+
+def test_groups_grow_where_nothing_can_be_skipped(spark):
+    """Directions without structure at a low threshold: copies of a row must not grow with n / block_rows, no pair is lost."""
+    rnd = np.random.default_rng(5)
+    x = rnd.normal(size=(1500, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "_id long, _u array<double>")
+    copies = similarity.candidate_groups(df, 0.3, {}, block_rows=64).count() / len(x)
+    assert copies <= 2 * math.ceil(math.sqrt(8 * spark.sparkContext.defaultParallelism))
+    got = {(r.id_a, r.id_b) for r in similarity.cosine_pairs(df, 0.3, "_id", "_u", block_rows=64).collect()}
+    sims = np.triu(x @ x.T, 1)
+    assert got == set(zip(*(a.tolist() for a in np.nonzero(sims > 0.3)))) and len(got) > 1000
