@@ -5,7 +5,9 @@ driver.
 
 1. *Neighbours.*  At most ``CELLS`` pivots cut the rows into cells.  A query row visits only cells that the triangle
    inequality cannot exclude: distance to the pivot minus the cell's radius at most the row's search bound.  Cells are cut
-   into groups of at most ``GROUP_ROWS`` targets and as many queries.  A first search inside the own cell gives every row a
+   into groups of at most ``GROUP_ROWS`` targets and as many queries.  A search that could skip less than three pairs in
+   four takes all rows as one cell, cut into groups that grow with the rows up to ``GROUP_BYTES``: a row is then copied a
+   fixed number of times, not once per cell.  Groups are searched in tiles of ``TILE`` rows a side.  A first search inside the own cell gives every row a
    bound, the second is exact: the core distance is the distance to the ``min_samples``-th nearest row, itself included.
 2. *Minimum spanning tree* of the mutual reachability max(core a, core b, distance), by Borůvka rounds: every component
    takes its lightest outgoing edge (ties: smaller ids).  Neighbour lists answer most; only rows whose unseen neighbours
@@ -41,6 +43,8 @@ from ..session import scratch_path
 
 CELLS = 256
 GROUP_ROWS = 2048
+GROUP_BYTES = 24 << 20
+TILE = 2048
 LEAST = 1e-9
 _SLACK = 1e-9           # distances are computed in floating point
 _INF = math.inf
@@ -107,12 +111,21 @@ class Cells:
         def count(batches):
             for pdf in batches:
                 n = visits(_stack(pdf["v"]), pdf["bound"].to_numpy()).sum(axis=0)
-                yield pd.DataFrame({"c": np.flatnonzero(n).astype(np.int32), "n": n[n > 0]})
+                yield pd.DataFrame({"c": np.r_[np.flatnonzero(n), len(pivots)].astype(np.int32), "n": np.r_[n[n > 0], len(pdf)]})
 
-        asked = np.zeros(len(pivots), np.int64)
+        asked = np.zeros(len(pivots) + 1, np.int64)             # the last: all rows that ask
         for r in queries.select("v", "bound").mapInPandas(count, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).collect():
             asked[r["c"]] = r["n"]
+        asking, asked = int(asked[-1]), asked[:-1]
         shares = -(-asked // GROUP_ROWS)                        # 0: nobody asks
+        whole = not own_only and len(pivots) > 1 and 4 * float((asked * size).sum()) > asking * float(size.sum())
+        if whole:
+            share = -(-max(int(size.sum()), asking) // math.ceil(math.sqrt(4 * self.spark.sparkContext.defaultParallelism)))
+            rows = max(GROUP_ROWS, min(GROUP_BYTES // (8 * pivots.shape[1]), share))
+            cut, shares = np.array([-(-int(size.sum()) // rows)]), np.array([-(-asking // rows)])
+
+        def owner(x):
+            return np.zeros(len(x), int) if whole else _distances(x, pivots).argmin(axis=1)
 
         def hashed(ids):
             return (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
@@ -125,7 +138,7 @@ class Cells:
 
         def deal_targets(batches):
             for pdf in batches:
-                own = _distances(_stack(pdf["v"]), pivots).argmin(axis=1)
+                own = owner(_stack(pdf["v"]))
                 h = hashed(pdf["id"].to_numpy())
                 for c in np.unique(own):
                     at = np.flatnonzero(own == c)
@@ -134,7 +147,7 @@ class Cells:
 
         def deal_queries(batches):
             for pdf in batches:
-                see = visits(_stack(pdf["v"]), pdf["bound"].to_numpy())
+                see = np.ones((len(pdf), 1), bool) if whole else visits(_stack(pdf["v"]), pdf["bound"].to_numpy())
                 h = hashed(pdf["id"].to_numpy()) >> np.uint64(9)
                 for c in np.flatnonzero(see.any(axis=0)):
                     at = np.flatnonzero(see[:, c])
@@ -147,7 +160,9 @@ class Cells:
             ask, seen = pdf[pdf["_side"] == 1], pdf[pdf["_side"] == 0]
             if not len(ask) or not len(seen):
                 return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
-            return fn(ask, seen, _distances(_stack(ask["v"]), _stack(seen["v"])))
+            x, y, ask, seen = _stack(ask["v"]), _stack(seen["v"]), ask.drop(columns="v"), seen.drop(columns="v")
+            return pd.concat([fn(ask.iloc[i:i + TILE], seen.iloc[j:j + TILE], _distances(x[i:i + TILE], y[j:j + TILE]))
+                              for i in range(0, len(x), TILE) for j in range(0, len(y), TILE)], ignore_index=True)
 
         rows = targets.select("id", "v", *names).mapInPandas(deal_targets, dealt).unionByName(
             queries.select("id", "v", "bound", *names).mapInPandas(deal_queries, dealt))
@@ -161,9 +176,12 @@ def neighbours(points: DataFrame, cells: Cells, m: int) -> DataFrame:
     def nearest(ask, seen, d):
         k = min(m, d.shape[1])
         ids, mult = seen["id"].to_numpy(), seen["mult"].to_numpy()
-        near = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
-        return pd.DataFrame({"id": np.repeat(ask["id"].to_numpy(), k), "d": np.take_along_axis(d, near, 1).ravel(),
-                             "q": ids[near].ravel(), "n": mult[near].ravel()})
+        i, j = np.nonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1:k])      # k a row, and ties of the last
+        order = np.lexsort((ids[j], d[i, j], i))
+        i, j = i[order], j[order]
+        first = np.arange(len(i)) - np.searchsorted(i, i) < k
+        i, j = i[first], j[first]
+        return pd.DataFrame({"id": ask["id"].to_numpy()[i], "d": d[i, j], "q": ids[j], "n": mult[j]})
 
     def lists(found):
         near = F.slice(F.sort_array(F.collect_list(F.struct("d", "q", "n"))), 1, m)

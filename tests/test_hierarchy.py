@@ -138,3 +138,23 @@ def test_running_over_ranges(spark):
         assert out == {(k, i): (total[i - 1] if i else None, total[i]) for k, i, _ in rows}
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_a_search_that_skips_nothing_copies_no_row_per_cell(spark):
+    """Directions without structure: every row would visit every cell."""
+    rnd = np.random.default_rng(9)
+    rows = [(i, r.tolist(), 1, float("inf")) for i, r in enumerate(rnd.normal(size=(600, 8)))]
+    points = spark.createDataFrame(rows, "id long, v array<double>, mult long, bound double").cache()
+    cells = hierarchy.Cells(points, 64)
+    groups = cells.search(points, points, {}, lambda ask, seen, d: ask[["id"]].assign(n=len(seen)), "id long, n long")
+    got = groups.groupBy("id").agg({"n": "sum", "*": "count"}).collect()
+    assert len(got) == 600 and all(r["sum(n)"] == 600 and r["count(1)"] <= 2 * 64 ** 0.5 for r in got)
+
+
+def test_nearest_rows_with_ties(spark):
+    rows = [(i, [float(i % 5), float(i // 5 % 3)], 1, 0) for i in range(15)]
+    points = spark.createDataFrame(rows, "id long, v array<double>, mult long, copy long").cache()
+    x = np.array([r[1] for r in rows])
+    for r in hierarchy.neighbours(points, hierarchy.Cells(points, 4), 4).collect():
+        d = np.sqrt(((x - x[r["id"]]) ** 2).sum(1))
+        assert [n["q"] for n in r["near"]] == sorted(range(15), key=lambda i: (d[i], i))[:4]
