@@ -1319,9 +1319,10 @@ def q_full_retrain(spark, sf):
     models, snapshot = scratch_path(spark, "retrain-models"), scratch_path(spark, "retrain-corpus")
     meta = RN.full_retrain(spark, X.articles_v(spark, sf), models, snapshot, "20240401", 4, 12, model="md5-64")
     sizes = clusters.cluster_sizes(spark.read.parquet(snapshot).select("cluster"))
-    scores = meta.select("best_k", F.explode("k_scores").alias("ks"))
-    return scores.join(F.broadcast(sizes)).select("ks.k", r6("ks.silhouette").alias("silhouette"),
-                                                  (F.col("ks.k") == F.col("best_k")).alias("best"), "cluster", "n")
+    # best_k rows: one value beside every score
+    held = sizes.select(F.collect_list(F.struct("cluster", "n"))).scalar()
+    scores = meta.select("best_k", F.explode("k_scores").alias("ks")).withColumn("_sizes", held)
+    return scores.select("ks.k", r6("ks.silhouette").alias("silhouette"), (F.col("ks.k") == F.col("best_k")).alias("best"), F.inline("_sizes"))
 
 
 @register("retrain_metadata", _K_SQL)
