@@ -8,7 +8,9 @@ Scale.  The census sums per-task counters before the shuffle.  Pre-tokens with m
 (so fewer than HOT_PARTS of them; those of over HOT_CHARS characters by a 128-bit digest) are broadcast and summed where
 the text is read; the remaining (document, pre-token, frequency) rows go through a shuffle join, so every pre-token counts.
 No key is hot in that join: a pre-token there has at most 1/HOT_PARTS of the occurrences, and a document's head row has
-a key of its own.  Rows of one id are told apart by a 128-bit digest of the text; equal texts have equal counts.
+a key of its own.  Rows are numbered by partition and position (``monotonically_increasing_id``): neighbouring numbers
+compress to a byte or two, and the id travels in the head row alone.  No two rows share a number, whatever their ids and
+texts; as with every such number, a task that Spark repeats must meet its rows in the same order, as scans of files do.
 
 Edge cases.  Null text counts as empty: 0 bytes, 0 tokens.  Repeated rows are each returned.  Null ids are kept.
 Extra columns are ignored; an empty table gives no rows.
@@ -22,7 +24,6 @@ from collections import Counter
 import pyarrow as pa
 import sentencepiece
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -124,47 +125,42 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     is_hot = F.col("n") * F.lit(HOT_PARTS) > F.lit(total)
     hot = spark.sparkContext.broadcast(_hot_table(vocab.where(is_hot)))
     id_type = field_type(docs, id_col)
-    names = ["id", "mark", "n_bytes", "known", "piece_key", "freq"]
-    schema = T.StructType([T.StructField("id", id_type), T.StructField("mark", T.BinaryType()),
-                           T.StructField("n_bytes", T.LongType()), T.StructField("known", T.LongType()),
-                           T.StructField("piece_key", T.StringType()), T.StructField("freq", T.LongType())])
+    names = ["id", "n_bytes", "freq", "row", "piece_key"]
+    schema = T.StructType([T.StructField("id", id_type), T.StructField("n_bytes", T.LongType()),
+                           T.StructField("freq", T.LongType()), T.StructField("row", T.LongType()),
+                           T.StructField("piece_key", T.StringType())])
 
     def run(batches):
-        """One head row per document (its bytes and the sum over broadcast pre-tokens), then a row for each other one."""
-        pieces, task, heads = hot.value, TaskContext.get().partitionId(), 0
+        """One head row per document (its id, bytes and the sum over broadcast pre-tokens), then a row for each other one."""
+        pieces = hot.value
         for b in batches:
             for lo in range(0, b.num_rows, 2000):
                 part = b.slice(lo, 2000)
-                row, mark, size, known, key, freq = [], [], [], [], [], []
-                for i, t in enumerate(part.column(1)):
+                at, size, freq, row, key = [], [], [], [], []
+                for i, (number, t) in enumerate(zip(part.column(0).to_pylist(), part.column(2))):
                     text = t.as_py() or ""
-                    raw = text.encode("utf-8")
-                    check, rest, total = xxhash.xxh128_digest(raw), Counter(), 0
+                    rest, total = Counter(), 0
                     for k in pre_tokens(text):
                         n = pieces.get(k if len(k) <= HOT_CHARS else hot_key(k))
                         if n is None:
                             rest[k] += 1
                         else:
                             total += n
-                    n = 1 + len(rest)
-                    row += [i] * n
-                    mark += [check] * n
-                    size += [len(raw)] + [None] * (n - 1)
-                    known += [total] + [0] * (n - 1)
+                    at += [i] + [None] * len(rest)
+                    size += [len(text.encode("utf-8"))] + [None] * len(rest)
+                    freq += [total, *rest.values()]
+                    row += [number] * (1 + len(rest))
                     # no pre-token has an inner space before a non-space, so the head row's key is its own
-                    key += [f"x x{task}-{heads}", *rest]
-                    heads += 1
-                    freq += [0, *rest.values()]
+                    key += [f"x x{number}", *rest]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(row, pa.int32())), pa.array(mark, pa.binary()), pa.array(size, pa.int64()),
-                     pa.array(known, pa.int64()), pa.array(key, pa.string()), pa.array(freq, pa.int64())], names)
+                    [part.column(1).take(pa.array(at, pa.int32())), pa.array(size, pa.int64()), pa.array(freq, pa.int64()),
+                     pa.array(row, pa.int64()), pa.array(key, pa.string())], names)
 
-    rows = src.mapInArrow(run, schema)
+    rows = src.select(F.monotonically_increasing_id().alias("row"), "id", "t").mapInArrow(run, schema)
     cold = vocab.where(~is_hot).select("piece_key", "pieces")
-    summed = (rows.join(cold, "piece_key", "left")
-              .groupBy("id", "mark")
-              .agg(F.max("n_bytes").alias("n_bytes"), F.count("n_bytes").alias("copies"),
-                   F.sum(F.col("known") + F.col("freq") * F.coalesce("pieces", F.lit(0))).alias("s")))
-    return (summed.select("id", "n_bytes", F.expr("s div copies").alias("n_tokens"),
-                          F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-            .drop("copy"))
+    # head rows meet no pre-token: their sum counts once
+    return (rows.join(cold, "piece_key", "left")
+            .groupBy("row")
+            .agg(F.max("id").alias("id"), F.max("n_bytes").alias("n_bytes"),
+                 F.sum(F.col("freq") * F.coalesce("pieces", F.lit(1))).alias("n_tokens"))
+            .drop("row"))
