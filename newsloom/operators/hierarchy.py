@@ -7,11 +7,14 @@ driver.
    inequality cannot exclude: distance to the pivot minus the cell's radius at most the row's search bound.  Cells are cut
    into groups of at most ``GROUP_ROWS`` targets and as many queries.  A search that could skip less than three pairs in
    four takes all rows as one cell, cut into groups that grow with the rows up to ``GROUP_BYTES``: a row is then copied a
-   fixed number of times, not once per cell.  Groups are searched in tiles of ``TILE`` rows a side.  A first search inside the own cell gives every row a
+   fixed number of times, not once per cell.  Groups are searched in tiles of ``ASK`` by ``SEEN`` rows, small enough for a
+   core's cache: a matrix product gives squares that are only compared with the row's bound, and the few pairs within it
+   are measured from their differences, the same from either side.  A first search inside the own cell gives every row a
    bound, the second is exact: the core distance is the distance to the ``min_samples``-th nearest row, itself included.
 2. *Minimum spanning tree* of the mutual reachability max(core a, core b, distance), by Borůvka rounds: every component
-   takes its lightest outgoing edge (ties: smaller ids).  Neighbour lists answer most; only rows whose unseen neighbours
-   could be lighter than their component's best known edge search, within that bound.
+   takes its lightest outgoing edge (ties: smaller ids); the largest waits to be chosen by the others, which merge all the
+   same.  Neighbour lists answer most; only rows whose unseen neighbours could be lighter than their component's best known
+   edge search, within that bound.
 3. *Dendrogram.*  The edges a round contracts lie on chains: an edge belongs to the chain below the first edge, in round
    order, that leaves its component and is heavier.  So the merge order is known without running through all edges one by
    one: an edge's component size is a running sum along its chain, chains of one round are independent, and there are as
@@ -19,7 +22,9 @@ driver.
 4. *Condensed tree.*  An edge of a component with at least ``min_cluster_size`` rows bears a cluster, absorbs the smaller
    side into a cluster, or joins two clusters.  A cluster's stability is the sum over its leaving rows of 1/w at which they
    leave less 1/w at which it was born; clusters are selected from the leaves up (a cluster stands if it is at least as
-   stable as its selected descendants together; never the root), and rows take the selected cluster above them.
+   stable as its selected descendants together; never the root), and rows take the selected cluster above them.  A cluster
+   comes after its descendants in merge order, so ranges of at most ``BLOCK`` clusters are settled in one pass each; what
+   waits for another range goes on in the next round: as many rounds as ranges at most, however deep the tree.
 
 Copies of a vector collapse to the smallest id before 1; they come back as edges to it that weigh its core distance, which
 no other edge of theirs undercuts, so a third of all rows alike costs linear work.
@@ -32,6 +37,7 @@ LEAST, so 1/w stays finite.  Labels are the smallest id of the cluster's rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -44,7 +50,8 @@ from ..session import scratch_path
 CELLS = 256
 GROUP_ROWS = 2048
 GROUP_BYTES = 24 << 20
-TILE = 2048
+ASK, SEEN = 256, 2048   # rows of a tile
+BLOCK = 1 << 18         # clusters settled in one task
 LEAST = 1e-9
 _SLACK = 1e-9           # distances are computed in floating point
 _INF = math.inf
@@ -73,6 +80,35 @@ def _stack(col) -> np.ndarray:
     return np.vstack(col.to_numpy())
 
 
+def _measured(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distances of the pairs (x[i], y[j]) from their differences: a pair has the same distance wherever it is measured."""
+    d = np.empty(len(i))
+    step = max(1, (1 << 20) // max(1, x.shape[1]))
+    for lo in range(0, len(i), step):
+        at = slice(lo, lo + step)
+        d[at] = np.sqrt(((x[i[at]] - y[j[at]]) ** 2).sum(1))
+    return d
+
+
+def _tiles(x: np.ndarray, y: np.ndarray):
+    """(lo, hi, lo of y, squares, slack of a row's squares) of every tile; the squares' error is within the slack."""
+    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    slack = 1e-12 * (xx + yy.max())
+    for lo in range(0, len(x), ASK):
+        hi = min(lo + ASK, len(x))
+        for at in range(0, len(y), SEEN):
+            sq = x[lo:hi] @ y[at:at + SEEN].T
+            sq *= -2.0
+            sq += xx[lo:hi, None]
+            sq += yy[None, at:at + SEEN]
+            yield lo, hi, at, sq, slack[lo:hi]
+
+
+def _within(bound: np.ndarray, slack: np.ndarray) -> np.ndarray:
+    """Squares beyond this are farther than the bound, whatever the error."""
+    return bound * bound * (1 + 1e-12) + slack
+
+
 class Cells:
     """Pivots, radii and sizes of the cells: at most CELLS rows."""
 
@@ -93,8 +129,9 @@ class Cells:
         for r in found.collect():
             self.radius[r["c"]], self.size[r["c"]] = r["r"], r["n"]
 
-    def search(self, targets: DataFrame, queries: DataFrame, payload: dict[str, str], fn, schema: str, own_only: bool = False) -> DataFrame:
-        """``fn(queries, targets, distances)`` on every group of query rows and the targets they have to see.
+    def search(self, targets: DataFrame, queries: DataFrame, payload: dict[str, str], fn: Callable, schema: str, own_only: bool = False) -> DataFrame:
+        """``fn(queries, targets, (x, y))`` on every group of query rows and the targets they have to see; x and y are their
+        vectors.
 
         Both tables have (id, v, payload); queries also ``bound``: rows farther than that need not be seen.
         """
@@ -132,8 +169,9 @@ class Cells:
 
         def frame(pdf, at, c, sub, share, side):
             out = pdf.iloc[at]
+            bound = out["bound"].to_numpy() if side else np.zeros(len(at))
             return pd.DataFrame({"_c": np.int32(c), "_b": np.asarray(sub, np.int32), "_q": np.asarray(share, np.int32),
-                                 "_side": np.int32(side), "id": out["id"].to_numpy(), "v": out["v"].to_numpy(),
+                                 "_side": np.int32(side), "id": out["id"].to_numpy(), "v": out["v"].to_numpy(), "bound": bound,
                                  **{k: out[k].to_numpy() for k in names}}, index=range(len(at)))
 
         def deal_targets(batches):
@@ -154,15 +192,13 @@ class Cells:
                     for b in range(int(cut[c])):
                         yield frame(pdf, at, c, np.full(len(at), b), h[at] % np.uint64(max(1, shares[c])), 1)
 
-        dealt = "_c int, _b int, _q int, _side int, id long, v array<double>" + "".join(f", {k} {t}" for k, t in payload.items())
+        dealt = "_c int, _b int, _q int, _side int, id long, v array<double>, bound double" + "".join(f", {k} {t}" for k, t in payload.items())
 
         def group(pdf):
             ask, seen = pdf[pdf["_side"] == 1], pdf[pdf["_side"] == 0]
             if not len(ask) or not len(seen):
                 return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
-            x, y, ask, seen = _stack(ask["v"]), _stack(seen["v"]), ask.drop(columns="v"), seen.drop(columns="v")
-            return pd.concat([fn(ask.iloc[i:i + TILE], seen.iloc[j:j + TILE], _distances(x[i:i + TILE], y[j:j + TILE]))
-                              for i in range(0, len(x), TILE) for j in range(0, len(y), TILE)], ignore_index=True)
+            return fn(ask.drop(columns="v"), seen.drop(columns="v"), (_stack(ask["v"]), _stack(seen["v"])))
 
         rows = targets.select("id", "v", *names).mapInPandas(deal_targets, dealt).unionByName(
             queries.select("id", "v", "bound", *names).mapInPandas(deal_queries, dealt))
@@ -173,15 +209,29 @@ def neighbours(points: DataFrame, cells: Cells, m: int) -> DataFrame:
     """(id, near, core, far): the m nearest points as (d, id, mult) in order, itself included; the distance within which m
     rows lie, copies counted; and the least distance of a point that is not listed."""
 
-    def nearest(ask, seen, d):
-        k = min(m, d.shape[1])
-        ids, mult = seen["id"].to_numpy(), seen["mult"].to_numpy()
-        i, j = np.nonzero(d <= np.partition(d, k - 1, axis=1)[:, k - 1:k])      # k a row, and ties of the last
-        order = np.lexsort((ids[j], d[i, j], i))
-        i, j = i[order], j[order]
-        first = np.arange(len(i)) - np.searchsorted(i, i) < k
-        i, j = i[first], j[first]
-        return pd.DataFrame({"id": ask["id"].to_numpy()[i], "d": d[i, j], "q": ids[j], "n": mult[j]})
+    def nearest(ask, seen, vectors):
+        x, y = vectors
+        me, ids, mult = ask["id"].to_numpy(), seen["id"].to_numpy(), seen["mult"].to_numpy()
+        bound, none = ask["bound"].to_numpy().copy(), np.zeros(0, np.int64)
+        out, held = [], (none, none, np.zeros(0))               # of the rows lo to hi: row, target and distance, nearest first
+        for lo, hi, at, sq, slack in _tiles(x, y):
+            held = held if at else (none, none, np.zeros(0))
+            limit, new = _within(bound[lo:hi], slack), np.flatnonzero(np.isinf(bound[lo:hi]))
+            if len(new) and sq.shape[1] > m:
+                limit[new] = np.partition(sq[new], m - 1, axis=1)[:, m - 1] + 2 * slack[new]
+            i, j = np.nonzero(sq <= limit[:, None])
+            i, j = i + lo, j + at
+            i, j, d = (np.concatenate(p) for p in zip(held, (i, j, _measured(x, y, i, j))))
+            order = np.lexsort((ids[j], d, i))
+            i, j, d = i[order], j[order], d[order]
+            nth = np.arange(len(i)) - np.searchsorted(i, i)
+            full = nth == m - 1
+            bound[i[full]] = np.minimum(bound[i[full]], d[full])
+            held = i[nth < m], j[nth < m], d[nth < m]
+            if at + SEEN >= len(y):
+                out.append(held)
+        i, j, d = (np.concatenate(p) for p in zip(*out))
+        return pd.DataFrame({"id": me[i], "d": d, "q": ids[j], "n": mult[j]})
 
     def lists(found):
         near = F.slice(F.sort_array(F.collect_list(F.struct("d", "q", "n"))), 1, m)
@@ -189,7 +239,7 @@ def neighbours(points: DataFrame, cells: Cells, m: int) -> DataFrame:
 
     schema = "id long, d double, q long, n long"
     bound = F.expr(f"if(size(near) >= {m}, near[{m - 1}].d, double('Infinity'))")
-    local = lists(cells.search(points, points.withColumn("bound", F.lit(0.0)), {"mult": "long"}, nearest, schema, own_only=True))
+    local = lists(cells.search(points, points.withColumn("bound", F.lit(_INF)), {"mult": "long"}, nearest, schema, own_only=True))
     asked = points.join(local.select("id", bound.alias("bound")), "id")
     near = lists(cells.search(points, asked.transform(kept), {"mult": "long"}, nearest, schema))
     core = F.expr(f"""aggregate(near, struct(0L as n, double('Infinity') as d),
@@ -202,8 +252,8 @@ def _edge(w, a, b):
 
 
 def spanning_rounds(points: DataFrame, cells: Cells, near: DataFrame) -> list[DataFrame]:
-    """Boruvka rounds; round r is (comp, w, kind, a, b, next): the lightest edge that leaves each component, and the
-    component that its points belong to afterwards.  Round 0 starts from single points (comp = id); a point with copies
+    """Boruvka rounds; round r is (comp, w, kind, a, b, next): the lightest edge that leaves each component (nulls for the
+    largest, which takes none after round 0), and the component that its points belong to afterwards.  Round 0 starts from single points (comp = id); a point with copies
     takes the edge to its first copy (kind 0) there."""
     known = points.join(near.select("id", "core", "far"), "id").transform(kept)
     cores = known.select(F.col("id").alias("q"), F.col("core").alias("qc"))
@@ -212,27 +262,57 @@ def spanning_rounds(points: DataFrame, cells: Cells, near: DataFrame) -> list[Da
     comp = known.select("id", F.col("id").alias("comp"))
     rounds: list[DataFrame] = []
 
-    def lightest(ask, seen, d):
-        w = np.maximum(np.maximum(d, ask["core"].to_numpy()[:, None]), np.maximum(seen["core"].to_numpy()[None, :], LEAST))
-        w = np.where(ask["comp"].to_numpy()[:, None] == seen["comp"].to_numpy()[None, :], np.inf, w)
-        me, other = ask["id"].to_numpy(), seen["id"].to_numpy()
-        low, high = np.minimum(me[:, None], other[None, :]), np.maximum(me[:, None], other[None, :])
-        best, most = w.min(axis=1), np.iinfo(np.int64).max
-        tie = w == best[:, None]                                # of equal weights the pair with the smaller ids
-        a = np.where(tie, low, most).min(axis=1)
-        b = np.where(tie & (low == a[:, None]), high, most).min(axis=1)
-        ok = np.isfinite(best)
-        return pd.DataFrame({"comp": ask["comp"].to_numpy()[ok], "w": best[ok], "a": a[ok], "b": b[ok]})
+    def lightest(ask, seen, vectors):
+        x, y = vectors
+        comps, mine = np.unique(ask["comp"].to_numpy(), return_inverse=True)
+        me, core, comp = (ask[c].to_numpy() for c in ("id", "core", "comp"))
+        other, ocore, ocomp = (seen[c].to_numpy() for c in ("id", "core", "comp"))
+        best = np.full(len(comps), _INF)                        # of each component so far
+        np.minimum.at(best, mine, ask["bound"].to_numpy())
+        out, held = [], []                                      # edges of the rows lo to hi: component, weight, smaller and larger id
+
+        def weigh(i, j):
+            return np.maximum(np.maximum(_measured(x, y, i, j), core[i]), np.maximum(ocore[j], LEAST))
+
+        def least(edges):
+            c, w, low, high = (np.concatenate(p) for p in zip(*edges))
+            order = np.lexsort((high, low, w, c))               # of equal weights the pair with the smaller ids
+            first = order[np.flatnonzero(np.diff(c[order], prepend=-1))]
+            return c[first], w[first], low[first], high[first]
+
+        for lo, hi, at, sq, slack in _tiles(x, y):
+            new = np.flatnonzero(np.isinf(best[mine[lo:hi]]))
+            if len(new):                                        # any edge is a bound
+                far = np.where(comp[lo + new, None] == ocomp[None, at:at + SEEN], _INF, sq[new])
+                near = far.argmin(axis=1)
+                ok = np.isfinite(far[np.arange(len(new)), near])
+                np.minimum.at(best, mine[lo + new[ok]], weigh(lo + new[ok], at + near[ok]))
+            i, j = np.nonzero(sq <= _within(best[mine[lo:hi]], slack)[:, None])
+            i, j = i + lo, j + at
+            apart = comp[i] != ocomp[j]
+            i, j = i[apart], j[apart]
+            w = weigh(i, j)
+            np.minimum.at(best, mine[i], w)
+            low, high = np.minimum(me[i], other[j]), np.maximum(me[i], other[j])
+            held.append((mine[i], w, low, high))
+            if at + SEEN >= len(y) or len(i) > 1 << 16:
+                held = [least(held)]
+            if at + SEEN >= len(y):
+                out, held = out + held, []
+        c, w, low, high = least(out)
+        return pd.DataFrame({"comp": comps[c], "w": w, "a": low, "b": high})
 
     while True:
         rows = known.join(comp, "id").transform(kept)
-        if rounds and rows.select("comp").distinct().limit(2).count() < 2:
+        largest = rows.groupBy("comp").count().orderBy(F.desc("count"), "comp").limit(2).collect() if rounds else []
+        if rounds and len(largest) < 2:
             return rounds
-        free = rows if rounds else rows.where("mult = 1")       # with copies: the first round's edge is known
+        rest = F.col("comp") != largest[0]["comp"] if rounds else F.lit(True)
+        free = rows.where(rest if rounds else "mult = 1")       # with copies: the first round's edge is known
         mine = comp.select("id", "comp")
         pairs = (listed.join(mine, "id").join(mine.select(F.col("id").alias("q"), F.col("comp").alias("qcomp")), "q")
-                 .where("comp != qcomp").select("comp", _edge(F.col("w"), F.col("id"), F.col("q")).alias("e")))
-        first = pairs.unionByName(_pivot_edges(rows, cells)).groupBy("comp").agg(F.min("e").alias("e")).transform(kept)
+                 .where("comp != qcomp").where(rest).select("comp", _edge(F.col("w"), F.col("id"), F.col("q")).alias("e")))
+        first = pairs.unionByName(_pivot_edges(rows, cells, rest)).groupBy("comp").agg(F.min("e").alias("e")).transform(kept)
         asked = free.join(first.select("comp", F.col("e.w").alias("bound")), "comp", "left")
         asked = asked.withColumn("bound", F.coalesce("bound", F.lit(_INF))).where(F.greatest("core", "far") <= F.col("bound"))
         more = cells.search(rows, asked.transform(kept), {"core": "double", "comp": "long"}, lightest,
@@ -243,14 +323,17 @@ def spanning_rounds(points: DataFrame, cells: Cells, near: DataFrame) -> list[Da
             alike = rows.where("mult > 1").select(F.col("id").alias("comp"), F.greatest("core", F.lit(LEAST)).alias("w"),
                                                   F.lit(0).alias("kind"), F.col("id").alias("a"), F.col("copy").alias("b"))
             best = best.join(alike.select("comp"), "comp", "left_anti").unionByName(alike)
+        if rounds:
+            waits = best.sparkSession.createDataFrame([(largest[0]["comp"], None, None, None, None)], best.schema)
+            best = best.unionByName(waits)
         best = best.transform(kept)
         after = _contract(best, comp)
         rounds.append(best.join(after, "comp").transform(kept))
         comp = comp.join(after, "comp").select("id", F.col("next").alias("comp")).transform(kept)
 
 
-def _pivot_edges(rows: DataFrame, cells: Cells) -> DataFrame:
-    """(comp, e): each row's lightest edge to a pivot of another component, a first bound for its component's search."""
+def _pivot_edges(rows: DataFrame, cells: Cells, asking) -> DataFrame:
+    """(comp, e): each asking row's lightest edge to a pivot of another component, a first bound for its component's search."""
     at = {tuple(p): i for i, p in enumerate(cells.pivots.tolist())}
 
     def own(batches):
@@ -265,24 +348,25 @@ def _pivot_edges(rows: DataFrame, cells: Cells) -> DataFrame:
 
     def edges(batches):
         for pdf in batches:
-            w = np.maximum(np.maximum(_distances(_stack(pdf["v"]), piv), pcore[None, :]), np.maximum(pdf["core"].to_numpy()[:, None], LEAST))
-            w = np.where(pdf["comp"].to_numpy()[:, None] == pcomp[None, :], np.inf, w)
+            x, core, comp = _stack(pdf["v"]), pdf["core"].to_numpy(), pdf["comp"].to_numpy()
+            w = np.where(comp[:, None] == pcomp[None, :], np.inf, np.maximum(_distances(x, piv), pcore[None, :]))
             j = w.argmin(axis=1)
-            best = w[np.arange(len(w)), j]
-            ok = np.isfinite(best)
-            yield pd.DataFrame({"comp": pdf["comp"].to_numpy()[ok], "w": best[ok], "id": pdf["id"].to_numpy()[ok], "q": pid[j][ok]})
+            i = np.flatnonzero(np.isfinite(w[np.arange(len(w)), j]))
+            j = j[i]
+            w = np.maximum(np.maximum(_measured(x, piv, i, j), core[i]), np.maximum(pcore[j], LEAST))
+            yield pd.DataFrame({"comp": comp[i], "w": w, "id": pdf["id"].to_numpy()[i], "q": pid[j]})
 
-    made = rows.select("id", "v", "core", "comp").mapInPandas(edges, "comp long, w double, id long, q long")
+    made = rows.where(asking).select("id", "v", "core", "comp").mapInPandas(edges, "comp long, w double, id long, q long")
     return made.select("comp", _edge(F.col("w"), F.col("id"), F.col("q")).alias("e"))
 
 
 def _contract(best: DataFrame, comp: DataFrame) -> DataFrame:
     """(comp, next): components after joining along the chosen edges.  Every component points to the one its edge reaches
-    (to itself if that is a copy), and pointers are jumped until they stand still; two that chose one edge end in the
+    (to itself if that is a copy or it took none), and pointers are jumped until they stand still; two that chose one edge end in the
     smaller."""
     ends = best.where("kind = 1").select("comp", F.explode(F.array("a", "b")).alias("id"))
     up = (ends.join(comp.withColumnRenamed("comp", "at"), "id").where("at != comp").select("comp", F.col("at").alias("next"))
-          .unionByName(best.where("kind = 0").select("comp", F.col("comp").alias("next"))))
+          .unionByName(best.where("kind = 0 or kind is null").select("comp", F.col("comp").alias("next"))))
     back = up.select(F.col("comp").alias("next"), F.col("next").alias("back"))
     root = F.expr("if(back = comp and comp < next, comp, next)")
     up = up.join(back, "next").select("comp", root.alias("next")).transform(kept)
@@ -347,11 +431,12 @@ def dendrogram(points: DataFrame, copies: DataFrame, rounds: list[DataFrame], si
     stars = copies.select(F.col("id").alias("comp"), "w", F.lit(0).alias("kind"), F.col("rep").alias("a"), F.col("id").alias("b"))
     edges = stars.drop("comp")
     for r in rounds:
-        edges = edges.unionByName(r.select("w", "kind", "a", "b"))
+        edges = edges.unionByName(r.where("kind is not null").select("w", "kind", "a", "b"))
     by = ["w", "kind", "a", "b"]
     edges = running(edges.distinct().withColumn("one", F.lit(1).cast("long")).withColumn("all", F.lit(0).cast("long")), "all", by, "one", "sum")
     edges = edges.select("a", "b", "w", F.col("after").alias("rank")).transform(kept)
-    ranked = [r.join(edges.drop("w"), ["a", "b"]).select("comp", "rank", "next").transform(kept) for r in rounds]
+    ranked = [r.join(edges.drop("w"), ["a", "b"]).select("comp", "rank", "next")
+              .unionByName(r.where("kind is null").select("comp", F.lit(None).cast("long").alias("rank"), "next")).transform(kept) for r in rounds]
     lightest = ranked[0].select(F.col("comp").alias("id"), "rank").unionByName(
         stars.join(edges.drop("w"), ["a", "b"]).select(F.col("comp").alias("id"), "rank")).transform(kept)
 
@@ -362,12 +447,12 @@ def dendrogram(points: DataFrame, copies: DataFrame, rounds: list[DataFrame], si
     chains = None
     for level, r in enumerate(ranked[1:], 1):
         twin = r.groupBy("rank").agg(F.max("comp").alias("high"), F.count("*").alias("sides"))
-        out = r.join(twin, "rank").select("comp", F.col("rank").alias("f"), "next", F.expr("if(sides = 2 and comp = high, 1, 0)").alias("side"))
+        out = r.join(twin, "rank", "left").select("comp", F.col("rank").alias("f"), "next", F.expr("if(sides = 2 and comp = high, 1, 0)").alias("side"))
         met = pending.join(out, "comp").transform(kept)
         solved = met.where("f > rank").select("rank", F.expr("f * 2 + side").alias("chain"), F.lit(level).alias("level"))
         chains = solved if chains is None else chains.unionByName(solved)
-        pending = met.where("f < rank").select("rank", F.col("next").alias("comp")).unionByName(
-            r.select("rank", F.col("next").alias("comp")).distinct()).distinct().transform(kept)
+        pending = met.where("f is null or f < rank").select("rank", F.col("next").alias("comp")).unionByName(
+            r.where("rank is not null").select("rank", F.col("next").alias("comp")).distinct()).distinct().transform(kept)
     last = pending.select("rank", F.lit(-1).cast("long").alias("chain"), F.lit(len(ranked)).alias("level"))
     chains = last if chains is None else chains.unionByName(last)
     single = lightest.groupBy("rank").agg(F.count("*").alias("single"))
@@ -398,38 +483,79 @@ def cluster_tree(edges: DataFrame, size: int) -> DataFrame:
     """(cluster, parent, stability): the condensed tree; the root's parent is null."""
     large = edges.where(F.col("n") >= size).withColumn("lam", 1 / F.col("w"))
     leaving = F.expr(f"if(big = 1, n - if(n_before >= {size}, n_before, n1), n)")
-    mass = large.groupBy("cluster").agg(F.sum(leaving * F.col("lam")).alias("s"), F.sum(leaving).alias("left"))
-    joins = large.where("big = 2").select(F.col("rank").alias("parent"), "lam", F.explode(F.array_compact(F.array(
+    joins = large.where("big = 2").select(F.col("rank").alias("parent"), F.col("lam").alias("born"), F.explode(F.array_compact(F.array(
         F.expr(f"if(n_before >= {size}, cluster_before, null)"), F.expr(f"if(n1 >= {size}, c1, null)"),
         F.expr(f"if(n2 >= {size}, c2, null)")))).alias("cluster"))
-    tree = mass.join(joins, "cluster", "left")
-    return tree.select("cluster", "parent", (F.col("s") - F.coalesce("lam", F.lit(0.0)) * F.col("left")).alias("stability")).transform(kept)
+    # row by row, so rows that leave where the cluster was born add exactly nothing
+    stays = F.sum(leaving * (F.col("lam") - F.coalesce("born", F.lit(0.0))))
+    tree = large.join(joins, "cluster", "left").groupBy("cluster").agg(F.max("parent").alias("parent"), stays.alias("stability"))
+    return tree.transform(kept)
+
+
+def _by_range(df: DataFrame, blocks: int, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``fn`` on each of ``blocks`` ranges of clusters, in merge order."""
+    def run(batches):
+        got = list(batches)
+        if got:
+            yield fn(pd.concat(got, ignore_index=True).sort_values("cluster", ignore_index=True))
+
+    return df.repartitionByRange(blocks, "cluster").mapInPandas(run, schema).transform(kept)
 
 
 def selected(tree: DataFrame) -> DataFrame:
     """(cluster, chosen): the selected cluster at or above each cluster; null where there is none.
 
-    From the leaves up a round settles every cluster whose children are settled; then pointers to the topmost standing
-    cluster are doubled on the way to the root."""
+    From the leaves up a range settles every cluster whose descendants are in it or settled before; then from the root down
+    a range hands on the topmost standing cluster."""
+    blocks = -(-tree.count() // BLOCK)
+    if not blocks:
+        return tree.select("cluster", F.lit(None).cast("long").alias("chosen"))
     open_ = tree.withColumn("kids", F.lit(0.0)).join(
         tree.where("parent is not null").groupBy(F.col("parent").alias("cluster")).agg(F.count("*").alias("wait")), "cluster", "left")
-    open_ = open_.withColumn("wait", F.coalesce("wait", F.lit(0))).transform(kept)
+    open_ = open_.withColumn("wait", F.coalesce("wait", F.lit(0)))
+
+    def parents(pdf, col):
+        at = {c: i for i, c in enumerate(pdf["cluster"].tolist())}
+        return [at.get(int(p), -1) if p == p and p is not None else -2 for p in pdf[col].tolist()]       # -1: in another range
+
+    def settle(pdf):
+        up, own = parents(pdf, "parent"), pdf["stability"].tolist()
+        kids, wait = pdf["kids"].tolist(), pdf["wait"].tolist()
+        worth, stands = [0.0] * len(up), [False] * len(up)
+        for i, p in enumerate(up):
+            if not wait[i]:
+                worth[i], stands[i] = max(own[i], kids[i]), p != -2 and own[i] >= kids[i]
+                if p >= 0:
+                    kids[p], wait[p] = kids[p] + worth[i], wait[p] - 1
+        parent = pd.array([None if p == -2 else int(x) for p, x in zip(up, pdf["parent"].tolist())], "Int64")
+        return pd.DataFrame({"cluster": pdf["cluster"], "parent": parent, "stability": own, "kids": kids, "wait": np.array(wait, np.int64),
+                             "worth": worth, "stands": stands, "gives": [p == -1 for p in up]})
+
     settled = None
-    while True:
-        ready = open_.where("wait = 0").select("cluster", "parent", F.expr("parent is not null and stability >= kids").alias("stands"),
-                                               F.greatest("stability", "kids").alias("worth")).transform(kept)
-        if not ready.limit(1).count():
-            break
+    while blocks:
+        done = _by_range(open_, blocks, settle, "cluster long, parent long, stability double, kids double, wait long, worth double, stands boolean, gives boolean")
+        ready = done.where("wait = 0").select("cluster", "parent", "stands")
         settled = ready if settled is None else settled.unionByName(ready)
-        given = ready.where("parent is not null").groupBy(F.col("parent").alias("cluster")).agg(F.sum("worth").alias("more"), F.count("*").alias("came"))
-        open_ = open_.where("wait > 0").join(given, "cluster", "left").select(
+        left = done.where("wait > 0").count()
+        blocks = -(-left // BLOCK)
+        given = done.where("wait = 0 and gives").groupBy(F.col("parent").alias("cluster")).agg(F.sum("worth").alias("more"), F.count("*").alias("came"))
+        open_ = done.where("wait > 0").join(given, "cluster", "left").select(
             "cluster", "parent", "stability", (F.col("kids") + F.coalesce("more", F.lit(0.0))).alias("kids"),
-            (F.col("wait") - F.coalesce("came", F.lit(0))).alias("wait")).transform(kept)
-    if settled is None:
-        return tree.select("cluster", F.lit(None).cast("long").alias("chosen"))
-    # top: the topmost standing cluster between here and up
-    at = settled.select("cluster", F.col("parent").alias("up"), F.expr("if(stands, cluster, null)").alias("chosen")).transform(kept)
-    while at.where("up is not null").limit(1).count():
+            (F.col("wait") - F.coalesce("came", F.lit(0))).alias("wait"))
+
+    def hand_down(pdf):
+        up, own = parents(pdf, "up"), [None if c is None or c != c else int(c) for c in pdf["chosen"].tolist()]
+        far = [None if p == -2 else int(x) for p, x in zip(up, pdf["up"].tolist())]
+        for i in range(len(up) - 1, -1, -1):
+            if up[i] >= 0:                                      # what the parent has, and where it still looks
+                far[i] = far[up[i]]
+                own[i] = own[i] if own[up[i]] is None else own[up[i]]
+        return pd.DataFrame({"cluster": pdf["cluster"], "up": pd.array(far, "Int64"), "chosen": pd.array(own, "Int64")})
+
+    # chosen: the topmost standing cluster between here and up
+    at = settled.select("cluster", F.col("parent").alias("up"), F.expr("if(stands, cluster, null)").alias("chosen"))
+    at = _by_range(at, -(-tree.count() // BLOCK), hand_down, "cluster long, up long, chosen long")
+    while at.where("up is not null").limit(1).count():          # over ranges: pointers are doubled on the way to the root
         above = at.select(F.col("cluster").alias("up"), F.col("up").alias("far"), F.col("chosen").alias("higher"))
         at = at.join(above, "up", "left").select("cluster", F.col("far").alias("up"), F.coalesce("higher", "chosen").alias("chosen")).transform(kept)
     return at.select("cluster", "chosen")

@@ -158,3 +158,54 @@ def test_nearest_rows_with_ties(spark):
     for r in hierarchy.neighbours(points, hierarchy.Cells(points, 4), 4).collect():
         d = np.sqrt(((x - x[r["id"]]) ** 2).sum(1))
         assert [n["q"] for n in r["near"]] == sorted(range(15), key=lambda i: (d[i], i))[:4]
+
+
+def caterpillar(spark, depth, seed=4):
+    """A spine of joins with a leaf at each: (cluster, parent, stability) in merge order, and what is to be selected."""
+    rnd = np.random.default_rng(seed)
+    rows, up = [], None
+    for c in range(2 * depth, 0, -2):
+        rows += [(c, up, float(rnd.exponential(c))), (c - 1, c, float(rnd.exponential(20.0)))]
+        up = c
+    own, parent = {c: s for c, _, s in rows}, {c: p for c, p, _ in rows}
+    kids, stands = dict.fromkeys(own, 0.0), {}
+    for c in sorted(own):
+        stands[c] = parent[c] is not None and own[c] >= kids[c]
+        if parent[c] is not None:
+            kids[parent[c]] += max(own[c], kids[c])
+    want = {}
+    for c in sorted(own, reverse=True):
+        above = want.get(parent[c])
+        want[c] = above if above is not None else c if stands[c] else None
+    return spark.createDataFrame(rows, "cluster long, parent long, stability double").repartition(5), want
+
+
+@pytest.mark.parametrize("block,tables", [(1 << 18, 4), (40, 60)])
+def test_a_deep_tree_takes_no_round_a_level(spark, monkeypatch, block, tables):
+    tree, want = caterpillar(spark, 150)
+    monkeypatch.setattr(hierarchy, "BLOCK", block)
+    written, kept = [], hierarchy.kept
+    monkeypatch.setattr(hierarchy, "kept", lambda df: written.append(1) or kept(df))
+    assert {r.cluster: r.chosen for r in hierarchy.selected(tree).collect()} == want
+    assert len(set(want.values())) > 3 and len(written) <= tables
+
+
+def test_a_cluster_that_ends_where_it_began_has_no_stability(spark):
+    """Equal weights: the sum of the parts must not fall below what it is compared with."""
+    w = next(w for w in np.arange(0.1, 3, 0.01) if 5 / w + 1 / w + 1 / w < 7 * (1 / w))
+    rows = [(1, 5, 0, 0, 1), (2, 6, 5, 1, 1), (3, 7, 6, 1, 1), (4, 5, 0, 0, 4)]
+    rows = [(r, w, n, before, 1 if before else 0, None if not before else 1, c, None, None, None, None) for r, n, before, _, c in rows]
+    rows.append((5, w, 12, 7, 2, 1, 5, 5, 4, None, None))
+    edges = spark.createDataFrame([tuple(x if not isinstance(x, np.floating) else float(x) for x in r) for r in rows],
+                                  "rank long, w double, n long, n_before long, big int, cluster_before long, cluster long, n1 long, c1 long, n2 long, c2 long")
+    got = {r.cluster: (r.parent, r.stability) for r in hierarchy.cluster_tree(edges, 5).collect()}
+    assert got == {1: (5, 0.0), 4: (5, 0.0), 5: (None, 12 * (1 / w))}
+
+
+def test_a_pair_weighs_the_same_from_either_side():
+    rnd = np.random.default_rng(2)
+    x = rnd.normal(size=(300, 64))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    i, j = np.triu_indices(300, 1)
+    one, other = hierarchy._measured(x, x, i, j), np.concatenate([hierarchy._measured(x, x, j[k:k + 1], i[k:k + 1]) for k in range(0, len(i), 97)])
+    assert (one[::97] == other).all()
