@@ -1,15 +1,17 @@
 """Terms and cluster interpretation (section G): TF-IDF and top terms as SQL aggregates.
 
-Plan shape for ``tfidf``: the tokenised documents are materialised once (they
-feed three aggregates); terms are counted per document where it is read, with
-no shuffle, and the counts are written once for their two readers; document frequencies are counted from those (doc, term) rows by
-term (map-side combine absorbs hot terms), then one join on term and one
-per-document norm.  Nothing is collected; the vocabulary is never broadcast blindly (AQE
-picks a broadcast at run time only when the measured side is small).
+Plan shape for ``tfidf``: the cleaned tokens are stored once, compressed; terms are counted per document where it is
+read, with no shuffle, and the counts are stored once for their readers; document frequencies are counted from those
+(doc, term) rows by term (map-side combine absorbs hot terms) and the vocabulary is stored.  A (doc, term) row meets its
+weight without a shuffle if the term is one of the ``HOT_TERMS`` most frequent; the other rows are shuffled by term, after
+a bitmap of the vocabulary's hashes has dropped most of those outside it.  Norms and labels are one row a document: they
+are broadcast up to ``HOT_DOCS`` rows, counted before, and joined by a shuffle beyond.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import NGram, StopWordsRemover
@@ -19,10 +21,14 @@ from pyspark.sql import types as T
 
 from ..functions.stopwords import stop_words
 from ..functions.text import title_case
-from ..session import ensure_checkpoint_dir, scratch_path
+from ..session import scratch_path
 
 WORD_PATTERN = r"\p{L}+"
 TERM_TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
+HOT_TERMS = 1 << 18     # vocabulary rows that are broadcast
+HOT_LENGTH = 64         # letters of a term that may be broadcast
+HOT_DOCS = 1 << 21      # rows of (document, number) that are broadcast
+BITMAP_WORDS = 1 << 20  # longs of the bitmap at most
 TIE_DIGITS = 12  # scores are compared at 12 decimals so summation order cannot flip ties
 
 
@@ -44,11 +50,18 @@ def clean_tokens(df: DataFrame, text_col: str = "content", lang_col: str = "lang
     return tok.withColumn(out, kept).drop("_tok", *[f"_sw_{lang}" for lang in languages])
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written once, compressed, below the shared checkpoint folder (reliable, lineage cut) and read back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(docs: DataFrame) -> DataFrame:
-    """Tokenised documents feed three aggregates (term counts, document frequencies, N): write them once to the
-    shared checkpoint folder (reliable, lineage cut) instead of tokenising per consumer."""
-    ensure_checkpoint_dir(docs.sparkSession)
-    return docs.checkpoint()
+    """Documents feed several aggregates (term counts, N, cluster sizes): write them once to the shared checkpoint folder
+    instead of cleaning per consumer.  Given tokens, the n-grams of which are made where they are read, this is a third
+    of what the n-grams take."""
+    return stored(docs, "term-documents")
 
 
 def clean_for_tfidf(df: DataFrame, text_col: str = "content", lang_col: str = "language", out: str = "text_tfidf",
@@ -110,10 +123,7 @@ def term_counts(docs: DataFrame, id_col: str = "doc_id", terms_col: str = "terms
 
 def stored_counts(docs: DataFrame, id_col: str = "doc_id", terms_col: str = "terms") -> DataFrame:
     """``term_counts`` written once below the shared checkpoint folder: document frequencies and weights both read them."""
-    tf = term_counts(docs, id_col, terms_col)
-    path = scratch_path(docs.sparkSession, "term-counts")
-    tf.write.parquet(path)
-    return docs.sparkSession.read.schema(tf.schema).parquet(path)
+    return stored(term_counts(docs, id_col, terms_col), "term-counts")
 
 
 def doc_freq(docs: DataFrame, id_col: str = "doc_id", terms_col: str = "terms", tf: DataFrame | None = None) -> DataFrame:
@@ -134,21 +144,72 @@ def doc_freq_bounds(docs: DataFrame, min_df: int = 5, max_df: float = 0.9, id_co
 def idf_table(docs: DataFrame, min_df: int = 5, max_df: float = 0.9, id_col: str = "doc_id", terms_col: str = "terms",
               tf: DataFrame | None = None) -> DataFrame:
     """The vocabulary with its weights: (term, idf), idf = ln((1+N)/(1+df)) + 1."""
-    vocab = doc_freq_bounds(docs, min_df, max_df, id_col, terms_col, tf)
-    return vocab.select("term", (F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
+    return _idf(doc_freq_bounds(docs, min_df, max_df, id_col, terms_col, tf)).select("term", "idf")
+
+
+def _idf(vocab: DataFrame) -> DataFrame:
+    return vocab.withColumn("idf", F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
+
+
+def stored_vocabulary(docs: DataFrame, min_df: int = 5, max_df: float = 0.9, id_col: str = "doc_id", terms_col: str = "terms",
+                      tf: DataFrame | None = None) -> DataFrame:
+    """(term, idf, df), stored: the terms are counted once for all that read the vocabulary."""
+    return stored(_idf(doc_freq_bounds(docs, min_df, max_df, id_col, terms_col, tf)).select("term", "idf", "df"), "vocabulary")
+
+
+def weighted(tf: DataFrame, vocab: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, term, w) with w = tf * idf of the vocabulary's terms: an equi-join on the term."""
+    n = vocab.count()
+    weight = (F.col("tf") * F.col("idf")).alias("w")
+    short = F.length("term") <= HOT_LENGTH
+    if n <= HOT_TERMS:
+        hot, cold = vocab.where(short), vocab.where(~short)
+    else:                                                       # the threshold only balances: any gives the same rows
+        least = vocab.select(F.percentile_approx("df", 1 - HOT_TERMS / n, 10000)).scalar()
+        hot, cold = vocab.where(short & (F.col("df") > least)), vocab.where(~(short & (F.col("df") > least)))
+    direct = tf.join(F.broadcast(hot.select("term", "idf")), "term").select(id_col, "term", weight)
+    if n <= HOT_TERMS and not cold.limit(1).count():
+        return direct
+    rest = tf.join(F.broadcast(hot.select("term")), "term", "left_anti").where(_may_hold(cold, n))
+    rest = rest.join(cold.hint("shuffle_merge").select("term", "idf"), "term").select(id_col, "term", weight)
+    return direct.unionByName(stored(rest, "term-rest"))         # norms and weights read them: one shuffle
+
+
+def _may_hold(vocab: DataFrame, n: int):
+    """Whether the vocabulary may hold ``term``: a bitmap of its hashes, in one value of at most BITMAP_WORDS longs."""
+    words = min(BITMAP_WORDS, 1 << max(4, math.ceil(math.log2(max(1, n) / 4))))       # 16 bits a term
+
+    def word(c):
+        return F.pmod(F.xxhash64(c), F.lit(words * 64))
+
+    bits = vocab.select(F.floor(word("term") / 64).cast("int").alias("i"), F.expr("1L").alias("one"), (word("term") % 64).cast("int").alias("b"))
+    bits = bits.select("i", F.expr("shiftleft(one, b)").alias("x"))
+    every = vocab.sparkSession.range(words).select(F.col("id").cast("int").alias("i"), F.lit(0).cast("long").alias("x"))
+    bitmap = bits.unionByName(every).groupBy("i").agg(F.bit_or("x").alias("x"))
+    bitmap = bitmap.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("m")).scalar()
+    at = word("term")
+    return F.getbit(F.get(bitmap, F.floor(at / 64).cast("int")), (at % 64).cast("int")) == 1
+
+
+def by_document(rows: DataFrame, table: DataFrame, id_col: str = "doc_id", how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``table`` (a row a document, slim): broadcast if it has at most HOT_DOCS rows."""
+    return rows.join(F.broadcast(table) if table.limit(HOT_DOCS + 1).count() <= HOT_DOCS else table, id_col, how)
 
 
 def tfidf(docs: DataFrame, min_df: int = 5, max_df: float = 0.9, id_col: str = "doc_id",
-          terms_col: str = "terms", tf: DataFrame | None = None) -> DataFrame:
+          terms_col: str = "terms", tf: DataFrame | None = None, vocab: DataFrame | None = None) -> DataFrame:
     """(doc_id, term, weight) with weight = tf * (ln((1+N)/(1+df)) + 1), L2-normalised per document.
 
     Not ``pyspark.ml.feature.IDF`` (it lacks the +1).
     """
     tf = tf if tf is not None else stored_counts(docs, id_col, terms_col)
-    vocab = idf_table(docs, min_df, max_df, id_col, terms_col, tf)
-    w = tf.join(vocab, "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
-    return w.select(id_col, "term", (F.col("w") / norm).alias("weight"))
+    vocab = vocab if vocab is not None else stored_vocabulary(docs, min_df, max_df, id_col, terms_col, tf)
+    w = weighted(tf, vocab, id_col)
+    # a document's counts lie together: one partial sum each
+    norms = stored(w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm")), "term-norms")
+    without = norms.where(F.col(id_col).isNull()).select("_norm").scalar()       # rows without an id are one group
+    norm = F.when(F.col(id_col).isNull(), without).otherwise(F.col("_norm"))
+    return by_document(w, norms, id_col, "left").select(id_col, "term", (F.col("w") / norm).alias("weight"))
 
 
 def term_scores(weights: DataFrame, clusters: DataFrame, id_col: str = "doc_id", cluster_col: str = "cluster") -> DataFrame:

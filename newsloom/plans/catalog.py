@@ -429,8 +429,8 @@ def q_source_counts(spark, sf):
 # ================================ G: terms ================================
 
 def _term_docs(spark, sf) -> DataFrame:
-    v = slices.valid_with_vectors(spark, sf).select("doc_id", "cluster", "content", "language")
-    return terms.materialize(terms.token_ngrams(terms.clean_tokens(v)).select("doc_id", "cluster", "terms"))
+    v = slices.valid_with_labels(spark, sf).select("doc_id", "cluster", "content", "language")
+    return terms.token_ngrams(terms.materialize(terms.clean_tokens(v).select("doc_id", "cluster", "tokens")))
 
 
 @register("clean_for_tfidf", with_views("SELECT doc_id, text_tfidf FROM g_clean", "g_clean"))

@@ -35,6 +35,18 @@ def valid_with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_vectors(spark, sf_dir, valid_articles(spark, sf_dir))
 
 
+LABELS = 1 << 21  # rows of (vec_id, label) that are broadcast
+
+
+def valid_with_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``valid_with_vectors`` without the vectors: up to LABELS labels, counted before, are broadcast, so texts stay where
+    they are read."""
+    e = X.table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("cluster"))
+    n = X.embeddings_count(spark, sf_dir)
+    small = e.limit(LABELS + 1).count() <= LABELS
+    return valid_articles(spark, sf_dir).withColumn("vec_id", F.col("doc_id") % n).join(F.broadcast(e) if small else e, "vec_id").drop("vec_id")
+
+
 def scored_articles(spark: SparkSession, sf_dir: str, as_of: str = X.AS_OF, dim: int | None = None,
                     w_similarity: float = 0.4, w_novelty: float = 0.3, w_recency: float = 0.2,
                     w_source: float = 0.1, with_area: bool = True) -> DataFrame:

@@ -195,3 +195,53 @@ def test_term_counts_are_made_once(spark, monkeypatch):
     assert got == sorted([("1", "a", 2), ("1", "b", 1), ("3", "b", 1), ("None", "a", 1), ("None", "é", 2), ("4", "b", 2)])
     plan = terms.tfidf(docs, min_df=1, max_df=1.0)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" not in plan           # both readers read the stored counts
+
+
+def plain_tfidf(rows, min_df, max_df):
+    """(doc_id, term) -> weight from the definition; rows of one id are one document for the norm."""
+    import collections
+    import math
+
+    counts = [(d, collections.Counter(t for t in ts or [] if t is not None)) for d, ts in rows]
+    df = collections.Counter(t for _, c in counts for t in c)
+    idf = {t: math.log((1 + len(rows)) / (1 + n)) + 1 for t, n in df.items() if min_df <= n <= max_df * len(rows)}
+    w = [(d, t, n * idf[t]) for d, c in counts for t, n in c.items() if t in idf]
+    norm = collections.defaultdict(float)
+    for d, _, x in w:
+        norm[d] += x * x
+    return sorted((str(d), t, round(x / math.sqrt(norm[d]), 9)) for d, t, x in w)
+
+
+def test_tfidf_shuffles_only_rare_terms(spark, monkeypatch):
+    """Frequent terms by broadcast, rare and long ones by a shuffle join behind a bitmap: the same weights."""
+    import random
+
+    from newsloom.operators import terms
+
+    rnd = random.Random(6)
+    words = [f"w{i}" for i in range(40)] + ["long" * 30, "é", ""]
+    rows = [(i if i % 9 else None, [words[min(int(rnd.expovariate(0.1)), 42)] for _ in range(rnd.randrange(30))] + [f"once{i}", None])
+            for i in range(60)]
+    rows += [(1, ["w1", "long" * 30] * 3), (2, None), (3, [])]
+    docs = spark.createDataFrame(rows, "doc_id long, terms array<string>").repartition(3)
+    want = plain_tfidf(rows, 3, 0.9)
+    for hot_terms, hot_docs in ((1 << 18, 1 << 21), (5, 1 << 21), (5, 0), (1, 0)):
+        monkeypatch.setattr(terms, "HOT_TERMS", hot_terms)
+        monkeypatch.setattr(terms, "HOT_DOCS", hot_docs)
+        got = terms.tfidf(docs, min_df=3)
+        assert sorted((str(r.doc_id), r.term, round(r.weight, 9)) for r in got.collect()) == want
+        if hot_docs:
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "Window" not in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_documents_are_stored_compressed(spark):
+    import glob
+    import os
+
+    from newsloom.operators import terms
+
+    docs = terms.materialize(spark.createDataFrame([(i, ["word"] * 4000) for i in range(50)], "doc_id long, tokens array<string>"))
+    files = [f for p in docs.inputFiles() for f in glob.glob(p.removeprefix("file://"))]
+    assert files and sum(map(os.path.getsize, files)) < 50 * 4000
+    assert docs.count() == 50
