@@ -215,8 +215,7 @@ def tfidf(docs: DataFrame, min_df: int = 5, max_df: float = 0.9, id_col: str = "
 def term_scores(weights: DataFrame, clusters: DataFrame, id_col: str = "doc_id", cluster_col: str = "cluster") -> DataFrame:
     """Mean weight of each term over ALL rows of each cluster (absent = 0): sum / cluster size."""
     sizes = clusters.groupBy(cluster_col).agg(F.count(F.lit(1)).alias("_size"))
-    sums = (weights.join(clusters.select(id_col, cluster_col), id_col)
-            .groupBy(cluster_col, "term").agg(F.sum("weight").alias("_sum")))
+    sums = by_document(weights, clusters.select(id_col, cluster_col), id_col).groupBy(cluster_col, "term").agg(F.sum("weight").alias("_sum"))
     return (sums.join(F.broadcast(sizes), cluster_col)  # one row per cluster
             .select(cluster_col, "term", (F.col("_sum") / F.col("_size")).alias("score")))
 

@@ -245,3 +245,20 @@ def test_documents_are_stored_compressed(spark):
     files = [f for p in docs.inputFiles() for f in glob.glob(p.removeprefix("file://"))]
     assert files and sum(map(os.path.getsize, files)) < 50 * 4000
     assert docs.count() == 50
+
+
+def test_cluster_terms_shuffle_no_weights(spark):
+    from newsloom.operators import terms
+
+    rows = [(i % 7, f"t{i % 5}", float(i)) for i in range(40)] + [(None, "t1", 9.0)]
+    weights = spark.createDataFrame(rows, "doc_id long, term string, weight double")
+    clusters = spark.createDataFrame([(d, d % 2) for d in range(7)] + [(3, 0), (8, 1), (None, 1)], "doc_id long, cluster int")
+    got = terms.term_scores(weights, clusters)
+    want = {}
+    for d, t, w in rows:
+        for e, c in [(d, d % 2) for d in range(7)] + [(3, 0)]:
+            if d == e:
+                want[c, t] = want.get((c, t), 0.0) + w
+    assert {(r.cluster, r.term): round(r.score, 9) for r in got.collect()} == {
+        (c, t): round(s / (5 if c == 0 else 5), 9) for (c, t), s in want.items()}
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
