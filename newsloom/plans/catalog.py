@@ -1085,10 +1085,10 @@ from . import runs as RN  # noqa: E402
 _ART_SQL = f"SELECT doc_id, source, url, title, content, {TS('scraping_date')} AS scraping_date FROM articles_v"
 
 
-def _articles_csv(spark, sf, sep=";"):
+def _articles_csv(spark, sf, sep=";", compression="none"):
     path = scratch_path(spark, "articles-csv")
     FS.write_articles_csv(X.articles_v(spark, sf).select("doc_id", "source", "url", "title", "content", "scraping_date"),
-                          path, sep=sep)
+                          path, sep=sep, compression=compression)
     return path
 
 
@@ -1279,7 +1279,7 @@ def q_stream_feedback_counts(spark, sf):
 SELECT doc_id, cluster, round({_RUN_SCORE.format(weight=source_weight('source'), recency=f"exp(-floor((epoch_us({AS_OF_SQL}) - epoch_us(scraping_date)) / 86400000000) / 30.0)")}, 6) AS final_score
 FROM articles_v JOIN asg USING (doc_id)""", "articles_v", "text_cents_v"))
 def q_batch_run(spark, sf):
-    csv = _articles_csv(spark, sf)
+    csv = _articles_csv(spark, sf, compression="gzip")
     out = RN.batch_run(spark, csv, scratch_path(spark, "batch-run"), X.AS_OF, model="md5-64",
                        centroids=X.text_centroids_v(spark, sf).checkpoint())
     return out.select("doc_id", "cluster", r6("final_score").alias("final_score"))

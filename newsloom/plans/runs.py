@@ -26,10 +26,8 @@ MODELS = tuple(embed.ENSEMBLE)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Written once below the shared checkpoint folder and read back."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Written once, compressed, below the shared checkpoint folder and read back."""
+    return terms.stored(df, name)
 
 
 def batch_run(spark: SparkSession, csv_path: str, out_dir: str, as_of: str, k: int = 6, model: str = "hashing",
@@ -39,16 +37,17 @@ def batch_run(spark: SparkSession, csv_path: str, out_dir: str, as_of: str, k: i
     With ``centroids`` (cluster, centroid; in the encoder's space) rows go to the nearest of them instead of a fit."""
     a = files.read_articles_csv(spark, csv_path, CSV_SCHEMA)
     a = a.withColumn("text_for_embedding", T.text_for_embedding("title", "content"))
-    # texts, vectors and clusters are written once; the CSV is parsed and the encoder runs in that one pass
-    a = stored(embed.embed_text(a, model).drop("text_for_embedding"), "batch-vectors")
+    a = embed.embed_text(a, model).drop("text_for_embedding")
     if centroids is None:
+        a = stored(a, "batch-vectors")            # the fit reads the vectors many times
         _m, labels, cents = clusters.fit_kmeans(a, k)
         x = a.join(labels, "doc_id")
     else:
         cents, x = centroids, clusters.predict_cluster(a, centroids)
+    # texts, vectors and clusters are written once; the CSV is parsed and the encoder runs in that one pass
     x = stored(scoring.similarity_to_centroid(x, cents), "batch-clusters")
-    docs = terms.materialize(terms.token_ngrams(terms.clean_tokens(
-        embed.detect_language(x.select("doc_id", "cluster", "content")))).select("doc_id", "cluster", "terms"))
+    docs = terms.token_ngrams(terms.materialize(terms.clean_tokens(
+        embed.detect_language(x.select("doc_id", "cluster", "content"))).select("doc_id", "cluster", "tokens")))
     # one row a cluster, read by both sinks
     names = stored(terms.name_clusters(terms.top_terms_per_cluster(terms.tfidf(docs), docs.select("doc_id", "cluster"),
                                                                    top_terms)), "batch-names")

@@ -39,12 +39,12 @@ def flatten_for_csv(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def write_articles_csv(df: DataFrame, path: str, sep: str = ";", mode: str = "overwrite") -> None:
+def write_articles_csv(df: DataFrame, path: str, sep: str = ";", mode: str = "overwrite", compression: str = "none") -> None:
     """A3: header + ``sep`` separator (also ',' variant), nested columns flattened."""
     # the writer trims values by default: keep text exactly as it is
     (flatten_for_csv(df).write.mode(mode).option("header", True).option("sep", sep).option("quote", '"')
      .option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-     .csv(path))
+     .option("compression", compression).csv(path))
 
 
 def read_articles_parquet(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

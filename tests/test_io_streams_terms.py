@@ -262,3 +262,21 @@ def test_cluster_terms_shuffle_no_weights(spark):
     assert {(r.cluster, r.term): round(r.score, 9) for r in got.collect()} == {
         (c, t): round(s / (5 if c == 0 else 5), 9) for (c, t), s in want.items()}
     assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_batch_run_with_fixed_centroids_stores_texts_once(spark, tmp_dir, monkeypatch):
+    from newsloom.plans import runs
+
+    rows = [(i, "TechCrunch", f"u{i}", f"Title {i}", f"some words\nabout \"topic {i % 3}\"; more", "2024-03-30 01:00:00") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, url string, title string, content string, d string")
+    df = df.withColumn("scraping_date", F.to_timestamp("d")).drop("d")
+    cents = spark.createDataFrame([(0, [1.0] + [0.0] * 63), (1, [0.0] * 63 + [1.0])], "cluster int, centroid array<double>")
+    names, stored = [], runs.stored
+    monkeypatch.setattr(runs, "stored", lambda df, name: names.append(name) or stored(df, name))
+    got = []
+    for kind in ("none", "gzip"):
+        files.write_articles_csv(df, f"{tmp_dir}/{kind}", compression=kind)
+        out = runs.batch_run(spark, f"{tmp_dir}/{kind}", f"{tmp_dir}/out-{kind}", "2024-04-01 00:00:00", model="md5-64", centroids=cents)
+        got.append(sorted((r.doc_id, r.content, r.cluster, round(r.final_score, 9)) for r in out.collect()))
+    assert got[0] == got[1] and [r[1] for r in got[0]] == [r[4] for r in rows]
+    assert names == ["batch-clusters", "batch-names"] * 2
