@@ -85,14 +85,15 @@ def full_retrain(spark: SparkSession, corpus: DataFrame, model_root: str, corpus
     # the search, the labels and the stored embeddings read the slim (id, v) only; texts stay where they are
     best_k, scores, models, vectors = ksearch.search_k(embed.embed_text(c, model).select("doc_id", "v"), k_min, k_max)
     labels = ksearch.assign(vectors, models[best_k]).checkpoint()
-    docs = terms.materialize(terms.ngrams(c.select("doc_id", T.basic_preprocess("content").alias("text_tfidf"))))
-    tf = terms.stored_counts(docs)                # the weights and the stored vocabulary read one count
-    top = terms.top_terms_per_cluster(terms.tfidf(docs, tf=tf), labels, top_terms)
+    docs = terms.ngrams(terms.materialize(c.select("doc_id", T.basic_preprocess("content").alias("text_tfidf"))))
+    tf = terms.stored_counts(docs)                # the weights and the vocabulary read one count
+    vocab = terms.stored_vocabulary(docs, tf=tf)
+    top = terms.top_terms_per_cluster(terms.tfidf(docs, tf=tf, vocab=vocab), labels, top_terms)
     files.save_centroid_version(ksearch.centroid_table(spark, models[best_k]), model_root, as_of_stamp)
     top.write.mode("overwrite").parquet(f"{model_root}/terms/v={as_of_stamp}")
-    terms.idf_table(docs, tf=tf).write.mode("overwrite").parquet(f"{model_root}/vocabulary/v={as_of_stamp}")
+    vocab.select("term", "idf").write.mode("overwrite").parquet(f"{model_root}/vocabulary/v={as_of_stamp}")
     files.save_embeddings_version(vectors.withColumnRenamed("id", "doc_id"), f"{model_root}/embeddings", as_of_stamp)
-    files.write_articles_parquet(c.join(labels, "doc_id"), corpus_root, as_of_stamp, mode="overwrite")
+    files.write_articles_parquet(terms.by_document(c, labels), corpus_root, as_of_stamp, mode="overwrite")
     return digest.retrain_metadata(spark, best_k, scores, model, as_of_stamp)
 
 

@@ -280,3 +280,18 @@ def test_batch_run_with_fixed_centroids_stores_texts_once(spark, tmp_dir, monkey
         got.append(sorted((r.doc_id, r.content, r.cluster, round(r.final_score, 9)) for r in out.collect()))
     assert got[0] == got[1] and [r[1] for r in got[0]] == [r[4] for r in rows]
     assert names == ["batch-clusters", "batch-names"] * 2
+
+
+def test_full_retrain_counts_the_vocabulary_once(spark, tmp_dir, monkeypatch):
+    from newsloom.operators import terms
+    from newsloom.plans import runs
+
+    rows = [(i, runs.RETRAIN_SOURCES[i % 4], f"u{i}", f"Title {i}", f"word{i % 2} text common{i} again", "2024-03-30 01:00:00") for i in range(14)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, url string, title string, content string, d string")
+    df = df.withColumn("scraping_date", F.to_timestamp("d")).drop("d")
+    calls, doc_freq = [], terms.doc_freq
+    monkeypatch.setattr(terms, "doc_freq", lambda *a, **k: calls.append(1) or doc_freq(*a, **k))
+    runs.full_retrain(spark, df, f"{tmp_dir}/m", f"{tmp_dir}/c", "20240401", 2, 3, model="md5-64", top_terms=2)
+    vocab = spark.read.parquet(f"{tmp_dir}/m/vocabulary/v=20240401")
+    assert vocab.columns == ["term", "idf"] and {r.term for r in vocab.collect()} >= {"word0", "word1"}
+    assert spark.read.parquet(f"{tmp_dir}/c").count() == 14 and len(calls) == 1
